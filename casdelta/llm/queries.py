@@ -6,8 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casdelta.llm import bpe, media
-from casdelta.llm.common import read
+from casdelta.llm import bpe, media, mixing, ngram_join, quality
+from casdelta.llm.common import id_bucket, read
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents")).drop("key")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +28,17 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model, ["doc_id"]).select(
+        "doc_id",
+        (id_bucket(F.col("doc_id"), 5) == 0).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        F.col("quality").alias("predicted"),
+    )
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(read(spark, sf_dir, "documents"))
     return media.sniff(stored, keep=("doc_id", "n_bytes")).select(
@@ -34,6 +53,33 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_bpe": op7_bpe, "op9_media": op9_media}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op4_mixing": op4_mixing, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_media": op9_media}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_ngram_join": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), texts AS (
+  SELECT text, min(doc_id) AS id, count(*) AS copies, any_value(w) AS w FROM words GROUP BY text
+), grams AS (
+  SELECT DISTINCT id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM texts WHERE len(w) > 0)
+), sizes AS (
+  SELECT id, count(*) AS n FROM grams GROUP BY id
+), pairs AS (
+  SELECT a.id AS a, b.id AS b, count(*) AS both FROM grams a JOIN grams b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2
+), linked AS (
+  SELECT p.a, p.b FROM pairs p JOIN sizes x ON x.id = p.a JOIN sizes y ON y.id = p.b WHERE 18 * p.both >= 8 * (x.n + y.n)
+), reach(a, b) AS (
+  SELECT id, id FROM texts UNION SELECT r.a, l.b FROM reach r JOIN linked l ON l.a = r.b
+), classes AS (
+  SELECT a AS id, min(b) AS class_id FROM reach GROUP BY a
+), degrees AS (
+  SELECT l.a AS id, count(*) AS n_texts, sum(t.copies) AS links FROM linked l JOIN texts t ON t.id = l.b GROUP BY l.a
+)
+SELECT d.doc_id, c.class_id,
+  CASE WHEN len(d.w) = 0 THEN 0 ELSE coalesce(g.links, 0) + t.copies - 1 END::BIGINT AS n_links,
+  coalesce(g.n_texts, 0)::BIGINT AS n_texts, t.copies
+FROM words d JOIN texts t ON t.text = d.text JOIN classes c ON c.id = t.id LEFT JOIN degrees g ON g.id = t.id
+""",
+}
