@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casdelta.llm import bpe, media, mixing, ngram_join, quality
+from casdelta.llm import bpe, media, mixing, ngram_join, pii, quality
 from casdelta.llm.common import id_bucket, read
 
 
@@ -14,6 +14,18 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents")).drop("key")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = pii.detect(docs, pii.train(docs)).select("doc_id", "_spans", F.filter("_spans", lambda x: x["base"]).alias("_base"))
+    number = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(number(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)),
+        F.sha2(pii.written(F.col("_base")), 256).alias("base_sha256"),
+        pii.written(F.col("_spans")).alias("spans"),
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,7 +65,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op4_mixing": op4_mixing, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_media": op9_media}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op4_mixing": op4_mixing, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_media": op9_media}
 
 ORACLES = {
     "op1_ngram_join": """
