@@ -88,3 +88,16 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, rows_a_range: in
     rest = budget - epochs * F.col("source_size") - F.col("_head") - F.col("_before")
     taken = epochs * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest))
     return out.select(F.col("d.doc_id").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"), epochs.cast("long").alias("epochs"))
+
+
+def repeated(docs: DataFrame, **how: float) -> DataFrame:
+    """docs with each row as often as mix() takes it: taken over size, rounded half up; rows not taken, or without words, go.
+
+    Rows that share id and size are taken as one and keep their number.
+    """
+    plan = mix(docs, **how).where("size > 0")
+    times = plan.groupBy("doc_id", F.col("size").alias("_size")).agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
+    times = times.select(F.col("doc_id").alias("_id"), "_size", F.floor(F.col("_taken") / (F.col("_size") * F.col("_rows")) + 0.5).cast("int").alias("_times")).where("_times > 0")
+    held = docs.withColumn("_words", F.regexp_count(whole_text(), F.lit(WORD)))
+    joined = held.join(times, held["doc_id"].eqNullSafe(times["_id"]) & (held["_words"] == times["_size"]))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_copy", "_times", "_id", "_size", "_words")

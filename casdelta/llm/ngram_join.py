@@ -16,7 +16,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casdelta.llm.common import staged, whole_text
@@ -202,3 +202,27 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 40, r
         F.col("n_texts").cast("long").alias("n_texts"),
         "copies",
     )
+
+
+def representatives(docs: DataFrame, broadcast_rows: int = 500_000, **how: int) -> DataFrame:
+    """docs without near duplicates: of each class of join() the row of least id stays, of rows that repeat its id and text one.
+
+    A class whose ids are all null keeps one of its rows.
+    """
+    joined = join(docs, broadcast_rows=broadcast_rows, **how)
+    chosen = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    chosen = chosen.groupBy("class_id").agg(F.min("key").alias("key"), F.count("*").alias("rows"))
+    nameless = chosen.where("class_id is null").count()
+    if nameless:  # classes of null ids only: one row for each is found by its text
+        lone = joined.where("class_id is null").select(F.lit(None).cast("long").alias("class_id"), "key").distinct()
+        chosen = chosen.where("class_id is not null").unionByName(lone.withColumn("rows", F.lit(2)))
+    chosen = staged(chosen, "chosen")
+    few = chosen.count() <= broadcast_rows
+    side = chosen.select(F.col("class_id").alias("_id"), F.col("key").alias("_key"))
+    side = F.broadcast(side) if few else side
+    held = docs.withColumn("_text_key", F.xxhash64(whole_text()))
+    kept = held.join(side, held["doc_id"].cast("long").eqNullSafe(side["_id"]) & (held["_text_key"] == side["_key"]), "left_semi")
+    if chosen.where("rows > 1").isEmpty():
+        return kept.drop("_text_key")
+    order = Window.partitionBy("doc_id", "_text_key").orderBy(F.lit(1))
+    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_text_key")
