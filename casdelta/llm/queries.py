@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casdelta.llm import bpe, media, mixing, ngram_join, pii, quality
+from casdelta.llm import bpe, lm, media, mixing, ngram_join, pii, quality
 from casdelta.llm.common import id_bucket, read
 
 
@@ -26,6 +26,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return lm.fit_and_score(read(spark, sf_dir, "documents")).select(columns)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -65,7 +70,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op4_mixing": op4_mixing, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_media": op9_media}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_lm": op3_lm, "op4_mixing": op4_mixing, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_media": op9_media}
 
 ORACLES = {
     "op1_ngram_join": """
