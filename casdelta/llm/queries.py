@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casdelta.llm import bpe, lm, media, mixing, ngram_join, pii, quality
+from casdelta.llm import bpe, langid, lm, media, mixing, ngram_join, pii, quality
 from casdelta.llm.common import id_bucket, read
 
 
@@ -70,7 +70,13 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_lm": op3_lm, "op4_mixing": op4_mixing, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_media": op9_media}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = F.coalesce(id_bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    return langid.predict(docs, langid.train(docs)).select("doc_id", held, "lang_pred", "score")
+
+
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_lm": op3_lm, "op4_mixing": op4_mixing, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_media": op9_media, "op10_langid": op10_langid}
 
 ORACLES = {
     "op1_ngram_join": """
