@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casdelta.llm import bpe, langid, lm, media, mixing, ngram_join, pii, quality
+from casdelta.llm import ann, bpe, langid, lm, media, mixing, ngram_join, pii, quality
 from casdelta.llm.common import id_bucket, read
 
 
@@ -35,6 +35,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select(
@@ -76,7 +80,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs)).select("doc_id", held, "lang_pred", "score")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_lm": op3_lm, "op4_mixing": op4_mixing, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_media": op9_media, "op10_langid": op10_langid}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_lm": op3_lm, "op4_mixing": op4_mixing, "op5_ann": op5_ann, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_media": op9_media, "op10_langid": op10_langid}
 
 ORACLES = {
     "op1_ngram_join": """
