@@ -23,7 +23,7 @@ def nearest_codeword(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     return (2 * x @ book.T - (book * book).sum(axis=1)).argmax(axis=1)
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def encode(x: np.ndarray, books: np.ndarray, beam: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Codes (n, books) of the least squared error that the beam finds, and what is left of x."""
     n, words = len(x), books.shape[1]
     codes, rest = np.zeros((n, 1, 0), np.uint8), x[:, None, :]
@@ -41,7 +41,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = 4) -> tuple[np.ndarray,
     return codes[rows[:, 0], best], rest[rows[:, 0], best]
 
 
-def fit(x: np.ndarray, books: int, words: int, turns: int = 2, seed: int = 5) -> np.ndarray:
+def fit(x: np.ndarray, books: int, words: int, turns: int = 1, seed: int = 5) -> np.ndarray:
     """Codebooks from residual k-means, then refined: beam encoding and a joint least-squares fit in turn."""
     rng = np.random.default_rng(seed)
     out, rest = np.zeros((books, words, x.shape[1]), np.float32), x.astype(np.float32)
@@ -180,7 +180,7 @@ def shortlist(queries: DataFrame, packs: DataFrame, books: np.ndarray, most: int
     return dealt.mapInArrow(scan, "query long, node long")
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, books: int = 24, words: int = 64, most: int = 320, sample: int = 12_000, pack: int = 4096, queries_a_block: int = 128) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, books: int = 32, words: int = 64, most: int = 320, sample: int = 12_000, pack: int = 4096, queries_a_block: int = 128) -> DataFrame:
     """Return query_id, rank, vec_id, score: the k nearest found of every row whose vec_id is divisible by `every`.
 
     vectors: vec_id, embedding. Null vectors and ids, zero vectors and ones with null, NaN or infinite components take no part, nor do

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casdelta.llm import ann, bpe, langid, lm, media, mixing, ngram_join, pii, quality
+from casdelta.llm import ann, bpe, langid, licenses, lm, media, mixing, ngram_join, pii, quality
 from casdelta.llm.common import id_bucket, read
 
 
@@ -39,6 +39,10 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select(
@@ -80,7 +84,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs)).select("doc_id", held, "lang_pred", "score")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_lm": op3_lm, "op4_mixing": op4_mixing, "op5_ann": op5_ann, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_media": op9_media, "op10_langid": op10_langid}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_lm": op3_lm, "op4_mixing": op4_mixing, "op5_ann": op5_ann, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op8_quality": op8_quality, "op9_media": op9_media, "op10_langid": op10_langid}
 
 ORACLES = {
     "op1_ngram_join": """
@@ -109,4 +113,20 @@ SELECT d.doc_id, c.class_id,
   coalesce(g.n_texts, 0)::BIGINT AS n_texts, t.copies
 FROM words d JOIN texts t ON t.text = d.text JOIN classes c ON c.id = t.id LEFT JOIN degrees g ON g.id = t.id
 """,
+    "op6_licenses": """
+WITH templates(license, t) AS (VALUES {values}), shingled AS (
+  SELECT license, w, list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' ')) AS g
+  FROM (SELECT license, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM templates)
+), wanted AS (
+  SELECT DISTINCT license, unnest(g) AS g FROM shingled
+), sizes AS (
+  SELECT license, count(*) AS n FROM wanted GROUP BY license
+), words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL
+), had AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM words WHERE len(w) > 0
+)
+SELECT doc_id, license, count(*)::INTEGER AS matched, any_value(n)::INTEGER AS shingles, count(*) / any_value(n)::DOUBLE AS containment
+FROM had JOIN wanted USING (g) JOIN sizes USING (license) GROUP BY doc_id, license HAVING 5 * count(*) >= 4 * any_value(n)
+""".replace("{values}", ", ".join(f"('{name}', '{text}')" for name, text in licenses.TEMPLATES.items())),
 }
