@@ -169,6 +169,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Ensemble:
     return fit(got[names].to_numpy(float), got["_label"].to_numpy(float), names)
 
 
+def accepted(docs: DataFrame, model: Ensemble, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that the model scores at the threshold or more, as they are.
+
+    The row number stands between features and filter: Spark would otherwise move the filter below the features and work out
+    every statistic again for each rule that mentions it.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    out = with_features(numbered, [F.col(c) for c in numbered.columns], text)
+    out = out.select(*numbered.columns, F.monotonically_increasing_id().alias("_again"), model.score().alias("_score"))
+    return out.where((F.col("_score") >= threshold) & (F.col("_again") >= 0) & (F.col("_row") >= 0)).select(docs.columns)
+
+
 def score(docs: DataFrame, model: Ensemble, keep: list[str], text: str = "text", threshold: float = 0.3) -> DataFrame:
     """keep, then quality_score double and quality int (1 from threshold on), a row for each row of docs.
 

@@ -15,7 +15,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the classifier, fitted on these documents' labels, scores at 0.3 or more."""
     model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model, COLUMNS).where("quality = 1").select(COLUMNS)
+    return quality.accepted(docs.select(COLUMNS), model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
