@@ -18,12 +18,34 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 #: White space by Unicode's property, as the vocabulary's normaliser understands \s.
 SPACE = "\t-\r \x85\xa0  -     　"
 
+# Letters and digits of Unicode 16, and lower case of Unicode 17, that this interpreter's tables may not have yet.
+NEW_LETTERS = (
+    "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 "
+    "113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0"
+)
+NEW_DIGITS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEW_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+@lru_cache(maxsize=2)
+def category(first: str, more: str) -> str:
+    """The inside of a character class: all characters whose general category begins so, and the ranges of `more`."""
+    codes = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == first]
+    codes += [c for r in more.split() for c in range(int(r.split("-")[0], 16), int(r.split("-")[1], 16) + 1)]
+    out: list[list[int]] = []
+    for c in sorted(set(codes)):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -44,7 +66,8 @@ class Vocabulary:
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE))
+        letters, digits = category("L", NEW_LETTERS), category("N", NEW_DIGITS)
+        self.words = re.compile(split["pattern"]["Regex"].replace(r"\s", SPACE).replace(r"[\p{N}]", r"\p{N}").replace(r"\p{L}", letters).replace(r"|\p{N}", f"|[{digits}]").replace(r"\p{N}", digits))
         self.text = {i: t for t, i in (self.ids | self.special).items()}
         self.longest = max(len(t.removesuffix(self.suffix)) for t in self.ids)
         self.inner = {t: i for t, i in self.ids.items() if not t.endswith(self.suffix)}
@@ -135,7 +158,7 @@ class Encoder:
 
     def lower(self, s: str) -> str:
         """Lower case character by character: a final sigma is as any other."""
-        return s.replace("Σ", "σ").lower()
+        return s.lower() if s.isascii() else s.translate(NEW_LOWER).replace("Σ", "σ").lower()
 
     def piece(self, piece: str) -> tuple[int, ...]:
         ids: list[int] = []
