@@ -70,7 +70,9 @@ def shingles(text: Column, n: int = 5) -> Column:
     """The distinct n-word shingles in order; one of all words where there are fewer, none where there is none."""
 
     def of(words: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+        # single elements, not slices: a slice copies the whole array first
+        last = F.greatest(F.lit(0), F.size(words) - n)
+        many = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
         return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
 
     return let(words_of(text), of)
@@ -92,9 +94,11 @@ def bands(mixed: Column, size: int, stride: int) -> Column:
     """
 
     def of(m: Column) -> Column:
-        last = F.greatest(F.lit(1), F.size(m) - size + 1)
-        starts = F.concat(F.sequence(F.lit(1), last, F.lit(stride)), F.array(last))
-        return F.transform(starts, lambda i: F.xxhash64(F.array_min(F.slice(m, i, size)), F.lit(size)))
+        last = F.greatest(F.lit(0), F.size(m) - size)
+        starts = F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last))
+        # beyond the end there is null, which takes no part in the minimum
+        least = lambda i: F.least(F.get(m, i), *[F.get(m, i + k) for k in range(1, size)]) if size > 1 else F.get(m, i)
+        return F.transform(starts, lambda i: F.xxhash64(least(i), F.lit(size)))
 
     return F.flatten(F.transform(F.filter(mixed, lambda m: F.size(m) > 0), of))
 
@@ -105,13 +109,16 @@ def window_of(count: int) -> int:
 
 
 def pivots(grams: list[str], least: int) -> set[str]:
-    """Words such that any `least` of the shingles hold one: the greedy choice, long words first among equals."""
+    """Words such that any `least` of the shingles hold one: the greedy choice, among words of seven letters where there are any.
+
+    Long words are rare in other texts, so few texts have to be read closely.
+    """
     chosen: set[str] = set()
     while True:
         bare = [g.split() for g in grams if chosen.isdisjoint(g.split())]
         if len(bare) < least:
             return chosen
-        chosen.add(max({w for g in bare for w in g}, key=lambda w: (sum(w in g for g in bare), len(w), w)))
+        chosen.add(max({w for g in bare for w in g}, key=lambda w: (len(w) > 6, sum(w in g for g in bare), len(w), w)))
 
 
 def prepared(spark: SparkSession, templates: dict[str, str], containment: float) -> list[dict]:
