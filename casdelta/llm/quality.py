@@ -138,7 +138,7 @@ def lasso(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tup
 
 
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 25, depth: int = 3, rate: float = 0.3, penalty: float = 0.002) -> Ensemble:
-    """Fit the ensemble. With no rows, or rows of one label only, it is a constant: the smoothed share of label 1."""
+    """Fit the ensemble. With too few rows to split, or of one label only, it is a constant: the smoothed share of label 1."""
     prior = (y.sum() + 1) / (len(y) + 2)
     bias = float(np.log(prior / (1 - prior)))
     if len(set(y.tolist())) < 2:
@@ -151,6 +151,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 25, depth:
         raw = raw + rate * value
         found |= dict.fromkeys(rules)
     rules = list(found)
+    if not rules:
+        return Ensemble(bias, [])
     r = np.stack([holds(q, x, names) for q in rules], axis=1).astype(float)
     bias, w = lasso(r, y, penalty)
     return Ensemble(bias, [(q, float(v)) for q, v in zip(rules, w, strict=True) if abs(v) > 1e-4])

@@ -112,6 +112,36 @@ SELECT d.doc_id, c.class_id,
   CASE WHEN len(d.w) = 0 THEN 0 ELSE coalesce(g.links, 0) + t.copies - 1 END::BIGINT AS n_links,
   coalesce(g.n_texts, 0)::BIGINT AS n_texts, t.copies
 FROM words d JOIN texts t ON t.text = d.text JOIN classes c ON c.id = t.id LEFT JOIN degrees g ON g.id = t.id
+""",
+    "op4_mixing": """
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, length(coalesce(text, '')) AS chars,
+    length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[!*$#%&|]', '', 'g')) AS junk
+  FROM documents
+), keyed AS (
+  SELECT doc_id, source, size,
+    -ln((concat('0x', substring(md5(concat(coalesce(doc_id::VARCHAR, '-'), ':', size)), 1, 12))::BIGINT + 0.5) / 281474976710656.0)
+      / greatest(0.1, floor((1 - 4 * (junk / greatest(chars, 1)::DOUBLE)) * 1024) / 1024) AS k
+  FROM sized
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM keyed GROUP BY source
+), water(n, level) AS (
+  SELECT 0, 0.0::DOUBLE
+  UNION ALL
+  SELECT n + 1, (
+    SELECT coalesce((1.5 * sum(source_size)::DOUBLE - 2 * coalesce(sum(source_size) FILTER (2 * source_size <= w.level * weight AND w.n > 0), 0)::DOUBLE)
+      / nullif(sum(weight) FILTER (2 * source_size > w.level * weight OR w.n = 0), 0), w.level) FROM sources)
+  FROM water w WHERE n < 40
+), aims AS (
+  SELECT source, source_size, least(2 * source_size, (SELECT max(level) FROM water) * weight)::DOUBLE AS target FROM sources
+), placed AS (
+  SELECT k.doc_id, k.size, a.source_size, a.target, floor(a.target)::BIGINT AS budget, floor(a.target)::BIGINT // nullif(a.source_size, 0) AS epochs,
+    sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - k.size AS before
+  FROM keyed k JOIN aims a ON a.source IS NOT DISTINCT FROM k.source
+)
+SELECT doc_id, size, source_size, target,
+  (coalesce(epochs, 0) * size + least(size, greatest(0, budget - coalesce(epochs, 0) * source_size - before)))::BIGINT AS taken
+FROM placed
 """,
     "op6_licenses": """
 WITH templates(license, t) AS (VALUES {values}), shingled AS (
