@@ -26,23 +26,24 @@ def acked_heads(announces: DataFrame) -> DataFrame:
     return announces.groupBy("repo", "peer").agg(F.max_by("head", "seq").alias("head"))
 
 
-def ancestors(commits: DataFrame, heads: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(repo, head, sha): all commits reachable from each head, itself included, breadth first.
+def ancestors(commits: DataFrame, heads: DataFrame, rounds: int = 64) -> DataFrame:
+    """(repo, head, sha): all commits reachable from each head, itself included.
 
-    heads: repo, head. Each round joins the frontier with the parents once; only new commits go on.
+    heads: repo, head. Rounds double the reach: what is within fewer than 2^k steps, and what the steps of length 2^k lead to from
+    there; so a history of a million steps takes twenty rounds. Only histories that hold a head are followed.
     """
-    edges = _staged(commits.select("repo", F.col("sha").alias("child"), F.explode("parents").alias("parent")))
-    frontier = _staged(heads.select("repo", "head", F.col("head").alias("sha")).distinct())
-    seen = frontier
-    for i in range(rounds):
-        step = frontier.withColumnRenamed("sha", "child").join(edges, ["repo", "child"]).select("repo", "head", F.col("parent").alias("sha")).distinct()
-        frontier = _staged(step.join(seen, ["repo", "head", "sha"], "left_anti"))
-        if frontier.isEmpty():
+    asked = heads.select("repo", "head").distinct()
+    steps = commits.join(asked.select("repo").distinct(), "repo", "left_semi")
+    steps = _staged(steps.select("repo", F.col("sha").alias("child"), F.explode("parents").alias("parent")).distinct())
+    seen = _staged(asked.withColumn("sha", F.col("head")))
+    for _ in range(rounds):
+        if steps.isEmpty():
             return seen
-        seen = seen.unionByName(frontier)
-        if i % 8 == 7:
-            seen = _staged(seen)
-    raise RuntimeError("the history is deeper than the rounds allowed")
+        further = seen.withColumnRenamed("sha", "child").join(steps, ["repo", "child"]).select("repo", "head", F.col("parent").alias("sha"))
+        seen = _staged(seen.union(further).distinct())
+        next_ = steps.select("repo", "child", F.col("parent").alias("mid")).join(steps.select("repo", F.col("child").alias("mid"), "parent"), ["repo", "mid"])
+        steps = _staged(next_.select("repo", "child", "parent").distinct())
+    raise RuntimeError("the history is deeper than the rounds allow: it has a cycle")
 
 
 def is_ancestor(commits: DataFrame, pairs: DataFrame) -> DataFrame:
