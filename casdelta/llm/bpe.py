@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -97,21 +98,23 @@ class PrefixTrie:
 
     def __init__(self, vocab: Vocabulary, max_nodes: int = 600_000):
         self.vocab, self.max_nodes = vocab, max_nodes
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        self.token, self.before = [-1], [0]
+        #: node and symbol, packed into one number, to node; flat arrays for the states
+        self.child: dict[int, int] = {}
+        self.token, self.before = array("i", [-1]), array("i", [0])
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
+        pair = (left + 1) << 20 | right
+        known = self.fits.get(pair)
         if known is None:
             v = self.vocab
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             parts = (v.symbols(left) if left >= 0 else []) + v.symbols(right)
-            known = self.fits[left, right] = v.merge(parts) == [v.text[t] for t in (left, right) if t >= 0]
+            known = self.fits[pair] = v.merge(parts) == [v.text[t] for t in (left, right) if t >= 0]
         return known
 
     def state(self, path: list[int], text: str, end: bool) -> tuple[int, int]:
@@ -130,7 +133,7 @@ class PrefixTrie:
         node, path, n = 0, [], len(word)
         for i, c in enumerate(word, 1):
             path.append(node)
-            key = (node, c if i < n else c + self.vocab.suffix)
+            key = node << 10 | ord(c) | (i == n) << 9
             if (node := self.child.get(key, -1)) < 0:
                 token, before = self.state(path, word[:i], i == n)
                 node = self.child[key] = len(self.token)
@@ -146,7 +149,7 @@ class PrefixTrie:
 class Encoder:
     """Encodes whole texts; remembers the tokens of pieces between white space, up to max_pieces of them."""
 
-    def __init__(self, path: str, max_pieces: int = 600_000):
+    def __init__(self, path: str, max_pieces: int = 500_000):
         self.vocab = Vocabulary(path)
         self.trie = PrefixTrie(self.vocab)
         self.max_pieces = max_pieces
