@@ -17,7 +17,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """
 
     def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written out, so that the join below deals both its sides anew and a hot node's links can be split
+        return staged(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "links-least")
 
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen = None
