@@ -58,7 +58,7 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     return table.select("source", "source_size", F.least(cap, F.lit(level) * F.col("_weight")).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, rows_a_range: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, rows_a_range: int = 4_000) -> DataFrame:
     """Return doc_id, size, source_size, target, taken, epochs, for each row of docs (doc_id, text, source).
 
     size: words of the text (null: 0); taken: words the mix takes from this row, repeats counted, at most `most` times its size; the
