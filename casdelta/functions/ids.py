@@ -90,4 +90,4 @@ def action_for(topic: Column) -> Column:
     """The action that a topic's request needs; null for unknown topics."""
     name = F.element_at(F.split(topic, "/"), -1)
     sync = F.when(name == "commit", "sync").when(name == "delete", "delete").when(name.isin("have", "list", "manifest"), "sync-read")
-    return F.when(F.startswith(topic, F.lit("run/")), "spawn").when(F.startswith(topic, F.lit("rdev/")), F.substring(topic, F.lit(6), F.length(topic))).otherwise(sync)
+    return F.when(F.startswith(topic, F.lit("run/")), "spawn").when(F.startswith(topic, F.lit("legacy/")), F.substring(topic, F.lit(8), F.length(topic))).otherwise(sync)

@@ -12,7 +12,7 @@ TRANSFER = ("commit", "delete", "have", "list", "manifest")
 
 def route(topic: Column) -> Column:
     """Handler of a topic by its prefix: sync, run, legacy or unknown."""
-    return F.when(F.startswith(topic, F.lit("sync2/")), "sync").when(F.startswith(topic, F.lit("run/")), "run").when(F.startswith(topic, F.lit("rdev/")), "legacy").otherwise("unknown")
+    return F.when(F.startswith(topic, F.lit("sync2/")), "sync").when(F.startswith(topic, F.lit("run/")), "run").when(F.startswith(topic, F.lit("legacy/")), "legacy").otherwise("unknown")
 
 
 def decode(messages: DataFrame, schema: str, defaults: dict[str, Column] | None = None) -> DataFrame:
