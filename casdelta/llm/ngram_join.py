@@ -11,6 +11,7 @@ node: how many links it has there and the least node that it reaches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
 from itertools import groupby
 
@@ -88,8 +89,8 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def links_of(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Matrix of pairs whose Jaccard similarity reaches the threshold, by exact intersection of the sets."""
-    size = np.array([len(s) for s in sets])
+    """Matrix of pairs whose Jaccard similarity reaches the threshold, by exact intersection of the sets, in whole numbers."""
+    size = np.array([len(s) for s in sets], np.int64)
     values, at = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), size)
     shared = np.bincount(at, minlength=len(values)) > 1
@@ -98,14 +99,16 @@ def links_of(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     owner, column = owner[keep], column[at[keep]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    common = np.zeros((len(sets), len(sets)), np.int64)
     width = 4096
     for first in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(column, [first, first + width])
         block = np.zeros((len(sets), width), np.float32)
         block[owner[a:b], column[a:b] - first] = 1
-        common += block @ block.T
-    return (1 + threshold) * common >= threshold * (size[:, None] + size[None, :]) - 1e-6
+        common += (block @ block.T).astype(np.int64)  # counts up to `width` are exact in float32
+    least = Fraction(str(threshold))
+    p, q = least.numerator, least.denominator
+    return (p + q) * common >= p * (size[:, None] + size[None, :])
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:

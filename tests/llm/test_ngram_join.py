@@ -41,6 +41,19 @@ def test_against_brute_force(spark):
     assert got == want
 
 
+def test_pairs_at_exactly_the_threshold(spark):
+    for m in range(1, 101):  # 4m of 5m n-grams, and one n-gram less
+        whole = np.arange(1, 5 * m + 1, dtype=np.uint64)
+        assert ngram_join.links_of([whole, whole[: 4 * m]], 0.8)[0, 1]
+        assert not ngram_join.links_of([whole, whole[: 4 * m - 1]], 0.8)[0, 1]
+    rows = []
+    for m in range(3, 40):
+        words = [f"g{m}w{i}" for i in range(5 * m + 4)]
+        rows += [(10 * m, " ".join(words)), (10 * m + 1, " ".join(words[: 4 * m + 4])), (10 * m + 2, " ".join(words[: 4 * m + 3]))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), bands=400, rows=2).collect()}
+    assert got == brute(rows)
+
+
 def test_large_group_of_copies_and_near_copies(spark):
     base = " ".join(f"w{i}" for i in range(200))
     rows = [(i, base) for i in range(300)] + [(300 + i, base + f" tail{i}") for i in range(300)]
