@@ -3,7 +3,7 @@
 Word counts of all training texts give the vocabulary: the most frequent words have weights of their own and lie in classes of equal
 size by rank; each other word, seen or not, belongs to a class by its shape (last character and accents), within which it has its
 smoothed share of the class's counts. So p(word | state) = p(class | state) p(word | class, state) sums to one over all words.
-Training is truncated backpropagation through time on a fixed share of the training texts, dealt over replicas whose weights are
+Training is truncated backpropagation through time on all training texts, each read once, dealt over replicas whose weights are
 averaged after each round. Scoring carries the state across windows from a document's first word to its end.
 """
 
@@ -109,7 +109,7 @@ def count_words(docs: DataFrame, held: int = 200_000) -> DataFrame:
     return got.groupBy("word", "shape").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame, ends: int, known: int = 200_000, head: int = 2048) -> Vocabulary:
+def vocabulary(counts: DataFrame, ends: int, known: int = 200_000, head: int = 4096) -> Vocabulary:
     """At most `known` of the most frequent words, and sums by shape over all, come to the driver, no more.
 
     The known words are those of the highest steps of frequency, 64 to each doubling, that hold no more than `known` in all.
@@ -209,6 +209,7 @@ def train_on(net: Network, vocab: Vocabulary, texts: Iterator[str], lanes: int =
     """
     past = np.full_like(net.flat, 1e-4)
     grad = np.zeros_like(net.flat)
+    past_x, rest = Network(vocab, net.size, past).x, slice(net.x.size, None)  # of x, only rows that occur are touched
     g = Network(vocab, net.size, grad)
     end = vocab.classes - 1
     k, seen, source = net.size, 0, iter(texts)
@@ -245,21 +246,20 @@ def train_on(net: Network, vocab: Vocabulary, texts: Iterator[str], lanes: int =
             return seen
         seen += int(live.sum())
         steps = []
+        gates = net.x[xs]
+        hs = np.empty((window, lanes, k), np.float32)
         for t in range(window):
-            h = np.where(fresh[t][:, None], 0, h)
-            new, z, r, n, hun = net.step(net.x[xs[t]], h)
+            if fresh[t].any():
+                h = np.where(fresh[t][:, None], np.float32(0), h)
+            new, z, r, n, hun = net.step(gates[t], h)
             steps.append((h, z, r, n, hun))
-            h = new
-        hs = np.stack([s[0] for s in steps[1:]] + [h])
-        for t in range(window - 1):  # where a text begins, steps[t + 1] holds zeros; the output of step t is needed
-            s = steps[t]
-            hs[t] = s[3] + s[1] * (s[0] - s[3])
+            hs[t] = h = new
         flat_h, kind, rank = hs[live], kinds[live], ranks[live]
         scale = 1.0 / lanes
         p = np.exp(log_softmax(flat_h @ net.c + net.cb))
         p[np.arange(len(kind)), kind] -= 1
         p *= scale
-        grad[...] = 0
+        grad[rest] = 0
         g.c[...] = flat_h.T @ p
         g.cb[...] = p.sum(axis=0)
         dh_flat = p @ net.c.T
@@ -274,23 +274,29 @@ def train_on(net: Network, vocab: Vocabulary, texts: Iterator[str], lanes: int =
         dhs = np.zeros_like(hs)
         dhs[live] = dh_flat
         dh = np.zeros((lanes, k), np.float32)
-        dgates = np.empty((window, lanes, 3 * k), np.float32)
+        dgates, dus = np.empty((window, lanes, 3 * k), np.float32), np.empty((window, lanes, 3 * k), np.float32)
         for t in reversed(range(window)):
             before, z, r, n, hun = steps[t]
             dh = dh + dhs[t]
             dn = dh * (1 - z) * (1 - n * n)
             dz = dh * (before - n) * z * (1 - z)
             dr = dn * hun * r * (1 - r)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            g.u[...] += before.T @ du
-            dgates[t] = np.concatenate([dz, dr, dn], axis=1)
-            dh = np.where(fresh[t][:, None], 0, dh * z + du @ net.u.T)
+            du = dus[t]
+            dgates[t, :, :k] = du[:, :k] = dz
+            dgates[t, :, k : 2 * k] = du[:, k : 2 * k] = dr
+            dgates[t, :, 2 * k :], du[:, 2 * k :] = dn, dn * r
+            dh = dh * z + du @ net.u.T
+            if fresh[t].any():
+                dh[fresh[t]] = 0
+        g.u[...] = np.concatenate([s[0] for s in steps]).T @ dus.reshape(-1, 3 * k)
         order = np.argsort(xs[live], kind="stable")
         ids, first = np.unique(xs[live][order], return_index=True)
-        g.x[ids] = np.add.reduceat(dgates[live][order], first, axis=0)
-        np.clip(grad, -1, 1, out=grad)
-        past += grad * grad
-        net.flat -= rate * grad / np.sqrt(past)
+        gx = np.clip(np.add.reduceat(dgates[live][order], first, axis=0), -1, 1)
+        past_x[ids] += gx * gx
+        net.x[ids] -= rate * gx / np.sqrt(past_x[ids])
+        part = np.clip(grad[rest], -1, 1)
+        past[rest] += part * part
+        net.flat[rest] -= rate * part / np.sqrt(past[rest])
 
 
 def average(parts: DataFrame) -> DataFrame:
@@ -308,12 +314,12 @@ def average(parts: DataFrame) -> DataFrame:
     return first.groupBy("block").applyInPandas(mean, schema)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, share: int = 16, rounds: int = 2, tokens_a_replica: int = 250_000, size: int = 24, block: int = 1 << 16) -> np.ndarray:
-    """Weights trained on one in `share` of docs (by text hash), whole texts; the number of replicas grows with the input."""
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 2, tokens_a_replica: int = 2_000_000, size: int = 24, block: int = 1 << 16) -> np.ndarray:
+    """Weights trained on all docs, whole texts, dealt over the rounds by text hash; the number of replicas grows with the input."""
     spark = docs.sparkSession
-    replicas = max(1, round(vocab.total / share / tokens_a_replica))
+    replicas = max(1, round(vocab.total / tokens_a_replica))
     mark = F.xxhash64(whole_text(), F.lit(5))
-    slim = docs.select(whole_text().alias("text"), F.pmod(mark, F.lit(share * rounds)).alias("_turn"), F.pmod(F.floor(mark / 4096), F.lit(replicas)).alias("replica"), mark.alias("_mark"))
+    slim = docs.select(whole_text().alias("text"), F.pmod(mark, F.lit(rounds)).alias("_turn"), F.pmod(F.floor(mark / 4096), F.lit(replicas)).alias("replica"), mark.alias("_mark"))
     flat = Network(vocab, size).flat
     for turn in range(rounds):
         start, words = spark.sparkContext.broadcast(flat), spark.sparkContext.broadcast(vocab)

@@ -116,6 +116,20 @@ def test_training_lowers_the_loss():
     assert lm.score_texts(net, vocab, texts[:1])[0][0] > before + 3
 
 
+def test_every_training_text_is_read(spark):
+    df = spark.createDataFrame([(i, f"word{i} and more") for i in range(60)], "doc_id long, text string").repartition(3)
+    vocab = lm.vocabulary(lm.count_words(df), 60)
+    start = lm.Network(vocab)
+    net = lm.Network(vocab, flat=lm.train(df, vocab))
+    assert len(vocab.words) == vocab.head == 62
+    assert (net.x[: vocab.head] != start.x[: vocab.head]).any(axis=1).all()
+
+
+def test_head_words(spark):
+    df = spark.range(5000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    assert lm.vocabulary(lm.count_words(df), 5000).head == 4096
+
+
 def test_slopes_match_differences():
     """Backpropagation through time against finite differences, through one update of a plain-rate kind."""
     vocab = tiny_model()
