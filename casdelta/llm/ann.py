@@ -2,7 +2,8 @@
 
 A unit vector is the sum of one codeword from each of several full-dimensional codebooks, found by beam search on the residual; its
 norm is stored beside the codes. A query's products with all codewords make a table, and the score of a vector is its norm times the
-sum of its codewords' entries. The best by that score are ranked again by the exact inner product.
+sum of its codewords' entries. The best of each pack by that score, a fixed share of its vectors, are ranked again by the exact inner
+product beside the pack, so the share that is ranked exactly does not fall as the table grows.
 Equal vectors are one class in the index, so that thousands of copies cannot crowd others out; their ids come back at the end.
 """
 
@@ -23,7 +24,7 @@ def nearest_codeword(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     return (2 * x @ book.T - (book * book).sum(axis=1)).argmax(axis=1)
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def encode(x: np.ndarray, books: np.ndarray, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Codes (n, books) of the least squared error that the beam finds, and what is left of x."""
     n, words = len(x), books.shape[1]
     codes, rest = np.zeros((n, 1, 0), np.uint8), x[:, None, :]
@@ -41,7 +42,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = 3) -> tuple[np.ndarray,
     return codes[rows[:, 0], best], rest[rows[:, 0], best]
 
 
-def fit(x: np.ndarray, books: int, words: int, turns: int = 1, seed: int = 5) -> np.ndarray:
+def fit(x: np.ndarray, books: int, words: int, turns: int = 2, seed: int = 5) -> np.ndarray:
     """Codebooks from residual k-means, then refined: beam encoding and a joint least-squares fit in turn."""
     rng = np.random.default_rng(seed)
     out, rest = np.zeros((books, words, x.shape[1]), np.float32), x.astype(np.float32)
@@ -88,7 +89,7 @@ def unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(index: DataFrame, books: np.ndarray, size: int) -> DataFrame:
-    """Rows (pack, nodes, norms, codes) of up to `size` encoded vectors; nothing is left out."""
+    """Rows (pack, nodes, norms, codes, vectors) of under 2 * `size` encoded vectors; nothing is left out."""
     shared = index.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,10 +97,14 @@ def packed(index: DataFrame, books: np.ndarray, size: int) -> DataFrame:
 
         def pack(frames: list[pd.DataFrame]) -> pd.DataFrame:
             pdf = pd.concat(frames)
-            x, norm = unit(np.stack(pdf["v"].to_numpy()))
+            v = np.stack(pdf["v"].to_numpy())
+            x, norm = unit(v)
+            with np.errstate(over="ignore"):
+                short = v.astype(np.float32)
+            v = short if (short == v).all() else v  # half the bytes where nothing is lost
             codes = np.concatenate([encode(x[i : i + 2048], shared.value)[0] for i in range(0, len(x), 2048)])
             node = pdf["node"].to_numpy(np.int64)
-            return pd.DataFrame({"pack": [int(node[0])], "nodes": [node.tobytes()], "norms": [norm.astype(np.float64).tobytes()], "codes": [codes.tobytes()]})
+            return pd.DataFrame({"pack": [int(node[0])], "nodes": [node.tobytes()], "norms": [norm.astype(np.float64).tobytes()], "codes": [codes.tobytes()], "vectors": [v.tobytes()]})
 
         for pdf in batches:
             for i in range(0, len(pdf), size):
@@ -111,12 +116,13 @@ def packed(index: DataFrame, books: np.ndarray, size: int) -> DataFrame:
         if held:
             yield pack(held)
 
-    return index.select("node", "v").mapInPandas(run, "pack long, nodes binary, norms binary, codes binary")
+    return index.select("node", "v").mapInPandas(run, "pack long, nodes binary, norms binary, codes binary, vectors binary")
 
 
-def shortlist(queries: DataFrame, packs: DataFrame, books: np.ndarray, most: int, queries_a_block: int, packs_a_part: int = 64) -> DataFrame:
-    """(query, node): each query's best `most` nodes by table lookup in each part of the index, ties to smaller nodes.
+def shortlist(queries: DataFrame, packs: DataFrame, books: np.ndarray, share: float, least: int, kept: int, queries_a_block: int, packs_a_part: int = 64) -> DataFrame:
+    """(query, node): each query's best `kept` nodes in each part of the index by exact inner product, ties to smaller nodes.
 
+    The exact product is taken of the best by table lookup in each pack: `share` of its vectors, `least` at least.
     Query blocks meet index packs by a shared key, in blocks: a task holds one query block, its running best and one pack.
     """
     shared = queries.sparkSession.sparkContext.broadcast(books)
@@ -126,19 +132,19 @@ def shortlist(queries: DataFrame, packs: DataFrame, books: np.ndarray, most: int
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for b, rows in pdf.groupby("block"):
-                x, _ = unit(np.stack(rows["v"].to_numpy()))
-                yield pd.DataFrame({"block": [b], "nodes": [rows["node"].to_numpy(np.int64).tobytes()], "norms": [b""], "codes": [x.tobytes()]})
+                v = np.stack(rows["v"].to_numpy())
+                yield pd.DataFrame({"block": [b], "nodes": [rows["node"].to_numpy(np.int64).tobytes()], "norms": [b""], "codes": [unit(v)[0].tobytes()], "vectors": [v.tobytes()]})
 
-    asked = queries.select("node", "v", F.pmod(F.hash("node"), F.lit(n_blocks)).alias("block")).repartition("block").mapInPandas(block, "block int, nodes binary, norms binary, codes binary")
+    asked = queries.select("node", "v", F.pmod(F.hash("node"), F.lit(n_blocks)).alias("block")).repartition("block").mapInPandas(block, "block int, nodes binary, norms binary, codes binary, vectors binary")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))).withColumn("pack", F.lit(None).cast("long"))
     stored = packs.withColumn("part", F.pmod(F.hash("pack"), F.lit(n_parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    columns = ["block", "part", "pack", "nodes", "norms", "codes"]
+    columns = ["block", "part", "pack", "nodes", "norms", "codes", "vectors"]
     dealt = asked.select(columns).union(stored.select(columns)).repartition("block", "part").sortWithinPartitions("block", "part", F.col("pack").asc_nulls_first())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         m, words, dim = tables.shape
-        now, asking, table, best, names = None, None, None, None, None
+        now, asking, exact, table, best, names = None, None, None, None, None, None
 
         def done() -> pa.RecordBatch:
             live = names >= 0
@@ -154,6 +160,8 @@ def shortlist(queries: DataFrame, packs: DataFrame, books: np.ndarray, most: int
                 if r["pack"] is None:  # a block may come in several rows
                     x = np.frombuffer(r["codes"], np.float32).reshape(-1, dim)
                     fresh = np.ascontiguousarray((tables.reshape(-1, dim) @ x.T).reshape(m, words, -1))
+                    raw = np.frombuffer(r["vectors"], np.float64).reshape(-1, dim)
+                    exact = raw if asking is None else np.concatenate([exact, raw])
                     asking = nodes if asking is None else np.concatenate([asking, nodes])
                     table = fresh if len(asking) == len(nodes) else np.concatenate([table, fresh], axis=2)
                     continue
@@ -164,15 +172,15 @@ def shortlist(queries: DataFrame, packs: DataFrame, books: np.ndarray, most: int
                 for i in range(1, m):
                     score += table[i][codes[:, i]]
                 score *= np.frombuffer(r["norms"], np.float64)[:, None]
-                order = np.argsort(nodes)
-                score, ids = score[order].T, np.broadcast_to(nodes[order], (len(asking), len(nodes)))
+                stored_as = np.float32 if len(r["vectors"]) == 4 * dim * len(nodes) else np.float64
+                vectors = np.frombuffer(r["vectors"], stored_as).reshape(-1, dim)
                 if best is None:
                     best, names = np.full((len(asking), 0), -np.inf), np.empty((len(asking), 0), np.int64)
-                keep = min(most, score.shape[1])
-                top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                best = np.concatenate([best, np.take_along_axis(score, top, axis=1)], axis=1)
-                names = np.concatenate([names, np.take_along_axis(ids, top, axis=1)], axis=1)
-                top = np.lexsort((names, -best), axis=1)[:, :most]
+                keep = min(len(nodes), max(least, int(np.ceil(share * len(nodes)))))
+                top = np.argpartition(-score.T, keep - 1, axis=1)[:, :keep]
+                near = np.stack([vectors[t].astype(np.float64) @ q for t, q in zip(top, exact, strict=True)])
+                best, names = np.concatenate([best, near], axis=1), np.concatenate([names, nodes[top]], axis=1)
+                top = np.lexsort((names, -best), axis=1)[:, :kept]
                 best, names = np.take_along_axis(best, top, axis=1), np.take_along_axis(names, top, axis=1)
         if best is not None:
             yield done()
@@ -180,13 +188,13 @@ def shortlist(queries: DataFrame, packs: DataFrame, books: np.ndarray, most: int
     return dealt.mapInArrow(scan, "query long, node long")
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, books: int = 32, words: int = 64, most: int = 320, sample: int = 12_000, pack: int = 4096, queries_a_block: int = 128) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, books: int = 32, words: int = 64, most: int = 320, sample: int = 12_000, pack: int = 4096, queries_a_block: int = 256) -> DataFrame:
     """Return query_id, rank, vec_id, score: the k nearest found of every row whose vec_id is divisible by `every`.
 
     vectors: vec_id, embedding. Null vectors and ids, zero vectors and ones with null, NaN or infinite components take no part, nor do
     vectors of another length than the most common one (the least of those as common). Rows of one id count once. The score is the
     inner product of the original vectors in double precision; ties go to the smaller vec_id. The codebooks are fitted on `sample`
-    vectors, those of least hash; every vector is encoded. With fewer candidates than k, all are returned; with none, no rows.
+    vectors, those of least hash; every vector is encoded. `most` of each pack of `pack` vectors are compared exactly, the same share of a larger pack. With fewer candidates than k, all are returned; with none, no rows.
     """
     rows = staged(usable(vectors), "vectors")
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -197,7 +205,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, books: int = 32, wo
     packs = staged(packed(index, codebooks, pack), "vector-codes")
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
     nodes = asked.select(F.col("qv").alias("v")).distinct().join(index, "v")
-    short = shortlist(nodes, packs, codebooks, most, queries_a_block)
+    short = shortlist(nodes, packs, codebooks, most / pack, most, 2 * (k + 1), queries_a_block)
     pairs = short.join(index.select("node", F.col("v").alias("x")), "node").join(index.select(F.col("node").alias("query"), F.col("v").alias("q")), "query")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -115,6 +115,18 @@ def test_neighbours(spark):
     assert got[720] == want[720]  # ties go to the smaller ids
 
 
+def test_shortlist_grows_with_the_table(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(v)) for v in rng.normal(size=16)]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2).where("vec_id % 20 <> 0 or vec_id < 1000")
+    got = {}
+    for r in ann.search(df, books=2, words=16, most=64, pack=128).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute([r for r in rows if r[0] % 20 or r[0] < 1000])
+    assert got.keys() == want.keys()
+    assert sum(len(got[q] & {v for v, _ in want[q]}) for q in want) >= 0.8 * 20 * len(want)
+
+
 def test_few_and_no_vectors(spark):
     s = "vec_id long, embedding array<float>, embedding_norm double"
     got = ann.search(spark.createDataFrame([(0, [1.0, 0.0], 1.0), (7, [0.5, 0.5], 1.0), (20, [0.0, 2.0], 1.0)], s)).collect()
