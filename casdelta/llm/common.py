@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,21 +19,59 @@ _local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset and Spark runs in one process."""
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
-    return _local_dirs.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="spark-shared-"))
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if sc.applicationId not in _local_dirs:
+        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="spark-shared-")
+    return _local_dirs[sc.applicationId]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage and survives a lost executor."""
+    """Write df as Parquet in the shared folder and read it again: cuts the lineage and survives a lost executor.
+
+    Row groups are small, so that a task that writes whole texts holds few of them. The folder is its owner's to empty: what a
+    DataFrame that was returned still reads can't be told from here.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most so many rows and, unless a single row has more, so many bytes in one of its columns."""
+    length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    first, held = 0, 0
+    for i, n in enumerate(length):
+        if i > first and (i - first >= rows or held + n > size):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if batch.num_rows > first:
+        yield batch.slice(first)
+
+
+def hashed_share(df: DataFrame, by: list[Column], share: Column | float) -> DataFrame:
+    """About that share of df's rows: those whose hash of `by` lies below it. Every task decides alone, so no task sends more than its part."""
+    return df.where((F.pmod(F.xxhash64(*by, F.lit(17)), F.lit(1 << 30)) / float(1 << 30)) < share)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

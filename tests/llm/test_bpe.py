@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import duckdb
 import public_tokenizers
@@ -42,12 +43,23 @@ def test_any_text(text):
     same(library, text)
 
 
-def test_full_trie_is_emptied(library):
+def test_full_memory_is_emptied(library):
     enc = bpe.Encoder(PATH, max_pieces=3)
-    enc.trie.max_nodes = 10
-    for text in ("alpha beta gamma delta", "beta gamma epsilon zeta"):
+    enc.trie.most = 2
+    for text in ("alpha beta gamma delta", "beta gamma epsilon zeta", "beta <|endoftext|> eta", "theta", "beta iota"):
         assert enc.encode(text) == library.encode(text, add_special_tokens=False).ids
-    assert len(enc.trie.token) < 40
+    assert len(enc.pieces) < 10 and len(enc.trie.fits) < 40
+
+
+def test_seam_like_plain_merging():
+    v = bpe.encoder(PATH).vocab
+    trie = bpe.PrefixTrie(v)
+    draw = random.Random(5)
+    inner, every, merged = list(v.inner.values()), list(v.ids.values()), list(v.parts)
+    for n in range(6000):
+        left = draw.choice(inner)
+        right = draw.choice(every) if n % 2 else v.parts[draw.choice(merged)][1]
+        assert trie.compatible(left, right) == (v.merge(v.symbols(left) + v.symbols(right)) == [v.text[left], v.text[right]])
 
 
 def test_query(spark, library):
@@ -62,5 +74,8 @@ def test_query(spark, library):
 
 
 def test_odd_rows(odd, none):
-    assert bpe.encode_decode(odd, PATH).count() == odd.count()
+    library = Tokenizer.from_file(PATH)
+    library.no_truncation()
+    want = sorted((str(r["doc_id"]), ids := library.encode(r["text"] or "", add_special_tokens=False).ids, library.decode(ids, skip_special_tokens=False)) for r in odd.collect())
+    assert sorted((str(r["doc_id"]), r["ids"], r["decoded"]) for r in bpe.encode_decode(odd, PATH).collect()) == want
     assert bpe.encode_decode(none, PATH).count() == 0
