@@ -54,11 +54,10 @@ def features() -> dict[str, Column]:
 
 
 def with_features(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
-    """keep, then the features of text (null: empty)."""
-    base = docs.select(*keep, whole_text(text).alias("_text"))
-    names = [c for c in base.columns if c != "_text"]
-    out = base.select(*names, *(c.cast("long").alias(k) for k, c in counts(F.col("_text")).items()))
-    return out.select(*names, *(c.cast("double").alias(k) for k, c in features().items()))
+    """_kept, a struct of the columns to keep, whatever their names, then the features of text (null: empty)."""
+    base = docs.select(F.struct(*keep).alias("_kept"), whole_text(text).alias("_text"))
+    out = base.select("_kept", *(c.cast("long").alias(k) for k, c in counts(F.col("_text")).items()))
+    return out.select("_kept", *(c.cast("double").alias(k) for k, c in features().items()))
 
 
 @dataclass
@@ -159,34 +158,38 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 25, depth:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Ensemble:
-    """Fit on labelled rows whose crc32(doc_id) modulo 5 is not 0: at most max_rows of them, those of least id hash.
+    """Fit on labelled documents whose crc32(doc_id) modulo 5 is not 0: at most max_rows ids, those of least id hash.
 
-    Only the features of these rows reach the driver. Rows without a label or an id take no part.
+    Only the features of these documents reach the driver. Rows without a label or an id take no part. An id that is labelled more
+    than once counts with its least label, an id of several documents with the least of their features.
     """
     few = labels.where((id_bucket(F.col("doc_id"), 5) != 0) & F.col("quality").isNotNull())
-    few = few.select("doc_id", F.col("quality").cast("double").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(max_rows)
-    seen = with_features(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), [F.col("doc_id"), F.col("_label")])
+    few = few.groupBy("doc_id").agg(F.min(F.col("quality").cast("double")).alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    held = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_body")).join(F.broadcast(few), F.col("_id") == F.col("doc_id"))
     names = list(features())
-    got = seen.orderBy("doc_id", *names, "_label").limit(2 * max_rows).toPandas()
+    seen = with_features(held, [F.col("_id"), F.col("_label")], "_body")
+    each = seen.groupBy("_kept._id").agg(F.min(F.struct(*names)).alias("f"), F.min("_kept._label").alias("_label"))
+    got = each.select("f.*", "_label", "_id").toPandas().sort_values("_id")
     return fit(got[names].to_numpy(float), got["_label"].to_numpy(float), names)
 
 
 def accepted(docs: DataFrame, model: Ensemble, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that the model scores at the threshold or more, as they are.
+    """The rows of docs that the model scores at the threshold or more, as they are, whatever their columns are called.
 
     The row number stands between features and filter: Spark would otherwise move the filter below the features and work out
     every statistic again for each rule that mentions it.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    out = with_features(numbered, [F.col(c) for c in numbered.columns], text)
-    out = out.select(*numbered.columns, F.monotonically_increasing_id().alias("_again"), model.score().alias("_score"))
-    return out.where((F.col("_score") >= threshold) & (F.col("_again") >= 0) & (F.col("_row") >= 0)).select(docs.columns)
+    out = with_features(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_body")), [F.col("_row"), F.monotonically_increasing_id().alias("n")], "_body")
+    out = out.select("_kept", F.monotonically_increasing_id().alias("_again"), model.score().alias("_score"))
+    return out.where((F.col("_score") >= threshold) & (F.col("_again") >= 0) & (F.col("_kept.n") >= 0)).select("_kept._row.*")
 
 
 def score(docs: DataFrame, model: Ensemble, keep: list[str], text: str = "text", threshold: float = 0.3) -> DataFrame:
     """keep, then quality_score double and quality int (1 from threshold on), a row for each row of docs.
 
-    Null and empty texts are scored by their statistics, all zero. No label, language, source or id takes part.
+    Null and empty texts are scored by their statistics, all zero. No label, language, source or id takes part. Columns to keep that
+    are called as the two results come back with an underscore in front.
     """
-    out = with_features(docs, [F.col(c) for c in keep], text)
-    return out.select(*keep, model.score().alias("quality_score")).withColumn("quality", (F.col("quality_score") >= threshold).cast("int"))
+    names = [f"_{c}" if c in ("quality_score", "quality") else c for c in keep]
+    out = with_features(docs, [F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], text)
+    return out.select("_kept.*", model.score().alias("quality_score")).withColumn("quality", (F.col("quality_score") >= threshold).cast("int"))

@@ -58,7 +58,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, read(spark, sf_dir, "labels"))
     return quality.score(docs, model, ["doc_id"]).select(
         "doc_id",
-        (id_bucket(F.col("doc_id"), 5) == 0).alias("held_out"),
+        F.coalesce(id_bucket(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
         F.col("quality_score").alias("score"),
         F.col("quality").alias("predicted"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from math import log10
@@ -48,11 +49,33 @@ def test_quality_odd_rows(odd, none, spark):
     model = quality.train(odd, labels)
     assert quality.score(odd, model, ["doc_id"]).count() == odd.count()
     kept = quality.accepted(odd, model, threshold=0.0)
-    assert kept.columns == odd.columns and kept.count() == odd.count()
+    assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
+    both = {(str(r["doc_id"]), r["words"], r["quality"]) for r in quality.score(odd, model, ["doc_id", "words"]).collect()}
+    passed = {(str(r["doc_id"]), r["words"]) for r in quality.accepted(odd, model).collect()}
+    assert passed == {(i, w) for i, w, q in both if q}
     model = quality.train(none, labels)
     assert model.rules == [] and quality.score(none, model, ["doc_id"]).count() == 0
 
 
+def test_quality_features_against_plain_python(spark):
+    texts = ["Hello, World! ok", "", "a|b $$ !! ?\nA line\nA line", "É é ñ 12 12 12."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["_kept"]["doc_id"]: r for r in quality.with_features(df, [F.col("doc_id")]).collect()}
+    for i, t in enumerate(texts):
+        words, lines, up = re.findall(r"[^\x20\x09-\x0D]+", t), t.split("\n"), sum(c.isupper() for c in t)
+        letters, n = sum(c.isalpha() for c in t), max(1, len(words))
+        distinct = len(set(re.split(r"[\x20\x09-\x0D]+", t)))
+        want = [len(words), len(t) / n, up / max(1, letters), letters / max(1, len(t)), sum(c in "!*$#%&|" for c in t) / n, t.count("!!") / n, t.count("|") / n, sum(c in ".?" for c in t) / n, distinct / n, len(set(lines)) / max(1, len(lines))]
+        assert [got[i][k] for k in quality.features()] == pytest.approx(want)
+
+
+def test_quality_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 7, f"text {i} !!") for i in range(70)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 7, i % 2) for i in range(20)], "doc_id long, quality int")
+    rows = quality.score(docs, quality.train(docs, labels), ["doc_id"]).collect()
+    assert len(rows) == 70 and all(0 <= r["quality_score"] <= 1 for r in rows)
+
+
 def test_lm_base_and_gain(spark):
     rows = QUERIES["op3_lm"](spark, SF).collect()
     texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
