@@ -2,8 +2,9 @@
 
 A document's key is an exponential variate divided by its quality weight, so that the first documents by key are a weighted sample
 without replacement. A source's target is spent in complete epochs first; what is left is a prefix, by key, of the source's
-documents, the last of them taken in part. Prefix sums go over ranges of the key first and then within each range, so that a source
-that holds a third of all rows is spread over many tasks.
+documents, the last of them taken in part. All rows are dealt by ranges of source and key as they are found, so the ranges are about
+equal whatever the weights; prefix sums go over the ranges first and then within each, so that a source that holds a third of all rows
+is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casdelta.llm.common import WORD, staged, whole_text
+from casdelta.llm.common import WORD, free, staged, whole_text
 
 #: Relative weights, repeating, of the sources in the order of their names, null last.
 WEIGHTS = (3, 1, 2)
@@ -58,30 +59,31 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     return table.select("source", "source_size", F.least(cap, F.lit(level) * F.col("_weight")).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, rows_a_range: int = 4_000) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, rows_a_range: int = 20_000, weight: Column | None = None) -> DataFrame:
     """Return doc_id, size, source_size, target, taken, epochs, for each row of docs (doc_id, text, source).
 
     size: words of the text (null: 0); taken: words the mix takes from this row, repeats counted, at most `most` times its size; the
     taken words of a source sum to its target, rounded down. A null source is a source of its own. Rows of one id and equal text are
     told apart by nothing, so ties among them are broken by size only; they take the same or neighbouring places. Empty texts take
-    nothing. The key depends on doc_id and the size, so reruns agree.
+    nothing. The key depends on doc_id, size and weight, so reruns agree. weight: a positive column of docs that draws better
+    documents first; without it quality_weight() of the text. Other columns make no difference.
     """
     text = whole_text()
-    key = -F.log(uniform(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.regexp_count(text, F.lit(WORD)).cast("string")))) / quality_weight(text)
-    slim = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("_key"))
+    words = F.regexp_count(text, F.lit(WORD))
+    key = -F.log(uniform(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), words.cast("string")))) / (quality_weight(text) if weight is None else weight)
+    slim = docs.select("doc_id", "source", words.cast("long").alias("size"), key.alias("_key"))
     slim = staged(slim, "mix-documents")
-    sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
-    sums = staged(sums, "mix-sums")
-    aim = targets(sums.select("source", "source_size"), share, most)
-    ranges = (sums.agg(F.max("_rows")).first()[0] or 0) // rows_a_range + 8
-    # the keys of exponential variates, brought to (0, 1) so that ranges are about equal; equal keys share a range
-    rated = slim.withColumn("_range", F.floor((1 - F.exp(-F.col("_key"))) * ranges))
+    ranges = slim.count() // rows_a_range + 8
+    order = [F.col("source").isNull(), F.col("source"), F.col("_key"), F.col("doc_id"), F.col("size")]
+    dealt = staged(slim.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    heads = staged(dealt.groupBy("source", "_range").agg(F.sum("size").alias("_sum")), "mix-sums")
+    sums = heads.groupBy("source").agg(F.sum("_sum").alias("source_size"))
+    aim = targets(sums, share, most)
     by_source = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    heads = rated.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     heads = heads.select("source", "_range", F.coalesce(F.sum("_sum").over(by_source), F.lit(0)).alias("_head"))
     heads = heads.join(aim, heads["source"].eqNullSafe(aim["source"])).select(heads["source"], "_range", "_head", "source_size", "target")
     within = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rated.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = dealt.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     out = placed.alias("d").join(heads.alias("h"), F.col("d.source").eqNullSafe(F.col("h.source")) & (F.col("d._range") == F.col("h._range")))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
@@ -93,11 +95,12 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, rows_a_range: in
 def repeated(docs: DataFrame, **how: float) -> DataFrame:
     """docs with each row as often as mix() takes it: taken over size, rounded half up; rows not taken, or without words, go.
 
-    Rows that share id and size are taken as one and keep their number.
+    Rows that share id and size are taken as one and keep their number. Columns of docs keep their names and values, whatever they are.
     """
+    words, copy = free(docs, "_words", "_copy")
     plan = mix(docs, **how).where("size > 0")
-    times = plan.groupBy("doc_id", F.col("size").alias("_size")).agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
-    times = times.select(F.col("doc_id").alias("_id"), "_size", F.floor(F.col("_taken") / (F.col("_size") * F.col("_rows")) + 0.5).cast("int").alias("_times")).where("_times > 0")
-    held = docs.withColumn("_words", F.regexp_count(whole_text(), F.lit(WORD)))
-    joined = held.join(times, held["doc_id"].eqNullSafe(times["_id"]) & (held["_words"] == times["_size"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_copy", "_times", "_id", "_size", "_words")
+    times = plan.groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    times = times.select("doc_id", "size", F.floor(F.col("taken") / (F.col("size") * F.col("rows")) + 0.5).cast("int").alias("times")).where("times > 0")
+    held = docs.withColumn(words, F.regexp_count(whole_text(), F.lit(WORD))).alias("d")
+    joined = held.join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col(f"d.{words}") == F.col("t.size")))
+    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias(copy)).drop(words, copy)

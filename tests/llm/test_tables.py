@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from casdelta.llm import ann, licenses, media, mixing
@@ -79,10 +81,27 @@ def test_better_documents_come_first(spark):
     assert sum(part[k] for k in good) >= sum(part[k] for k in b - good)
 
 
+def test_weights_of_the_caller(spark):
+    rows = [(i, "good words here " if i % 3 else "bad!!!! words!!!!", "s") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = {r["doc_id"] for r in mixing.mix(df, share=0.3, rows_a_range=200, weight=F.when(F.col("doc_id") < 1000, 50.0).otherwise(1.0)).where("taken > 0").collect()}
+    assert sum(i < 1000 for i in first) > 800
+
+
 def test_mix_odd_rows(odd, none):
     assert mixing.mix(odd).count() == odd.count()
     assert mixing.mix(none).count() == 0
-    assert set(mixing.repeated(odd).columns) == set(odd.columns)
+    assert mixing.repeated(odd).columns == odd.columns
+    plan = {}
+    for r in mixing.mix(odd).collect():
+        taken, rows = plan.get((r["doc_id"], r["size"]), (0, 0))
+        plan[r["doc_id"], r["size"]] = (taken + r["taken"], rows + 1)
+    want = []
+    for r in odd.collect():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        taken, rows = plan[r["doc_id"], n]
+        want += [str(r)] * (int(taken / (n * rows) + 0.5) if n else 0)
+    assert sorted(map(str, mixing.repeated(odd).collect())) == sorted(want)
     assert mixing.repeated(none).count() == 0
 
 
