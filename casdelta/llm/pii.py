@@ -3,8 +3,10 @@
 Candidate spans come from strict patterns (those of the contract, whose valid matches always stay) and from loose ones (spelled-out
 mail addresses, numbers without a country code, IPv6, cards with other separators). Four labelers vote on each candidate: strict
 pattern, shape, gazetteer and context. The table of vote patterns with their counts, bounded by the number of labelers, is all that
-leaves the executors: expectation-maximisation on it estimates each labeler's reliability and each pattern's probability, and a
-logistic span classifier is trained on those. The classifier, compiled into a column, decides on the loose candidates.
+leaves the executors: expectation-maximisation on it estimates, for each kind, each labeler's reliability and each pattern's
+probability, and a logistic span classifier is trained on those. The classifier, compiled into a column, decides on the loose
+candidates. Positions and overlaps are running sums and maxima over sorted arrays, by doubling distances, so a text with very many
+matches takes little more than its length.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casdelta.llm.common import whole_text
+from casdelta.llm.common import free, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: Spans of the strict patterns that pass, those that fail, and spans of the loose patterns.
@@ -61,28 +63,39 @@ def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running join (a sum, a maximum) of an array of ints: each round reaches twice as far, so n values take n log n steps."""
+    far = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda d: d < F.size(values))
+    return F.aggregate(far, values, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, join(x, F.get(acc, i - d))).otherwise(x)))
+
+
 def located(text: Column, pattern: str, kind: int, tier: int | None, ok: Callable[[Column], Column] | None = None) -> Column:
-    """Array of (start, kind, end, tier, value) of the pattern's matches; starts and ends count code points.
+    """Array of (start, kind, end, tier, value, before) of the pattern's matches; starts and ends count code points.
 
-    The pieces between matches and the matches themselves alternate, so their lengths add up to the positions.
+    The pieces between matches and the matches themselves alternate, so their lengths add up to the positions. before: up to 40
+    characters of the piece in front.
     """
     found = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["p"])
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+    def named(x: Column, end: Column) -> Column:
+        level = F.lit(tier) if ok is None else F.when(ok(x["m"]), F.lit(PASSED)).otherwise(F.lit(FAILED))
+        start = end - F.length(x["m"])
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), level.alias("tier"), x["m"].alias("value"), F.right(x["p"], F.lit(40)).alias("before"))
 
-    def named(x: Column) -> Column:
-        level = F.lit(tier) if ok is None else F.when(ok(x["value"]), F.lit(PASSED)).otherwise(F.lit(FAILED))
-        return F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), level.alias("tier"), x["value"].alias("value"))
+    def spans(both: Column) -> Column:
+        ends = running(F.transform(both, lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))), lambda a, b: a + b)
+        # the last piece has no match behind it
+        return F.transform(F.filter(F.arrays_zip(both.alias("x"), ends.alias("e")), lambda y: y["x"]["m"].isNotNull()), lambda y: named(y["x"], y["e"]))
 
-    return F.transform(F.aggregate(found, start, step, lambda acc: acc["out"]), named)
+    return let(found, spans)
 
 
-SPANS = "array<struct<start:int,kind:int,end:int,tier:int,value:string>>"
+SPANS = "array<struct<start:int,kind:int,end:int,tier:int,value:string,before:string>>"
 
 
 def where_any(condition: Column, spans: Column) -> Column:
@@ -121,10 +134,10 @@ def sign(condition: Column) -> Column:
     return F.when(condition, F.lit(1)).otherwise(F.lit(-1))
 
 
-def votes(text: Column, x: Column) -> dict[str, Column]:
+def votes(x: Column) -> dict[str, Column]:
     """The labelers' votes on span x: 1 for, -1 against, 0 abstains; and the bucket of its length."""
     value, kind, n = x["value"], x["kind"], digits(x["value"])
-    before = F.lower(F.substring(text, F.greatest(F.lit(1), x["start"] - 39), F.least(F.lit(40), x["start"])))
+    before = F.lower(x["before"])
     shape = [
         (F.length(value) <= 254) & ~value.contains(".."),
         ~value.rlike(r"(?:^|[.:])0[0-9]"),
@@ -175,10 +188,10 @@ def estimate(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 60) ->
 
 @dataclass
 class SpanModel:
-    """weights: of features named by text; reliabilities: P(vote | truth) by labeler, as estimated."""
+    """weights: of features named by text; reliabilities: P(vote | truth) by kind and labeler, as estimated."""
 
     weights: dict[str, float]
-    reliabilities: dict[str, dict[tuple[int, int], float]]
+    reliabilities: dict[str, dict[str, dict[tuple[int, int], float]]]
 
     def probability(self, kind: Column, vote: dict[str, Column]) -> Column:
         total = F.lit(0.0)
@@ -208,45 +221,72 @@ def logistic(rows: list[tuple[list[str], float, float]], steps: int = 300, decay
 
 
 def train(docs: DataFrame, text: str = "text") -> SpanModel:
-    """Estimate the labelers and fit the classifier on the candidates of all docs; the driver sees counts of vote patterns only."""
-    base = docs.select(whole_text(text).alias("_text"))
-    spans = base.select("_text", F.explode(candidates(F.col("_text"))).alias("_x"))
-    cast = votes(F.col("_text"), F.col("_x"))
+    """Estimate the labelers, kind by kind, and fit the classifier on the candidates of all docs; the driver sees counts of vote patterns only."""
+    spans = docs.select(F.explode(candidates(whole_text(text))).alias("_x"))
+    cast = votes(F.col("_x"))
     counted = spans.select(F.col("_x.kind").alias("kind"), *(c.cast("int").alias(k) for k, c in cast.items())).groupBy("kind", *cast).count().collect()
     rows = [(r["kind"], tuple(r[k] for k in LABELERS), r["long"], float(r["count"])) for r in sorted(counted)]
-    weights, reliabilities, lessons = {}, {}, []
-    patterns: dict[tuple[int, ...], float] = defaultdict(float)
-    for _, v, _, n in rows:
-        patterns[v] += n
-    belief, tables = estimate(sorted(patterns.items()))
-    for kind, v, long, n in rows:
-        names = [f"kind={kind}", f"long={long}"] + [f"{k}={vote}" for k, vote in zip(LABELERS[1:], v[1:], strict=True)]
-        lessons.append((names, belief[v], n))
-    if lessons:
-        weights = logistic(lessons)
-        reliabilities = dict(zip(LABELERS, tables, strict=True))
-    return SpanModel(weights, reliabilities)
-
-
-def detect(docs: DataFrame, model: SpanModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with _spans: array of (start, kind, end, base), by start, then kind; base marks the strict patterns' spans.
+    reliabilities, lessons = {}, []
+    for i, name in enumerate(KINDS):
+        patterns: dict[tuple[int, ...], float] = defaultdict(float)
+        for kind, v, _, n in rows:
+            if kind == i:
+                patterns[v] += n
+        if not patterns:
+            continue
+        belief, tables = estimate(sorted(patterns.items()))
+        reliabilities[name] = dict(zip(LABELERS, tables, strict=True))
+        for kind, v, long, n in rows:
+            if kind == i:
+                lessons.append(([f"kind={kind}", f"long={long}"] + [f"{k}={vote}" for k, vote in zip(LABELERS[1:], v[1:], strict=True)], belief[v], n))
+    return SpanModel(logistic(lessons) if lessons else {}, reliabilities)
+
+
+def apart(spans: Column, from_: Column) -> Column:
+    """Those of spans that no span of from_ overlaps, in one pass over both, sorted by where they begin and end."""
+    none = F.lit(None).cast(SPANS.removeprefix("array<").removesuffix(">"))
+    # a span that begins where another ends does not overlap it: at one position ends come first
+    marks = F.array_sort(
+        F.concat(
+            F.transform(from_, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("order"), b["end"].alias("reach"), none.alias("x"))),
+            F.transform(spans, lambda x: F.struct(x["end"].alias("at"), F.lit(0).alias("order"), F.lit(-1).alias("reach"), x.alias("x"))),
+        )
+    )
+    reached = lambda m: running(F.transform(m, lambda y: y["reach"]), F.greatest)
+    left = let(marks, lambda m: F.filter(F.arrays_zip(m.alias("m"), reached(m).alias("r")), lambda y: (y["m"]["order"] == 0) & (y["r"] <= y["m"]["x"]["start"])))
+    return F.when(F.size(spans) == 0, spans).otherwise(F.transform(left, lambda y: y["m"]["x"]))
+
+
+def first_of_overlaps(spans: Column) -> Column:
+    """Spans without those that an earlier one, by start and kind, overlaps."""
+
+    def of(s: Column) -> Column:
+        reached = running(F.transform(s, lambda x: x["end"]), F.greatest)
+        pairs = F.arrays_zip(s.alias("x"), F.concat(F.array(F.lit(-1)), reached).alias("r"))
+        return F.transform(F.filter(pairs, lambda y: y["x"].isNotNull() & (y["r"] <= y["x"]["start"])), lambda y: y["x"])
+
+    return let(F.array_sort(spans), of)
+
+
+def detect(docs: DataFrame, model: SpanModel, text: str = "text", threshold: float = 0.5, out: str = "_spans") -> DataFrame:
+    """docs with the column `out`: array of (start, kind, end, base), by start, then kind; base marks the strict patterns' spans.
 
     start and end count code points, end exclusive; kind is a place in KINDS. A null text is as an empty one and has none. A loose
     span is added if the classifier gives it the threshold's probability, it passes its kind's test (Luhn for cards) and it overlaps
-    no span that stays. Every row stands alone, so repeated rows get the same spans; other columns of docs stay as they are.
+    no span that stays. Every row stands alone, so repeated rows get the same spans; other columns of docs stay as they are, one
+    called as `out` gives way.
     """
-    out = docs.withColumn("_candidates", candidates(whole_text(text)))
-    body = whole_text(text)
+    found, sure, more = free(docs.drop(out), "_candidates", "_base", "_more")
     slim = lambda x, base: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(base).alias("base"))
-    out = out.withColumn("_base", F.transform(F.filter("_candidates", lambda x: x["tier"] == PASSED), lambda x: slim(x, True)))
-    taken = lambda x: F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     lawful = lambda x: (x["kind"] != 2) | F.coalesce(luhn(digits(x["value"])), F.lit(False))
-    likely = lambda x: model.probability(x["kind"], votes(body, x)) >= threshold
-    more = F.filter("_candidates", lambda x: (x["tier"] == LOOSE) & lawful(x) & ~taken(x) & likely(x)) if model.weights else F.array().cast(SPANS)
-    out = out.withColumn("_more", F.transform(more, lambda x: slim(x, False)))
-    before = lambda y, x: (y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["kind"] < x["kind"]))
-    alone = F.filter("_more", lambda x: ~F.exists("_more", lambda y: before(y, x) & (y["end"] > x["start"])))
-    return out.withColumn("_spans", F.array_sort(F.concat("_base", alone))).drop("_candidates", "_base", "_more")
+    likely = lambda x: model.probability(x["kind"], votes(x)) >= threshold
+    rows = docs.drop(out).withColumn(found, candidates(whole_text(text)))
+    rows = rows.withColumn(sure, F.filter(found, lambda x: x["tier"] == PASSED))
+    loose = F.filter(found, lambda x: (x["tier"] == LOOSE) & lawful(x) & likely(x)) if model.weights else F.array().cast(SPANS)
+    rows = rows.withColumn(more, loose)
+    alone = F.when(F.size(more) == 0, F.col(more)).otherwise(first_of_overlaps(apart(F.col(more), F.col(sure))))
+    spans = F.array_sort(F.concat(F.transform(sure, lambda x: slim(x, True)), F.transform(alone, lambda x: slim(x, False))))
+    return rows.withColumn(out, spans).drop(found, sure, more)
 
 
 def written(spans: Column) -> Column:
@@ -255,14 +295,31 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """text with each span replaced by its kind in brackets; of overlapping spans the first to start names the whole stretch."""
-    name = lambda x: F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), x["kind"] + 1)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redacted(text: Column, spans: Column, block: int = 2048) -> Column:
+    """text with each span replaced by its kind in brackets; of overlapping spans the first to start names the whole stretch.
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), name(x))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] < acc["at"], acc["out"]).otherwise(gap).alias("out"))
+    The text is cut into blocks of so many characters, since finding a place in a text takes as long as the way there.
+    """
+    name = lambda x: F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), x["kind"] + 1)
 
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    def part(blocks: Column, start: Column, end: Column) -> Column:
+        """Characters from start to before end."""
+        first, last = F.floor(start / block).cast("int"), F.floor(end / block).cast("int")
+        head = F.substring(F.coalesce(F.get(blocks, first), F.lit("")), start - first * block + 1, F.when(first == last, end - start).otherwise(F.lit(block)))
+        tail = F.substring(F.coalesce(F.get(blocks, last), F.lit("")), F.lit(1), end - last * block)
+        middle = F.array_join(F.slice(blocks, first + 2, F.greatest(F.lit(0), last - first - 1)), "")
+        return F.when(first == last, head).otherwise(F.concat(head, middle, tail))
+
+    def rebuilt(blocks: Column, s: Column, size: Column) -> Column:
+        reached = running(F.transform(s, lambda x: x["end"]), F.greatest)
+        pairs = F.arrays_zip(s.alias("x"), F.concat(F.array(F.lit(0)), reached).alias("r"))
+        # the pair behind the last span has no span: it closes the text
+        pieces = F.transform(
+            pairs,
+            lambda y: F.when(y["x"].isNull(), part(blocks, y["r"], size)).when(y["x"]["start"] < y["r"], F.lit("")).otherwise(F.concat(part(blocks, y["r"], y["x"]["start"]), name(y["x"]))),
+        )
+        return F.array_join(pieces, "")
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    whole = let(F.struct(blocks.alias("b"), spans.alias("s")), lambda v: rebuilt(v["b"], v["s"], F.length(text)))
     return F.when(F.size(spans) == 0, text).otherwise(whole)
