@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casdelta.llm.common import staged, whole_text
+from casdelta.llm.common import free, slices, staged, whole_text
 from casdelta.llm.graph import components
 
 _rng = np.random.default_rng(20240601)
@@ -112,18 +112,19 @@ def links_of(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, key, band_hashes) of each row of docs; key: 64-bit hash of the text, which stands for equal texts."""
+    """(doc_id, key, bytes, band_hashes) of each row of docs; key: 64-bit hash of the text, which stands for equal texts; bytes: its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [band_hashes(ngrams(t, n), bands, rows) for t in batch.column(2).to_pylist()]
-            ends = np.cumsum([0, *map(len, hashes)], dtype=np.int32)
-            values = pa.array(np.concatenate(hashes) if hashes else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "key", "band_hashes"])
+            for part in slices(batch, 3, 1000, 1 << 22):
+                hashes = [band_hashes(ngrams(t, n), bands, rows) for t in part.column(3).to_pylist()]
+                ends = np.cumsum([0, *map(len, hashes)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], lists], ["doc_id", "key", "bytes", "band_hashes"])
 
     text = whole_text()
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    return slim.mapInArrow(run, "doc_id long, key long, band_hashes array<bigint>")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("bytes"), text.alias("text"))
+    return slim.mapInArrow(run, "doc_id long, key long, bytes long, band_hashes array<bigint>")
 
 
 def verify(pieces: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -160,25 +161,33 @@ def verify(pieces: DataFrame, n: int, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "key long, links long, texts long, label long")
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 8, block: int = 128, broadcast_rows: int = 500_000) -> DataFrame:
-    """Return doc_id, key, class_id, n_links, n_texts, copies for each row of docs (doc_id, text).
+def join(
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 40, rows: int = 8, block: int = 256, block_bytes: int = 8 << 20, broadcast_rows: int = 500_000
+) -> DataFrame:
+    """Return doc_id, key, class_id, n_links, n_texts, copies, label for each row of docs (doc_id, text).
 
     Two documents are linked if the Jaccard similarity of their sets of n-grams is at least the threshold. n_links: other rows of docs
     linked to this one, copies included; n_texts: other texts among them; copies: rows with this text; class_id: the least id among
     all that links lead to. A text without words has no n-grams and no links: it is its own class (rows of equal, blank text share
     one, by their text). A null text is as an empty one; rows with a null id count, and a class of null ids only has a null id.
-    Repeated rows are copies. Texts of under n words have one n-gram. Other columns of docs make no difference.
+    Repeated rows are copies. Texts of under n words have one n-gram. Other columns of docs make no difference. label: the least key
+    of the class, which tells classes apart even where ids are null or stand on different texts.
+
+    A block holds about `block` texts and block_bytes of text at most, or a single text. A side of at most broadcast_rows rows, as
+    counted, is broadcast (some tens of bytes a row); a larger one is joined by shuffle, with the same rows.
     """
     signed = staged(signatures(docs, n, bands, rows), "signatures")
-    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("band_hashes").alias("band_hashes"))
+    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"), F.first("band_hashes").alias("band_hashes"))
     nodes = staged(nodes, "nodes")
     banded = nodes.select("key", F.explode("band_hashes").alias("band"))
     centres = banded.groupBy("band").agg(F.min("key").alias("centre"), F.max("key").alias("last")).where("centre <> last")
     stars = banded.join(centres, "band").where("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b"))
     candidates = staged(components(stars), "candidates")
-    sizes = candidates.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = candidates.withColumnRenamed("node", "key").join(sizes, "label").join(nodes.select("key", "rep", "copies"), "key")
-    placed = placed.select("key", "rep", "copies", "blocks", F.col("label").alias("component"), F.pmod(F.hash("key"), "blocks").alias("block"))
+    members = candidates.withColumnRenamed("node", "key").join(nodes.select("key", "rep", "copies", "bytes"), "key")
+    members = staged(members, "members")
+    many = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / block_bytes))
+    sizes = members.groupBy("label").agg(F.least(many, F.count("*")).cast("int").alias("blocks"))
+    placed = members.join(sizes, "label").select("key", "rep", "copies", "blocks", F.col("label").alias("component"), F.pmod(F.hash("key"), "blocks").alias("block"))
     placed = staged(placed, "placed")
     few = placed.count() <= broadcast_rows
     text = whole_text()
@@ -195,7 +204,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 40, r
     known = staged(known.withColumn("label", F.coalesce("label", "key")), "known")
     least = known.groupBy("label").agg(F.min("rep").alias("class_id"))
     blank = signed.select("doc_id", "key", (F.size("band_hashes") == 0).alias("_blank"))
-    facts = known.join(least, "label").select("key", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
+    facts = known.join(least, "label").select("key", "label", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
     out = blank.join(facts, "key")
     return out.select(
         "doc_id",
@@ -204,28 +213,28 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 40, r
         F.when(F.col("_blank"), F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
         F.col("n_texts").cast("long").alias("n_texts"),
         "copies",
+        "label",
     )
 
 
 def representatives(docs: DataFrame, broadcast_rows: int = 500_000, **how: int) -> DataFrame:
-    """docs without near duplicates: of each class of join() the row of least id stays, of rows that repeat its id and text one.
+    """docs without near duplicates: of each class of join() one row stays, of least id, then of least text hash.
 
-    A class whose ids are all null keeps one of its rows.
+    Null ids come last, so a class whose ids are all null keeps one of its rows too. Of rows that repeat both id and text one stays;
+    classes of different texts are told apart even if they share an id. Columns of docs keep their names and values.
     """
     joined = join(docs, broadcast_rows=broadcast_rows, **how)
-    chosen = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    chosen = chosen.groupBy("class_id").agg(F.min("key").alias("key"), F.count("*").alias("rows"))
-    nameless = chosen.where("class_id is null").count()
-    if nameless:  # classes of null ids only: one row for each is found by its text
-        lone = joined.where("class_id is null").select(F.lit(None).cast("long").alias("class_id"), "key").distinct()
-        chosen = chosen.where("class_id is not null").unionByName(lone.withColumn("rows", F.lit(2)))
-    chosen = staged(chosen, "chosen")
+    ranked = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
+    rows = joined.groupBy("label", "doc_id", "key").agg(F.count("*").alias("rows"))
+    best = rows.groupBy("label").agg(F.min_by(F.struct("doc_id", "key", "rows"), ranked).alias("best"))
+    chosen = staged(best.select("best.doc_id", "best.key", "best.rows"), "chosen")
     few = chosen.count() <= broadcast_rows
-    side = chosen.select(F.col("class_id").alias("_id"), F.col("key").alias("_key"))
+    side = chosen.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
     side = F.broadcast(side) if few else side
-    held = docs.withColumn("_text_key", F.xxhash64(whole_text()))
-    kept = held.join(side, held["doc_id"].cast("long").eqNullSafe(side["_id"]) & (held["_text_key"] == side["_key"]), "left_semi")
+    key, number = free(docs, "_text_key", "_n")
+    held = docs.withColumn(key, F.xxhash64(whole_text()))
+    kept = held.join(side, held["doc_id"].cast("long").eqNullSafe(side["_id"]) & (held[key] == side["_key"]), "left_semi")
     if chosen.where("rows > 1").isEmpty():
-        return kept.drop("_text_key")
-    order = Window.partitionBy("doc_id", "_text_key").orderBy(F.lit(1))
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_text_key")
+        return kept.drop(key)
+    order = Window.partitionBy("doc_id", key).orderBy(F.lit(1))
+    return kept.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number, key)

@@ -11,7 +11,7 @@ from casdelta.llm.common import id_bucket, read
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(read(spark, sf_dir, "documents")).drop("key")
+    return ngram_join.join(read(spark, sf_dir, "documents")).drop("key", "label")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,7 @@ def test_odd_rows(odd, none):
     kept = ngram_join.representatives(odd)
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "4", "5", "7", "8", "None"]
     assert kept.columns == odd.columns
+    assert set(map(str, kept.collect())) <= set(map(str, odd.collect()))
     assert ngram_join.join(none).count() == 0 and ngram_join.representatives(none).count() == 0
 
 
@@ -97,3 +98,20 @@ def test_odd_rows(odd, none):
 def test_ngrams(text, n):
     assert len(ngram_join.ngrams(text)) == n
     assert (ngram_join.ngrams(text) == ngram_join.ngrams("  " + text.replace(" ", "\t\n"))).all()
+
+
+def test_one_id_on_different_texts_and_near_copies_without_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(5, a, 1), (5, b, 2), (5, b, 3), (9, a + " more", 4), (None, c, 5), (None, c + " end", 6), (None, c, 7), (7, b + " tail", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `_Text_Key` int")
+    for most in (500_000, 0):
+        kept = ngram_join.representatives(df, broadcast_rows=most)
+        got = sorted((str(r["doc_id"]), r["text"]) for r in kept.collect())
+        assert len(got) == 3 and got[0] == ("5", a) and got[1] == ("5", b) and got[2][0] == "None" and kept.columns == df.columns
+
+
+def test_blocks_of_bounded_bytes(spark):
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base + [f"t{i}"])) for i in range(40)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=5000).collect()
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 39)}
