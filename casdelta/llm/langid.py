@@ -1,8 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
 Each byte of the text gets a distribution over languages from a network that has read up to it from both sides; the mean of
-the log-probabilities over positions gives the document's. Texts are cut into windows that are read side by side, each with some
-bytes of its neighbours on either side to warm up the state, so every byte is labelled once and with context.
+the log-probabilities over positions gives the document's. Texts are cut into windows that are read side by side, each with a run-up
+in its neighbours on either side, which brings the states of both directions to where they would be, so every byte is labelled once
+and with context. Training goes the same way, over all bytes of every text of the sample.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casdelta.llm.common import id_bucket, whole_text
+from casdelta.llm.common import hashed_share, id_bucket, slices
 
 LETTER = regex.compile(r"\p{L}")
 
@@ -65,83 +66,113 @@ def log_softmax(a: np.ndarray) -> np.ndarray:
     return a - np.log(np.exp(a).sum(axis=-1, keepdims=True))
 
 
-def fit(texts: list[str], labels: list[str], passes: int = 8, lanes: int = 64, steps: int = 48, rate: float = 0.01, pieces: int = 6, seed: int = 3) -> Network:
-    """Backpropagation through time by Adam on up to `pieces` spans of `steps` bytes, spread evenly over each training text."""
+def windows(texts: list[bytes], window: int, margin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one array, and of each window its text, its first byte there and the byte behind its last."""
+    size = np.array([len(t) for t in texts], np.int64)
+    count = -(-size // window)
+    raw = np.frombuffer(b" " * margin + b"".join(texts) + b" " * (window + margin), np.uint8)
+    owner = np.repeat(np.arange(len(texts)), count)
+    first = np.cumsum(size) - size
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    start = first[owner] + inside * window
+    return raw, owner, start, np.minimum(start + window, first[owner] + size[owner])
+
+
+def reading(raw: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, window: int, margin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of windows with their run-up, (steps, windows), spaces beyond the text that lies from low to high; and their places."""
+    where = start[None, :] + np.arange(-margin, window + margin)[:, None]
+    return np.where((where >= low) & (where < high), raw[where + margin], np.uint8(32)), where
+
+
+def fit(texts: list[str], labels: list[str], passes: int = 1, lanes: int = 256, window: int = 96, margin: int = 16, rate: float = 0.03, updates: int = 200, seed: int = 3) -> Network:
+    """Backpropagation through time by Adam over all windows of the texts, whole, in random order, until there were `updates` at least; the slope goes through the run-up too."""
     langs = sorted(set(labels))
     net = Network.new(langs, seed=seed)
     rng = np.random.default_rng(seed)
-    spans, targets = [], []
-    for t, lang in zip(texts, labels, strict=True):
-        raw = np.frombuffer(t.encode("utf-8"), np.uint8)
-        for at in np.unique(np.linspace(0, max(0, len(raw) - steps), pieces).astype(int)) if len(raw) else []:
-            part = raw[at : at + steps]
-            spans.append(np.pad(part, (0, steps - len(part)), constant_values=32))
-            targets.append(langs.index(lang))
-    if len(langs) < 2 or not spans:
+    encoded = [t.encode("utf-8") for t in texts]
+    if len(langs) < 2 or not any(encoded):
         return net
-    x_all, y_all = np.stack(spans), np.array(targets)
+    raw, owner, start, end = windows(encoded, window, margin)
+    size = np.array([len(t) for t in encoded], np.int64)
+    first = np.cumsum(size) - size
+    target = np.array([langs.index(lang) for lang in labels])[owner]
     m, v, step = {k: np.zeros_like(a) for k, a in net.w.items()}, {k: np.zeros_like(a) for k, a in net.w.items()}, 0
     k = net.size
-    for _ in range(passes):
-        order = rng.permutation(len(x_all))
+    for _ in range(max(passes, -(-updates // -(-len(start) // lanes)))):  # few texts are read more often
+        order = rng.permutation(len(start))
         for at in range(0, len(order), lanes):
-            x, y = x_all[order[at : at + lanes]].T, y_all[order[at : at + lanes]]
+            rows = order[at : at + lanes]
+            low = first[owner[rows]]
+            x, where = reading(raw, low, low + size[owner[rows]], start[rows], window, margin)
+            y = target[rows]
             logits, both = net.logits(x)
             d = np.exp(log_softmax(logits))
             d[:, np.arange(len(y)), y] -= 1
-            d /= d.shape[0] * d.shape[1]
-            g = {k: np.zeros_like(a) for k, a in net.w.items()}
-            g["b"] = d.sum(axis=(0, 1))
+            d[(where < start[rows]) | (where >= end[rows])] = 0  # the run-up is not labelled
+            d /= max(1, int((end[rows] - start[rows]).sum()))
+            g = {"b": d.sum(axis=(0, 1))}
             for way, (out, kept) in both.items():
                 g["o" + way] = np.tensordot(out, d, ([0, 1], [0, 1]))
                 back, dh = d @ net.w["o" + way].T, np.zeros((len(y), k), np.float32)
                 wu = net.w["u" + way]
+                into, across, states = (np.empty((len(x), len(y), n), np.float32) for n in (3 * k, 3 * k, k))
                 for t, h, z, r, n, hun in reversed(kept):
                     dh = dh + back[t]
                     dn = dh * (1 - z) * (1 - n * n)
-                    dz = dh * (h - n) * z * (1 - z)
-                    dr = dn * hun * r * (1 - r)
-                    du = np.concatenate([dz, dr, dn * r], axis=1)
-                    g["u" + way] += h.T @ du
-                    np.add.at(g["x" + way], x[t], np.concatenate([dz, dr, dn], axis=1))
+                    du, dx = across[t], into[t]
+                    dx[:, :k] = du[:, :k] = dh * (h - n) * z * (1 - z)
+                    dx[:, k : 2 * k] = du[:, k : 2 * k] = dn * hun * r * (1 - r)
+                    dx[:, 2 * k :] = dn
+                    np.multiply(dn, r, out=du[:, 2 * k :])
+                    states[t] = h
                     dh = dh * z + du @ wu.T
+                g["u" + way] = np.tensordot(states, across, ([0, 1], [0, 1]))
+                seen = np.argsort(x, axis=None, kind="stable")
+                used, cut = np.unique(x.ravel()[seen], return_index=True)
+                g["x" + way] = np.zeros_like(net.w["x" + way])
+                g["x" + way][used] = np.add.reduceat(into.reshape(-1, 3 * k)[seen], cut, axis=0)
             step += 1
             for name in net.w:
                 m[name] = 0.9 * m[name] + 0.1 * g[name]
                 v[name] = 0.99 * v[name] + 0.01 * g[name] ** 2
-                net.w[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)
+                net.w[name] -= (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     return net
 
 
-def label_positions(net: Network, texts: list[bytes], window: int = 120, margin: int = 8, lanes: int = 1024) -> np.ndarray:
+def label_positions(net: Network, texts: list[bytes], window: int = 480, margin: int = 32, lanes: int = 1024) -> np.ndarray:
     """Sum over the bytes of each text of the log-probabilities of the languages: (texts, languages)."""
     total = np.zeros((len(texts), len(net.langs)))
-    size = np.array([len(t) for t in texts])
-    count = -(-size // window)
-    raw = np.frombuffer(b" " * margin + b"".join(texts) + b" " * (window + margin), np.uint8)
-    owner = np.repeat(np.arange(len(texts)), count)
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    inside = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-    start = first[owner] + inside * window
-    end = np.minimum(start + window, first[owner] + size[owner])
-    low, high = first[owner], first[owner] + size[owner]
-    span = np.arange(-margin, window + margin)
+    raw, owner, start, end = windows(texts, window, margin)
+    size = np.array([len(t) for t in texts], np.int64)
+    low = (np.cumsum(size) - size)[owner]
+    high = low + size[owner]
+    order = np.argsort(start - end, kind="stable")  # windows of one length together, so that short ones end early
     for at in range(0, len(owner), lanes):
-        rows = slice(at, at + lanes)
-        where = start[rows][None, :] + span[:, None]
-        x = np.where((where >= low[rows]) & (where < high[rows]), raw[where + margin], np.uint8(32))
-        p = log_softmax(net.logits(x, keep=False)[0][margin : margin + window])
-        live = where[margin : margin + window] < end[rows]
+        rows = order[at : at + lanes]
+        longest = int((end[rows] - start[rows]).max())
+        x, where = reading(raw, low[rows], high[rows], start[rows], longest, margin)
+        p = log_softmax(net.logits(x, keep=False)[0][margin : margin + longest])
+        live = where[margin : margin + longest] < end[rows]
         sums = np.where(live[:, :, None], p, 0).sum(axis=0)
         for j in range(len(net.langs)):
             total[:, j] += np.bincount(owner[rows], sums[:, j], len(texts))
     return total
 
 
-def train(docs: DataFrame, max_rows: int = 1500) -> Network:
-    """Fit on text and non-null lang of rows whose crc32(doc_id as text) modulo 4 is not 2: at most max_rows of them, by id hash."""
-    usable = docs.where((F.coalesce(id_bucket(F.col("doc_id"), 4), F.lit(0)) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    few = usable.select("text", "lang", F.xxhash64("doc_id", "text").alias("_order")).orderBy("_order", "text", "lang").limit(max_rows).select("text", "lang").toPandas()
+def train(docs: DataFrame, rows_a_language: int = 200, max_langs: int = 200) -> Network:
+    """Fit on text and non-null lang of rows whose crc32(doc_id as text) modulo 4 is not 2, whole texts.
+
+    About rows_a_language rows of each language, drawn by a hash threshold, so that what reaches the driver does not grow with docs;
+    of more than max_langs languages the most frequent are learned. Rows of a null id take part; texts without a letter teach nothing.
+    """
+    usable = docs.where((F.coalesce(id_bucket(F.col("doc_id"), 4), F.lit(0)) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
+    found = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    if not found:
+        return fit([], [])
+    shares = docs.sparkSession.createDataFrame([(r["lang"], rows_a_language / r["count"]) for r in found], "_lang string, _share double")
+    held = usable.join(F.broadcast(shares), F.col("lang") == F.col("_lang"))
+    few = hashed_share(held, [F.col("doc_id"), F.col("text")], F.col("_share")).select("text", "lang").toPandas()
+    few = few.sort_values(["lang", "text"])
     return fit(few["text"].tolist(), few["lang"].tolist())
 
 
@@ -157,8 +188,7 @@ def predict(docs: DataFrame, net: Network, text: str = "text", id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = weights.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
+            for part in slices(batch, 1, 1000, 1 << 20):
                 texts = [t if t is not None and LETTER.search(t) else "" for t in part.column(1).to_pylist()]
                 raw = [t.encode("utf-8") for t in texts]
                 size = np.array([len(b) for b in raw])

@@ -198,6 +198,25 @@ def test_langid_labels_each_byte_once():
     assert np.allclose(got, alone, rtol=1e-4)
 
 
+def test_langid_run_up_carries_the_state():
+    texts, labels = [f"der die das und {i} " * 40 for i in range(20)] + [f"the of and to {i} " * 40 for i in range(20)], ["de"] * 20 + ["en"] * 20
+    net = langid.fit(texts, labels)
+    raw = [(texts[0] + texts[20]).encode(), texts[21].encode(), b"zz"]
+    cut, whole = langid.label_positions(net, raw, window=50), langid.label_positions(net, raw, window=5000)
+    assert np.allclose(cut, whole, rtol=0.02, atol=1.0) and whole[1].argmax() == 1
+    # every byte of every text is in exactly one window
+    _, owner, start, end = langid.windows(raw, 50, 32)
+    assert [int((end - start)[owner == i].sum()) for i in range(3)] == [len(t) for t in raw]
+
+
+def test_langid_learns_rare_languages(spark):
+    rows = [(i, f"the of and to {i}", "en") for i in range(3000)] + [(9000 + i, f"der die das und {i}", "de") for i in range(30)]
+    net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_a_language=50)
+    assert net.langs == ["de", "en"]
+    got = langid.predict(spark.createDataFrame([(1, "und die der das"), (2, "and the of")], "doc_id long, text string"), net)
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "de", 2: "en"}
+
+
 def test_langid_odd_rows(spark, odd, none):
     train = spark.createDataFrame([(i, f"der die das und {i}" if i % 2 else f"the of and to {i}", "de" if i % 2 else "en") for i in range(60)], "doc_id long, text string, lang string")
     net = langid.train(train)
