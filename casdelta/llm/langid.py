@@ -2,8 +2,8 @@
 
 Each byte of the text gets a distribution over languages from a network that has read up to it from both sides; the mean of
 the log-probabilities over positions gives the document's. Texts are cut into windows that are read side by side, each with a run-up
-in its neighbours on either side, which brings the states of both directions to where they would be, so every byte is labelled once
-and with context. Training goes the same way, over all bytes of every text of the sample.
+in its neighbours on either side that warms up the states of both directions, so every byte is labelled once and with context.
+Training goes the same way, over all bytes of every text of the sample, so it meets the states that labelling meets.
 """
 
 from __future__ import annotations
