@@ -1,8 +1,8 @@
 """LM scoring: a gated recurrent language model in numpy with a class-factored output softmax.
 
 Word counts of all training texts give the vocabulary: the most frequent words have weights of their own and lie in classes of equal
-size by rank; each other word, seen or not, belongs to a class by its shape (last character and accents), within which it has its
-smoothed share of the class's counts. So p(word | state) = p(class | state) p(word | class, state) sums to one over all words.
+size by rank; each other word, seen or not, belongs to a class by its shape (last character and accents): the network gives the
+probability of that class, within which the word has its smoothed share of the class's counts. So p(word | state) = p(class | state) p(word | class, state) sums to one over all words.
 Training is truncated backpropagation through time on all training texts, each read once, dealt over replicas whose weights are
 averaged after each round. Scoring carries the state across windows from a document's first word to its end.
 """
@@ -12,8 +12,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import groupby, repeat
 from math import log10
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -314,8 +315,11 @@ def average(parts: DataFrame) -> DataFrame:
     return first.groupBy("block").applyInPandas(mean, schema)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 2, tokens_a_replica: int = 2_000_000, size: int = 24, block: int = 1 << 16) -> np.ndarray:
-    """Weights trained on all docs, whole texts, dealt over the rounds by text hash; the number of replicas grows with the input."""
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 2, tokens_a_replica: int = 2_000_000, size: int = 24, block: int = 1 << 16, lanes: int = 128, rate: float = 0.12) -> np.ndarray:
+    """Weights trained on all docs, whole texts, dealt over the rounds by text hash; the number of replicas grows with the input.
+
+    A replica is what its number says, whatever task it lands in, so the weights do not depend on the partitioning.
+    """
     spark = docs.sparkSession
     replicas = max(1, round(vocab.total / tokens_a_replica))
     mark = F.xxhash64(whole_text(), F.lit(5))
@@ -326,19 +330,14 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 2, tokens_a_replica:
 
         def run(batches: Iterator[pd.DataFrame], start=start, words=words) -> Iterator[pd.DataFrame]:
             known = words.value.index()
-            replica: list[int] = []
-
-            def texts() -> Iterator[str]:
-                for pdf in batches:
-                    replica.extend(pdf["replica"][:1])
-                    yield from pdf["text"]
-
-            net = Network(known, size, start.value.copy())
-            if n := train_on(net, known, texts()):
-                parts = [net.flat[i : i + block].tobytes() for i in range(0, len(net.flat), block)]
-                yield pd.DataFrame({"replica": replica[0], "block": range(len(parts)), "weight": float(n), "bytes": parts})
-
-        few = slim.where(F.col("_turn") == turn).repartition(replicas, "replica").sortWithinPartitions("_mark")
+            rows = ((r, t) for pdf in batches for r, t in zip(pdf["replica"], pdf["text"], strict=True))
+            for replica, part in groupby(rows, key=itemgetter(0)):  # replicas that share a task stay apart
+                net = Network(known, size, start.value.copy())
+                if n := train_on(net, known, map(itemgetter(1), part), lanes, rate=rate):
+                    parts = [net.flat[i : i + block].tobytes() for i in range(0, len(net.flat), block)]
+                    yield pd.DataFrame({"replica": replica, "block": range(len(parts)), "weight": float(n), "bytes": parts})
+
+        few = slim.where(F.col("_turn") == turn).repartition(replicas, "replica").sortWithinPartitions("replica", "_mark", "text")
         got = average(few.select("replica", "text").mapInPandas(run, "replica long, block int, weight double, bytes binary"))
         parts = {r["block"]: bytes(r["bytes"]) for r in got.select("block", "bytes").collect()}
         if parts:
@@ -397,7 +396,7 @@ def score_texts(net: Network, vocab: Vocabulary, texts: list[str | None], window
     return out
 
 
-def score(docs: DataFrame, vocab: Vocabulary, flat: np.ndarray, counts: DataFrame, size: int = 24, most_tokens: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, vocab: Vocabulary, flat: np.ndarray, counts: DataFrame, size: int = 24, most_tokens: int = 500_000) -> DataFrame:
     """docs' doc_id with n_tokens, n_known, train_tokens, base_score and score.
 
     Words beyond the known ones go to their counts through a join on the word; none of them is frequent. A null text is as an empty

@@ -122,6 +122,31 @@ def test_probabilities_sum_to_one():
     assert sum((n + 1) / mass for n in (2, 1)) + 1 / mass == pytest.approx(1)  # c, rare, and all unseen words of this shape
 
 
+def test_probabilities_sum_to_one_at_trained_states():
+    vocab = tiny_model()
+    net = lm.Network(vocab, 8)
+    lm.train_on(net, vocab, iter(["a b. c rare a b."] * 400), lanes=4)
+    h = np.zeros((1, 8), np.float32)
+    for x in (vocab.head + lm.SHAPES, 0, 1, 0):
+        h = net.step(net.x[[x]], h)[0]
+        rank = np.array([0, 1] + [-1] * (lm.SHAPES + 1))
+        kind = np.array([0, 0] + list(range(vocab.head_classes, vocab.classes)))
+        p = np.exp(lm.log_probability(net, vocab, np.repeat(h, len(rank), axis=0), kind, rank).astype(float))
+        assert p.sum() == pytest.approx(1, abs=1e-5) and p.max() > 0.3
+
+
+def test_replicas_do_not_depend_on_the_partitioning(spark):
+    df = spark.createDataFrame([(i, f"word{i % 9} and more {i % 5}") for i in range(300)], "doc_id long, text string")
+    vocab = lm.vocabulary(lm.count_words(df), 300)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got.append(lm.train(df.repartition(parts), vocab, tokens_a_replica=vocab.total // 4))
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert np.allclose(*got, atol=1e-6)
+
+
 def test_state_crosses_windows():
     vocab = tiny_model()
     net = lm.Network(vocab, 4)
