@@ -10,6 +10,7 @@ Equal vectors are one class in the index, so that thousands of copies cannot cro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casdelta.llm.common import staged
+from casdelta.llm.common import hashed_share, staged
 
 
 def nearest_codeword(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -66,19 +67,18 @@ def fit(x: np.ndarray, books: int, words: int, turns: int = 2, seed: int = 5) ->
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>), one row an id (the least vector, where they differ): no null, zero or non-finite component vectors."""
+    """(vec_id, v array<double>) of every row with an id and a vector that is not zero and has no null or non-finite component."""
     v = F.col("embedding").cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & good)
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & good)
 
 
 def classes(rows: DataFrame, most: int, salt: int = 64) -> DataFrame:
-    """(node, v, ids): each distinct vector with its `most` least ids, found in parts first; node is the least of them."""
+    """(node, v, ids): each distinct vector with its `most` least ids, repeats included, found in parts first; node is a number of its own."""
     part = Window.partitionBy("v", "_salt").orderBy("vec_id")
     few = rows.withColumn("_salt", F.pmod(F.hash("vec_id"), F.lit(salt))).withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= most)
     few = few.withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("_n") <= most)
-    return few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("node"), "v", "ids")
+    return few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("node"), "v", "ids")
 
 
 def unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,15 +191,26 @@ def shortlist(queries: DataFrame, packs: DataFrame, books: np.ndarray, share: fl
 def search(vectors: DataFrame, k: int = 20, every: int = 20, books: int = 32, words: int = 64, most: int = 320, sample: int = 12_000, pack: int = 4096, queries_a_block: int = 256) -> DataFrame:
     """Return query_id, rank, vec_id, score: the k nearest found of every row whose vec_id is divisible by `every`.
 
-    vectors: vec_id, embedding. Null vectors and ids, zero vectors and ones with null, NaN or infinite components take no part, nor do
-    vectors of another length than the most common one (the least of those as common). Rows of one id count once. The score is the
-    inner product of the original vectors in double precision; ties go to the smaller vec_id. The codebooks are fitted on `sample`
-    vectors, those of least hash; every vector is encoded. `most` of each pack of `pack` vectors are compared exactly, the same share of a larger pack. With fewer candidates than k, all are returned; with none, no rows.
+    vectors: vec_id, embedding. Null vectors and ids, zero vectors and ones with null, NaN or infinite components take no part. Every
+    other row counts: rows that share an id are candidates of each other, and each of them asks for itself. Vectors of different
+    lengths have no inner product, so each length is searched on its own, with an index of its own. The score is the inner product
+    of the original vectors in double precision; ties go to the smaller vec_id. The codebooks are fitted on about `sample` vectors,
+    drawn by hash; every vector is encoded. `most` of each pack of `pack` vectors are compared exactly, the same share of a larger
+    pack. With fewer candidates than k, all are returned; with none, no rows.
     """
     rows = staged(usable(vectors), "vectors")
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    index = staged(classes(rows.where(F.size("v") == (common["n"] if common else 0)), k + 1), "vector-classes")
-    few = index.select("v", F.xxhash64("node").alias("_order")).orderBy("_order").limit(sample).toPandas()
+    lengths = [r["n"] for r in rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").collect()]
+    found = [search_length(rows.where(F.size("v") == n), k, every, books, words, most, sample, pack, queries_a_block) for n in lengths or [0]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def search_length(rows: DataFrame, k: int, every: int, books: int, words: int, most: int, sample: int, pack: int, queries_a_block: int) -> DataFrame:
+    """search() over usable vectors (vec_id, v) of one length."""
+    index = staged(classes(rows, k + 1), "vector-classes")
+    few = hashed_share(index.select("v"), [F.col("v")], sample / max(1, index.count())).toPandas()
+    few = few.sort_values("v", key=lambda c: c.map(tuple)) if len(few) else few
+    if not len(few):
+        few = index.select("v").limit(1).toPandas()
     x = unit(np.stack(few["v"].to_numpy()))[0] if len(few) else np.zeros((1, 1), np.float32)
     codebooks = fit(x, books, words)
     packs = staged(packed(index, codebooks, pack), "vector-codes")
@@ -215,13 +226,14 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, books: int = 32, wo
                 yield pa.RecordBatch.from_arrays([b.column("query"), b.column("node"), pa.array(np.einsum("ij,ij->i", x, q))], ["query", "node", "score"])
 
     scored = pairs.select("query", "node", "x", "q").mapInArrow(exact, "query long, node long, score double")
-    place = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    near = scored.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k + 1)
-    named = near.join(index.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("vec_id"))
-    # a class of queries shares its neighbours: the best k + 1 of them serve every member, who leaves itself out
-    best = named.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") <= k + 1)
-    lists = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near"))
+    named = scored.join(index.select("node", "ids"), "node").select("query", "node", "score", F.posexplode("ids").alias("at", "vec_id"))
+    # a class of queries shares its neighbours: the best k + 1 of them serve every member, who leaves itself out, once
+    place = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "node", "at")
+    best = named.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= k + 1)
+    entry = F.struct((-F.col("score")).alias("s"), "vec_id", "node", "at")
+    lists = best.groupBy("query").agg(F.array_sort(F.collect_list(entry)).alias("near"))
     mine = asked.join(index.select(F.col("node").alias("query"), F.col("v").alias("qv")), "qv").select("query_id", "query").join(lists, "query")
-    others = F.slice(F.filter("near", lambda p: p["vec_id"] != F.col("query_id")), 1, k)
-    out = mine.select("query_id", F.posexplode(others).alias("pos", "p"))
+    own = F.array_position(F.transform("near", lambda p: (p["vec_id"] == F.col("query_id")) & (p["node"] == F.col("query"))), True)
+    others = F.filter("near", lambda p, i: (i + 1) != own)
+    out = mine.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("pos", "p"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("p.vec_id").alias("vec_id"), (-F.col("p.s")).alias("score"))
