@@ -111,7 +111,7 @@ class Vocabulary:
 class PrefixTrie:
     """Encodings of sorted words by a depth-first walk over their trie; remembers which tokens may stand side by side."""
 
-    def __init__(self, vocab: Vocabulary, most: int = 400_000):
+    def __init__(self, vocab: Vocabulary, most: int = 250_000):
         self.vocab, self.most = vocab, most
         self.fits: dict[int, bool] = {}
         self.sound: dict[int, bool] = {}
@@ -202,7 +202,7 @@ class Encoder:
     A piece is known by a number, its tokens lie in one flat array, so a batch is put together by numpy and Arrow.
     """
 
-    def __init__(self, path: str, max_pieces: int = 600_000):
+    def __init__(self, path: str, max_pieces: int = 350_000):
         self.vocab = Vocabulary(path)
         self.trie = PrefixTrie(self.vocab)
         self.max_pieces = max_pieces
@@ -310,7 +310,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for part in slices(batch, 1, 4000, 1 << 23):
+            for part in slices(batch, 1, 4000, 3 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), *enc.both(part.column(1).to_pylist())], ["id", "ids", "decoded"])
 
     out = docs.select(docs[id_col].alias("id"), docs[text].cast("string").alias("text"))
