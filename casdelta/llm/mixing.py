@@ -92,15 +92,19 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, rows_a_range: in
     return out.select(F.col("d.doc_id").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"), epochs.cast("long").alias("epochs"))
 
 
-def repeated(docs: DataFrame, **how: float) -> DataFrame:
+def repeated(docs: DataFrame, broadcast_rows: int = 500_000, **how: float) -> DataFrame:
     """docs with each row as often as mix() takes it: taken over size, rounded half up; rows not taken, or without words, go.
 
     Rows that share id and size are taken as one and keep their number. Columns of docs keep their names and values, whatever they are.
+    A plan of at most broadcast_rows rows, as counted, is broadcast (20 bytes a row), so that whole texts stay where they are; a larger
+    one is joined by shuffle, with the same rows.
     """
     words, copy = free(docs, "_words", "_copy")
     plan = mix(docs, **how).where("size > 0")
     times = plan.groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
     times = times.select("doc_id", "size", F.floor(F.col("taken") / (F.col("size") * F.col("rows")) + 0.5).cast("int").alias("times")).where("times > 0")
+    times = staged(times, "mix-times")
+    times = F.broadcast(times) if times.count() <= broadcast_rows else times
     held = docs.withColumn(words, F.regexp_count(whole_text(), F.lit(WORD))).alias("d")
     joined = held.join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col(f"d.{words}") == F.col("t.size")))
     return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias(copy)).drop(words, copy)

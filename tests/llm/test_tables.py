@@ -102,6 +102,7 @@ def test_mix_odd_rows(odd, none):
         taken, rows = plan[r["doc_id"], n]
         want += [str(r)] * (int(taken / (n * rows) + 0.5) if n else 0)
     assert sorted(map(str, mixing.repeated(odd).collect())) == sorted(want)
+    assert sorted(map(str, mixing.repeated(odd, broadcast_rows=0).collect())) == sorted(want)
     assert mixing.repeated(none).count() == 0
 
 
