@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 # File name extensions whose conflicts merge as lines of text.
 MERGEABLE = (
-    "rs ts tsx js jsx mjs cjs py go java kt swift rb php c h cc cpp hpp cs scala lua ex exs dart sh bash zsh sql r pl m "
-    "md markdown txt rst adoc tex org toml yaml yml json jsonc ini cfg conf env properties "
-    "html htm css scss sass less xml svg vue svelte gitignore dockerignore editorconfig gitattributes"
-).split()
+    "rs", "ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "java", "kt", "swift", "rb", "php", "c", "h", "cc", "cpp", "hpp",
+    "cs", "scala", "lua", "ex", "exs", "dart", "sh", "bash", "zsh", "sql", "r", "pl", "m", "md", "markdown", "txt", "rst", "adoc",
+    "tex", "org", "toml", "yaml", "yml", "json", "jsonc", "ini", "cfg", "conf", "env", "properties", "html", "htm", "css", "scss",
+    "sass", "less", "xml", "svg", "vue", "svelte", "gitignore", "dockerignore", "editorconfig", "gitattributes",
+)
 
 
 def is_conflict(local: Column, incoming: Column, base: Column) -> Column:
