@@ -75,10 +75,6 @@ def from_hex(text: Column) -> Column:
     return F.unhex(text)
 
 
-def utf8_or_null(content: Column) -> Column:
-    return F.try_validate_utf8(content.cast("string"))
-
-
 def clip(content: Column, most: int = 262_144, marker: str = "\n[clipped]\n") -> Column:
     """Text of at most `most` bytes, cut at a character, with a marker; invalid UTF-8 is replaced."""
     text = F.make_valid_utf8(content.cast("string"))

@@ -21,8 +21,8 @@ def chunk(objects: DataFrame, chunk_size: int = CHUNK_SIZE, key: str = "rel_path
     return out if payload else out.drop("bytes")
 
 
-def manifests(objects: DataFrame, chunk_size: int = CHUNK_SIZE, key: str = "rel_path") -> DataFrame:
-    """(key, kind, file_cid, chunk_size, total_size, chunks) in the row itself, without a shuffle."""
+def manifests(objects: DataFrame, chunk_size: int = CHUNK_SIZE, key: str = "rel_path", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kind, file_cid, chunk_size, total_size, chunks, keep…) in the row itself, without a shuffle."""
     return objects.select(
         key,
         F.lit(KIND).alias("kind"),
@@ -30,6 +30,7 @@ def manifests(objects: DataFrame, chunk_size: int = CHUNK_SIZE, key: str = "rel_
         F.lit(chunk_size).cast("long").alias("chunk_size"),
         F.octet_length("content").cast("long").alias("total_size"),
         F.transform(chunk_array(F.col("content"), chunk_size), lambda x: content_id(x["bytes"])).alias("chunks"),
+        *keep,
     )
 
 
@@ -40,15 +41,14 @@ def reassemble(wanted: DataFrame, blobs: DataFrame, key: str = "rel_path", stric
     read and checked once; a file of no chunks is the empty file.
     """
     parts = wanted.select(key, "file_cid", F.posexplode_outer("chunks").alias("idx", "cid"))
-    known = blobs.groupBy("cid").agg(F.first("bytes").alias("bytes")).withColumn("good", content_id(F.col("bytes")) == F.col("cid"))
+    asked = blobs.select("cid", "bytes").join(parts.select("cid").distinct(), "cid", "left_semi")
+    known = asked.groupBy("cid").agg(F.first("bytes").alias("bytes")).withColumn("good", content_id(F.col("bytes")) == F.col("cid"))
     joined = parts.join(known, "cid", "left")
     whole = joined.groupBy(key, "file_cid").agg(
         F.bool_or(F.col("cid").isNotNull() & F.col("good").isNull()).alias("lacks"),
         F.bool_or(F.col("cid").isNotNull() & ~F.col("good")).alias("spoilt"),
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", "bytes"))), lambda x: x["bytes"]).alias("parts"),
+        F.coalesce(F.expr("listagg(bytes) WITHIN GROUP (ORDER BY idx)"), F.lit(b"")).alias("content"),
     )
-    content = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, F.coalesce(x, F.lit(b""))))
-    whole = whole.withColumn("content", content)
     status = F.when(F.coalesce("lacks", F.lit(False)), "missing_chunk").when(F.coalesce("spoilt", F.lit(False)), "bad_chunk").when(content_id(F.col("content")) != F.col("file_cid"), "bad_file").otherwise("ok")
     if strict:
         status = F.when(status == "ok", status).otherwise(F.raise_error(F.concat(F.lit("cannot rebuild "), F.col(key).cast("string"), F.lit(": expected "), F.col("file_cid"), F.lit(", "), status)))

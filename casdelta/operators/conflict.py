@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casdelta.functions.rules import target_fault
+
 # File name extensions whose conflicts merge as lines of text.
 MERGEABLE = (
     "rs", "ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "java", "kt", "swift", "rb", "php", "c", "h", "cc", "cpp", "hpp",
@@ -133,6 +135,19 @@ def replies(resolved: DataFrame) -> DataFrame:
     return resolved.select("rel_path", take.alias("applied"), "conflict", F.when(take, F.col("incoming_cid")).otherwise(F.col("local_cid")).alias("remote_cid"), "conflict_copy")
 
 
+def commit_batch(rows: DataFrame, built: DataFrame) -> DataFrame:
+    """(rel_path, applied, conflict, merged, remote_cid, conflict_copy) of commits (as resolve_with_merge() takes them).
+
+    built: rel_path, status of the sent files, rebuilt and verified. A commit of an unsafe path, or of a file that was not rebuilt,
+    gets no reply. A clean merge is applied; remote_cid is then the id of the merged text, which no side had before.
+    """
+    ready = built.where("status = 'ok'").select("rel_path")
+    done = resolve_with_merge(rows.where(target_fault(F.col("rel_path")).isNull()).join(ready, "rel_path", "left_semi"))
+    merged = F.col("action") == "merged"
+    remote = F.when(merged, F.sha2("merged", 256)).when(F.col("action") == "take", F.col("incoming_cid")).otherwise(F.col("local_cid"))
+    return done.select("rel_path", (merged | (F.col("action") == "take")).alias("applied"), "conflict", merged.alias("merged"), remote.alias("remote_cid"), "conflict_copy")
+
+
 def replay(state: DataFrame, log: DataFrame) -> DataFrame:
     """(rel_path, cid, mtime_ms, n_conflicts) after commits (rel_path, seq, cid, mtime_ms, base) in order of seq.
 

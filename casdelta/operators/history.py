@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,26 @@ def _staged(df: DataFrame) -> DataFrame:
     """Written in the folder that executors share and read again, so that rounds don't pile up lineage."""
     spark: SparkSession = df.sparkSession
     app = spark.sparkContext.applicationId
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _dirs.setdefault(app, tempfile.mkdtemp(prefix="spark-history-"))
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if app not in _dirs:
+            _dirs[app] = tempfile.mkdtemp(prefix="spark-history-")
+        root = _dirs[app]
     path = f"{root.rstrip('/')}/history-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(peers: DataFrame, most: int = 100_000) -> DataFrame:
+    """The peers, each once, or an error if they are more than may be broadcast."""
+    out = peers.select("peer").distinct()
+    if out.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} peers")
+    return out
+
+
 def acked_heads(announces: DataFrame) -> DataFrame:
     """(repo, peer, head): the last head known of each peer."""
     return announces.groupBy("repo", "peer").agg(F.max_by("head", "seq").alias("head"))
@@ -53,12 +68,17 @@ def is_ancestor(commits: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def delta_commits(commits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(repo, base, head, sha): commits of head that base lacks; all, if base is null or no ancestor of head; none if they are equal."""
+    """(repo, base, head, sha): commits of head that base lacks; all, if base is null or no ancestor of head; none if they are equal.
+
+    One walk serves heads and bases.
+    """
     asked = pairs.where("base is null or base <> head").distinct()
     known = asked.where("base is not null")
-    anc = is_ancestor(commits, known).where("is_ancestor").select("repo", "base", "head")
-    of_head = asked.join(ancestors(commits, asked.select("repo", "head")), ["repo", "head"]).select("repo", "base", "head", "sha")
-    of_base = anc.join(ancestors(commits, anc.select("repo", F.col("base").alias("head"))).withColumnRenamed("head", "base"), ["repo", "base"])
+    ends = asked.select("repo", "head").union(known.select("repo", "base"))
+    reach = ancestors(commits, ends)
+    anc = known.join(reach.select("repo", "head", F.col("sha").alias("base")), ["repo", "head", "base"], "left_semi")
+    of_head = asked.join(reach, ["repo", "head"]).select("repo", "base", "head", "sha")
+    of_base = anc.join(reach.select("repo", F.col("head").alias("base"), "sha"), ["repo", "base"])
     return of_head.join(of_base.select("repo", "base", "head", "sha"), ["repo", "base", "head", "sha"], "left_anti")
 
 
@@ -71,8 +91,10 @@ def sync_actions(commits: DataFrame, incoming: DataFrame, local: DataFrame) -> D
     mine = local.select("repo", F.col("branch").alias("_branch"), F.col("head").alias("_head"))
     both = incoming.join(mine, "repo", "left")
     open_ = both.where("_head is not null and _head <> head and _branch = branch")
-    up = is_ancestor(commits, open_.select("repo", F.col("_head").alias("base"), "head").distinct()).where("is_ancestor").select("repo", F.col("base").alias("_head"), "head", F.lit(True).alias("_up"))
-    down = is_ancestor(commits, open_.select("repo", F.col("head").alias("base"), F.col("_head").alias("head")).distinct()).where("is_ancestor").select("repo", F.col("head").alias("_head"), F.col("base").alias("head"), F.lit(True).alias("_down"))
+    pairs = open_.select("repo", "_head", "head").distinct()
+    reach = ancestors(commits, pairs.select("repo", "head").union(pairs.select("repo", "_head")))
+    up = pairs.join(reach.select("repo", "head", F.col("sha").alias("_head")), ["repo", "head", "_head"], "left_semi").withColumn("_up", F.lit(True))
+    down = pairs.join(reach.select("repo", F.col("head").alias("_head"), F.col("sha").alias("head")), ["repo", "head", "_head"], "left_semi").withColumn("_down", F.lit(True))
     out = both.join(up, ["repo", "_head", "head"], "left").join(down, ["repo", "_head", "head"], "left")
     action = (
         F.when(F.col("_head").isNull(), "adopt")
@@ -92,9 +114,12 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
 
 
 def pending_snapshots(snapshots: DataFrame, peers: DataFrame, sent: DataFrame, most: int = 2 * 1024 * 1024) -> DataFrame:
-    """(peer, repo, snap) to send: not sent yet, not empty, within the cap. snapshots: repo, snap, bytes (length). peers: few."""
+    """(peer, repo, snap) to send: not sent yet, not empty, within the cap. snapshots: repo, snap, bytes (length).
+
+    peers: a dimension table, counted before it is broadcast.
+    """
     fit = snapshots.where((F.col("bytes") > 0) & (F.col("bytes") <= most)).select("repo", "snap")
-    each = fit.withColumn("_k", F.lit(1)).join(peers.select("peer").withColumn("_k", F.lit(1)), "_k").drop("_k")
+    each = fit.crossJoin(F.broadcast(few(peers)))
     return each.join(sent.select("peer", "repo", "snap"), ["peer", "repo", "snap"], "left_anti").select("peer", "repo", "snap")
 
 

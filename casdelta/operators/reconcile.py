@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casdelta.functions.ids import content_id
-from casdelta.operators.chunking import manifests
+from casdelta.operators.chunking import manifests, reassemble
 
 INDEX = ["rel_path", "file_cid", "size", "mtime_ms", "mode", "chunks"]
 
@@ -19,15 +19,14 @@ def mark_unchanged(scan: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def build_index(scan: DataFrame, index: DataFrame, chunk_size: int) -> DataFrame:
-    """The new index: unchanged rows come over as they are, others are hashed and chunked; vanished ones go.
+    """The new index: unchanged rows come over as they are, others are hashed and chunked in their row; vanished ones go.
 
-    scan: rel_path, size, mtime_ms, mode, content; only changed rows' contents are read.
+    scan: rel_path, size, mtime_ms, mode, content. What is unchanged is decided on the metadata alone.
     """
-    marked = mark_unchanged(scan, index)
-    kept = index.join(marked.where("unchanged").select("rel_path"), "rel_path", "left_semi").select(INDEX)
-    changed = marked.where("not unchanged")
-    fresh = manifests(changed, chunk_size).select("rel_path", "file_cid", "chunks").join(changed.select("rel_path", "size", "mtime_ms", "mode"), "rel_path")
-    return kept.unionByName(fresh.select(INDEX))
+    same = mark_unchanged(scan.select("rel_path", "size", "mtime_ms"), index).where("unchanged").select("rel_path")
+    kept = index.join(same, "rel_path", "left_semi").select(INDEX)
+    changed = scan.join(same, "rel_path", "left_anti")
+    return kept.unionByName(manifests(changed, chunk_size, keep=("size", "mtime_ms", "mode")).select(INDEX))
 
 
 def plan(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -123,8 +122,7 @@ def push_apply(index: DataFrame, commits: DataFrame, replies: DataFrame) -> Data
 
 def manifest_of(requests: DataFrame, objects: DataFrame, chunk_size: int) -> DataFrame:
     """(rel_path, found, file_cid, n_chunks, mode, mtime_ms) of requested paths; an absent one is found = false."""
-    made = manifests(objects, chunk_size).select("rel_path", "file_cid", F.size("chunks").cast("long").alias("n_chunks"))
-    facts = made.join(objects.select("rel_path", "mode", "mtime_ms"), "rel_path")
+    facts = manifests(objects, chunk_size, keep=("mode", "mtime_ms")).select("rel_path", "file_cid", F.size("chunks").cast("long").alias("n_chunks"), "mode", "mtime_ms")
     return requests.select("rel_path").join(facts, "rel_path", "left").select("rel_path", F.col("file_cid").isNotNull().alias("found"), "file_cid", "n_chunks", "mode", "mtime_ms")
 
 
@@ -140,10 +138,48 @@ def upload_missing(chunks: DataFrame, lacking: DataFrame) -> DataFrame:
     return one.select("cid", F.when(content_id(F.col("bytes")) == F.col("cid"), F.col("bytes")).otherwise(wrong.cast("binary")).alias("bytes"))
 
 
-def newest(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
-    """The value of the last row by order for each key."""
-    return rows.groupBy(*key).agg(F.max_by(value, order).alias(value))
+def pull_files(wanted: DataFrame, held: DataFrame, remote: DataFrame, readable: bool = True) -> DataFrame:
+    """(rel_path, n_fetched, status, content): the wanted files rebuilt from chunks at hand and chunks fetched, and verified.
+
+    wanted: manifests (rel_path, file_cid, chunks). held: rel_path, cid, bytes of the receiver; remote: cid, bytes of the sender.
+    n_fetched counts a file's distinct chunks that are not held as pull_with_held() has it. A chunk that is held without its bytes
+    comes from the sender too; one that nobody has makes the file missing_chunk, and bytes that don't hash to their id bad_chunk.
+    """
+    count = pull_with_held(wanted, held, readable)
+    at_hand = held.where("bytes is not null").select("cid", "bytes", F.lit(0).alias("far"))
+    # what is at hand and right goes before what has to travel
+    both = at_hand.where(content_id(F.col("bytes")) == F.col("cid")).unionByName(remote.select("cid", "bytes", F.lit(1).alias("far")))
+    blobs = both.groupBy("cid").agg(F.min_by("bytes", "far").alias("bytes"))
+    return count.join(reassemble(wanted, blobs), "rel_path").select("rel_path", "n_fetched", "status", "content")
+
+
+def pull_apply(state: DataFrame, pulled: DataFrame) -> DataFrame:
+    """(rel_path, file_cid, base) after a pull: files that were verified move both ids on, all others stay as they are.
+
+    state: rel_path, file_cid, base. pulled: rel_path, file_cid, status.
+    """
+    put = pulled.where("status = 'ok'").select("rel_path", "file_cid", F.col("file_cid").alias("base"), F.lit("put").alias("op"))
+    return upsert(state, put)
+
+
+def set_base(entries: DataFrame, seen: DataFrame) -> DataFrame:
+    """entries with base, the id last seen at the other side (seen: rel_path, file_cid); null where none was."""
+    return entries.drop("base").join(seen.select("rel_path", F.col("file_cid").alias("base")), "rel_path", "left")
+
+
+def put_base(bases: DataFrame, changes: DataFrame) -> DataFrame:
+    """bases (rel_path, content) after changes of the same columns: the new content replaces the old, whatever it was."""
+    return upsert(bases, changes.select("rel_path", "content", F.lit("put").alias("op")))
+
+
+def delete_ack(index: DataFrame, replies: DataFrame) -> DataFrame:
+    """index after the replies to deletions (rel_path, deleted, conflict): what was deleted without a conflict is dropped with its base."""
+    gone = replies.where(F.coalesce("deleted", F.lit(False)) & ~F.coalesce("conflict", F.lit(False))).select("rel_path").distinct()
+    return index.join(gone, "rel_path", "left_anti")
 
 
-def first_per(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+def push_once(before: DataFrame, after: DataFrame, chunks: DataFrame, store: DataFrame) -> DataFrame:
+    """(op, n_files, n_new): files by what happens to them, and the chunks that must move for them; chunks and store as in push_plan()."""
+    moved = push_plan(chunks, after, store)
+    steps = plan(before, after).join(moved, "rel_path", "left")
+    return steps.groupBy("op").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("n_new"), F.lit(0)).cast("long").alias("n_new"))

@@ -27,8 +27,13 @@ def unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
-def table_delta(old: DataFrame, new: DataFrame, keys: list[str], buckets: int = 256) -> DataFrame:
-    """(keys…, op): insert, update or delete; only rows of buckets whose digests differ are compared."""
+def table_delta(old: DataFrame, new: DataFrame, keys: list[str], buckets: int | None = None, rows_a_bucket: int = 2_000) -> DataFrame:
+    """(keys…, op): insert, update or delete; only rows of buckets whose digests differ are compared.
+
+    Without a number of buckets there is one for each rows_a_bucket rows, so that a bucket does not grow with the table.
+    """
+    if buckets is None:
+        buckets = max(256, old.count() // rows_a_bucket)
     at = F.pmod(F.xxhash64(*keys), F.lit(buckets))
     unique(old, keys), unique(new, keys)
     a, b = bucket_digests(old, keys, buckets), bucket_digests(new, keys, buckets).withColumnRenamed("digest", "other")

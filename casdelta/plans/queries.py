@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casdelta.functions import ids, rules
-from casdelta.operators import authz, chunking, conflict, history, jobs, reconcile, tables
+from casdelta.operators import authz, chunking, conflict, history, jobs, reconcile, repos, tables
 from casdelta.plans.views import CHUNK, TREES, objects_a, objects_b, objects_c, sql_chunks, table
 from casdelta.streaming import events as streams
 
@@ -82,8 +82,7 @@ def a5_parse_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a6_read_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     line = F.when(k % 3 == 0, F.concat(F.lit(" "), F.upper(F.sha2(k.cast("string"), 256)), F.lit(" # root"))).when(k % 3 == 1, "# none").otherwise("short")
-    out = table(spark, sf_dir, "orders").select(k.alias("id"), F.trim(F.split(line, "#")[0]).alias("key"))
-    return out.where(rules.is_hex64(F.col("key"))).select("id", F.lower("key").alias("key"))
+    return repos.accepted_keys(table(spark, sf_dir, "orders").select(k.alias("id"), line.alias("line"))).drop("line")
 
 
 MESSAGES = (
@@ -124,37 +123,34 @@ def repo_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_REPOS = f"repos AS (SELECT DISTINCT {REPO_OF} AS repo FROM documents WHERE source IN ('src1', 'src2', 'src7') AND {REPO_OF} IS NOT NULL)"
 
 
-def above(path: Column) -> Column:
-    """Array of (depth, dir): the directories above a path."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n - 1), "/").alias("dir")))
+def sql_fragments(path: str, fragments: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({path}, '{f}')" for f in fragments) + ")"
 
 
-@query(W + f", {SQL_REPOS} SELECT rel_path FROM objects_a WHERE NOT contains(concat('/', rel_path), '/src5') AND NOT EXISTS (SELECT 1 FROM repos WHERE starts_with(rel_path, concat(repo, '/')))")
+ODD_PATH = "CASE WHEN size % 9 = 0 THEN concat(rel_path, '/target-x') WHEN size % 7 = 0 THEN concat('x/tmp/', rel_path) WHEN size % 5 = 0 THEN concat('y/.gitx/', rel_path) ELSE rel_path END"
+
+
+@query(W + f", {SQL_REPOS}, odd AS (SELECT {ODD_PATH} AS rel_path FROM objects_a) SELECT rel_path FROM odd WHERE NOT {sql_fragments("concat('/', rel_path)", rules.LOOSE_FRAGMENTS)} AND NOT EXISTS (SELECT 1 FROM repos WHERE starts_with(rel_path, concat(repo, '/')))")
 def a9_loose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = objects_a(spark, sf_dir).select("rel_path").where(~rules.has_fragment(F.concat(F.lit("/"), F.col("rel_path")), ["/src5"]))
-    dirs = paths.select("rel_path", F.inline(above(F.col("rel_path"))))
-    inside = dirs.join(repo_roots(spark, sf_dir), dirs["dir"] == F.col("repo")).select("rel_path").distinct()
-    return paths.join(inside, "rel_path", "left_anti")
+    return repos.loose_files(objects_a(spark, sf_dir).select(F.expr(ODD_PATH).alias("rel_path")), repo_roots(spark, sf_dir))
 
 
 @query("SELECT DISTINCT split_part(p, '/', 1) AS repo FROM (SELECT concat(source, '/', CASE WHEN doc_id % 5 = 0 THEN '.git/HEAD' ELSE lang END) AS p FROM documents) WHERE regexp_matches(p, '^[^/]+/\\.git(/|$)')")
 def a10_discover_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.expr("concat(source, '/', CASE WHEN doc_id % 5 = 0 THEN '.git/HEAD' ELSE lang END)")
-    return table(spark, sf_dir, "documents").select(path.alias("p")).where(F.col("p").rlike(r"\A[^/]+/\.git(?:/|\z)")).select(F.split("p", "/")[0].alias("repo")).distinct()
+    return repos.discover_repos(table(spark, sf_dir, "documents").select(path.alias("path")))
 
 
 @query(W + f", {SQL_REPOS} SELECT rel_path, arg_max(repo, length(repo)) AS repo FROM objects_a JOIN repos ON starts_with(rel_path, concat(repo, '/')) GROUP BY rel_path")
 def a11_repo_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dirs = objects_a(spark, sf_dir).select("rel_path", F.inline(above(F.col("rel_path"))))
-    return dirs.join(repo_roots(spark, sf_dir), dirs["dir"] == F.col("repo")).groupBy("rel_path").agg(F.max_by("repo", "depth").alias("repo"))
+    return repos.repo_of(objects_a(spark, sf_dir).select("rel_path"), repo_roots(spark, sf_dir))
 
 
 @query("SELECT c_name AS peer, sha256(c_custkey::VARCHAR) AS peerNodeId FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 5 <> 0")
 def a12_load_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     doc = F.to_json(F.struct(F.when(k % 4 != 0, F.col("c_name")).alias("peer"), F.when(k % 5 != 0, F.sha2(k.cast("string"), 256)).alias("peerNodeId")))
-    return table(spark, sf_dir, "customer").select(F.from_json(doc, "peer string, peerNodeId string").alias("p")).select("p.*").dropna()
+    return repos.load_peers(table(spark, sf_dir, "customer").select(doc.alias("json")))
 
 
 # -- chunking --------------------------------------------------------------------------------------------------------
@@ -181,8 +177,7 @@ def b4_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(W + "SELECT a.rel_path, b.file_cid AS base FROM cid_a a LEFT JOIN cid_b b USING (rel_path)")
 def b5_base_cid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = cids(objects_b(spark, sf_dir)).select("rel_path", F.col("file_cid").alias("base"))
-    return objects_a(spark, sf_dir).select("rel_path").join(seen, "rel_path", "left")
+    return reconcile.set_base(objects_a(spark, sf_dir).select("rel_path"), cids(objects_b(spark, sf_dir)))
 
 
 @query(W + "SELECT rel_path, sha256(content) AS file_cid, size FROM objects_b UNION ALL SELECT rel_path, sha256(content), size FROM objects_a WHERE rel_path NOT IN (SELECT rel_path FROM objects_b) AND mtime_ms % 2000 <> 0")
@@ -194,6 +189,12 @@ def b6_put_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("rel_path", ids.content_id(F.col("content")).alias("file_cid"), F.octet_length("content").cast("long").alias("size"))
 
 
+@query(W + "SELECT rel_path, file_cid FROM cid_b UNION ALL SELECT rel_path, file_cid FROM cid_a WHERE rel_path NOT IN (SELECT rel_path FROM cid_b)")
+def b8_put_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = reconcile.put_base(objects_a(spark, sf_dir).select("rel_path", "content"), objects_b(spark, sf_dir))
+    return done.select("rel_path", ids.content_id(F.col("content")).alias("file_cid"))
+
+
 @query(W + "SELECT rel_path, file_cid, size FROM cid_a")
 def c1_content_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cids(objects_a(spark, sf_dir)).select("rel_path", "file_cid", "size")
@@ -332,25 +333,35 @@ def d8_push_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.push_plan(chunking.chunk(b, CHUNK, payload=False), b, chunking.chunk(a, CHUNK, payload=False))
 
 
-D9 = (
-    ", held AS (SELECT DISTINCT rel_path, cid FROM chunks_a {where}) SELECT o.rel_path, count(DISTINCT CASE WHEN h.cid IS NULL THEN c.cid END) AS n_fetched "
-    "FROM objects_b o LEFT JOIN chunks_b c USING (rel_path) LEFT JOIN held h ON h.rel_path = c.rel_path AND h.cid = c.cid GROUP BY o.rel_path"
+PULLED = (
+    ", held AS (SELECT DISTINCT rel_path, cid FROM chunks_a {where}), fetched AS (SELECT o.rel_path, count(DISTINCT CASE WHEN h.cid IS NULL THEN c.cid END) AS n_fetched "
+    "FROM objects_b o LEFT JOIN chunks_b c USING (rel_path) LEFT JOIN held h ON h.rel_path = c.rel_path AND h.cid = c.cid GROUP BY o.rel_path), "
+    "avail AS ({avail}), rebuilt AS (SELECT o.rel_path, CASE WHEN bool_or(c.cid IS NOT NULL AND v.cid IS NULL) THEN 'missing_chunk' ELSE 'ok' END AS status "
+    "FROM objects_b o LEFT JOIN chunks_b c USING (rel_path) LEFT JOIN avail v ON v.cid = c.cid GROUP BY o.rel_path), "
+    "pulled AS (SELECT f.rel_path, f.n_fetched, r.status, CASE WHEN r.status = 'ok' THEN b.file_cid END AS content_cid FROM fetched f JOIN rebuilt r USING (rel_path) JOIN cid_b b USING (rel_path)) "
 )
+READABLE = PULLED.format(where="WHERE idx <> 0", avail="SELECT cid FROM chunks_a WHERE idx <> 0 UNION SELECT cid FROM chunks_b")
+LACKING = PULLED.format(where="", avail="SELECT cid FROM chunks_a WHERE idx <> 0 UNION SELECT cid FROM chunks_b WHERE idx <> 2")
+ONE_SHOT = PULLED.format(where="WHERE false", avail="SELECT cid FROM chunks_b WHERE idx <> 2")
 
 
-def wanted_and_held(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    held = chunking.chunk(objects_a(spark, sf_dir), CHUNK)
-    return chunking.manifests(objects_b(spark, sf_dir), CHUNK), held.withColumn("bytes", F.when(F.col("idx") != 0, F.col("bytes")))
+def pulled(spark: SparkSession, sf_dir: str, remote: str = "true", held: str = "true", readable: bool = True) -> DataFrame:
+    """objects_b pulled over objects_a, whose first chunks are known but not readable."""
+    mine = chunking.chunk(objects_a(spark, sf_dir), CHUNK).where(held)
+    mine = mine.withColumn("bytes", F.when(F.col("idx") != 0, F.col("bytes")))
+    theirs = chunking.chunk(objects_b(spark, sf_dir), CHUNK).where(remote)
+    done = reconcile.pull_files(chunking.manifests(objects_b(spark, sf_dir), CHUNK), mine, theirs, readable)
+    return done.select("rel_path", "n_fetched", "status", ids.content_id(F.col("content")).alias("content_cid"))
 
 
-@query(WC + D9.format(where="WHERE idx <> 0"))
+@query(WC + READABLE + "SELECT * FROM pulled")
 def d9_pull_with_held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.pull_with_held(*wanted_and_held(spark, sf_dir))
+    return pulled(spark, sf_dir)
 
 
-@query(WC + D9.format(where=""))
+@query(WC + LACKING + "SELECT * FROM pulled")
 def d10_pull_file_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.pull_with_held(*wanted_and_held(spark, sf_dir), readable=False)
+    return pulled(spark, sf_dir, "idx <> 2", readable=False)
 
 
 @query(W + "SELECT b.rel_path, b.file_cid, coalesce(c.file_cid IS DISTINCT FROM a.file_cid AND c.file_cid IS DISTINCT FROM b.file_cid AND c.file_cid IS NOT NULL, false) AS refused FROM cid_b b LEFT JOIN cid_a a USING (rel_path) LEFT JOIN cid_c c USING (rel_path) WHERE b.file_cid IS DISTINCT FROM a.file_cid")
@@ -359,18 +370,20 @@ def d11_pull_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.pull_plan(b, a, c)
 
 
-@query(W + "SELECT rel_path, coalesce(b.file_cid, a.file_cid) AS file_cid, CASE WHEN b.file_cid IS DISTINCT FROM a.file_cid AND b.file_cid IS NOT NULL THEN b.file_cid ELSE a.file_cid END AS base FROM cid_a a FULL JOIN cid_b b USING (rel_path)")
+@query(
+    WC + LACKING + "SELECT coalesce(a.rel_path, p.rel_path) AS rel_path, coalesce(p.content_cid, a.file_cid) AS file_cid, coalesce(p.content_cid, a.file_cid) AS base "
+    "FROM cid_a a FULL JOIN (SELECT p.* FROM pulled p LEFT JOIN cid_a USING (rel_path) WHERE p.content_cid IS DISTINCT FROM cid_a.file_cid AND p.status = 'ok') p ON p.rel_path = a.rel_path"
+)
 def d12_pull_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = cids(objects_a(spark, sf_dir)), cids(objects_b(spark, sf_dir))
-    state = a.select("rel_path", "file_cid", F.col("file_cid").alias("base"))
-    pulled = reconcile.pull_plan(b, a).select("rel_path", "file_cid", F.col("file_cid").alias("base"), F.lit("put").alias("op"))
-    return reconcile.upsert(state, pulled)
+    wanted = reconcile.pull_plan(b, a).select("rel_path", "file_cid")
+    done = pulled(spark, sf_dir, "idx <> 2", readable=False).select("rel_path", "status").join(wanted, "rel_path")
+    return reconcile.pull_apply(a.select("rel_path", "file_cid", F.col("file_cid").alias("base")), done)
 
 
-@query(WC + "SELECT o.rel_path, count(DISTINCT c.cid) AS n_fetched FROM objects_b o LEFT JOIN chunks_b c USING (rel_path) GROUP BY o.rel_path")
+@query(WC + ONE_SHOT + "SELECT * FROM pulled")
 def d13_pull_one_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted, held = wanted_and_held(spark, sf_dir)
-    return reconcile.pull_with_held(wanted, held.where("false"), readable=False)
+    return pulled(spark, sf_dir, "idx <> 2", "false", readable=False)
 
 
 SQL_CONFLICT = "coalesce(l IS NOT NULL AND l <> i AND (coalesce(b, '') = '' OR l <> b), false)"
@@ -383,6 +396,15 @@ COMMITS = (
 )
 
 
+# objects_b edits the first line and objects_c the last: with a line between them both edits stand
+MERGES = COMMITS.rstrip() + (
+    ", texts AS (SELECT b.rel_path, decode(a.content) AS tb, decode(b.content) AS ti, decode(c.content) AS tl FROM objects_b b JOIN objects_a a USING (rel_path) JOIN objects_c c USING (rel_path)), "
+    "merges AS (SELECT rel_path, CASE WHEN tl = ti OR ti = tb THEN tl WHEN tl = tb THEN ti WHEN length(tb) - length(replace(tb, chr(10), '')) >= 2 THEN concat('X', substring(tl, 2)) END AS m FROM texts), "
+    "used AS (SELECT n.*, m, coalesce(policy = 'crdt' AND conflict AND regexp_matches(n.rel_path, '\\.(md|txt)$') AND m IS NOT NULL, false) AS use FROM named n LEFT JOIN merges USING (rel_path)), "
+    "answers AS (SELECT rel_path, use OR action = 'take' AS applied, conflict, use AS merged, CASE WHEN use THEN sha256(m) WHEN action = 'take' THEN i ELSE l END AS remote_cid, i, CASE WHEN NOT use THEN conflict_copy END AS conflict_copy FROM used) "
+)
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """objects_b as incoming, objects_c as local, objects_a as base."""
     local = cids(objects_c(spark, sf_dir)).select("rel_path", F.col("file_cid").alias("local_cid"), F.col("mtime_ms").alias("local_mtime_ms"))
@@ -393,13 +415,24 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.join(local, "rel_path", "left").join(base, "rel_path", "left").select("*", policy.alias("policy"), F.lit("peer01").alias("short"))
 
 
+def with_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """commits() with base, local and incoming bytes."""
+    a, b, c = (f(spark, sf_dir).select("rel_path", F.col("content").alias(n)) for f, n in ((objects_a, "base"), (objects_b, "incoming"), (objects_c, "local")))
+    return commits(spark, sf_dir).join(a, "rel_path", "left").join(b, "rel_path", "left").join(c, "rel_path", "left")
+
+
+def rebuilt_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = objects_b(spark, sf_dir)
+    return chunking.reassemble(chunking.manifests(b, CHUNK), chunking.chunk(b, CHUNK)).select("rel_path", "status")
+
+
 @query(
-    COMMITS + "SELECT rel_path, i AS file_cid, CASE WHEN NOT conflict OR action = 'take' THEN i ELSE l END AS base, false AS error FROM named WHERE rel_path NOT LIKE 'src6/%' "
-    "UNION ALL SELECT a.rel_path, a.file_cid, a.file_cid, n.rel_path IS NOT NULL FROM cid_a a LEFT JOIN named n USING (rel_path) WHERE n.rel_path IS NULL OR rel_path LIKE 'src6/%'"
+    MERGES + "SELECT rel_path, CASE WHEN merged THEN remote_cid ELSE i END AS file_cid, CASE WHEN merged THEN remote_cid WHEN NOT conflict OR applied THEN i ELSE remote_cid END AS base, false AS error FROM answers WHERE rel_path NOT LIKE 'src6/%' "
+    "UNION ALL SELECT a.rel_path, a.file_cid, a.file_cid, n.rel_path IS NOT NULL FROM cid_a a LEFT JOIN answers n USING (rel_path) WHERE n.rel_path IS NULL OR rel_path LIKE 'src6/%'"
 )
 def d14_push_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = conflict.replies(conflict.resolve(commits(spark, sf_dir))).drop("conflict_copy")
-    rows = rows.withColumn("ok", ~F.col("rel_path").like("src6/%")).withColumn("merged", F.lit(False))
+    rows = conflict.commit_batch(with_bytes(spark, sf_dir), rebuilt_b(spark, sf_dir)).drop("conflict_copy")
+    rows = rows.withColumn("ok", ~F.col("rel_path").like("src6/%"))
     index = cids(objects_a(spark, sf_dir)).select("rel_path", "file_cid", F.col("file_cid").alias("base"))
     return reconcile.push_apply(index, cids(objects_b(spark, sf_dir)).select("rel_path", "file_cid"), rows)
 
@@ -407,9 +440,7 @@ def d14_push_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(WC + f", plan AS ({D3}), moved AS ({D8.split('SELECT o.rel_path', 1)[0].removeprefix(', ').join(['WITH ', ''])} SELECT rel_path, n FROM new) SELECT p.op, count(*) AS n_files, coalesce(sum(m.n), 0)::BIGINT AS n_new FROM plan p LEFT JOIN moved m USING (rel_path) GROUP BY p.op")
 def d15_push_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = objects_a(spark, sf_dir), objects_b(spark, sf_dir)
-    steps = reconcile.plan(cids(a), cids(b))
-    moved = reconcile.push_plan(chunking.chunk(b, CHUNK, payload=False), b, chunking.chunk(a, CHUNK, payload=False))
-    return steps.join(moved, "rel_path", "left").groupBy("op").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("n_new"), F.lit(0)).cast("long").alias("n_new"))
+    return reconcile.push_once(cids(a), cids(b), chunking.chunk(b, CHUNK, payload=False), chunking.chunk(a, CHUNK, payload=False))
 
 
 # -- conflicts -------------------------------------------------------------------------------------------------------
@@ -441,17 +472,15 @@ def e5_is_mergeable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects_a(spark, sf_dir).select("rel_path", conflict.is_mergeable(F.col("rel_path")).alias("mergeable"))
 
 
-@query()
+@query(MERGES + "SELECT rel_path, CASE WHEN m IS NULL THEN 'conflict' ELSE 'clean' END AS status, sha256(m) AS merged_cid FROM merges")
 def e6_merge3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b, c = (f(spark, sf_dir).select("rel_path", F.col("content").alias(n)) for f, n in ((objects_a, "base"), (objects_b, "incoming"), (objects_c, "local")))
-    return conflict.merge3(a.join(b, "rel_path").join(c, "rel_path")).select("rel_path", "status", F.sha2("merged", 256).alias("merged_cid"))
+    rows = with_bytes(spark, sf_dir).where("base is not null and local is not null")
+    return conflict.merge3(rows).select("rel_path", "status", F.sha2("merged", 256).alias("merged_cid"))
 
 
-@query()
+@query(MERGES + "SELECT rel_path, policy, conflict, CASE WHEN use THEN 'merged' ELSE action END AS action, CASE WHEN NOT use THEN conflict_copy END AS conflict_copy, CASE WHEN use THEN sha256(m) END AS merged_cid FROM used")
 def e7_resolve_with_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b, c = (f(spark, sf_dir).select("rel_path", F.col("content").alias(n)) for f, n in ((objects_a, "base"), (objects_b, "incoming"), (objects_c, "local")))
-    rows = commits(spark, sf_dir).join(a, "rel_path", "left").join(b, "rel_path", "left").join(c, "rel_path", "left")
-    return conflict.resolve_with_merge(rows).select("rel_path", "policy", "conflict", "action", "conflict_copy", F.sha2("merged", 256).alias("merged_cid"))
+    return conflict.resolve_with_merge(with_bytes(spark, sf_dir)).select("rel_path", "policy", "conflict", "action", "conflict_copy", F.sha2("merged", 256).alias("merged_cid"))
 
 
 E8 = (
@@ -465,11 +494,10 @@ def e8_apply_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflict.applied(conflict.resolve(commits(spark, sf_dir)))
 
 
-@query(COMMITS + "SELECT rel_path, action = 'take' AS applied, conflict, CASE WHEN action = 'take' THEN i ELSE l END AS remote_cid, conflict_copy FROM named WHERE NOT contains(rel_path, '/fr/')")
+@query(MERGES + "SELECT rel_path, applied, conflict, merged, remote_cid, conflict_copy FROM answers WHERE NOT contains(rel_path, '/fr/')")
 def e9_commit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = commits(spark, sf_dir).where(rules.target_fault(F.col("rel_path")).isNull() & ~F.contains("rel_path", F.lit("/fr/")))
-    built = chunking.reassemble(chunking.manifests(objects_b(spark, sf_dir), CHUNK), chunking.chunk(objects_b(spark, sf_dir), CHUNK)).where("status = 'ok'").select("rel_path")
-    return conflict.replies(conflict.resolve(rows.join(built, "rel_path", "left_semi")))
+    rows = with_bytes(spark, sf_dir).where(~F.contains("rel_path", F.lit("/fr/")))
+    return conflict.commit_batch(rows, rebuilt_b(spark, sf_dir))
 
 
 @query(
@@ -501,7 +529,22 @@ def e12_delete_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflict.delete_batch(*deletions(spark, sf_dir), strict=True)
 
 
-@query()
+@query(
+    W + ", answers AS (" + E11.format(base="coalesce(a.file_cid, '') <> ''") + ") SELECT a.rel_path, a.file_cid, a.file_cid AS base FROM cid_a a LEFT JOIN answers USING (rel_path) WHERE NOT coalesce(deleted AND NOT conflict, false)"
+)
+def e12_delete_ack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = cids(objects_a(spark, sf_dir)).select("rel_path", "file_cid", F.col("file_cid").alias("base"))
+    return reconcile.delete_ack(index, conflict.delete_batch(*deletions(spark, sf_dir)))
+
+
+E13 = (
+    ", judged13 AS (SELECT b.rel_path, b.content, m, CASE WHEN c.rel_path IS NULL THEN 'new' WHEN c.content = b.content THEN 'equal' WHEN regexp_matches(b.rel_path, '\\.(md|txt)$') AND m IS NOT NULL THEN 'merged' ELSE 'copy' END AS status "
+    "FROM objects_b b LEFT JOIN objects_c c USING (rel_path) LEFT JOIN merges USING (rel_path)) SELECT rel_path, status, CASE WHEN status IN ('new', 'merged') THEN rel_path WHEN status = 'copy' THEN concat(rel_path, '.conflict-peer01') END AS target, "
+    "CASE WHEN status = 'merged' THEN sha256(m) WHEN status IN ('new', 'copy') THEN sha256(content) END AS content_cid FROM judged13"
+)
+
+
+@query(MERGES.rstrip() + E13)
 def e13_apply_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     incoming = objects_b(spark, sf_dir).select("rel_path", F.lit("peer01").alias("peer"), "content")
     done = conflict.apply_loose(incoming, objects_c(spark, sf_dir), objects_a(spark, sf_dir))
@@ -558,6 +601,20 @@ def f10_target_fault(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_paths(spark, sf_dir).select("id", rules.target_fault(F.col("path"), F.lit("src")).alias("fault"))
 
 
+EVENT_PATH = "concat('/', CASE event_id % 9 WHEN 0 THEN 'target-x' WHEN 1 THEN '.git' WHEN 2 THEN 'tmp' WHEN 3 THEN 'dist' WHEN 4 THEN '.cache' WHEN 5 THEN 'src' WHEN 6 THEN '.next' WHEN 7 THEN 'targets' ELSE 'lib' END, '/', event_type)"
+
+
+@query(f"SELECT event_id, NOT {sql_fragments(EVENT_PATH, rules.LOOSE_FRAGMENTS)} AS loose FROM events")
+def f12_loose_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", (~rules.has_fragment(F.expr(EVENT_PATH), rules.LOOSE_FRAGMENTS)).alias("loose"))
+
+
+@query(f"SELECT event_id FROM events WHERE NOT {sql_fragments(EVENT_PATH, rules.REPO_FRAGMENTS)}")
+def f13_repo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.substring(F.expr(EVENT_PATH), F.lit(2), F.lit(1000)).alias("path"))
+    return repos.repo_events(rows).select("event_id")
+
+
 @query(W + "SELECT rel_path, size FROM objects_a WHERE size <= 2048")
 def f14_size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects_a(spark, sf_dir).where(F.col("size") <= 2048).select("rel_path", "size")
@@ -823,9 +880,9 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 REACH = "reach(repo, head, sha) AS (SELECT repo, head, head FROM heads UNION SELECT r.repo, r.head, p.parent FROM reach r JOIN parents p ON p.repo = r.repo AND p.child = r.sha)"
 
 
-@query("SELECT o_custkey AS repo, o_orderpriority AS peer, arg_max(o_orderkey, o_orderkey) AS head FROM orders GROUP BY 1, 2")
+@query("SELECT o_custkey AS repo, o_orderpriority AS peer, arg_min(o_orderkey, o_orderkey) AS head FROM orders GROUP BY 1, 2")
 def k1_acked_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderpriority").alias("peer"), F.col("o_orderkey").alias("head"), F.col("o_orderkey").alias("seq"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderpriority").alias("peer"), F.col("o_orderkey").alias("head"), (-F.col("o_orderkey")).alias("seq"))
     return history.acked_heads(rows)
 
 
@@ -845,18 +902,23 @@ def k3_delta_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {GRAPH} SELECT repo, 'peer' AS peer, CASE WHEN repo % 5 = 0 OR base IS NULL THEN 'adopt' WHEN head = base THEN 'noop' WHEN repo % 7 = 0 THEN 'skip' ELSE 'ff' END AS action FROM heads"
+    f"WITH {GRAPH} SELECT repo, 'peer' AS peer, CASE WHEN repo % 5 = 0 OR base IS NULL THEN 'adopt' WHEN repo % 11 <> 0 AND head = base THEN 'noop' WHEN repo % 7 = 0 THEN 'skip' "
+    "WHEN repo % 11 = 0 THEN CASE WHEN head = base OR repo % 3 = 1 THEN 'ahead' ELSE 'merge' END WHEN repo % 3 = 1 THEN 'ahead' ELSE 'ff' END AS action FROM heads"
 )
 def k4_sync_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest commit comes in, or in one repository of three the one some steps back; a local branch of one in eleven has left there."""
     commits_, heads = graph(spark, sf_dir)
-    incoming = heads.select("repo", F.lit("main").alias("branch"), "head", F.lit("peer").alias("peer"))
-    local = heads.where("repo % 5 <> 0 and base is not null").select("repo", F.when(F.col("repo") % 7 == 0, "dev").otherwise("main").alias("branch"), F.col("base").alias("head"))
-    return history.sync_actions(commits_, incoming, local)
+    rows = heads.withColumn("back", F.col("repo") % 3 == 1).withColumn("fork", (F.col("repo") % 11 == 0) & F.col("base").isNotNull())
+    forks = rows.where("fork").select("repo", (-F.col("base")).alias("sha"), F.array("base").alias("parents"))
+    incoming = rows.select("repo", F.lit("main").alias("branch"), F.when(F.col("back") & F.col("base").isNotNull(), F.col("base")).otherwise(F.col("head")).alias("head"), F.lit("peer").alias("peer"))
+    mine = F.when(F.col("fork"), -F.col("base")).when(F.col("back"), F.col("head")).otherwise(F.col("base"))
+    local = rows.where("repo % 5 <> 0 and base is not null").select("repo", F.when(F.col("repo") % 7 == 0, "dev").otherwise("main").alias("branch"), mine.alias("head"))
+    return history.sync_actions(commits_.select("repo", "sha", "parents").unionByName(forks), incoming, local)
 
 
-@query("SELECT repo, seq FROM (SELECT o_custkey AS repo, o_orderkey AS seq, o_orderpriority AS tree, lag(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) WHERE tree IS DISTINCT FROM before")
+@query("SELECT repo, seq FROM (SELECT o_custkey AS repo, o_orderkey AS seq, o_orderpriority AS tree, lag(o_orderpriority) OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey) AS before FROM orders) WHERE tree IS DISTINCT FROM before")
 def k5_snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo"), F.lit("h").alias("host"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("tree"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo"), (F.col("o_orderkey") % 3).alias("host"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("tree"))
     return history.snapshot_changes(rows).select("repo", "seq")
 
 

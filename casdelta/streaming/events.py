@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from casdelta.operators.history import few
+
 
 def inbox(messages: DataFrame, prefix: str) -> DataFrame:
     """Messages that await a reply, under a topic prefix; for batches and streams."""
@@ -50,8 +52,8 @@ def content_key(messages: DataFrame) -> DataFrame:
 
 
 def fan_out(changes: DataFrame, peers: DataFrame, acked: DataFrame) -> DataFrame:
-    """(peer, rel_path, cid): each change for each peer that hasn't acknowledged it. peers is a small dimension table."""
-    each = changes.withColumn("_k", F.lit(1)).join(peers.select("peer").withColumn("_k", F.lit(1)), "_k").drop("_k")
+    """(peer, rel_path, cid): each change for each peer that hasn't acknowledged it. peers: a dimension table, counted before it is broadcast."""
+    each = changes.crossJoin(F.broadcast(few(peers)))
     return each.select("peer", "rel_path", "cid").join(acked.select("peer", "rel_path", "cid"), ["peer", "rel_path", "cid"], "left_anti")
 
 
