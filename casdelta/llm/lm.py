@@ -337,7 +337,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 2, tokens_a_replica:
                     parts = [net.flat[i : i + block].tobytes() for i in range(0, len(net.flat), block)]
                     yield pd.DataFrame({"replica": replica, "block": range(len(parts)), "weight": float(n), "bytes": parts})
 
-        few = slim.where(F.col("_turn") == turn).repartition(replicas, "replica").sortWithinPartitions("replica", "_mark", "text")
+        few = slim.where(F.col("_turn") == turn).repartitionByRange(replicas, "replica").sortWithinPartitions("replica", "_mark", "text")
         got = average(few.select("replica", "text").mapInPandas(run, "replica long, block int, weight double, bytes binary"))
         parts = {r["block"]: bytes(r["bytes"]) for r in got.select("block", "bytes").collect()}
         if parts:
