@@ -6,15 +6,18 @@ import hashlib
 import os
 import re
 import struct
+import unicodedata
 import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from casdelta.llm import ann, licenses, media, mixing
+from casdelta.llm import ann, licenses, media, mixing, quality
 from casdelta.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -238,3 +241,73 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(rows, out.schema)
     assert before >= counts[0] > counts[1] == counts[2] and counts[3] == counts[4] > 0
     assert corpus_pipeline.run(spark, SF).count() == counts[-1]
+
+
+def words5(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_pipeline_stages_against_plain_python(spark):
+    """Each stage's rows worked out again without Spark, from the rows of the one before it."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select(corpus_pipeline.COLUMNS).collect()]
+    rows += [(None, None, None, None, None), (90001, "", "en", "src1", 0), rows[0], (90002, rows[3][1], "en", None, rows[3][4])]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda r: spark.createDataFrame(r, kinds)
+    steps = dict(corpus_pipeline.STAGES)
+    taken = lambda df: [tuple(r) for r in df.collect()]
+    plain = lambda r: sorted(map(repr, r))
+
+    model = quality.train(frame(rows), spark.read.parquet(f"{SF}/labels.parquet"))
+    good = []
+    for r in rows:
+        t = r[1] or ""
+        w, lines = re.findall(r"[^\x20\x09-\x0D]+", t), t.split("\n")
+        letters, n, upper = sum(c.isalpha() for c in t), max(1, len(w)), sum(unicodedata.category(c) == "Lu" for c in t)
+        x = [len(w), len(t) / n, upper / max(1, letters), letters / max(1, len(t)), sum(c in "!*$#%&|" for c in t) / n, t.count("!!") / n, t.count("|") / n, sum(c in ".?" for c in t) / n, len(set(re.split(r"[\x20\x09-\x0D]+", t))) / n, len(set(lines)) / len(lines)]
+        held = model.bias + sum(v for q, v in model.rules if quality.holds(q, np.array([x]), list(quality.features()))[0])
+        if 1 / (1 + np.exp(-held)) >= 0.3:
+            good.append(r)
+    first = taken(steps["quality"](spark, frame(rows), SF))
+    assert plain(first) == plain(good)
+
+    sets = [words5(r[1]) for r in first]
+    label = list(range(len(first)))
+    near = [[j for j, b in enumerate(sets) if (first[i][1] or "") == (first[j][1] or "") or (a and b and 5 * len(a & b) >= 4 * len(a | b))] for i, a in enumerate(sets)]
+    while (new := [min(label[j] for j in near[i]) for i in range(len(first))]) != label:
+        label = new
+    second = taken(steps["near_duplicates"](spark, frame(first), SF))
+    ids = {}
+    for r, k in zip(first, label, strict=True):
+        ids.setdefault(k, []).append(r)
+    assert len(second) == len(ids) and set(map(repr, second)) <= set(map(repr, first))
+    least = sorted(str(min((r[0] for r in g if r[0] is not None), default=None)) for g in ids.values())
+    assert sorted(str(r[0]) for r in second) == least
+
+    third = {r[0]: r for r in taken(steps["pii"](spark, frame(second), SF))}
+    assert len(third) == len(second)
+    for r in second:
+        new = third[r[0]]
+        assert new[2:4] == r[2:4] and new[4] == (None if r[1] is None else len(new[1]))
+        if not re.search(r"[0-9@]|dot|at\b", r[1] or ""):
+            assert new[1] == r[1]
+        assert not re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", new[1] or "")
+
+    docs = frame(list(third.values()))
+    plan = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(docs).collect()}
+    want = [r for r in third.values() for _ in range(int(plan[r[0]][0] / plan[r[0]][1] + 0.5) if plan[r[0]][1] else 0)]
+    fourth = taken(steps["mixing"](spark, docs, SF))
+    assert plain(fourth) == plain(want)
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    out = [(r["doc_id"], r["n_tokens"], r["ids"], r["decoded_sha256"]) for r in steps["bpe"](spark, frame(fourth), SF).collect()]
+    coded = [(r[0], library.encode(r[1] or "", add_special_tokens=False).ids) for r in fourth]
+    assert plain(out) == plain((i, len(x), x, hashlib.sha256(library.decode(x, skip_special_tokens=False).encode()).hexdigest()) for i, x in coded)
+
+
+def test_pipeline_stages_on_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame([], stage(spark, docs, SF).schema)
+    assert docs.count() == 0
