@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from casdelta.operators.conflict import merge3
+
 _dirs: dict[str, str] = {}
 
 
@@ -82,16 +84,11 @@ def delta_commits(commits: DataFrame, pairs: DataFrame) -> DataFrame:
     return of_head.join(of_base.select("repo", "base", "head", "sha"), ["repo", "base", "head", "sha"], "left_anti")
 
 
-def sync_actions(commits: DataFrame, incoming: DataFrame, local: DataFrame) -> DataFrame:
-    """(repo, peer, action) of incoming (repo, branch, head, peer) against local (repo, branch, head).
-
-    adopt: no local head; noop: same; skip: another branch; ff: the local head is an ancestor of the incoming one; ahead: the other
-    way round; else merge.
-    """
+def _meetings(commits: DataFrame, incoming: DataFrame, local: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Incoming heads with the action for each, the pairs (repo, _head, head) to compare, and all that their heads reach."""
     mine = local.select("repo", F.col("branch").alias("_branch"), F.col("head").alias("_head"))
     both = incoming.join(mine, "repo", "left")
-    open_ = both.where("_head is not null and _head <> head and _branch = branch")
-    pairs = open_.select("repo", "_head", "head").distinct()
+    pairs = both.where("_head is not null and _head <> head and _branch = branch").select("repo", "_head", "head").distinct()
     reach = ancestors(commits, pairs.select("repo", "head").union(pairs.select("repo", "_head")))
     up = pairs.join(reach.select("repo", "head", F.col("sha").alias("_head")), ["repo", "head", "_head"], "left_semi").withColumn("_up", F.lit(True))
     down = pairs.join(reach.select("repo", F.col("head").alias("_head"), F.col("sha").alias("head")), ["repo", "head", "_head"], "left_semi").withColumn("_down", F.lit(True))
@@ -104,7 +101,55 @@ def sync_actions(commits: DataFrame, incoming: DataFrame, local: DataFrame) -> D
         .when(F.col("_down"), "ahead")
         .otherwise("merge")
     )
-    return out.select("repo", "peer", action.alias("action"))
+    return out.withColumn("action", action), pairs, reach
+
+
+def sync_actions(commits: DataFrame, incoming: DataFrame, local: DataFrame) -> DataFrame:
+    """(repo, peer, action) of incoming (repo, branch, head, peer) against local (repo, branch, head).
+
+    adopt: no local head; noop: same; skip: another branch; ff: the local head is an ancestor of the incoming one; ahead: the other
+    way round; else merge.
+    """
+    return _meetings(commits, incoming, local)[0].select("repo", "peer", "action")
+
+
+def merge_bases(commits: DataFrame, pairs: DataFrame, reach: DataFrame) -> DataFrame:
+    """(repo, _head, head, base): the common ancestor of two heads that no other common ancestor descends from.
+
+    Of several such the least id is taken; pairs without one are left out. reach: ancestors() of both heads.
+    """
+    mine, theirs = reach.withColumnRenamed("head", "_head"), reach
+    common = pairs.join(theirs, ["repo", "head"]).join(mine, ["repo", "_head", "sha"]).select("repo", "_head", "head", "sha")
+    # what is below a common ancestor is common too, so only the parents of common ones have to go
+    below = common.join(commits.select("repo", "sha", F.explode("parents").alias("_parent")), ["repo", "sha"])
+    best = common.join(below.select("repo", "_head", "head", F.col("_parent").alias("sha")), ["repo", "_head", "head", "sha"], "left_anti")
+    return best.groupBy("repo", "_head", "head").agg(F.min("sha").alias("base"))
+
+
+def sync_outcomes(commits: DataFrame, incoming: DataFrame, local: DataFrame, entries: DataFrame, stamp: str, branch: str = "sync/conflict") -> DataFrame:
+    """(repo, peer, action, n_clashes, kept) as sync_actions(), with conflict told from merge by the files of both heads.
+
+    entries: repo, sha, path, cid and content (bytes, or null where it is not at hand) of the commits' whole trees. A path clashes
+    if both sides changed it since their merge base, each in its own way, and its lines don't merge; without a base it clashes if
+    both have it and differ. A deletion against an edit clashes. kept names the branch that keeps the incoming head of a conflict.
+    """
+    met, pairs, reach = _meetings(commits, incoming, local)
+    apart = met.where("action = 'merge'").select("repo", "_head", "head").distinct()
+    apart = _staged(apart.join(merge_bases(commits, apart, reach).withColumnRenamed("base", "_base"), ["repo", "_head", "head"], "left"))
+
+    def side(head: str, name: str) -> DataFrame:
+        rows = entries.select("repo", F.col("sha").alias(head), "path", F.col("cid").alias(f"_{name}_cid"), F.col("content").alias(name))
+        return apart.join(rows, ["repo", head]).select("repo", "_head", "head", "path", f"_{name}_cid", name)
+
+    key = ["repo", "_head", "head", "path"]
+    files = side("_head", "local").join(side("head", "incoming"), key, "full_outer").join(side("_base", "base"), key, "left")
+    x, y, b = F.col("_local_cid"), F.col("_incoming_cid"), F.col("_base_cid")
+    edited = files.where(~x.eqNullSafe(y) & ~x.eqNullSafe(b) & ~y.eqNullSafe(b))
+    clashes = merge3(edited).where("status <> 'clean'").groupBy("repo", "_head", "head").agg(F.count("*").alias("n_clashes"))
+    out = met.join(clashes, ["repo", "_head", "head"], "left").withColumn("n_clashes", F.coalesce("n_clashes", F.lit(0)).cast("long"))
+    lost = F.col("n_clashes") > 0
+    name = F.concat(F.lit(f"{branch}-"), F.col("peer"), F.lit(f"-{stamp}"))
+    return out.select("repo", "peer", F.when(lost, "conflict").otherwise(F.col("action")).alias("action"), "n_clashes", F.when(lost, name).alias("kept"))
 
 
 def snapshot_changes(snapshots: DataFrame) -> DataFrame:

@@ -23,6 +23,17 @@ def job_status(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", F.when(running, "running").otherwise("done").alias("state"), F.when(done, code).when(~running, F.lit(-1)).alias("code"))
 
 
+def poll(logs: DataFrame, jobs: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, data, next_offset, running, exit_code) of requests (request_id, job_id, offset): one look at a job that is followed.
+
+    The next request goes from next_offset on while running holds. exit_code is null until then, 0 for a job that nothing is known of.
+    """
+    state = requests.select("request_id", "job_id").join(job_status(jobs), "job_id", "left")
+    running = F.coalesce(F.col("state") == "running", F.lit(False))
+    ends = state.select("request_id", running.alias("running"), F.when(~running, F.coalesce("code", F.lit(0))).alias("exit_code"))
+    return log_delta(logs, requests).join(ends, "request_id")
+
+
 def trim(jobs: DataFrame, most: int = 64, host: str | None = None) -> DataFrame:
     """Jobs kept: the `most` newest by started_ms, else by dir_mtime_ms, else 0; ties to the larger id; by host if one is named."""
     age = F.coalesce("started_ms", "dir_mtime_ms", F.lit(0))

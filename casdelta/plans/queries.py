@@ -674,9 +674,16 @@ def g7_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), ids.policy_of(p).alias("policy"))
 
 
-@query(f"WITH {MESSAGES} SELECT event_id, CASE WHEN payload_hex = 'zz' THEN 'bad_json' ELSE 'ok' END AS status FROM messages")
+@query(f"WITH {MESSAGES} SELECT event_id, CASE WHEN payload_hex = 'zz' THEN 'bad_json' ELSE 'ok' END AS status, CASE WHEN payload_hex <> 'zz' THEN json_extract_string(props, '$.k') END AS k FROM messages JOIN events USING (event_id)")
 def g9_decode_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return authz.decode(messages(spark, sf_dir), "k string", {"k": F.lit("-")}).select("event_id", "status")
+    return authz.decode(messages(spark, sf_dir), "k string", {"k": F.lit("-")}).select("event_id", "status", F.col("body.k").alias("k"))
+
+
+@query(f"WITH {MESSAGES} SELECT event_id, CASE WHEN payload_hex = 'zz' THEN '{{\"ok\":false,\"error\":\"bad_json\"}}' ELSE concat('{{\"ok\":true,\"k\":\"', json_extract_string(props, '$.k'), '\"}}') END AS reply FROM messages JOIN events USING (event_id)")
+def g10_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = authz.decode(messages(spark, sf_dir), "k string")
+    ok = F.col("status") == "ok"
+    return rows.select("event_id", authz.reply(ok, F.when(~ok, F.col("status")), k=F.col("body.k")).alias("reply"))
 
 
 @query(f"WITH {MESSAGES} SELECT event_id, CASE string_split(topic, '/')[2] WHEN 'commit' THEN 'sync' WHEN 'have' THEN 'sync-read' WHEN 'list' THEN 'sync-read' WHEN 'manifest' THEN 'sync-read' END AS action, substring(from_id, 1, 16) AS short FROM messages")
@@ -804,6 +811,22 @@ def i8_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.fan_out(changes, peers, acked).select("peer", "rel_path")
 
 
+@query(
+    W + f", plan AS ({D3}), sent AS (SELECT n_name AS peer, n_nationkey, p.rel_path, coalesce(size, 0) AS size FROM (SELECT * FROM plan WHERE op <> 'unchanged') p CROSS JOIN nation LEFT JOIN objects_b USING (rel_path)) "
+    "SELECT peer, rel_path FROM sent WHERE (size + n_nationkey) % 5 = 0"
+)
+def i6_reemit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One message in five was lost, by size and peer; the next tick sends just these again."""
+    after = objects_b(spark, sf_dir)
+    changes = reconcile.plan(cids(objects_a(spark, sf_dir)), cids(after)).where("op <> 'unchanged'").select("rel_path", F.coalesce("new_cid", "old_cid").alias("cid"))
+    peers = table(spark, sf_dir, "nation").select(F.col("n_name").alias("peer"), "n_nationkey")
+    sent = changes.join(after.select("rel_path", "size"), "rel_path", "left").crossJoin(F.broadcast(peers))
+    acked = sent.where((F.coalesce("size", F.lit(0)) + F.col("n_nationkey")) % 5 != 0).select("peer", "rel_path", "cid")
+    out: list[DataFrame] = []
+    streams.reemit_each(lambda _: changes, lambda _: peers, lambda _: acked, lambda rows, _: out.append(rows))(changes, 0)
+    return out[0].select("peer", "rel_path")
+
+
 LOGS = "logs AS (SELECT conv_id AS job_id, string_agg(text, chr(10) ORDER BY turn, role, text) AS log FROM conversations GROUP BY conv_id)"
 
 
@@ -820,6 +843,17 @@ def i9_log_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.log_delta(logs, asked).select("request_id", ids.content_id(F.col("data")).alias("data"), "next_offset")
 
 
+@query(
+    f"WITH {LOGS}, b AS (SELECT job_id, encode(log) AS c FROM logs) SELECT job_id AS request_id, sha256(CASE WHEN job_id % 300 >= octet_length(c) THEN ''::BLOB ELSE c[job_id % 300 + 1:] END) AS data, "
+    "octet_length(c)::BIGINT AS next_offset, job_id % 3 = 0 AS running, CASE job_id % 3 WHEN 1 THEN 7 WHEN 2 THEN CASE WHEN job_id % 2 = 0 THEN -1 ELSE 0 END END::INTEGER AS exit_code FROM b"
+)
+def i11_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = job_logs(spark, sf_dir)
+    asked = logs.select(F.col("job_id").alias("request_id"), "job_id", (F.col("job_id") % 300).cast("long").alias("offset"))
+    rows = logs.where("job_id % 3 <> 2 or job_id % 2 = 0").selectExpr("job_id", "job_id % 3 = 0 as alive", "CASE WHEN job_id % 3 = 1 THEN '7' END as status")
+    return jobs.poll(logs, rows, asked).withColumn("data", ids.content_id(F.col("data")))
+
+
 @query("SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 4 = 3 AND o_orderkey % 2 = 1 AND o_custkey % 2 = 0 THEN 'running' ELSE 'done' END AS state, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN -1 ELSE CASE WHEN o_custkey % 2 = 0 THEN NULL ELSE -1 END END::INTEGER AS code FROM orders")
 def i10_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey as job_id", "o_custkey % 2 = 0 as alive", "CASE o_orderkey % 4 WHEN 0 THEN '0' WHEN 1 THEN ' 3 ' WHEN 2 THEN 'bad' END as status")
@@ -916,6 +950,29 @@ def k4_sync_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.sync_actions(commits_.select("repo", "sha", "parents").unionByName(forks), incoming, local)
 
 
+TREE_FILES = "files AS (SELECT l_orderkey AS sha, l_linenumber AS path, max(l_partkey) % 4 AS cid FROM lineitem GROUP BY ALL)"
+
+
+@query(
+    f"WITH {GRAPH}, {TREE_FILES}, forks AS (SELECT * FROM heads WHERE base IS NOT NULL), mine AS (SELECT repo, head, path, cid AS b, CASE WHEN path % 3 = repo % 3 THEN 9 ELSE cid END AS l FROM forks JOIN files ON sha = base), "
+    "theirs AS (SELECT repo, path, cid AS i FROM forks JOIN files ON sha = head), clashes AS (SELECT repo, count(*) AS n FROM mine FULL JOIN theirs USING (repo, path) "
+    "WHERE l IS DISTINCT FROM i AND l IS DISTINCT FROM b AND i IS DISTINCT FROM b GROUP BY repo) "
+    "SELECT repo, CASE WHEN head = base THEN 'ahead' WHEN n > 0 THEN 'conflict' ELSE 'merge' END AS action, CASE WHEN head = base THEN 0 ELSE coalesce(n, 0) END AS n_clashes, "
+    "CASE WHEN head <> base AND n > 0 THEN 'sync/conflict-peer-t0' END AS kept FROM forks LEFT JOIN clashes USING (repo)"
+)
+def k4_merge_or_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repository has left the base by a commit of its own, which changes some of the base's files, when the latest commit comes in."""
+    commits_, heads = graph(spark, sf_dir)
+    rows = heads.where("base is not null")
+    forks = rows.select("repo", (-F.col("base")).alias("sha"), F.array("base").alias("parents"))
+    files = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sha"), F.col("l_linenumber").alias("path")).agg((F.max("l_partkey") % 4).alias("cid"))
+    own = rows.join(files, F.col("sha") == F.col("base")).select("repo", (-F.col("base")).alias("sha"), "path", F.when(F.col("path") % 3 == F.col("repo") % 3, 9).otherwise(F.col("cid")).alias("cid"))
+    entries = commits_.select("repo", "sha").join(files, "sha").select("repo", "sha", "path", "cid").unionByName(own).withColumn("content", F.lit(None).cast("binary"))
+    incoming = rows.select("repo", F.lit("main").alias("branch"), "head", F.lit("peer").alias("peer"))
+    local = rows.select("repo", F.lit("main").alias("branch"), (-F.col("base")).alias("head"))
+    return history.sync_outcomes(commits_.select("repo", "sha", "parents").unionByName(forks), incoming, local, entries, "t0").drop("peer")
+
+
 @query("SELECT repo, seq FROM (SELECT o_custkey AS repo, o_orderkey AS seq, o_orderpriority AS tree, lag(o_orderpriority) OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey) AS before FROM orders) WHERE tree IS DISTINCT FROM before")
 def k5_snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo"), (F.col("o_orderkey") % 3).alias("host"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("tree"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from casdelta.operators.authz import authorize
 from casdelta.operators.history import few
 
+OnBatch = Callable[[DataFrame, int], None]
+
 
 def inbox(messages: DataFrame, prefix: str) -> DataFrame:
     """Messages that await a reply, under a topic prefix; for batches and streams."""
@@ -57,6 +60,86 @@ def fan_out(changes: DataFrame, peers: DataFrame, acked: DataFrame) -> DataFrame
     return each.select("peer", "rel_path", "cid").join(acked.select("peer", "rel_path", "cid"), ["peer", "rel_path", "cid"], "left_anti")
 
 
+def judge_each(links: Callable[[SparkSession], DataFrame], roots: Callable[[SparkSession], DataFrame], revoked: Callable[[SparkSession], DataFrame], now: Callable[[], int], write: OnBatch) -> OnBatch:
+    """For foreachBatch over a stream of requests: authz.authorize() with links, roots and revocations as they stand at each batch.
+
+    A revocation holds from the next batch on; the trigger's interval bounds its delay. If a table can't be read the batch fails and
+    is repeated: no request is judged by a list that may be out of date.
+    """
+
+    def each(requests: DataFrame, batch: int) -> None:
+        spark = requests.sparkSession
+        write(authorize(requests, links(spark), roots(spark), revoked(spark), now()), batch)
+
+    return each
+
+
+def reemit_each(changes: Callable[[SparkSession], DataFrame], peers: Callable[[SparkSession], DataFrame], acked: Callable[[SparkSession], DataFrame], write: OnBatch) -> OnBatch:
+    """For foreachBatch over a stream of ticks (a rate source, every ten seconds): all that a peer has not acknowledged by then, again.
+
+    This repairs lost messages and rows that came too late for a watermark; a change that every peer has is not sent again.
+    """
+
+    def each(ticks: DataFrame, batch: int) -> None:
+        spark = ticks.sparkSession
+        write(fan_out(changes(spark), peers(spark), acked(spark)), batch)
+
+    return each
+
+
+class _Tail(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "next_offset long, length long, exit_code int, done boolean")
+        self.early = handle.getMapState("early", "offset long", "data binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at, length, code, done = self.now.get() if self.now.exists() else (0, None, None, False)
+        if done:
+            return
+        waiting = {k[0]: v[0] for k, v in self.early.iterator()} if self.early.exists() else {}
+        held = set(waiting)
+        for r in pd.concat(rows).itertuples():
+            if pd.notna(r.exit_code):
+                length, code = int(r.offset), int(r.exit_code)
+            elif r.data is not None and len(r.data) > len(waiting.get(int(r.offset), b"")):
+                waiting[int(r.offset)] = bytes(r.data)
+                held.discard(int(r.offset))
+        parts = []
+        for offset in sorted(waiting):
+            if offset > at:
+                break
+            part = waiting.pop(offset)[at - offset :]
+            parts.append(part)
+            at += len(part)
+        data = b"".join(parts)
+        done = code is not None and at >= length
+        if done:
+            # bytes past the stated length don't count, in whichever batch they come
+            over = min(at - length, len(data))
+            data, at, waiting = data[: len(data) - over], at - over, {}
+        stored = {k[0] for k in self.early.keys()} if self.early.exists() else set()
+        for offset in stored - set(waiting):
+            self.early.removeKey((offset,))
+        for offset in set(waiting) - held:
+            self.early.updateValue((offset,), (waiting[offset],))
+        self.now.update((at, length, code, done))
+        if data or done:
+            yield pd.DataFrame({"job_id": [key[0]], "data": [data], "next_offset": [at], "exit_code": pd.array([code if done else None], "Int32")})
+
+    def close(self) -> None:
+        pass
+
+
+def tail(pieces: DataFrame) -> DataFrame:
+    """(job_id, data, next_offset, exit_code) of a stream of log pieces (job_id, offset, data, exit_code): each byte once, in order.
+
+    A piece may come again, overlap or come before its turn, when it waits. A job ends by a row with an exit_code and the log's length
+    as its offset; exit_code is set on the row that brings the last byte, and nothing follows it.
+    """
+    kind = pieces.schema["job_id"].dataType.simpleString()
+    return pieces.groupBy("job_id").transformWithStateInPandas(_Tail(), f"job_id {kind}, data binary, next_offset long, exit_code int", "Append", "None")
+
+
 class _Replay(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.now = handle.getValueState("now", "cid string, mtime_ms long, n_conflicts long")
