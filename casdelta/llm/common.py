@@ -7,10 +7,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: White space of the contracts: space and U+0009 to U+000D. Every other run of characters is a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,3 +86,48 @@ def id_bucket(doc_id: Column, n: int) -> Column:
 
 def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def ranges(spark: SparkSession, rows: int) -> int:
+    """How many ranges to deal so many slim rows into: no fewer than keep all cores busy, and none of more than a million rows."""
+    return max(rows // 1_000_000 + 1, min(rows // 2_000 + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, group: str | None = None, broadcast_rows: int = 500_000) -> DataFrame:
+    """df with `name`: the place, from 0, of each row in its group (a column of strings without nulls; None: all rows) by `order`.
+
+    Rows are dealt by ranges of group and order and numbered within them as they stream by; the sizes of the ranges before are then
+    added. No group needs a task of its own. Rows that tie in all of `order` take their places in the order they were written.
+    """
+    spark = df.sparkSession
+    tie, part = free(df, "_tie", "_part")
+    by = group or free(df, "_all")[0]
+    held = staged(df.withColumn(tie, F.monotonically_increasing_id()), "numbered-rows")
+    rows = held.count()
+    keys = [*([F.col(group)] if group else []), *order, F.col(tie)]
+    sorted_rows = held.repartitionByRange(ranges(spark, rows), *keys).sortWithinPartitions(*keys).drop(tie)
+    sorted_rows = sorted_rows if group else sorted_rows.withColumn(by, F.lit(""))
+    at = sorted_rows.columns.index(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, now, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column(at))
+            ends, values = runs.run_ends.to_numpy(), runs.values.to_pylist()
+            starts = np.concatenate([[0], ends[:-1]])
+            if values[0] == now:
+                starts[0] -= seen
+            place = np.arange(batch.num_rows) - np.repeat(starts, np.diff(ends, prepend=0))
+            now, seen = values[-1], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, task, np.int32)), pa.array(place.astype(np.int64))], [*batch.schema.names, part, name])
+
+    schema = StructType([*sorted_rows.schema.fields, StructField(part, IntegerType()), StructField(name, LongType())])
+    dealt = staged(sorted_rows.mapInArrow(run, schema), "numbered")
+    sizes = dealt.groupBy(by, part).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    heads = staged(sizes.select(by, part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_head")), "numbered-heads")
+    heads = F.broadcast(heads) if heads.count() <= broadcast_rows else heads
+    out = dealt.join(heads, [by, part]).withColumn(name, F.col(name) + F.col("_head"))
+    return out.select(*df.columns, name)
