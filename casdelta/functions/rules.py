@@ -6,9 +6,13 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casdelta.operators.skew import hot_join
+from casdelta.staging import staged
+
 # Built-in ignore rules, names never synced, and path fragments that repositories and loose files leave out.
 BUILTIN = [".git/", "target/", "node_modules/", ".DS_Store", "*~", "*.swp", "*.tmp", ".#*"]
 SKIP = ["target", ".git", "node_modules", ".DS_Store"]
@@ -31,7 +35,10 @@ LOOSE_FRAGMENTS = [
     "/scratchpad/",
     "/.DS_Store",
 ]
+#: Payloads of more bytes are not sent inline.
 INLINE_MAX = 2 * 1024 * 1024
+#: Characters of a segment's literal head or tail by which a rule is looked up, at most.
+KEY_CHARS = 4
 
 
 @dataclass(frozen=True)
@@ -110,6 +117,91 @@ def ignored_by_table(paths: DataFrame, rules: DataFrame, path: str = "rel_path")
     return hit.groupBy(path).agg(F.coalesce(F.max_by(~F.col("negated"), "rule_idx"), F.lit(False)).alias("ignored"))
 
 
+def _literal_text(segment: str) -> bool:
+    return "*" not in segment and "?" not in segment
+
+
+def rule_key(pattern: str, anchored: bool) -> tuple[str, str]:
+    """(kind, key) of something that every path has which the rule matches, the most telling that the pattern offers.
+
+    prefix: the path is this folder or below it, or is this path; segment: one of its segments; ext: what follows the last dot of one;
+    head or tail: how one begins or ends, with the number of characters behind the kind; any: nothing is sure.
+    """
+    parts = pattern.split("/")
+    # what follows a segment such as x** may begin within a segment
+    whole = [_literal_text(p) and not (i and parts[i - 1].endswith("**") and parts[i - 1] != "**") for i, p in enumerate(parts)]
+    lead = next((i for i, ok in enumerate(whole) if not ok), len(parts))
+    if anchored and lead:
+        return "prefix", "/".join(parts[:lead])
+    if sure := [p for p, ok in zip(parts, whole, strict=True) if ok and p]:
+        return "segment", max(sure, key=len)
+    last, first = parts[-1], parts[0]
+    tail = re.search(r"[^*?]*\Z", last)[0]
+    if "." in tail:
+        return "ext", tail.rpartition(".")[2]
+    if tail:
+        return f"tail{len(tail[-KEY_CHARS:])}", tail[-KEY_CHARS:]
+    head = re.match(r"[^*?]*", first)[0]
+    if head:
+        return f"head{len(head[:KEY_CHARS])}", head[:KEY_CHARS]
+    return "any", ""
+
+
+def path_keys(path: Column, kinds: Sequence[str]) -> Column:
+    """Array of (kind, key) of all that a path can be looked up by, of the kinds that rules have."""
+    parts = F.split(path, "/", -1)
+    each = {
+        "prefix": F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")),
+        "segment": parts,
+        "ext": F.transform(F.filter(parts, lambda p: F.contains(p, F.lit("."))), lambda p: F.substring_index(p, ".", -1)),
+        "any": F.array(F.lit("")),
+    }
+    def ends(n: int) -> dict[str, Column]:
+        long = F.filter(parts, lambda p: F.length(p) >= n)
+        return {f"head{n}": F.transform(long, lambda p: F.substring(p, 1, n)), f"tail{n}": F.transform(long, lambda p: F.substring(p, -n, n))}
+
+    def tagged_as(kind: str) -> Column:
+        return F.transform(each[kind], lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+
+    for n in range(1, KEY_CHARS + 1):
+        each |= ends(n)
+    tagged = [tagged_as(k) for k in sorted(kinds)]
+    return F.array_distinct(F.concat(*tagged)) if tagged else F.array().cast("array<struct<kind:string,key:string>>")
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(kind, key, rules: array of (rule_idx, negated, rx)) of rules (rule_idx, pattern, negated, anchored, dir_only), a row a key.
+
+    Of rules with the same pattern and flags only the last counts, so the rules under `any` are few, however many there are.
+    """
+
+    def derive(pattern: pd.Series, anchored: pd.Series, dir_only: pd.Series) -> pd.DataFrame:
+        made = [(*rule_key(p, a), Rule(p, False, a, d).regex()) for p, a, d in zip(pattern, anchored, dir_only, strict=True)]
+        return pd.DataFrame(made, columns=["kind", "key", "rx"])
+
+    last = rules.groupBy("pattern", "anchored", "dir_only").agg(F.max(F.struct("rule_idx", "negated")).alias("r"))
+    made = last.withColumn("d", F.pandas_udf(derive, "kind string, key string, rx string")("pattern", "anchored", "dir_only"))
+    return made.groupBy("d.kind", "d.key").agg(F.collect_list(F.struct("r.rule_idx", "r.negated", "d.rx")).alias("rules"))
+
+
+def ignored_by_index(paths: DataFrame, rules: DataFrame, path: str = "rel_path") -> DataFrame:
+    """paths with `ignored`, as is_ignored() has it, for a table of many rules (of parsed_rules()); every row of paths stays.
+
+    Rules meet paths by equijoins on literal prefixes, segments, extensions, heads and tails; a regex is tried only on what meets. Each
+    distinct path is looked up once. A null path is not ignored.
+    """
+    index = staged(rule_index(rules), "rules")
+    kinds = [r["kind"] for r in index.select("kind").distinct().collect()]  # eleven at most
+    tag = F.concat_ws(":", "kind", "key").alias("tag")
+    known = index.select(tag, "rules")
+    names = paths.select(F.col(path).alias("path")).where("path is not null").distinct()
+    asked = names.select("path", F.inline(path_keys(F.col("path"), kinds))).select("path", tag)
+    met = hot_join(asked, known, "tag", ["path"], "inner").select("path", F.explode("rules").alias("r"))
+    hits = met.where("path rlike r.rx").groupBy("path").agg(F.max_by(~F.col("r.negated"), "r.rule_idx").alias("ignored"))
+    out = paths.join(hits.withColumnRenamed("path", "_path"), F.col(path) == F.col("_path"), "left").drop("_path")
+    return out.withColumn("ignored", F.coalesce("ignored", F.lit(False)))
+
+
 def skip_any_component(path: Column) -> Column:
     last = F.element_at(F.split(path, "/"), -1)
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, SKIP))) | last.rlike(r"(?s)~\z|\.swp\z|\.tmp\z|\A\.#")

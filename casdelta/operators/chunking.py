@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casdelta.functions.ids import CHUNK_SIZE, chunk_array, content_id
+from casdelta.operators.skew import hot_join
 
 KIND = "object-v1"
 
@@ -34,16 +35,20 @@ def manifests(objects: DataFrame, chunk_size: int = CHUNK_SIZE, key: str = "rel_
     )
 
 
-def reassemble(wanted: DataFrame, blobs: DataFrame, key: str = "rel_path", strict: bool = False) -> DataFrame:
+def reassemble(wanted: DataFrame, blobs: DataFrame, key: str = "rel_path", strict: bool = False, once: bool = False, all_wanted: bool = False) -> DataFrame:
     """(key, status, content) from manifests (key, file_cid, chunks) and blobs (cid, bytes).
 
     status: ok, missing_chunk, bad_chunk or bad_file; content is null unless ok. strict raises instead. Each distinct chunk is
-    read and checked once; a file of no chunks is the empty file.
+    read and checked once; a file of no chunks is the empty file. A chunk that very many files share, such as a block of zeros, is
+    replicated to tasks that share its files, and none has them all. once: blobs has each id once already. all_wanted: blobs is no
+    more than what these files need; otherwise blobs of other ids are dropped before they meet the files.
     """
     parts = wanted.select(key, "file_cid", F.posexplode_outer("chunks").alias("idx", "cid"))
-    asked = blobs.select("cid", "bytes").join(parts.select("cid").distinct(), "cid", "left_semi")
-    known = asked.groupBy("cid").agg(F.first("bytes").alias("bytes")).withColumn("good", content_id(F.col("bytes")) == F.col("cid"))
-    joined = parts.join(known, "cid", "left")
+    known = blobs.select("cid", "bytes") if once else blobs.groupBy("cid").agg(F.first("bytes").alias("bytes"))
+    if not all_wanted:
+        known = known.join(parts.select("cid").distinct(), "cid", "left_semi")
+    known = known.withColumn("good", content_id(F.col("bytes")) == F.col("cid"))
+    joined = hot_join(parts, known, "cid", [key, "idx"])
     whole = joined.groupBy(key, "file_cid").agg(
         F.bool_or(F.col("cid").isNotNull() & F.col("good").isNull()).alias("lacks"),
         F.bool_or(F.col("cid").isNotNull() & ~F.col("good")).alias("spoilt"),
@@ -59,37 +64,45 @@ def entry_line(x: Column) -> Column:
     return F.concat(x["path"], F.lit("\x00"), x["file_cid"], F.lit("\x00"), x["size"].cast("string"), F.lit("\n"))
 
 
-def tree_cids(entries: DataFrame, tree: str = "tree_id") -> DataFrame:
-    """(tree, tree_cid, n) of trees that fit in a row: SHA-256 of the sorted entries' lines."""
+def tree_cids(entries: DataFrame, tree: str = "tree_id", most: int = 100_000) -> DataFrame:
+    """(tree, tree_cid, n): SHA-256 of the sorted entries' lines (path, file_cid, size); trees of more than `most` entries, as counted, stream."""
+    small = entries.groupBy(tree).agg(F.count("*").alias("_n")).where(F.col("_n") <= most).select(tree)
     sorted_rows = F.array_sort(F.collect_list(F.struct("path", "file_cid", "size")))
     lines = F.array_join(F.transform("e", entry_line), "")
-    return entries.groupBy(tree).agg(sorted_rows.alias("e")).select(tree, F.sha2(lines, 256).alias("tree_cid"), F.size("e").cast("long").alias("n"))
+    in_rows = entries.join(small, tree, "left_semi").groupBy(tree).agg(sorted_rows.alias("e")).select(tree, F.sha2(lines, 256).alias("tree_cid"), F.size("e").cast("long").alias("n"))
+    return in_rows.unionByName(large_tree_cids(entries.join(small, tree, "left_anti"), tree))
 
 
-def large_tree_cids(entries: DataFrame, tree: str = "tree_id") -> DataFrame:
-    """As tree_cids() for trees of any size: sorted rows stream through one running digest a tree, in constant memory."""
+def streamed_digests(rows: DataFrame, group: str, line: Column, order: list[str], digest: str) -> DataFrame:
+    """(group, digest, n): SHA-256 of each group's lines in order, as one running digest, in constant memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, digest, n = None, None, 0
+        now, sha, n = None, None, 0
+        kind = None
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], ["tree", "tree_cid", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([sha.hexdigest()]), pa.array([n], pa.int64())], ["group", "digest", "n"])
 
         for batch in batches:
-            for t, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if digest is None or t != now:
-                    if digest is not None:
+            kind = batch.schema.field(0).type
+            for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if sha is None or t != now:
+                    if sha is not None:
                         yield done()
-                    now, digest, n = t, hashlib.sha256(), 0
-                digest.update(line.encode("utf-8"))
+                    now, sha, n = t, hashlib.sha256(), 0
+                sha.update(x.encode("utf-8"))
                 n += 1
-        if digest is not None:
+        if sha is not None:
             yield done()
 
-    rows = entries.repartition(tree).sortWithinPartitions(tree, "path", "file_cid", "size")
+    out = rows.repartition(group).sortWithinPartitions(group, *order).select(F.col(group).alias("group"), line.alias("line"))
+    return out.mapInArrow(run, f"group {out.schema['group'].dataType.simpleString()}, digest string, n long").select(F.col("group").alias(group), F.col("digest").alias(digest), "n")
+
+
+def large_tree_cids(entries: DataFrame, tree: str = "tree_id") -> DataFrame:
+    """As tree_cids() for trees of any size; one task a tree, as the digest runs over its entries in order."""
     line = F.concat(F.col("path"), F.lit("\x00"), F.col("file_cid"), F.lit("\x00"), F.col("size").cast("string"), F.lit("\n"))
-    out = rows.select(F.col(tree).alias("tree"), line.alias("line"))
-    return out.mapInArrow(run, f"tree {out.schema['tree'].dataType.simpleString()}, tree_cid string, n long").withColumnRenamed("tree", tree)
+    return streamed_digests(entries, tree, line, ["path", "file_cid", "size"], "tree_cid")
 
 
 def file_cids(entries: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import difflib
+from collections.abc import Iterator
+from hashlib import sha256
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casdelta.functions.diff import merge_texts
 from casdelta.functions.rules import target_fault
 
 # File name extensions whose conflicts merge as lines of text.
@@ -58,38 +62,16 @@ def resolve(rows: DataFrame) -> DataFrame:
     return out.withColumn("conflict_copy", F.when(c("conflict"), copy_name(c("rel_path"), c("short"), loser)))
 
 
-def _changed(base: list[str], other: list[str]) -> list[tuple[int, int, list[str]]]:
-    return [(a, b, other[c:d]) for tag, a, b, c, d in difflib.SequenceMatcher(None, base, other, autojunk=False).get_opcodes() if tag != "equal"]
+def _merge(base: pd.Series, local: pd.Series, incoming: pd.Series) -> pd.DataFrame:
+    out = [None if b is None or x is None or y is None else merge_texts(b, x, y) for b, x, y in zip(base, local, incoming, strict=True)]
+    return pd.DataFrame({"text": pd.Series([m and m.text for m in out], dtype=object), "clashes": pd.Series([m.clashes if m else 0 for m in out], dtype="int64")})
 
 
-def merge_lines(base: str, local: str, incoming: str) -> str | None:
-    """Both sides' line edits of base, or null where edited regions meet."""
-    lines = base.splitlines(keepends=True)
-    ours, theirs = _changed(lines, local.splitlines(keepends=True)), _changed(lines, incoming.splitlines(keepends=True))
-    out, at, i, j = [], 0, 0, 0
-    while i < len(ours) or j < len(theirs):
-        mine, yours = ours[i] if i < len(ours) else None, theirs[j] if j < len(theirs) else None
-        if mine == yours:
-            edit, i, j = mine, i + 1, j + 1
-        elif yours is None or (mine is not None and mine[1] < yours[0]):
-            edit, i = mine, i + 1
-        elif mine is None or yours[1] < mine[0]:
-            edit, j = yours, j + 1
-        else:
-            return None
-        out += lines[at : edit[0]] + edit[2]
-        at = edit[1]
-    return "".join(out + lines[at:])
+def merge3(rows: DataFrame, inline: bool = False) -> DataFrame:
+    """rows (base, local, incoming as bytes) with status (clean, conflict, not_text) and merged text, null unless clean.
 
-
-def _merge(base: pd.Series, local: pd.Series, incoming: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None or x is None or y is None else merge_lines(b, x, y) for b, x, y in zip(base, local, incoming, strict=True)], dtype=object)
-
-
-def merge3(rows: DataFrame) -> DataFrame:
-    """rows (base, local, incoming as bytes) with status (clean, conflict, not_text) and merged text.
-
-    Sides that are equal or unchanged are settled in columns; only the rest is merged line by line, in Arrow batches.
+    Sides that are equal or unchanged are settled in columns; only the rest is merged line by line, in Arrow batches. With inline
+    there are n_clashes too and inline_text, where a conflict holds both versions and the base between marks, so that none is lost.
     """
     text = {k: F.try_validate_utf8(F.col(k).cast("string")) for k in ("base", "local", "incoming")}
     out = rows.select("*", *(t.alias(f"_{k}") for k, t in text.items()))
@@ -97,11 +79,12 @@ def merge3(rows: DataFrame) -> DataFrame:
     easy = F.when((F.col("_local") == F.col("_incoming")) | (F.col("_incoming") == F.col("_base")), F.col("_local")).when(F.col("_local") == F.col("_base"), F.col("_incoming"))
     out = out.withColumn("_easy", F.when(usable, easy))
     hard = lambda k: F.when(usable & F.col("_easy").isNull(), F.col(k))
-    lines = F.pandas_udf(_merge, "string")
+    lines = F.pandas_udf(_merge, "text string, clashes long")
     out = out.withColumn("_hard", lines(hard("_base"), hard("_local"), hard("_incoming")))
-    merged = F.coalesce("_easy", "_hard")
+    merged = F.coalesce("_easy", F.when(F.col("_hard.clashes") == 0, F.col("_hard.text")))
     status = F.when(~usable, "not_text").when(merged.isNull(), "conflict").otherwise("clean")
-    return out.select(*rows.columns, status.alias("status"), merged.alias("merged"))
+    more = [F.coalesce(F.when(usable, F.col("_hard.clashes")), F.lit(0)).cast("long").alias("n_clashes"), F.coalesce("_easy", F.when(usable, F.col("_hard.text"))).alias("inline_text")] if inline else []
+    return out.select(*rows.columns, status.alias("status"), merged.alias("merged"), *more)
 
 
 def resolve_with_merge(rows: DataFrame) -> DataFrame:
@@ -121,31 +104,138 @@ def resolve_with_merge(rows: DataFrame) -> DataFrame:
 
 
 def applied(resolved: DataFrame) -> DataFrame:
-    """(rel_path, kind, cid, mtime_ms): the rows a resolution leaves, kind file or copy, in one pass; no version is lost."""
+    """(rel_path, kind, cid, mtime_ms, content): the rows a resolution leaves, kind file or copy, in one pass.
+
+    No version is lost: one side is the file and the other, where they conflict, its copy; a merged file holds both sides' edits, and
+    its bytes are in content, as no store has them yet. Its time is the later of both. resolved: of resolve() or resolve_with_merge().
+    """
     c = F.col
-    take = c("action") == "take"
-    file = F.struct(c("rel_path").alias("rel_path"), F.lit("file").alias("kind"), F.when(take, c("incoming_cid")).otherwise(c("local_cid")).alias("cid"), F.when(take, c("incoming_mtime_ms")).otherwise(c("local_mtime_ms")).alias("mtime_ms"))
-    loser = F.struct(c("conflict_copy").alias("rel_path"), F.lit("copy").alias("kind"), F.when(take, c("local_cid")).otherwise(c("incoming_cid")).alias("cid"), F.when(take, c("local_mtime_ms")).otherwise(c("incoming_mtime_ms")).alias("mtime_ms"))
+    take, text = c("action") == "take", c("merged") if "merged" in resolved.columns else F.lit(None).cast("string")
+    merged = c("action") == "merged"
+    content = F.when(merged, F.encode(text, "UTF-8"))
+    both = F.greatest("local_mtime_ms", "incoming_mtime_ms")
+    row = lambda path, kind, cid, mtime, data: F.struct(path.alias("rel_path"), F.lit(kind).alias("kind"), cid.alias("cid"), mtime.alias("mtime_ms"), data.alias("content"))
+    file = row(
+        c("rel_path"),
+        "file",
+        F.when(merged, F.sha2(content, 256)).when(take, c("incoming_cid")).otherwise(c("local_cid")),
+        F.when(merged, both).when(take, c("incoming_mtime_ms")).otherwise(c("local_mtime_ms")),
+        content,
+    )
+    loser = row(c("conflict_copy"), "copy", F.when(take, c("local_cid")).otherwise(c("incoming_cid")), F.when(take, c("local_mtime_ms")).otherwise(c("incoming_mtime_ms")), F.lit(None).cast("binary"))
     return resolved.select(F.inline(F.filter(F.array(file, loser), lambda x: x["rel_path"].isNotNull())))
 
 
+def accepted(rows: DataFrame, built: DataFrame) -> DataFrame:
+    """Commits (as resolve_with_merge() takes them) of safe paths whose files were rebuilt and verified (built: rel_path, status), resolved."""
+    ready = built.where("status = 'ok'").select("rel_path")
+    return resolve_with_merge(rows.where(target_fault(F.col("rel_path")).isNull()).join(ready, "rel_path", "left_semi"))
+
+
 def replies(resolved: DataFrame) -> DataFrame:
-    """(rel_path, applied, conflict, remote_cid, conflict_copy): what the sender hears; the base it should hold is remote_cid."""
-    take = F.col("action") == "take"
-    return resolved.select("rel_path", take.alias("applied"), "conflict", F.when(take, F.col("incoming_cid")).otherwise(F.col("local_cid")).alias("remote_cid"), "conflict_copy")
+    """(rel_path, applied, conflict, merged, remote_cid, remote_mtime_ms, conflict_copy): what the sender hears.
+
+    remote_cid and its time are what the receiver has afterwards: the merged text's, which no side had before, the incoming ones where
+    they were taken, else the local ones.
+    """
+    merged, take = F.col("action") == "merged", F.col("action") == "take"
+    remote = F.when(merged, F.sha2("merged", 256)).when(take, F.col("incoming_cid")).otherwise(F.col("local_cid"))
+    mtime = F.when(merged, F.greatest("local_mtime_ms", "incoming_mtime_ms")).when(take, F.col("incoming_mtime_ms")).otherwise(F.col("local_mtime_ms"))
+    return resolved.select("rel_path", (merged | take).alias("applied"), "conflict", merged.alias("merged"), remote.alias("remote_cid"), mtime.alias("remote_mtime_ms"), "conflict_copy")
 
 
 def commit_batch(rows: DataFrame, built: DataFrame) -> DataFrame:
-    """(rel_path, applied, conflict, merged, remote_cid, conflict_copy) of commits (as resolve_with_merge() takes them).
+    """replies() to commits; a commit of an unsafe path, or of a file that was not rebuilt, gets none. One commit a path: see journal()."""
+    return replies(accepted(rows, built))
 
-    built: rel_path, status of the sent files, rebuilt and verified. A commit of an unsafe path, or of a file that was not rebuilt,
-    gets no reply. A clean merge is applied; remote_cid is then the id of the merged text, which no side had before.
+
+def committed(state: DataFrame, resolved: DataFrame) -> DataFrame:
+    """state (rel_path, cid, mtime_ms) after accepted() commits: files as resolved, copies beside them, all other rows as they were."""
+    new = applied(resolved).groupBy("rel_path").agg(F.max_by(F.struct("cid", "mtime_ms"), "kind").alias("_new"))
+    joined = state.join(new, "rel_path", "full_outer")
+    pick = lambda k: F.when(F.col("_new").isNotNull(), F.col(f"_new.{k}")).otherwise(F.col(k)).alias(k)
+    return joined.select("rel_path", pick("cid"), pick("mtime_ms"))
+
+
+def published(resolved: DataFrame) -> DataFrame:
+    """(cid, bytes) that accepted() commits add to a store of whole files: the incoming bytes, whoever won, and the merged ones; each once.
+
+    A copy's or a merge's content can then be fetched by its id. resolved has incoming (bytes).
     """
-    ready = built.where("status = 'ok'").select("rel_path")
-    done = resolve_with_merge(rows.where(target_fault(F.col("rel_path")).isNull()).join(ready, "rel_path", "left_semi"))
-    merged = F.col("action") == "merged"
-    remote = F.when(merged, F.sha2("merged", 256)).when(F.col("action") == "take", F.col("incoming_cid")).otherwise(F.col("local_cid"))
-    return done.select("rel_path", (merged | (F.col("action") == "take")).alias("applied"), "conflict", merged.alias("merged"), remote.alias("remote_cid"), "conflict_copy")
+    sent = F.struct(F.col("incoming_cid").alias("cid"), F.col("incoming").alias("bytes"))
+    made = F.when(F.col("action") == "merged", F.struct(F.sha2("merged", 256).alias("cid"), F.encode("merged", "UTF-8").alias("bytes")))
+    return resolved.select(F.inline(F.filter(F.array(sent, made), lambda x: x["bytes"].isNotNull()))).groupBy("cid").agg(F.first("bytes").alias("bytes"))
+
+
+class Version(NamedTuple):
+    cid: str | None
+    mtime: int | None
+    text: str | None = None
+
+
+def meet(now: Version, new: Version, base: str | None, policy: str = "lww", ancestor: str | None = None) -> tuple[Version, str, bool]:
+    """The version after a commit meets the present one, the action (take, keep, merged), and whether they were in conflict.
+
+    Texts are null where they are not at hand or not to be merged; ancestor is the base's text.
+    """
+    if now.cid is None or now.cid == new.cid or (base and now.cid == base):
+        return new, "take", False
+    if policy == "crdt" and base and now.text is not None and new.text is not None and ancestor is not None:
+        merge = merge_texts(ancestor, now.text, new.text)
+        if not merge.clashes:
+            return Version(sha256(merge.text.encode("utf-8")).hexdigest(), max(now.mtime, new.mtime), merge.text), "merged", True
+    if policy != "copy" and (new.mtime, new.cid) > (now.mtime, now.cid):
+        return new, "take", True
+    return now, "keep", True
+
+
+def journal(state: DataFrame, log: DataFrame) -> DataFrame:
+    """(rel_path, seq, action, conflict, conflict_copy, lost_cid, lost_mtime_ms, cid, mtime_ms, merged): a row for each commit of a log.
+
+    state: rel_path, cid, mtime_ms, content. log: rel_path, seq, cid, mtime_ms, base, policy, short, content, ancestor (bytes of both,
+    or null). Each commit meets what the one before it left, merges included. cid and mtime_ms are what the path holds afterwards,
+    merged its bytes where they are new; conflict_copy names the loser, lost_cid. Commits of one seq go by cid. A path's sorted log
+    streams through one task in constant memory, however long it is.
+    """
+    text = lambda c: F.when(is_mergeable(F.col("rel_path")), F.try_validate_utf8(F.col(c).cast("string")))
+    none = lambda kind: F.lit(None).cast(kind)
+    start = state.select("rel_path", F.lit(0).alias("turn"), none("long").alias("seq"), "cid", F.col("mtime_ms").cast("long").alias("mtime_ms"), none("string").alias("base"), none("string").alias("policy"), none("string").alias("short"), text("content").alias("text"), none("string").alias("ancestor"))
+    step = log.select("rel_path", F.lit(1).alias("turn"), F.col("seq").cast("long").alias("seq"), "cid", F.col("mtime_ms").cast("long").alias("mtime_ms"), F.nullif("base", F.lit("")).alias("base"), "policy", "short", text("content").alias("text"), text("ancestor").alias("ancestor"))
+    order = ["rel_path", "turn", "seq", "cid"]
+    rows = start.join(log.select("rel_path").distinct(), "rel_path", "left_semi").unionByName(step).repartition("rel_path").sortWithinPartitions(*order)
+    names = ["rel_path", "seq", "action", "conflict", "short", "lost_cid", "lost_mtime", "cid", "mtime_ms", "merged"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, now = None, Version(None, None)
+        for batch in batches:
+            out = []
+            for rel, turn, seq, cid, mtime, base, policy, short, body, ancestor in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rel != path:
+                    path, now = rel, Version(None, None)
+                new = Version(cid, mtime, body)
+                if not turn:
+                    now = new
+                    continue
+                after, action, conflict = meet(now, new, base, policy or "lww", ancestor)
+                loser = (now if action == "take" else new) if conflict and action != "merged" else Version(None, None)
+                out.append((rel, seq, action, conflict, short, loser.cid, loser.mtime, after.cid, after.mtime, after.text if action == "merged" else None))
+                now = after
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    done = rows.mapInArrow(run, "rel_path string, seq long, action string, conflict boolean, short string, lost_cid string, lost_mtime long, cid string, mtime_ms long, merged string")
+    copy = F.when(F.col("lost_cid").isNotNull(), copy_name(F.col("rel_path"), F.col("short"), F.col("lost_mtime")))
+    return done.select("rel_path", "seq", "action", "conflict", copy.alias("conflict_copy"), "lost_cid", F.col("lost_mtime").alias("lost_mtime_ms"), "cid", "mtime_ms", F.encode("merged", "UTF-8").alias("merged"))
+
+
+def journal_state(state: DataFrame, entries: DataFrame) -> DataFrame:
+    """state (rel_path, cid, mtime_ms) after a journal(): what each path holds last, and the copies."""
+    last = entries.groupBy("rel_path").agg(F.max_by(F.struct("cid", "mtime_ms"), F.struct("seq", "cid")).alias("_new"))
+    copies = entries.where("conflict_copy is not null").groupBy(F.col("conflict_copy").alias("rel_path")).agg(F.max_by(F.struct(F.col("lost_cid").alias("cid"), F.col("lost_mtime_ms").alias("mtime_ms")), "seq").alias("_new"))
+    joined = state.select("rel_path", "cid", "mtime_ms").join(last.unionByName(copies).groupBy("rel_path").agg(F.first("_new").alias("_new")), "rel_path", "full_outer")
+    pick = lambda k: F.when(F.col("_new").isNotNull(), F.col(f"_new.{k}")).otherwise(F.col(k)).alias(k)
+    return joined.select("rel_path", pick("cid"), pick("mtime_ms"))
 
 
 def replay(state: DataFrame, log: DataFrame) -> DataFrame:

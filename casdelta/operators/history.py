@@ -1,41 +1,42 @@
-"""Commit graphs: ancestry, what to send, and what to do with a peer's head."""
+"""Commit graphs: ancestry, what to send, and what to do with a peer's head.
+
+A repository's commits are walked once, from the asked heads only, in order of generation: children before parents. Each commit holds
+a bitmap of the asked heads that reach it, so one pass over a repository answers all its questions, whatever the depth. Repositories
+stream through the tasks one after another; one of more commits than a task should hold is followed by rounds of joins instead.
+"""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
+from casdelta.functions.rules import INLINE_MAX
 from casdelta.operators.conflict import merge3
+from casdelta.staging import staged
 
-_dirs: dict[str, str] = {}
+#: Commits of a repository that one task walks in memory, and pairs of heads whose bitmaps it holds at once.
+MOST_COMMITS, PAIRS_AT_ONCE = 500_000, 256
 
+Pair = tuple[object, object]
 
-def _staged(df: DataFrame) -> DataFrame:
-    """Written in the folder that executors share and read again, so that rounds don't pile up lineage."""
-    spark: SparkSession = df.sparkSession
-    app = spark.sparkContext.applicationId
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if app not in _dirs:
-            _dirs[app] = tempfile.mkdtemp(prefix="spark-history-")
-        root = _dirs[app]
-    path = f"{root.rstrip('/')}/history-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def each_peer(rows: DataFrame, peers: DataFrame, most: int = 100_000) -> DataFrame:
+    """rows for each distinct peer: every row goes to every peer, so there are as many as that.
 
-def few(peers: DataFrame, most: int = 100_000) -> DataFrame:
-    """The peers, each once, or an error if they are more than may be broadcast."""
-    out = peers.select("peer").distinct()
-    if out.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} peers")
-    return out
+    Up to `most` peers, as counted, are broadcast. More are cut into blocks of that many, each row goes once to each block by an
+    equijoin on the block, and meets the block's peers there as one array.
+    """
+    names = peers.select("peer").distinct()
+    if names.limit(most + 1).count() <= most:
+        return rows.crossJoin(F.broadcast(names))
+    n = -(-names.count() // most) * 16
+    blocks = names.groupBy(F.pmod(F.xxhash64("peer"), F.lit(n)).alias("_block")).agg(F.collect_list("peer").alias("_peers"))
+    spread = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return spread.join(blocks, "_block").withColumn("peer", F.explode("_peers")).drop("_block", "_peers")
 
 
 def acked_heads(announces: DataFrame) -> DataFrame:
@@ -43,55 +44,200 @@ def acked_heads(announces: DataFrame) -> DataFrame:
     return announces.groupBy("repo", "peer").agg(F.max_by("head", "seq").alias("head"))
 
 
-def ancestors(commits: DataFrame, heads: DataFrame, rounds: int = 64) -> DataFrame:
-    """(repo, head, sha): all commits reachable from each head, itself included.
-
-    heads: repo, head. Rounds double the reach: what is within fewer than 2^k steps, and what the steps of length 2^k lead to from
-    there; so a history of a million steps takes twenty rounds. Only histories that hold a head are followed.
-    """
+def generations(parents: dict[object, list], ends: Iterable) -> list:
+    """All that the ends reach, themselves included, every commit before its parents; an error if the history has a cycle."""
+    out, state = [], {}
+    for end in ends:
+        stack = [(end, iter(parents.get(end) or ()))] if end not in state else []
+        state.setdefault(end, 1)
+        while stack:
+            sha, rest = stack[-1]
+            for p in rest:
+                seen = state.get(p)
+                if seen == 1:
+                    raise RuntimeError("the history has a cycle")
+                if seen is None:
+                    state[p] = 1
+                    stack.append((p, iter(parents.get(p) or ())))
+                    break
+            else:
+                stack.pop()
+                state[sha] = 2
+                out.append(sha)
+    return out[::-1]
+
+
+def bitmaps(parents: dict[object, list], ends: list) -> dict[object, int]:
+    """Of each commit that an end reaches, the bits of the ends that do, children first."""
+    held = {sha: 0 for sha in generations(parents, ends)}
+    for i, end in enumerate(ends):
+        held[end] |= 1 << i
+    for sha, bits in held.items():  # in order, so a commit's bits are complete when its parents get them
+        for p in parents.get(sha) or ():
+            held[p] |= held[sha]
+    return held
+
+
+def _reached(parents: dict, pairs: list[Pair]) -> Iterator[tuple]:
+    ends = list(dict.fromkeys(h for h, _ in pairs))
+    for sha, bits in bitmaps(parents, ends).items():
+        yield from ((end, sha) for i, end in enumerate(ends) if bits >> i & 1)
+
+
+def _ancestry(parents: dict, pairs: list[Pair]) -> Iterator[tuple]:
+    ends = list(dict.fromkeys(h for h, _ in pairs))
+    held, place = bitmaps(parents, ends), {e: i for i, e in enumerate(ends)}
+    yield from ((head, base, bool(held.get(base, 0) >> place[head] & 1)) for head, base in pairs)
+
+
+def _delta(parents: dict, pairs: list[Pair]) -> Iterator[tuple]:
+    ends = list(dict.fromkeys(x for pair in pairs for x in pair if x is not None))
+    held, place = bitmaps(parents, ends), {e: i for i, e in enumerate(ends)}
+    for head, base in pairs:
+        if head == base:
+            continue
+        want, skip = 1 << place[head], 0
+        if base is not None and held.get(base, 0) & want:
+            skip = 1 << place[base]
+        yield from ((head, base, sha) for sha, bits in held.items() if bits & want and not bits & skip)
+
+
+def _bases(parents: dict, pairs: list[Pair]) -> Iterator[tuple]:
+    ends = list(dict.fromkeys(x for pair in pairs for x in pair))
+    held, place = bitmaps(parents, ends), {e: i for i, e in enumerate(ends)}
+    for a, b in pairs:
+        both = 1 << place[a] | 1 << place[b]
+        common = [sha for sha, bits in held.items() if bits & both == both]
+        # what is below a common ancestor is common too, so only the parents of common ones have to go
+        below = {p for sha in common for p in parents.get(sha) or ()}
+        if best := [sha for sha in common if sha not in below]:
+            yield a, b, min(best)
+
+
+def _walk(commits: DataFrame, pairs: DataFrame, answer: Callable[[dict, list[Pair]], Iterator[tuple]], names: list[str]) -> DataFrame:
+    """(repo, *names) of answer() for each repository, from its commits and its pairs (repo, a, b)."""
+    sha = commits.schema["sha"].dataType
+    kinds = [BooleanType() if n == "is_ancestor" else sha for n in names]
+    asked = pairs.select("repo", F.lit(0).alias("kind"), F.col("a").cast(sha).alias("a"), F.col("b").cast(sha).alias("b"), F.lit(None).cast(commits.schema["parents"].dataType).alias("parents")).distinct()
+    known = commits.select("repo", F.lit(1).alias("kind"), F.col("sha").alias("a"), F.lit(None).cast(sha).alias("b"), "parents")
+    # the pairs of a repository come before its commits; one without pairs is passed over
+    rows = asked.unionByName(known).repartition("repo").sortWithinPartitions("repo", "kind")
+    schema = StructType([StructField("repo", rows.schema["repo"].dataType), *(StructField(n, k) for n, k in zip(names, kinds, strict=True))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pairs_, parents, held, types = object(), [], {}, [], None
+
+        def answers() -> Iterator[tuple]:
+            for at in range(0, len(pairs_), PAIRS_AT_ONCE):
+                yield from ((now, *x) for x in answer(parents, pairs_[at : at + PAIRS_AT_ONCE]))
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], ["repo", *names])
+
+        for batch in batches:
+            types = [batch.schema.field(0).type, *(pa.bool_() if n == "is_ancestor" else batch.schema.field(2).type for n in names)]
+            for repo, kind, a, b, ps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if repo != now:
+                    for x in answers():
+                        held.append(x)
+                        if len(held) >= 50_000:
+                            yield out()
+                            held = []
+                    now, pairs_, parents = repo, [], {}
+                if not kind:
+                    pairs_.append((a, b))
+                elif pairs_:
+                    parents[a] = [*(parents[a] or ()), *(ps or ())] if a in parents else ps
+        for x in answers():
+            held.append(x)
+            if len(held) >= 50_000:
+                yield out()
+                held = []
+        if held:
+            yield out()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _by_size(commits: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Commits of repositories of at most `most`, and those of the few larger ones, or None; there are at most commits/most of these."""
+    large = commits.groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") > most).select("repo")
+    large = commits.sparkSession.createDataFrame(large.collect(), large.schema)
+    if large.isEmpty():
+        return commits, None
+    return commits.join(F.broadcast(large), "repo", "left_anti"), commits.join(F.broadcast(large), "repo", "left_semi")
+
+
+def ancestors_by_rounds(commits: DataFrame, heads: DataFrame, rounds: int = 64) -> DataFrame:
+    """ancestors() for histories of any size, by joins: rounds double the reach, so a million steps take twenty."""
     asked = heads.select("repo", "head").distinct()
     steps = commits.join(asked.select("repo").distinct(), "repo", "left_semi")
-    steps = _staged(steps.select("repo", F.col("sha").alias("child"), F.explode("parents").alias("parent")).distinct())
-    seen = _staged(asked.withColumn("sha", F.col("head")))
+    steps = staged(steps.select("repo", F.col("sha").alias("child"), F.explode("parents").alias("parent")).distinct(), "history-steps")
+    seen = staged(asked.withColumn("sha", F.col("head")), "history-seen")
     for _ in range(rounds):
         if steps.isEmpty():
             return seen
         further = seen.withColumnRenamed("sha", "child").join(steps, ["repo", "child"]).select("repo", "head", F.col("parent").alias("sha"))
-        seen = _staged(seen.union(further).distinct())
+        seen = staged(seen.union(further).distinct(), "history-seen")
         next_ = steps.select("repo", "child", F.col("parent").alias("mid")).join(steps.select("repo", F.col("child").alias("mid"), "parent"), ["repo", "mid"])
-        steps = _staged(next_.select("repo", "child", "parent").distinct())
+        steps = staged(next_.select("repo", "child", "parent").distinct(), "history-steps")
     raise RuntimeError("the history is deeper than the rounds allow: it has a cycle")
 
 
-def is_ancestor(commits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(repo, base, head, is_ancestor) of pairs (repo, base, head)."""
-    reach = ancestors(commits, pairs.select("repo", "head")).select("repo", "head", F.col("sha").alias("base"), F.lit(True).alias("_hit"))
-    return pairs.join(reach, ["repo", "head", "base"], "left").select("repo", "base", "head", F.coalesce("_hit", F.lit(False)).alias("is_ancestor"))
-
-
-def delta_commits(commits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(repo, base, head, sha): commits of head that base lacks; all, if base is null or no ancestor of head; none if they are equal.
-
-    One walk serves heads and bases.
-    """
-    asked = pairs.where("base is null or base <> head").distinct()
+def ancestors(commits: DataFrame, heads: DataFrame, most: int = MOST_COMMITS) -> DataFrame:
+    """(repo, head, sha): all commits reachable from each head (heads: repo, head), itself included."""
+    small, large = _by_size(commits, most)
+    out = _walk(small, heads.select("repo", F.col("head").alias("a"), F.col("head").alias("b")), _reached, ["head", "sha"])
+    if large is None:
+        return out
+    here = large.select("repo").distinct()
+    return _split(out, ancestors_by_rounds(large, heads.join(here, "repo", "left_semi")), here)
+
+
+def _split(walked: DataFrame, by_rounds: DataFrame, large: DataFrame) -> DataFrame:
+    """The answers by walk, except for the large repositories, whose answers come by rounds."""
+    return walked.join(large, "repo", "left_anti").unionByName(by_rounds)
+
+
+def is_ancestor(commits: DataFrame, pairs: DataFrame, most: int = MOST_COMMITS) -> DataFrame:
+    """(repo, base, head, is_ancestor) of the distinct pairs (repo, base, head)."""
+    small, large = _by_size(commits, most)
+    out = _walk(small, pairs.select("repo", F.col("head").alias("a"), F.col("base").alias("b")), _ancestry, ["head", "base", "is_ancestor"]).select("repo", "base", "head", "is_ancestor")
+    if large is None:
+        return out
+    here = large.select("repo").distinct()
+    few_pairs = pairs.select("repo", "base", "head").distinct().join(here, "repo", "left_semi")
+    reach = ancestors_by_rounds(large, few_pairs).select("repo", "head", F.col("sha").alias("base"), F.lit(True).alias("_hit"))
+    return _split(out, few_pairs.join(reach, ["repo", "head", "base"], "left").select("repo", "base", "head", F.coalesce("_hit", F.lit(False)).alias("is_ancestor")), here)
+
+
+def delta_commits(commits: DataFrame, pairs: DataFrame, most: int = MOST_COMMITS) -> DataFrame:
+    """(repo, base, head, sha): commits of head that base lacks; all, if base is null or no ancestor of head; none if they are equal."""
+    small, large = _by_size(commits, most)
+    out = _walk(small, pairs.select("repo", F.col("head").alias("a"), F.col("base").alias("b")), _delta, ["head", "base", "sha"]).select("repo", "base", "head", "sha")
+    if large is None:
+        return out
+    here = large.select("repo").distinct()
+    asked = pairs.where("base is null or base <> head").select("repo", "base", "head").distinct().join(here, "repo", "left_semi")
     known = asked.where("base is not null")
-    ends = asked.select("repo", "head").union(known.select("repo", "base"))
-    reach = ancestors(commits, ends)
+    reach = ancestors_by_rounds(large, asked.select("repo", "head").union(known.select("repo", "base")))
     anc = known.join(reach.select("repo", "head", F.col("sha").alias("base")), ["repo", "head", "base"], "left_semi")
     of_head = asked.join(reach, ["repo", "head"]).select("repo", "base", "head", "sha")
-    of_base = anc.join(reach.select("repo", F.col("head").alias("base"), "sha"), ["repo", "base"])
-    return of_head.join(of_base.select("repo", "base", "head", "sha"), ["repo", "base", "head", "sha"], "left_anti")
+    of_base = anc.join(reach.select("repo", F.col("head").alias("base"), "sha"), ["repo", "base"]).select("repo", "base", "head", "sha").withColumn("_known", F.lit(True))
+    key = F.struct("repo", "base", "head", "sha")
+    lacks = of_head.withColumn("_key", key).join(of_base.select(key.alias("_key")), "_key", "left_anti").drop("_key")
+    return _split(out, lacks, here)
 
 
-def _meetings(commits: DataFrame, incoming: DataFrame, local: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Incoming heads with the action for each, the pairs (repo, _head, head) to compare, and all that their heads reach."""
+def _meetings(commits: DataFrame, incoming: DataFrame, local: DataFrame) -> DataFrame:
+    """Incoming heads with the local one (_head) and the action for each."""
     mine = local.select("repo", F.col("branch").alias("_branch"), F.col("head").alias("_head"))
     both = incoming.join(mine, "repo", "left")
     pairs = both.where("_head is not null and _head <> head and _branch = branch").select("repo", "_head", "head").distinct()
-    reach = ancestors(commits, pairs.select("repo", "head").union(pairs.select("repo", "_head")))
-    up = pairs.join(reach.select("repo", "head", F.col("sha").alias("_head")), ["repo", "head", "_head"], "left_semi").withColumn("_up", F.lit(True))
-    down = pairs.join(reach.select("repo", F.col("head").alias("_head"), F.col("sha").alias("head")), ["repo", "head", "_head"], "left_semi").withColumn("_down", F.lit(True))
+    asked = pairs.select("repo", "head", F.col("_head").alias("base")).union(pairs.select("repo", F.col("_head").alias("head"), F.col("head").alias("base")))
+    above = staged(is_ancestor(commits, asked).where("is_ancestor"), "history-met")
+    up = above.select("repo", F.col("base").alias("_head"), "head", F.lit(True).alias("_up"))
+    down = above.select("repo", F.col("head").alias("_head"), F.col("base").alias("head"), F.lit(True).alias("_down"))
     out = both.join(up, ["repo", "_head", "head"], "left").join(down, ["repo", "_head", "head"], "left")
     action = (
         F.when(F.col("_head").isNull(), "adopt")
@@ -101,7 +247,7 @@ def _meetings(commits: DataFrame, incoming: DataFrame, local: DataFrame) -> tupl
         .when(F.col("_down"), "ahead")
         .otherwise("merge")
     )
-    return out.withColumn("action", action), pairs, reach
+    return out.withColumn("action", action)
 
 
 def sync_actions(commits: DataFrame, incoming: DataFrame, local: DataFrame) -> DataFrame:
@@ -110,20 +256,25 @@ def sync_actions(commits: DataFrame, incoming: DataFrame, local: DataFrame) -> D
     adopt: no local head; noop: same; skip: another branch; ff: the local head is an ancestor of the incoming one; ahead: the other
     way round; else merge.
     """
-    return _meetings(commits, incoming, local)[0].select("repo", "peer", "action")
+    return _meetings(commits, incoming, local).select("repo", "peer", "action")
 
 
-def merge_bases(commits: DataFrame, pairs: DataFrame, reach: DataFrame) -> DataFrame:
+def merge_bases(commits: DataFrame, pairs: DataFrame, most: int = MOST_COMMITS) -> DataFrame:
     """(repo, _head, head, base): the common ancestor of two heads that no other common ancestor descends from.
 
-    Of several such the least id is taken; pairs without one are left out. reach: ancestors() of both heads.
+    Of several such the least id is taken; pairs (repo, _head, head) without one are left out.
     """
-    mine, theirs = reach.withColumnRenamed("head", "_head"), reach
-    common = pairs.join(theirs, ["repo", "head"]).join(mine, ["repo", "_head", "sha"]).select("repo", "_head", "head", "sha")
-    # what is below a common ancestor is common too, so only the parents of common ones have to go
-    below = common.join(commits.select("repo", "sha", F.explode("parents").alias("_parent")), ["repo", "sha"])
+    small, large = _by_size(commits, most)
+    out = _walk(small, pairs.select("repo", F.col("_head").alias("a"), F.col("head").alias("b")), _bases, ["_head", "head", "base"])
+    if large is None:
+        return out
+    here = large.select("repo").distinct()
+    few_pairs = pairs.join(here, "repo", "left_semi")
+    reach = ancestors_by_rounds(large, few_pairs.select("repo", "head").union(few_pairs.select("repo", "_head")))
+    common = few_pairs.join(reach, ["repo", "head"]).join(reach.withColumnRenamed("head", "_head"), ["repo", "_head", "sha"]).select("repo", "_head", "head", "sha")
+    below = common.join(large.select("repo", "sha", F.explode("parents").alias("_parent")), ["repo", "sha"])
     best = common.join(below.select("repo", "_head", "head", F.col("_parent").alias("sha")), ["repo", "_head", "head", "sha"], "left_anti")
-    return best.groupBy("repo", "_head", "head").agg(F.min("sha").alias("base"))
+    return _split(out, best.groupBy("repo", "_head", "head").agg(F.min("sha").alias("base")), here)
 
 
 def sync_outcomes(commits: DataFrame, incoming: DataFrame, local: DataFrame, entries: DataFrame, stamp: str, branch: str = "sync/conflict") -> DataFrame:
@@ -133,9 +284,9 @@ def sync_outcomes(commits: DataFrame, incoming: DataFrame, local: DataFrame, ent
     if both sides changed it since their merge base, each in its own way, and its lines don't merge; without a base it clashes if
     both have it and differ. A deletion against an edit clashes. kept names the branch that keeps the incoming head of a conflict.
     """
-    met, pairs, reach = _meetings(commits, incoming, local)
+    met = _meetings(commits, incoming, local)
     apart = met.where("action = 'merge'").select("repo", "_head", "head").distinct()
-    apart = _staged(apart.join(merge_bases(commits, apart, reach).withColumnRenamed("base", "_base"), ["repo", "_head", "head"], "left"))
+    apart = staged(apart.join(merge_bases(commits, apart).withColumnRenamed("base", "_base"), ["repo", "_head", "head"], "left"), "history-apart")
 
     def side(head: str, name: str) -> DataFrame:
         rows = entries.select("repo", F.col("sha").alias(head), "path", F.col("cid").alias(f"_{name}_cid"), F.col("content").alias(name))
@@ -158,14 +309,13 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumn("_before", F.lag("tree").over(order)).where(~F.col("tree").eqNullSafe(F.col("_before"))).drop("_before")
 
 
-def pending_snapshots(snapshots: DataFrame, peers: DataFrame, sent: DataFrame, most: int = 2 * 1024 * 1024) -> DataFrame:
+def pending_snapshots(snapshots: DataFrame, peers: DataFrame, sent: DataFrame, most: int = INLINE_MAX) -> DataFrame:
     """(peer, repo, snap) to send: not sent yet, not empty, within the cap. snapshots: repo, snap, bytes (length).
 
-    peers: a dimension table, counted before it is broadcast.
+    peers: see each_peer().
     """
     fit = snapshots.where((F.col("bytes") > 0) & (F.col("bytes") <= most)).select("repo", "snap")
-    each = fit.crossJoin(F.broadcast(few(peers)))
-    return each.join(sent.select("peer", "repo", "snap"), ["peer", "repo", "snap"], "left_anti").select("peer", "repo", "snap")
+    return each_peer(fit, peers).join(sent.select("peer", "repo", "snap"), ["peer", "repo", "snap"], "left_anti").select("peer", "repo", "snap")
 
 
 def mirror_decisions(rows: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casdelta.functions.ids import content_id
-from casdelta.operators.chunking import manifests, reassemble
+from casdelta.operators import conflict
+from casdelta.operators.chunking import chunk, manifests, reassemble
 
 INDEX = ["rel_path", "file_cid", "size", "mtime_ms", "mode", "chunks"]
 
@@ -150,15 +153,32 @@ def pull_files(wanted: DataFrame, held: DataFrame, remote: DataFrame, readable:
     # what is at hand and right goes before what has to travel
     both = at_hand.where(content_id(F.col("bytes")) == F.col("cid")).unionByName(remote.select("cid", "bytes", F.lit(1).alias("far")))
     blobs = both.groupBy("cid").agg(F.min_by("bytes", "far").alias("bytes"))
-    return count.join(reassemble(wanted, blobs), "rel_path").select("rel_path", "n_fetched", "status", "content")
+    return count.join(reassemble(wanted, blobs, once=True), "rel_path").select("rel_path", "n_fetched", "status", "content")
+
+
+def pull_one_shot(asked: DataFrame, remote: DataFrame, blobs: DataFrame, strict: bool = True) -> DataFrame:
+    """(rel_path, n_fetched, status, mode, content) of asked paths, every chunk fetched.
+
+    remote: manifests with mode (rel_path, file_cid, chunks, mode). A path that the remote side lacks is an error, or has status
+    absent if not strict, and no mode.
+    """
+    wanted = asked.select("rel_path").distinct().join(remote.select("rel_path", "file_cid", "chunks", "mode"), "rel_path", "left")
+    none = blobs.select(F.lit(None).cast("string").alias("rel_path"), "cid", "bytes").limit(0)
+    here = wanted.where("file_cid is not null")
+    done = pull_files(here.drop("mode"), none, blobs, readable=False).join(here.select("rel_path", "mode"), "rel_path")
+    absent = F.lit("absent") if not strict else F.raise_error(F.concat(F.lit("no remote file at "), F.col("rel_path"))).cast("string")
+    lacking = wanted.where("file_cid is null").select("rel_path", F.lit(None).cast("long").alias("n_fetched"), absent.alias("status"), "mode", F.lit(None).cast("binary").alias("content"))
+    return done.select(lacking.columns).unionByName(lacking)
 
 
 def pull_apply(state: DataFrame, pulled: DataFrame) -> DataFrame:
-    """(rel_path, file_cid, base) after a pull: files that were verified move both ids on, all others stay as they are.
+    """The index (rel_path, file_cid, size, mtime_ms, mode, chunks, base) after a pull: verified files take the remote row, whole.
 
-    state: rel_path, file_cid, base. pulled: rel_path, file_cid, status.
+    pulled: the same columns but base, of the remote side, and status. Of a verified file (ok) the base is its new id; all others stay
+    as they are.
     """
-    put = pulled.where("status = 'ok'").select("rel_path", "file_cid", F.col("file_cid").alias("base"), F.lit("put").alias("op"))
+    columns = [c for c in state.columns if c not in ("rel_path", "base")]
+    put = pulled.where("status = 'ok'").select("rel_path", *columns, F.col("file_cid").alias("base"), F.lit("put").alias("op"))
     return upsert(state, put)
 
 
@@ -178,8 +198,63 @@ def delete_ack(index: DataFrame, replies: DataFrame) -> DataFrame:
     return index.join(gone, "rel_path", "left_anti")
 
 
-def push_once(before: DataFrame, after: DataFrame, chunks: DataFrame, store: DataFrame) -> DataFrame:
+def push_counts(before: DataFrame, after: DataFrame, chunks: DataFrame, store: DataFrame) -> DataFrame:
     """(op, n_files, n_new): files by what happens to them, and the chunks that must move for them; chunks and store as in push_plan()."""
     moved = push_plan(chunks, after, store)
     steps = plan(before, after).join(moved, "rel_path", "left")
     return steps.groupBy("op").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("n_new"), F.lit(0)).cast("long").alias("n_new"))
+
+
+def dry_run(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(rel_path, op, n_chunks): what a push would do, nothing written: all chunks of created and modified files, and the deletions.
+
+    before and after: indexes (rel_path, file_cid, chunks).
+    """
+    steps = plan(before, after).where("op <> 'unchanged'")
+    sizes = after.select("rel_path", F.size("chunks").cast("long").alias("n_chunks"))
+    return steps.join(sizes, "rel_path", "left").select("rel_path", "op", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"))
+
+
+@dataclass
+class Push:
+    """What one push leaves: the sender's index, the receiver's files, the chunks written, and counts by what happened."""
+
+    index: DataFrame
+    files: DataFrame
+    uploaded: DataFrame
+    counts: DataFrame
+
+
+def push_once(scan: DataFrame, index: DataFrame, files: DataFrame, store: DataFrame, chunk_size: int, policy: str = "lww", short: str = "local") -> Push:
+    """One push of a scanned tree: index it, plan, upload the missing chunks, commit and delete at the receiver, fold the replies in.
+
+    scan: rel_path, size, mtime_ms, mode, content. index: INDEX columns and base. files: the receiver's rel_path, cid, mtime_ms,
+    content. store: cid of the chunks it has. Only created and modified files are read and sent; a second push of the same tree sends
+    nothing. Conflicts go by policy, with the copies as files of their own; deletions go only where the receiver's file is the base.
+    """
+    fresh = build_index(scan, index.drop("base"), chunk_size)
+    steps = plan(index, fresh)
+    sent = steps.where("op in ('create', 'modify')").select("rel_path")
+    bodies = scan.join(sent, "rel_path", "left_semi")
+    parts = chunk(bodies, chunk_size)
+    lacking = parts.select("cid").distinct().join(store.select("cid").distinct(), "cid", "left_anti")
+    uploaded = upload_missing(parts, lacking)
+    local = files.select("rel_path", F.col("cid").alias("local_cid"), F.col("mtime_ms").alias("local_mtime_ms"), F.col("content").alias("local"))
+    base = index.select("rel_path", F.col("base").alias("base_cid"))
+    known = files.select(F.col("cid").alias("base_cid"), F.col("content").alias("base")).dropDuplicates(["base_cid"])
+    asked = bodies.select("rel_path", content_id(F.col("content")).alias("incoming_cid"), F.col("mtime_ms").alias("incoming_mtime_ms"), F.col("content").alias("incoming"))
+    rows = asked.join(local, "rel_path", "left").join(base, "rel_path", "left").join(known, "base_cid", "left").select("*", F.lit(policy).alias("policy"), F.lit(short).alias("short"))
+    built = asked.select("rel_path", F.lit("ok").alias("status"))
+    done = conflict.accepted(rows, built)
+    heard = conflict.replies(done).withColumn("ok", F.lit(True))
+    contents = conflict.published(done).withColumnRenamed("bytes", "content").unionByName(files.select("cid", "content")).dropDuplicates(["cid"])
+    kept = conflict.committed(files.select("rel_path", "cid", "mtime_ms"), done)
+    gone = steps.where("op = 'delete'").select("rel_path").join(index.select("rel_path", "base"), "rel_path", "left")
+    deleted = conflict.delete_batch(gone, files)
+    kept = kept.join(deleted.where("deleted").select("rel_path"), "rel_path", "left_anti").join(contents, "cid", "left").select("rel_path", "cid", "mtime_ms", "content")
+    moved = push_apply(index, fresh.join(sent, "rel_path", "left_semi").select("rel_path", "file_cid"), heard)
+    # deletions that the receiver refused stay in the index as they were
+    facts = fresh.unionByName(index.select(INDEX).join(fresh, "rel_path", "left_anti")).drop("file_cid")
+    new_index = delete_ack(moved.join(facts, "rel_path", "left"), deleted).select(*INDEX, "base")
+    counts = steps.groupBy("op").agg(F.count("*").alias("n_files"))
+    return Push(new_index, kept, uploaded, counts)

@@ -43,7 +43,7 @@ def sketch(df: DataFrame, key: str, counters: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([*held, None], batch.schema.field(0).type), pa.array([*held.values(), 0], pa.int64()), pa.array([0] * len(held) + [total], pa.int64())], ["key", "least", "total"])
 
     slim = df.select(F.col(key).alias("key"))
-    return slim.mapInArrow(run, StructType([slim.schema["key"], StructField("least", LongType()), StructField("total", LongType())]))
+    return slim.mapInArrow(run, StructType([StructField("key", slim.schema["key"].dataType), StructField("least", LongType()), StructField("total", LongType())]))
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list[tuple[object, int]]:

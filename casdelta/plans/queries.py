@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from casdelta.functions import ids, rules
 from casdelta.operators import authz, chunking, conflict, history, jobs, reconcile, repos, tables
 from casdelta.plans.views import CHUNK, TREES, objects_a, objects_b, objects_c, sql_chunks, table
+from casdelta.sources import store
+from casdelta.staging import shared_dir
 from casdelta.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +38,7 @@ SQL_CIDS = ", ".join(f"cid_{x} AS (SELECT rel_path, sha256(content) AS file_cid,
 W = f"WITH {TREES}, {SQL_CIDS} "
 SQL_CHUNKS = ", ".join(f"chunks_{x} AS ({sql_chunks(f'objects_{x}')})" for x in "abc")
 WC = f"WITH {TREES}, {SQL_CIDS}, {SQL_CHUNKS} "
+D3 = "SELECT coalesce(a.rel_path, b.rel_path) AS rel_path, CASE WHEN a.file_cid IS NULL THEN 'create' WHEN b.file_cid IS NULL THEN 'delete' WHEN a.file_cid <> b.file_cid THEN 'modify' ELSE 'unchanged' END AS op FROM cid_a a FULL JOIN cid_b b USING (rel_path)"
 IGNORE = ["*.png", "!src1/**", "src2/", "/src3/en/*.md", "**/fr/*.txt"]
 # the rules above, written out for SQL: the last one that matches decides
 SQL_IGNORED = (
@@ -164,6 +168,28 @@ def b1_upload_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.upload_missing(new, lacking).select("cid", F.octet_length("bytes").cast("long").alias("len"))
 
 
+def store_of(spark: SparkSession, tree: DataFrame) -> str:
+    """A new store with the tree's chunks, in the shared folder."""
+    root = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    store.upload(chunking.chunk(tree, CHUNK), root, dry_run=False)
+    return root
+
+
+@query(WC + "SELECT 'first' AS upload, (SELECT count(DISTINCT cid) FROM chunks_a) AS written, (SELECT count(DISTINCT cid) FROM chunks_a) AS held UNION ALL SELECT 'second', (SELECT count(*) FROM (SELECT cid FROM chunks_b EXCEPT SELECT cid FROM chunks_a)), (SELECT count(*) FROM (SELECT cid FROM chunks_b UNION SELECT cid FROM chunks_a)) UNION ALL SELECT 'again', 0, (SELECT count(*) FROM (SELECT cid FROM chunks_b UNION SELECT cid FROM chunks_a))")
+def b1_upload_to_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each upload writes to a store, and what the store has afterwards."""
+    root, out = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}", []
+    for name, tree in (("first", objects_a), ("second", objects_b), ("again", objects_b)):
+        done = store.upload(chunking.chunk(tree(spark, sf_dir), CHUNK), root, dry_run=False)
+        out.append((name, done.rows, store.stored(spark, root).select("cid").distinct().count()))
+    return spark.createDataFrame(out, "upload string, written long, held long")
+
+
+@query(W + f", plan AS ({D3}) SELECT p.rel_path, p.op, CASE WHEN p.op = 'delete' THEN 0 ELSE ceil(b.size / {CHUNK}.0)::BIGINT END AS n_chunks FROM plan p LEFT JOIN objects_b b USING (rel_path) WHERE p.op <> 'unchanged'")
+def b7_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.dry_run(index_of(objects_a(spark, sf_dir)), index_of(objects_b(spark, sf_dir)))
+
+
 @query(
     W + "SELECT coalesce(a.rel_path, b.rel_path) AS rel_path, coalesce(b.file_cid, a.file_cid) AS file_cid FROM cid_a a FULL JOIN (SELECT * FROM cid_b WHERE rel_path NOT LIKE 'src4/%') b ON a.rel_path = b.rel_path "
     "WHERE coalesce(a.rel_path, b.rel_path) NOT LIKE 'src4/%'"
@@ -216,17 +242,30 @@ def c3_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(W + "SELECT rel_path, 'ok' AS status, sha256(content) AS content_cid FROM objects_a")
 def c5_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = objects_a(spark, sf_dir)
-    done = chunking.reassemble(chunking.manifests(tree, CHUNK), chunking.chunk(tree, CHUNK))
+    done = chunking.reassemble(chunking.manifests(tree, CHUNK), chunking.chunk(tree, CHUNK), all_wanted=True)
+    return done.select("rel_path", "status", ids.content_id(F.col("content")).alias("content_cid"))
+
+
+ZEROS = "SELECT concat('zero/', rel_path) AS rel_path, encode(repeat('0', {CHUNK} * (3 + (size % 3)::INTEGER))) || content AS content FROM objects_a"
+
+
+@query(W + f", zeros AS ({ZEROS.format(CHUNK=CHUNK)}) SELECT rel_path, 'ok' AS status, sha256(content) AS content_cid FROM zeros")
+def c5_reassemble_hot_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file begins with the same block some times over, so one chunk is most of all chunks."""
+    zeros = F.encode(F.repeat(F.lit("0"), (F.lit(3) + F.col("size") % 3).cast("int") * CHUNK), "UTF-8")
+    tree = objects_a(spark, sf_dir).select(F.concat(F.lit("zero/"), "rel_path").alias("rel_path"), F.concat(zeros, "content").alias("content"))
+    done = chunking.reassemble(chunking.manifests(tree, CHUNK), chunking.chunk(tree, CHUNK), all_wanted=True)
     return done.select("rel_path", "status", ids.content_id(F.col("content")).alias("content_cid"))
 
 
 @query(
-    WC + "SELECT b.rel_path, CASE WHEN bool_or(c.cid IS NOT NULL AND a.cid IS NULL) THEN 'missing_chunk' ELSE 'ok' END AS status "
-    "FROM objects_b b LEFT JOIN chunks_b c USING (rel_path) LEFT JOIN (SELECT DISTINCT cid FROM chunks_a) a ON a.cid = c.cid GROUP BY b.rel_path"
+    WC + "SELECT b.rel_path, CASE WHEN bool_or(c.cid IS NOT NULL AND a.cid IS NULL) THEN 'missing_chunk' ELSE 'ok' END AS status, "
+    "CASE WHEN NOT bool_or(c.cid IS NOT NULL AND a.cid IS NULL) THEN sha256(any_value(b.content)) END AS content_cid FROM objects_b b LEFT JOIN chunks_b c USING (rel_path) LEFT JOIN (SELECT DISTINCT cid FROM chunks_a) a ON a.cid = c.cid GROUP BY b.rel_path"
 )
 def c6_apply_commit_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = chunking.chunk(objects_a(spark, sf_dir), CHUNK)
-    return chunking.reassemble(chunking.manifests(objects_b(spark, sf_dir), CHUNK), held).select("rel_path", "status")
+    done = chunking.reassemble(chunking.manifests(objects_b(spark, sf_dir), CHUNK), held)
+    return done.select("rel_path", "status", ids.content_id(F.col("content")).alias("content_cid"))
 
 
 TREE_SQL = "sha256(string_agg(concat(rel_path, chr(0), file_cid, chr(0), size, chr(10)), '' ORDER BY rel_path, file_cid, size))"
@@ -278,9 +317,6 @@ def d2_build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("rel_path", "file_cid", "size", "mtime_ms", F.size("chunks").cast("long").alias("n_chunks"))
 
 
-D3 = "SELECT coalesce(a.rel_path, b.rel_path) AS rel_path, CASE WHEN a.file_cid IS NULL THEN 'create' WHEN b.file_cid IS NULL THEN 'delete' WHEN a.file_cid <> b.file_cid THEN 'modify' ELSE 'unchanged' END AS op FROM cid_a a FULL JOIN cid_b b USING (rel_path)"
-
-
 @query(W + D3)
 def d3_reconcile_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.plan(cids(objects_a(spark, sf_dir)), cids(objects_b(spark, sf_dir))).select("rel_path", "op")
@@ -300,6 +336,14 @@ def d4_compute_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.missing(positions(objects_b(spark, sf_dir)), positions(objects_a(spark, sf_dir)))
 
 
+@query(WC + f"SELECT b.cid, min({SQL_POS}) AS pos FROM chunks_b b ANTI JOIN chunks_a a ON a.cid = b.cid GROUP BY b.cid")
+def d4_missing_in_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As d4_compute_missing, against a store written by id prefix, of which only what the request names is read."""
+    asked = positions(objects_b(spark, sf_dir))
+    kept = store.stored(spark, store_of(spark, objects_a(spark, sf_dir)))
+    return reconcile.missing(asked, store.held(kept, asked))
+
+
 @query(WC + f"SELECT b.cid, min({SQL_POS}) AS pos FROM chunks_b b SEMI JOIN chunks_c c ON c.cid = b.cid GROUP BY b.cid")
 def d5_plan_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.transfer(positions(objects_b(spark, sf_dir)), positions(objects_c(spark, sf_dir)))
@@ -371,19 +415,26 @@ def d11_pull_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    WC + LACKING + "SELECT coalesce(a.rel_path, p.rel_path) AS rel_path, coalesce(p.content_cid, a.file_cid) AS file_cid, coalesce(p.content_cid, a.file_cid) AS base "
-    "FROM cid_a a FULL JOIN (SELECT p.* FROM pulled p LEFT JOIN cid_a USING (rel_path) WHERE p.content_cid IS DISTINCT FROM cid_a.file_cid AND p.status = 'ok') p ON p.rel_path = a.rel_path"
+    WC + LACKING + "SELECT coalesce(a.rel_path, p.rel_path) AS rel_path, coalesce(p.content_cid, a.file_cid) AS file_cid, coalesce(p.size, a.size) AS size, coalesce(p.mtime_ms, a.mtime_ms) AS mtime_ms, 420 AS mode, "
+    f"ceil(coalesce(p.size, a.size) / {CHUNK}.0)::BIGINT AS n_chunks, coalesce(p.content_cid, a.file_cid) AS base "
+    "FROM cid_a a FULL JOIN (SELECT p.*, b.size, b.mtime_ms FROM pulled p JOIN objects_b b USING (rel_path) LEFT JOIN cid_a USING (rel_path) WHERE p.content_cid IS DISTINCT FROM cid_a.file_cid AND p.status = 'ok') p ON p.rel_path = a.rel_path"
 )
 def d12_pull_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = cids(objects_a(spark, sf_dir)), cids(objects_b(spark, sf_dir))
-    wanted = reconcile.pull_plan(b, a).select("rel_path", "file_cid")
-    done = pulled(spark, sf_dir, "idx <> 2", readable=False).select("rel_path", "status").join(wanted, "rel_path")
-    return reconcile.pull_apply(a.select("rel_path", "file_cid", F.col("file_cid").alias("base")), done)
+    a, b = index_of(objects_a(spark, sf_dir)), index_of(objects_b(spark, sf_dir))
+    wanted = reconcile.pull_plan(b, a).select("rel_path")
+    done = pulled(spark, sf_dir, "idx <> 2", readable=False).select("rel_path", "status").join(wanted, "rel_path", "left_semi").join(b, "rel_path")
+    after = reconcile.pull_apply(a.withColumn("base", F.col("file_cid")), done)
+    return after.select("rel_path", "file_cid", "size", "mtime_ms", "mode", F.size("chunks").cast("long").alias("n_chunks"), "base")
 
 
-@query(WC + ONE_SHOT + "SELECT * FROM pulled")
+@query(WC + ONE_SHOT + "SELECT rel_path, n_fetched, status, 420 AS mode, content_cid FROM pulled UNION ALL SELECT a.rel_path, NULL, 'absent', NULL, NULL FROM objects_a a ANTI JOIN objects_b b ON b.rel_path = a.rel_path")
 def d13_pull_one_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pulled(spark, sf_dir, "idx <> 2", "false", readable=False)
+    """All paths of both trees are asked for at the side that has objects_b, whose third chunks are gone."""
+    b = objects_b(spark, sf_dir)
+    asked = objects_a(spark, sf_dir).select("rel_path").union(b.select("rel_path"))
+    remote = chunking.manifests(b, CHUNK, keep=("mode",))
+    done = reconcile.pull_one_shot(asked, remote, chunking.chunk(b, CHUNK).where("idx <> 2"), strict=False)
+    return done.select("rel_path", "n_fetched", "status", "mode", ids.content_id(F.col("content")).alias("content_cid"))
 
 
 SQL_CONFLICT = "coalesce(l IS NOT NULL AND l <> i AND (coalesce(b, '') = '' OR l <> b), false)"
@@ -401,7 +452,7 @@ MERGES = COMMITS.rstrip() + (
     ", texts AS (SELECT b.rel_path, decode(a.content) AS tb, decode(b.content) AS ti, decode(c.content) AS tl FROM objects_b b JOIN objects_a a USING (rel_path) JOIN objects_c c USING (rel_path)), "
     "merges AS (SELECT rel_path, CASE WHEN tl = ti OR ti = tb THEN tl WHEN tl = tb THEN ti WHEN length(tb) - length(replace(tb, chr(10), '')) >= 2 THEN concat('X', substring(tl, 2)) END AS m FROM texts), "
     "used AS (SELECT n.*, m, coalesce(policy = 'crdt' AND conflict AND regexp_matches(n.rel_path, '\\.(md|txt)$') AND m IS NOT NULL, false) AS use FROM named n LEFT JOIN merges USING (rel_path)), "
-    "answers AS (SELECT rel_path, use OR action = 'take' AS applied, conflict, use AS merged, CASE WHEN use THEN sha256(m) WHEN action = 'take' THEN i ELSE l END AS remote_cid, i, CASE WHEN NOT use THEN conflict_copy END AS conflict_copy FROM used) "
+    "answers AS (SELECT rel_path, use OR action = 'take' AS applied, conflict, use AS merged, CASE WHEN use THEN sha256(m) WHEN action = 'take' THEN i ELSE l END AS remote_cid, CASE WHEN use THEN greatest(lm, im) WHEN action = 'take' THEN im ELSE lm END AS remote_mtime_ms, i, CASE WHEN NOT use THEN conflict_copy END AS conflict_copy FROM used) "
 )
 
 
@@ -440,7 +491,7 @@ def d14_push_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(WC + f", plan AS ({D3}), moved AS ({D8.split('SELECT o.rel_path', 1)[0].removeprefix(', ').join(['WITH ', ''])} SELECT rel_path, n FROM new) SELECT p.op, count(*) AS n_files, coalesce(sum(m.n), 0)::BIGINT AS n_new FROM plan p LEFT JOIN moved m USING (rel_path) GROUP BY p.op")
 def d15_push_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = objects_a(spark, sf_dir), objects_b(spark, sf_dir)
-    return reconcile.push_once(cids(a), cids(b), chunking.chunk(b, CHUNK, payload=False), chunking.chunk(a, CHUNK, payload=False))
+    return reconcile.push_counts(cids(a), cids(b), chunking.chunk(b, CHUNK, payload=False), chunking.chunk(a, CHUNK, payload=False))
 
 
 # -- conflicts -------------------------------------------------------------------------------------------------------
@@ -491,15 +542,55 @@ E8 = (
 
 @query(COMMITS + E8)
 def e8_apply_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conflict.applied(conflict.resolve(commits(spark, sf_dir)))
+    return conflict.applied(conflict.resolve(commits(spark, sf_dir))).drop("content")
 
 
-@query(MERGES + "SELECT rel_path, applied, conflict, merged, remote_cid, conflict_copy FROM answers WHERE NOT contains(rel_path, '/fr/')")
+E8_MERGED = (
+    "written AS (SELECT rel_path, 'file' AS kind, CASE WHEN use THEN sha256(m) WHEN action = 'take' THEN i ELSE l END AS cid, CASE WHEN use THEN greatest(lm, im) WHEN action = 'take' THEN im ELSE lm END AS mtime_ms, "
+    "CASE WHEN use THEN sha256(m) END AS content_cid FROM used "
+    "UNION ALL SELECT conflict_copy, 'copy', CASE WHEN action = 'take' THEN l ELSE i END, CASE WHEN action = 'take' THEN lm ELSE im END, NULL FROM used WHERE conflict_copy IS NOT NULL AND NOT use) "
+)
+
+
+@query(MERGES.rstrip() + ", " + E8_MERGED + "SELECT * FROM written")
+def e8_apply_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = conflict.applied(conflict.resolve_with_merge(with_bytes(spark, sf_dir)))
+    return done.withColumn("content_cid", ids.content_id(F.col("content"))).drop("content")
+
+
+@query(MERGES + "SELECT rel_path, applied, conflict, merged, remote_cid, remote_mtime_ms, conflict_copy FROM answers WHERE NOT contains(rel_path, '/fr/')")
 def e9_commit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_bytes(spark, sf_dir).where(~F.contains("rel_path", F.lit("/fr/")))
     return conflict.commit_batch(rows, rebuilt_b(spark, sf_dir))
 
 
+@query(
+    MERGES.rstrip() + ", " + E8_MERGED + "SELECT coalesce(w.rel_path, c.rel_path) AS rel_path, coalesce(w.cid, c.file_cid) AS cid, CASE WHEN w.rel_path IS NULL THEN c.mtime_ms ELSE w.mtime_ms END AS mtime_ms FROM cid_c c FULL JOIN written w ON w.rel_path = c.rel_path"
+)
+def e9_state_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files of the receiver after the batch: as committed, copies beside them, and the rest as it was."""
+    done = conflict.accepted(with_bytes(spark, sf_dir), rebuilt_b(spark, sf_dir))
+    return conflict.committed(cids(objects_c(spark, sf_dir)).select("rel_path", F.col("file_cid").alias("cid"), "mtime_ms"), done)
+
+
+@query(MERGES.rstrip() + ", sent AS (SELECT i AS cid FROM used UNION SELECT sha256(m) FROM used WHERE use) SELECT cid FROM sent")
+def e9_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files whose bytes the batch adds to the store; each is what its id says."""
+    done = conflict.published(conflict.accepted(with_bytes(spark, sf_dir), rebuilt_b(spark, sf_dir)))
+    return done.where(ids.content_id(F.col("bytes")) == F.col("cid")).select("cid")
+
+
+@query(
+    MERGES + "SELECT rel_path, CASE WHEN m IS NULL THEN 1 ELSE 0 END AS n_clashes, CASE WHEN m IS NOT NULL THEN m ELSE concat('<<<<<<< local', chr(10), CASE WHEN tl = '' OR ends_with(tl, chr(10)) THEN tl ELSE concat(tl, chr(10)) END, "
+    "'||||||| base', chr(10), CASE WHEN tb = '' OR ends_with(tb, chr(10)) THEN tb ELSE concat(tb, chr(10)) END, '=======', chr(10), CASE WHEN ti = '' OR ends_with(ti, chr(10)) THEN ti ELSE concat(ti, chr(10)) END, '>>>>>>> incoming', chr(10)) END AS inline_text "
+    "FROM merges JOIN texts USING (rel_path)"
+)
+def e6_conflict_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged texts, or both versions and the base between marks where the edits meet."""
+    rows = with_bytes(spark, sf_dir).where("base is not null and local is not null")
+    return conflict.merge3(rows, inline=True).select("rel_path", "n_clashes", "inline_text")
+
+
 @query(
     COMMITS + "SELECT coalesce(c.rel_path, n.rel_path) AS rel_path, CASE WHEN n.rel_path IS NULL THEN c.file_cid WHEN NOT n.conflict OR n.newer THEN n.i ELSE n.l END AS cid, "
     "CASE WHEN n.rel_path IS NULL THEN c.mtime_ms WHEN NOT n.conflict OR n.newer THEN n.im ELSE n.lm END AS mtime_ms, coalesce(n.conflict, false)::BIGINT AS n_conflicts FROM cid_c c FULL JOIN named n USING (rel_path)"
@@ -510,6 +601,37 @@ def e10_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflict.replay(state, log)
 
 
+JOURNAL = (
+    "log AS (SELECT o_custkey AS rel_path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey AS seq, sha256(concat(o_custkey, o_orderstatus, o_orderkey % 3)) AS cid, floor(o_totalprice)::BIGINT AS mtime_ms, "
+    "CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'x' ELSE sha256(concat(o_custkey, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) % 3)) END AS base, "
+    "CASE WHEN o_orderkey % 5 = 0 THEN 'copy' ELSE 'lww' END AS policy FROM orders), "
+    "start AS (SELECT c_custkey AS rel_path, CASE WHEN c_custkey % 3 <> 0 THEN sha256(c_name) END AS cid, CASE WHEN c_custkey % 3 <> 0 THEN 100000 END::BIGINT AS mtime_ms FROM customer), "
+    "fold(rel_path, n, seq, conflict, action, lost_cid, lost_mtime_ms, cid, mtime_ms) AS (SELECT rel_path, 0::BIGINT, NULL::BIGINT, false, '', NULL::VARCHAR, NULL::BIGINT, cid, mtime_ms FROM start UNION ALL "
+    "SELECT rel_path, n, seq, conflict, CASE WHEN take THEN 'take' ELSE 'keep' END, CASE WHEN conflict THEN CASE WHEN take THEN c0 ELSE c1 END END, CASE WHEN conflict THEN CASE WHEN take THEN m0 ELSE m1 END END, CASE WHEN take THEN c1 ELSE c0 END, CASE WHEN take THEN m1 ELSE m0 END FROM ("
+    "SELECT *, NOT conflict OR (policy <> 'copy' AND (m1 > m0 OR (m1 = m0 AND c1 > c0))) AS take FROM (SELECT l.rel_path, l.n, l.seq, l.policy, f.cid AS c0, f.mtime_ms AS m0, l.cid AS c1, l.mtime_ms AS m1, "
+    "coalesce(f.cid <> l.cid AND (coalesce(l.base, '') = '' OR f.cid <> l.base), false) AS conflict FROM fold f JOIN log l ON l.rel_path = f.rel_path AND l.n = f.n + 1)))"
+)
+
+
+def journal_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A customer's orders as commits on one path, many a path; every third path is new."""
+    from pyspark.sql import Window
+
+    w, k = Window.partitionBy("o_custkey").orderBy("o_orderkey"), F.col("o_orderkey")
+    none = lambda c: F.lit(None).cast("binary").alias(c)
+    base = F.when(k % 4 == 1, "x").when(k % 4 > 1, F.sha2(F.concat(F.col("o_custkey").cast("string"), F.coalesce(F.lag("o_orderstatus").over(w), F.lit("")), F.coalesce((F.lag("o_orderkey").over(w) % 3).cast("string"), F.lit(""))), 256))
+    cid = F.sha2(F.concat(F.col("o_custkey").cast("string"), F.col("o_orderstatus"), (k % 3).cast("string")), 256)
+    log = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("rel_path"), k.alias("seq"), cid.alias("cid"), F.floor("o_totalprice").alias("mtime_ms"), base.alias("base"), F.when(k % 5 == 0, "copy").otherwise("lww").alias("policy"), F.lit("p").alias("short"), none("content"), none("ancestor"))
+    state = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("rel_path"), F.sha2("c_name", 256).alias("cid"), F.lit(100000).cast("long").alias("mtime_ms"), none("content"))
+    return state, log
+
+
+@query(f"WITH RECURSIVE {JOURNAL} SELECT rel_path::VARCHAR AS rel_path, seq, conflict, action, lost_cid, lost_mtime_ms, cid, mtime_ms FROM fold WHERE n > 0")
+def e10_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every commit of every path in its order, with what it met and what it left."""
+    return conflict.journal(*journal_inputs(spark, sf_dir)).drop("conflict_copy", "merged")
+
+
 E11 = "SELECT rel_path, NOT k AS deleted, k AS conflict FROM (SELECT b.rel_path, c.file_cid IS NOT NULL AND {base} AND c.file_cid <> coalesce(a.file_cid, '') AS k FROM cid_b b LEFT JOIN cid_c c USING (rel_path) LEFT JOIN cid_a a ON a.rel_path = b.rel_path AND a.mtime_ms % 3000 <> 0)"
 
 
@@ -565,6 +687,27 @@ def f2_ignored_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.ignored_by_table(objects_a(spark, sf_dir).select("rel_path"), known)
 
 
+# a rule for every document number that is a multiple of three, of one of six kinds; the last that matches decides
+RULES = (
+    "SELECT CAST(doc_id AS INTEGER) AS rule_idx, concat(CASE WHEN doc_id % 5 = 0 THEN '!' ELSE '' END, CASE doc_id % 18 WHEN 0 THEN concat('/', source, '/', lang, '/', doc_id, '*') WHEN 3 THEN concat(doc_id, '.md') "
+    "WHEN 6 THEN concat('/', source, '/', lang, '/', doc_id, '/') WHEN 9 THEN concat('**/', lang, '/', doc_id, '.*') WHEN 12 THEN concat('*', doc_id, '.txt') ELSE concat(doc_id, '?md') END) AS line FROM documents WHERE doc_id % 3 = 0 AND source IS NOT NULL AND lang IS NOT NULL"
+)
+
+
+@query(
+    W + f", lines AS ({RULES}), known AS (SELECT rule_idx, starts_with(line, '!') AS negated, ltrim(line, '!') AS p FROM lines), hits AS (SELECT a.rel_path, k.rule_idx, k.negated FROM objects_a a JOIN known k ON "
+    "CASE WHEN k.p LIKE '/%*' THEN starts_with(a.rel_path, rtrim(ltrim(k.p, '/'), '*')) AND NOT contains(substring(a.rel_path, length(k.p) - 1), '/') WHEN k.p LIKE '/%/' THEN false "
+    "WHEN k.p LIKE '**/%' THEN starts_with(split_part(a.rel_path, '/', 3), rtrim(split_part(k.p, '/', 3), '*')) AND split_part(a.rel_path, '/', 2) = split_part(k.p, '/', 2) "
+    "WHEN k.p LIKE '*%' THEN ends_with(split_part(a.rel_path, '/', 3), substring(k.p, 2)) WHEN contains(k.p, '?') THEN split_part(a.rel_path, '/', 3) = replace(k.p, '?', '.') ELSE split_part(a.rel_path, '/', 3) = k.p END) "
+    "SELECT a.rel_path, coalesce(NOT h.negated, false) AS ignored FROM objects_a a LEFT JOIN (SELECT rel_path, arg_max(negated, rule_idx) AS negated FROM hits GROUP BY rel_path) h USING (rel_path)"
+)
+def f2_ignored_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many rules as a third of the documents; each path meets only those that it shares a literal with."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents_of_rules")
+    lines = spark.sql(RULES.replace("FROM documents", "FROM documents_of_rules"))
+    return rules.ignored_by_index(objects_a(spark, sf_dir).select("rel_path"), rules.parsed_rules(lines))
+
+
 PATHS = "concat(CASE p_partkey % 7 WHEN 0 THEN '/' WHEN 1 THEN '../' WHEN 2 THEN 'C:' WHEN 3 THEN 'target/' WHEN 4 THEN 'a\\b/' ELSE 'src/' END, p_brand, CASE p_partkey % 5 WHEN 0 THEN '~' WHEN 1 THEN '.swp' WHEN 2 THEN '..x' ELSE '' END)"
 
 
@@ -691,6 +834,17 @@ def g13_action_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select("event_id", ids.action_for(F.col("topic")).alias("action"), ids.short_id(F.col("from_id")).alias("short"))
 
 
+BYTE = "TRY_CAST('0x' || hex(b[{0}:{0}]) AS INTEGER)"
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN n > 200 THEN concat(decode(b[1:cut]), chr(10), '[clipped]', chr(10)) ELSE t END AS clipped FROM (SELECT *, CASE WHEN ({BYTE.format(201)} & 192) <> 128 THEN 200 "
+    f"WHEN ({BYTE.format(200)} & 192) <> 128 THEN 199 WHEN ({BYTE.format(199)} & 192) <> 128 THEN 198 ELSE 197 END AS cut FROM (SELECT doc_id, coalesce(text, '') AS t, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents))"
+)
+def g11_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", ids.clip(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 200).alias("clipped"))
+
+
 # -- requests --------------------------------------------------------------------------------------------------------
 
 
@@ -766,6 +920,11 @@ def h8_transfer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select("event_id", authz.transfer_gate(F.col("topic"), False).alias("refused"))
 
 
+@query(f"WITH {MESSAGES} SELECT event_id, NULL::VARCHAR AS refused FROM messages")
+def h8_transfer_gate_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages(spark, sf_dir).select("event_id", authz.transfer_gate(F.col("topic"), True).alias("refused"))
+
+
 # -- streams, in their batch form ------------------------------------------------------------------------------------
 
 FS_EVENTS = "fs AS (SELECT event_id, event_type, ts, concat('src', user_id % 20, '/', user_id, CASE WHEN user_id % 50 = 0 THEN '/.syncignore' ELSE '.md' END) AS path FROM events)"
@@ -786,6 +945,26 @@ def i1_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), F.size("paths").cast("long").alias("n_paths"), "n_events", "full_rescan")
 
 
+SESSIONS = (
+    f"{FS_EVENTS}, marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 15 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM fs WINDOW w AS (PARTITION BY event_type ORDER BY ts)), "
+    "numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM marked)"
+)
+
+
+@query(
+    f"WITH {SESSIONS} SELECT event_type, session, epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts)) // 1000 + 900000 AS end_ms, count(DISTINCT path) AS n_paths, count(*) AS n_events, bool_or(path LIKE '%/.syncignore') AS full_rescan FROM numbered GROUP BY event_type, session"
+)
+def i1_debounce_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As i1_debounce, by time slices: five keys spread over all tasks."""
+    out, _ = streams.debounced(fs_events(spark, sf_dir), 900_000, "event_type")
+    return out.select("event_type", "session", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "n_paths", "n_events", "full_rescan")
+
+
+@query(f"WITH {SESSIONS} SELECT DISTINCT event_type, session, path FROM numbered")
+def i1_session_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.debounced(fs_events(spark, sf_dir), 900_000, "event_type")[1]
+
+
 @query(W + f", {FS_EVENTS}, paths AS (SELECT rel_path AS path FROM objects_a UNION SELECT rel_path FROM objects_b) SELECT path, CASE WHEN path LIKE '%.png' THEN 'drop' WHEN b.rel_path IS NOT NULL THEN 'push' ELSE 'delete' END AS action FROM paths LEFT JOIN objects_b b ON b.rel_path = path")
 def i3_event_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = objects_b(spark, sf_dir)
@@ -880,6 +1059,11 @@ def j3_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("chunks"), F.countDistinct("cid").alias("distinct_chunks"), F.sum("len").alias("bytes"))
 
 
+@query(W + "SELECT rel_path FROM objects_a ORDER BY rel_path")
+def j4_sorted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return objects_a(spark, sf_dir).select("rel_path").orderBy("rel_path")
+
+
 @query(WC + "SELECT cid FROM chunks_a INTERSECT SELECT cid FROM chunks_c")
 def j6_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, c = (chunking.chunk(f(spark, sf_dir), CHUNK, payload=False).select("cid") for f in (objects_a, objects_c))
@@ -1016,6 +1200,40 @@ def m2_table_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table_delta(*order_versions(spark, sf_dir), ["o_orderkey"])
 
 
+LIMBS_SQL = ", ".join(f"(sum(('0x' || substring(sha, {15 * i + 1}, 15))::HUGEINT) % 2305843009213693951)::BIGINT AS d{i}" for i in range(4))
+ROW_SHA = (
+    "sha256(concat_ws('|', coalesce(concat(length(o_custkey::VARCHAR), ':', o_custkey), '-'), coalesce(concat(length(o_orderkey::VARCHAR), ':', o_orderkey), '-'), coalesce(concat(length(o_orderstatus), ':', o_orderstatus), '-')))"
+)
+
+
+def status_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return rows.select((F.col("o_orderkey") % 64).alias("bucket"), tables.row_sha(sorted(rows.columns)).alias("sha"))
+
+
+@query(f"SELECT bucket, count(*) AS n, {LIMBS_SQL} FROM (SELECT o_orderkey % 64 AS bucket, {ROW_SHA} AS sha FROM orders) GROUP BY bucket")
+def m1_leaf_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.leaf_digests(status_rows(spark, sf_dir))
+
+
+@query(f"SELECT bucket, count(*) AS n, {LIMBS_SQL} FROM (SELECT o_orderkey % 64 AS bucket, {ROW_SHA.replace('o_orderstatus', 's')} AS sha FROM (SELECT *, CASE WHEN o_orderkey % 20 = 1 THEN 'X' ELSE o_orderstatus END AS s FROM orders) WHERE o_orderkey % 50 <> 0) GROUP BY bucket")
+def m1_updated_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of a changed table from those before and the rows that changed alone."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    hashed = lambda df: df.select((F.col("o_orderkey") % 64).alias("bucket"), tables.row_sha(sorted(df.columns)).alias("sha"))
+    gone, old = rows.where("o_orderkey % 50 = 0"), rows.where("o_orderkey % 20 = 1")
+    new = old.withColumn("o_orderstatus", F.lit("X"))
+    return tables.updated(tables.leaf_digests(hashed(rows)), hashed(new), hashed(gone.union(old)))
+
+
+@query("SELECT 'orders' AS side, count(*) AS n_changed FROM orders WHERE o_orderkey % 50 = 0 OR o_orderkey % 20 = 1 UNION ALL SELECT 'same', 0")
+def m2_changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows a delta finds against another version, and against the table itself."""
+    old, new = order_versions(spark, sf_dir)
+    found = [tables.table_delta(old, x, ["o_orderkey"]).agg(F.lit(name).alias("side"), F.count("*").alias("n_changed")) for name, x in (("orders", new), ("same", old))]
+    return found[0].union(found[1])
+
+
 def customer_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     base = table(spark, sf_dir, "customer").select("c_custkey", F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"), "c_mktsegment")
     k = F.col("c_custkey")

@@ -9,12 +9,14 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from casdelta.functions.ids import CHUNK_SIZE
 from casdelta.functions.rules import Rule, is_ignored
+from casdelta.sources.store import file_system
 
 INDEX_VERSION = 1
 INDEX_SCHEMA = "rel_path string, file_cid string, size long, mtime_ms long, mode int, chunks array<string>"
@@ -25,7 +27,7 @@ class _Folder(InputPartition):
         self.folder, self.deep = folder, deep
 
 
-class _Reader(DataSourceReader):
+class TreeReader(DataSourceReader):
     def __init__(self, root: str):
         self.root = root
 
@@ -65,7 +67,7 @@ class FileTree(DataSource):
         return "rel_path string, uri string, size long, mtime_ms long, mode int"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return TreeReader(self.options["path"])
 
 
 def scan_tree(spark: SparkSession, root: str, rules: list[Rule] | None = None) -> DataFrame:
@@ -101,48 +103,27 @@ def read_chunks(files: DataFrame, chunk_size: int = CHUNK_SIZE, payload: bool =
 
 def save_index(index: DataFrame, root: str, session: str) -> str:
     """Write a snapshot of the index in a new folder; it counts once Spark has put its success mark there."""
-    spark = index.sparkSession
-    path = f"{root.rstrip('/')}/session={session}/v={_latest(spark, root, session) + 1:012d}-{uuid.uuid4().hex[:8]}"
+    path = f"{root.rstrip('/')}/session={session}/v={_latest(root, session) + 1:012d}-{uuid.uuid4().hex[:8]}"
     index.withColumn("index_version", F.lit(INDEX_VERSION)).write.parquet(path)
     return path
 
 
-def _snapshots(spark: SparkSession, root: str, session: str) -> list[str]:
-    """Complete snapshots, oldest first, through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/session={session}")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    found = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("v=")]
-    return sorted(p.toString() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+def _snapshots(root: str, session: str) -> list[str]:
+    """Complete snapshots, oldest first."""
+    store, path = file_system(f"{root.rstrip('/')}/session={session}")
+    found = [x for x in store.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if x.base_name.startswith("v=")]
+    done = [x.base_name for x in found if store.get_file_info(f"{x.path}/_SUCCESS").type == pafs.FileType.File]
+    return [f"{root.rstrip('/')}/session={session}/{name}" for name in sorted(done)]
 
 
-def _latest(spark: SparkSession, root: str, session: str) -> int:
-    found = _snapshots(spark, root, session)
+def _latest(root: str, session: str) -> int:
+    found = _snapshots(root, session)
     return int(found[-1].rpartition("/v=")[2].partition("-")[0]) if found else 0
 
 
 def load_index(spark: SparkSession, root: str, session: str) -> DataFrame:
     """The last complete snapshot; an empty index if there is none or it is of another version."""
-    found = _snapshots(spark, root, session)
+    found = _snapshots(root, session)
     if not found:
         return spark.createDataFrame([], INDEX_SCHEMA)
     return spark.read.schema(f"{INDEX_SCHEMA}, index_version int").parquet(found[-1]).where(F.col("index_version") == INDEX_VERSION).drop("index_version")
-
-
-def export_objects(objects: DataFrame, folder: str) -> None:
-    """Write rows (rel_path, content) as plain files on a mount that all executors share: beside the target, synced, renamed."""
-
-    def put(rows: Iterator) -> None:
-        for r in rows:
-            path = os.path.join(folder, r["rel_path"])
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            beside = f"{path}.{uuid.uuid4().hex}.part"
-            with open(beside, "wb") as f:
-                f.write(bytes(r["content"] or b""))
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(beside, path)
-
-    objects.select("rel_path", "content").foreachPartition(put)

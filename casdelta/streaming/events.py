@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from casdelta.operators.authz import authorize
-from casdelta.operators.history import few
+from casdelta.operators.conflict import Version, meet
+from casdelta.operators.history import each_peer
+from casdelta.staging import staged
 
 OnBatch = Callable[[DataFrame, int], None]
 
@@ -34,6 +36,41 @@ def debounce(events: DataFrame, gap: str, key: str, late: str = "1 hour", rules_
     )
 
 
+def sessioned(events: DataFrame, gap_ms: int, key: str, slice_ms: int = 3_600_000) -> DataFrame:
+    """events (key, ts and whatever else) of a batch with `session`: 1, 2, 3… for each key, no more than gap_ms between neighbours.
+
+    Events are dealt by key and time slice and numbered within; the slices' ends tell which of their sessions go on in the next one.
+    So a key with any share of the events is spread over as many tasks as it has slices. Events without a key or time have none.
+    """
+    slice_ = F.floor(F.unix_micros("ts") / (slice_ms * 1000))
+    rows = events.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).withColumn("_us", F.unix_micros("ts")).withColumn("_slice", slice_)
+    inside = Window.partitionBy(key, "_slice").orderBy("_us")
+    fresh = F.coalesce(F.col("_us") - F.lag("_us").over(inside) > gap_ms * 1000, F.lit(True))
+    rows = rows.withColumn("_fresh", fresh.cast("long"))
+    rows = staged(rows.withColumn("_local", F.sum("_fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh"), "sessions")
+    ends = rows.groupBy(key, "_slice").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.max("_local").alias("_k"))
+    slices = Window.partitionBy(key).orderBy("_slice")
+    glued = F.coalesce(F.col("_first") - F.lag("_last").over(slices) <= gap_ms * 1000, F.lit(False))
+    ends = ends.withColumn("_new", F.col("_k") - glued.cast("long"))
+    before = F.sum("_new").over(slices.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")
+    joined = rows.join(ends.select(key, "_slice", before.alias("_before")), [key, "_slice"])
+    return joined.withColumn("session", F.col("_before") + F.col("_local")).drop("_us", "_slice", "_local", "_before")
+
+
+def debounced(events: DataFrame, gap_ms: int, key: str, rules_file: str = ".syncignore", slice_ms: int = 3_600_000) -> tuple[DataFrame, DataFrame]:
+    """debounce() of a batch for hot keys: (key, session, start, end, n_events, n_paths, full_rescan), and (key, session, path) as rows.
+
+    Sessions and paths are counted map-side, so neither a long session nor one of very many paths is held in a row or a task.
+    """
+    rows = staged(sessioned(events.select(key, "ts", "path"), gap_ms, key, slice_ms), "debounce")
+    paths = rows.where("path is not null").select(key, "session", "path").distinct()
+    touches = F.coalesce(F.element_at(F.split("path", "/"), -1) == rules_file, F.lit(False))
+    facts = rows.groupBy(key, "session").agg(F.min("ts").alias("start"), F.timestamp_micros(F.max(F.unix_micros("ts")) + gap_ms * 1000).alias("end"), F.count("*").alias("n_events"), F.bool_or(touches).alias("full_rescan"))
+    counted = paths.groupBy(key, "session").agg(F.count("*").alias("n_paths"))
+    out = facts.join(counted, [key, "session"], "left")
+    return out.select(key, "session", "start", "end", "n_events", F.coalesce("n_paths", F.lit(0)).cast("long").alias("n_paths"), "full_rescan"), paths
+
+
 def event_actions(paths: DataFrame, objects: DataFrame, ignored=None) -> DataFrame:
     """(path, action) of distinct paths: push if an object is there, delete if not, drop if ignored(path)."""
     now = objects.select(F.col("rel_path").alias("path"), F.lit(True).alias("_here"))
@@ -55,9 +92,8 @@ def content_key(messages: DataFrame) -> DataFrame:
 
 
 def fan_out(changes: DataFrame, peers: DataFrame, acked: DataFrame) -> DataFrame:
-    """(peer, rel_path, cid): each change for each peer that hasn't acknowledged it. peers: a dimension table, counted before it is broadcast."""
-    each = changes.crossJoin(F.broadcast(few(peers)))
-    return each.select("peer", "rel_path", "cid").join(acked.select("peer", "rel_path", "cid"), ["peer", "rel_path", "cid"], "left_anti")
+    """(peer, rel_path, cid): each change for each peer that hasn't acknowledged it."""
+    return each_peer(changes, peers).select("peer", "rel_path", "cid").join(acked.select("peer", "rel_path", "cid"), ["peer", "rel_path", "cid"], "left_anti")
 
 
 def judge_each(links: Callable[[SparkSession], DataFrame], roots: Callable[[SparkSession], DataFrame], revoked: Callable[[SparkSession], DataFrame], now: Callable[[], int], write: OnBatch) -> OnBatch:
@@ -144,21 +180,32 @@ class _Replay(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.now = handle.getValueState("now", "cid string, mtime_ms long, n_conflicts long")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for r in initialState.itertuples():
+            if isinstance(r.cid, str):
+                self.now.update((r.cid, int(r.mtime_ms), int(r.n_conflicts)))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         cid, mtime, n = self.now.get() if self.now.exists() else (None, None, 0)
-        for r in pd.concat(rows).sort_values("seq").itertuples():
-            base = r.base if isinstance(r.base, str) else ""
-            conflict = cid is not None and cid != r.cid and (not base or cid != base)
+        now = Version(cid, mtime)
+        for r in pd.concat(rows).sort_values(["seq", "cid"]).itertuples():
+            now, _, conflict = meet(now, Version(r.cid, int(r.mtime_ms)), r.base if isinstance(r.base, str) else None)
             n += conflict
-            if not conflict or r.mtime_ms > mtime or (r.mtime_ms == mtime and r.cid > cid):
-                cid, mtime = r.cid, int(r.mtime_ms)
-        self.now.update((cid, mtime, int(n)))
-        yield pd.DataFrame({"rel_path": [key[0]], "cid": [cid], "mtime_ms": [mtime], "n_conflicts": [int(n)]})
+        self.now.update((now.cid, now.mtime, int(n)))
+        yield pd.DataFrame({"rel_path": [key[0]], "cid": [now.cid], "mtime_ms": [now.mtime], "n_conflicts": [int(n)]})
 
     def close(self) -> None:
         pass
 
 
-def stateful_replay(log: DataFrame) -> DataFrame:
-    """conflict.replay() over a stream of commits (rel_path, seq, cid, mtime_ms, base): the state of a path outlives its log."""
-    return log.groupBy("rel_path").transformWithStateInPandas(_Replay(), "rel_path string, cid string, mtime_ms long, n_conflicts long", "Update", "None")
+def stateful_replay(log: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """conflict.replay() over a stream of commits (rel_path, seq, cid, mtime_ms, base): the state of a path outlives its log.
+
+    state: files that are there when the stream begins (rel_path, cid, mtime_ms, and n_conflicts if known), each path once; it is taken
+    over by the first batch of a new checkpoint and is not read again after a restart. Rows come out for paths that have commits.
+    """
+    start = None
+    if state is not None:
+        count = F.col("n_conflicts") if "n_conflicts" in state.columns else F.lit(0)
+        start = state.select("rel_path", "cid", F.col("mtime_ms").cast("long").alias("mtime_ms"), count.cast("long").alias("n_conflicts")).groupBy("rel_path")
+    return log.groupBy("rel_path").transformWithStateInPandas(_Replay(), "rel_path string, cid string, mtime_ms long, n_conflicts long", "Update", "None", initialState=start)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,57 @@ def test_deletions(spark):
     run = lambda strict: {r["rel_path"]: r["deleted"] for r in conflict.delete_batch(asked, state, strict).collect()}
     assert run(False) == {"a": True, "b": False, "c": True, "absent": True}
     assert run(True) == {"a": True, "b": False, "c": False, "absent": True}
+
+
+def test_merged_rows_keep_both_edits(spark):
+    edit = (b"a\nb\nc\nd\n", b"a\nb\nc\nD\n", b"A\nb\nc\nd\n")
+    both = b"A\nb\nc\nD\n"
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    rows = [(p, sha(edit[1]), 7, sha(edit[2]), 5, sha(edit[0]), pol, "s", *edit) for p, pol in (("m.md", "crdt"), ("t.png", "crdt"), ("k.md", "copy"))]
+    df = spark.createDataFrame(rows, COLS + ", base binary, local binary, incoming binary")
+    done = conflict.accepted(df, df.select("rel_path", F.lit("ok").alias("status")))
+    files = {r["rel_path"]: (r["cid"], r["mtime_ms"], r["content"] and bytes(r["content"])) for r in conflict.applied(done).collect()}
+    assert files["m.md"] == (sha(both), 7, both)
+    # each of the three paths leaves both versions: in one merged file, or as file and copy
+    assert len(files) == 5 and {v[0] for k, v in files.items() if k != "m.md"} == {sha(edit[1]), sha(edit[2])}
+    heard = {r["rel_path"]: (r["applied"], r["merged"], r["remote_cid"], r["remote_mtime_ms"]) for r in conflict.replies(done).collect()}
+    assert heard == {"m.md": (True, True, sha(both), 7), "t.png": (False, False, sha(edit[1]), 7), "k.md": (False, False, sha(edit[1]), 7)}
+    blobs = {r["cid"]: bytes(r["bytes"]) for r in conflict.published(done).collect()}
+    assert blobs == {sha(edit[2]): edit[2], sha(both): both}
+    state = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows] + [("other", "o", 1)], "rel_path string, cid string, mtime_ms long")
+    after = {r["rel_path"]: r["cid"] for r in conflict.committed(state, done).collect()}
+    assert after == {**{k: v[0] for k, v in files.items()}, "other": "o"}
+    # every id that the state names is a stored one, or one the receiver had
+    assert {c for c in after.values()} <= set(blobs) | {r[1] for r in rows} | {"o"}
+
+
+def test_batch_refuses_unsafe_and_unbuilt(spark):
+    rows = [(p, None, None, "i", 1, None, "lww", "s", None, None, b"x") for p in ("ok.md", "../up.md", "/abs.md", "lacks.md")]
+    df = spark.createDataFrame(rows, COLS + ", base binary, local binary, incoming binary")
+    built = df.select("rel_path", F.when(F.col("rel_path") == "lacks.md", "missing_chunk").otherwise("ok").alias("status"))
+    assert [r["rel_path"] for r in conflict.commit_batch(df, built).collect()] == ["ok.md"]
+
+
+def test_journal_is_the_fold_with_merges(spark):
+    text = lambda *edits: "".join(f"{e}\n" for e in edits).encode()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    v0, v1, v2, v3 = text("a", "b", "c", "d", "e"), text("A", "b", "c", "d", "e"), text("a", "b", "c", "d", "E"), text("a", "b", "Z", "d", "e")
+    both, three = text("A", "b", "c", "d", "E"), text("A", "b", "Z", "d", "E")
+    state = spark.createDataFrame([("f.md", sha(v0), 10, v0), ("idle", "i", 1, None)], "rel_path string, cid string, mtime_ms long, content binary")
+    log = [("f.md", 1, v1, 20, v0, "lww"), ("f.md", 2, v2, 15, v0, "crdt"), ("f.md", 3, v3, 30, v0, "crdt"), ("f.md", 4, v2, 5, v0, "lww"), ("f.md", 5, v3, 1, three, "lww"), ("n.bin", 1, b"\xff", 3, None, "copy"), ("n.bin", 2, b"\xfe", 4, None, "copy")]
+    df = spark.createDataFrame([(p, s, sha(b), m, base and sha(base), pol, "s", b, base) for p, s, b, m, base, pol in log], "rel_path string, seq long, cid string, mtime_ms long, base string, policy string, short string, content binary, ancestor binary")
+    for parts in (1, 5):
+        entries = conflict.journal(state, df.repartition(parts, "seq"))
+        got = {(r["rel_path"], r["seq"]): (r["action"], r["conflict"], r["cid"], r["lost_cid"]) for r in entries.collect()}
+        assert got == {
+            ("f.md", 1): ("take", False, sha(v1), None),
+            ("f.md", 2): ("merged", True, sha(both), None),
+            ("f.md", 3): ("merged", True, sha(three), None),
+            ("f.md", 4): ("keep", True, sha(three), sha(v2)),
+            ("f.md", 5): ("take", False, sha(v3), None),
+            ("n.bin", 1): ("take", False, sha(b"\xff"), None),
+            ("n.bin", 2): ("keep", True, sha(b"\xff"), sha(b"\xfe")),
+        }
+    after = {r["rel_path"]: (r["cid"], r["mtime_ms"]) for r in conflict.journal_state(state, entries).collect()}
+    assert after == {"f.md": (sha(v3), 1), "idle": ("i", 1), "n.bin": (sha(b"\xff"), 3), "f.conflict-s-0.md": (sha(v2), 5), "n.conflict-s-0.bin": (sha(b"\xfe"), 4)}
+    assert conflict.journal(state, df.limit(0)).count() == 0

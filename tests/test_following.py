@@ -39,8 +39,8 @@ def test_sync_outcomes(spark):
 def test_merge_base_is_the_nearest(spark):
     commits = spark.createDataFrame([(1, s, p) for s, p in ((1, []), (2, [1]), (3, [2]), (4, [3, 1]), (5, [3]))], "repo int, sha int, parents array<int>")
     pairs = spark.createDataFrame([(1, 4, 5)], "repo int, _head int, head int")
-    reach = history.ancestors(commits, spark.createDataFrame([(1, 4), (1, 5)], "repo int, head int"))
-    assert [r["base"] for r in history.merge_bases(commits, pairs, reach).collect()] == [3]
+    for most in (100, 2):  # by walk, and by rounds
+        assert [r["base"] for r in history.merge_bases(commits, pairs, most).collect()] == [3]
 
 
 def test_revocation_holds_from_the_next_batch(spark, tmp_path):
