@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -74,3 +75,92 @@ def test_index_snapshots(spark, tmp_path):
     for cid in ("one", "two"):
         files.save_index(spark.createDataFrame([("a", cid, 1, 1, 420, [])], files.INDEX_SCHEMA), where, "s")
     assert [r["file_cid"] for r in files.load_index(spark, where, "s").collect()] == ["two"]
+
+
+def test_a_stream_follows_what_is_there(spark, tmp_path):
+    """Batch over a prefix of the log, then a stream over the rest, equals the batch over all."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "rel_path string, seq long, cid string, mtime_ms long, base string"
+    log = [(p, s, f"c{s % 4}", 100 - s * (s % 3), f"c{(s + 3) % 4}" if s % 2 else "") for p in "abcd" for s in range(8)] + [("new", 9, "n", 1, "")]
+    head, tail = [x for x in log if x[1] < 4], [x for x in log if x[1] >= 4]
+    empty = spark.createDataFrame([], "rel_path string, cid string, mtime_ms long")
+    start = conflict.replay(empty, spark.createDataFrame(head, schema))
+    spark.createDataFrame(tail, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    drain(events.stateful_replay(stream, start), "followed", "update", checkpointLocation=str(tmp_path / "cp"))
+    seen = {r["rel_path"]: tuple(r) for r in start.collect()} | {r["rel_path"]: tuple(r) for r in spark.table("followed").collect()}
+    assert set(seen.values()) == {tuple(r) for r in conflict.replay(empty, spark.createDataFrame(log, schema)).collect()}
+
+
+def test_sessions_by_slices_equal_session_windows(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rng = random.Random(2)
+    rows = [(rng.choice("xxxxxy"), at(rng.randrange(40_000)), rng.choice("abc")) for _ in range(1500)] + [("x", at(50_000 + 10 * i), "long") for i in range(2_000)] + [(None, at(1), "a"), ("x", None, "a"), ("z", at(5), None), ("z", at(5), "q/.syncignore")]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, path string").repartition(5)
+    for slice_ms in (7_000, 3_600_000):
+        got, paths = events.debounced(df, 30_000, "k", slice_ms=slice_ms)
+        want = events.debounce(df.where("k is not null and ts is not null"), "30 seconds", "k").select("k", "start", "end", "n_events", F.size("paths").cast("long"), F.coalesce("full_rescan", F.lit(False)))
+        assert sorted(map(tuple, got.drop("session").collect())) == sorted(map(tuple, want.collect()))
+        assert paths.count() == got.agg(F.sum("n_paths")).first()[0]
+    assert events.debounced(df.limit(0), 1000, "k")[0].count() == 0
+
+
+def test_late_rows_are_sent_again(spark, tmp_path):
+    """What a watermark drops, the next tick's comparison of both sides sends."""
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    schema = "k string, ts timestamp, path string"
+    seen: set[str] = set()
+    for part in ([("k", at(0), "a"), ("k", at(90_000), "b")], [("k", at(10), "late"), ("k", at(200_000), "c")], [("k", at(400_000), "d")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = events.debounce(stream, "1 second", "k", "1 minute").writeStream.foreachBatch(lambda rows, b: seen.update(p for r in rows.collect() for p in r["paths"]))
+        q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert "late" not in seen and {"a", "b", "c"} <= seen
+    changes = spark.createDataFrame([(p, p) for p in ("a", "b", "c", "late")], "rel_path string, cid string")
+    peers, sent = spark.createDataFrame([("p",)], "peer string"), []
+    acked = spark.createDataFrame([("p", x, x) for x in sorted(seen)], "peer string, rel_path string, cid string")
+    events.reemit_each(lambda s: changes, lambda s: peers, lambda s: acked, lambda rows, b: sent.extend(r["rel_path"] for r in rows.collect()))(changes, 0)
+    assert sent == ["late"]
+
+
+def follow(spark, source, where, out, **options):
+    reader = spark.readStream.format(source)
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    q = reader.load().writeStream.foreachBatch(lambda rows, b: out.extend(rows.collect())).option("checkpointLocation", where).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+
+
+def test_logs_are_followed_byte_by_byte(spark, tmp_path):
+    from casdelta.sources import following
+
+    spark.dataSource.register(following.LogTail)
+    logs, out = tmp_path / "logs", []
+    logs.mkdir()
+    big = bytes(i % 251 for i in range(3 << 20))
+    for step in ({"a": b"one\n", "b": b""}, {"a": b"two\n", "b": big, "c": b"\xff\x00"}, {}, {"c": b"end"}):
+        for name, data in step.items():
+            with open(logs / f"{name}.log", "ab") as f:
+                f.write(data)
+        (logs / "other.txt").write_bytes(b"not a log")
+        follow(spark, "logtail", str(tmp_path / "cp"), out, path=str(logs))  # each run begins at the checkpoint
+    pieces = sorted((r["job_id"], r["offset"], bytes(r["data"])) for r in out)
+    whole = {j: b"".join(p[2] for p in pieces if p[0] == j) for j in "abc"}
+    assert whole == {"a": b"one\ntwo\n", "b": big, "c": b"\xff\x00end"}
+    assert all(len(p[2]) <= following.PIECE_BYTES for p in pieces)
+
+
+def test_changes_of_a_tree_are_followed(spark, tmp_path):
+    from casdelta.sources import following
+
+    spark.dataSource.register(following.TreeChanges)
+    root, rounds = tmp_path / "tree", []
+    for step in ({"a/x": b"1", "y": b"2"}, {"y": b"3", "a/b/c/new": b""}, {}):
+        for rel, data in step.items():
+            (root / rel).parent.mkdir(parents=True, exist_ok=True)
+            (root / rel).write_bytes(data)
+        time.sleep(0.3)
+        out: list = []
+        follow(spark, "treechanges", str(tmp_path / "cp"), out, path=str(root), lag_ms="50")
+        rounds.append({r["path"] for r in out})
+    assert rounds == [{"a/x", "y"}, {"y", "a/b/c/new"}, set()]
