@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casdelta.operators.skew import hot_join
+from casdelta.operators.skew import HOT_SHARE, hot_join
 from casdelta.staging import staged
 
 # Built-in ignore rules, names never synced, and path fragments that repositories and loose files leave out.
@@ -37,8 +37,8 @@ LOOSE_FRAGMENTS = [
 ]
 #: Payloads of more bytes are not sent inline.
 INLINE_MAX = 2 * 1024 * 1024
-#: Characters of a segment's literal head or tail by which a rule is looked up, at most.
-KEY_CHARS = 4
+#: Characters of a segment's literal head or tail by which a rule is looked up.
+KEY_CHARS = (8, 4, 2, 1)
 
 
 @dataclass(frozen=True)
@@ -121,30 +121,27 @@ def _literal_text(segment: str) -> bool:
     return "*" not in segment and "?" not in segment
 
 
-def rule_key(pattern: str, anchored: bool) -> tuple[str, str]:
-    """(kind, key) of something that every path has which the rule matches, the most telling that the pattern offers.
+def rule_keys(pattern: str, anchored: bool) -> list[tuple[str, str]]:
+    """(kind, key) of all that every path has which the rule matches.
 
     prefix: the path is this folder or below it, or is this path; segment: one of its segments; ext: what follows the last dot of one;
-    head or tail: how one begins or ends, with the number of characters behind the kind; any: nothing is sure.
+    head or tail: how one begins or ends, with the number of characters behind the kind. If nothing is sure: any.
     """
     parts = pattern.split("/")
     # what follows a segment such as x** may begin within a segment
-    whole = [_literal_text(p) and not (i and parts[i - 1].endswith("**") and parts[i - 1] != "**") for i, p in enumerate(parts)]
+    starts = [not (i and parts[i - 1].endswith("**") and parts[i - 1] != "**") for i in range(len(parts))]
+    whole = [_literal_text(p) and ok for p, ok in zip(parts, starts, strict=True)]
     lead = next((i for i, ok in enumerate(whole) if not ok), len(parts))
-    if anchored and lead:
-        return "prefix", "/".join(parts[:lead])
-    if sure := [p for p, ok in zip(parts, whole, strict=True) if ok and p]:
-        return "segment", max(sure, key=len)
-    last, first = parts[-1], parts[0]
-    tail = re.search(r"[^*?]*\Z", last)[0]
-    if "." in tail:
-        return "ext", tail.rpartition(".")[2]
-    if tail:
-        return f"tail{len(tail[-KEY_CHARS:])}", tail[-KEY_CHARS:]
-    head = re.match(r"[^*?]*", first)[0]
-    if head:
-        return f"head{len(head[:KEY_CHARS])}", head[:KEY_CHARS]
-    return "any", ""
+    out = [("prefix", "/".join(parts[:lead]))] if anchored and lead else []
+    for part, literal, begins in zip(parts, whole, starts, strict=True):
+        head, tail = re.match(r"[^*?]*", part)[0] if begins else "", re.search(r"[^*?]*\Z", part)[0]
+        if literal:
+            out += [("segment", part)] if part else []
+            continue
+        out += [("ext", tail.rpartition(".")[2])] if "." in tail else []
+        out += [(f"tail{n}", tail[-n:]) for n in KEY_CHARS if len(tail) >= n][:1]
+        out += [(f"head{n}", head[:n]) for n in KEY_CHARS if len(head) >= n][:1]
+    return list(dict.fromkeys(out)) or [("any", "")]
 
 
 def path_keys(path: Column, kinds: Sequence[str]) -> Column:
@@ -163,40 +160,46 @@ def path_keys(path: Column, kinds: Sequence[str]) -> Column:
     def tagged_as(kind: str) -> Column:
         return F.transform(each[kind], lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
 
-    for n in range(1, KEY_CHARS + 1):
+    for n in KEY_CHARS:
         each |= ends(n)
     tagged = [tagged_as(k) for k in sorted(kinds)]
     return F.array_distinct(F.concat(*tagged)) if tagged else F.array().cast("array<struct<kind:string,key:string>>")
 
 
-def rule_index(rules: DataFrame) -> DataFrame:
-    """(kind, key, rules: array of (rule_idx, negated, rx)) of rules (rule_idx, pattern, negated, anchored, dir_only), a row a key.
+def known_rules(rules: DataFrame) -> DataFrame:
+    """(rule_idx, negated, rx, keys) of rules (rule_idx, pattern, negated, anchored, dir_only).
 
-    Of rules with the same pattern and flags only the last counts, so the rules under `any` are few, however many there are.
+    Of rules with the same pattern and flags only the last counts, so those without a key are few, however many there are.
     """
 
     def derive(pattern: pd.Series, anchored: pd.Series, dir_only: pd.Series) -> pd.DataFrame:
-        made = [(*rule_key(p, a), Rule(p, False, a, d).regex()) for p, a, d in zip(pattern, anchored, dir_only, strict=True)]
-        return pd.DataFrame(made, columns=["kind", "key", "rx"])
+        rows = list(zip(pattern, anchored, dir_only, strict=True))
+        return pd.DataFrame({"rx": [Rule(p, False, a, d).regex() for p, a, d in rows], "tags": [[":".join(k) for k in rule_keys(p, a)] for p, a, _ in rows]})
 
     last = rules.groupBy("pattern", "anchored", "dir_only").agg(F.max(F.struct("rule_idx", "negated")).alias("r"))
-    made = last.withColumn("d", F.pandas_udf(derive, "kind string, key string, rx string")("pattern", "anchored", "dir_only"))
-    return made.groupBy("d.kind", "d.key").agg(F.collect_list(F.struct("r.rule_idx", "r.negated", "d.rx")).alias("rules"))
+    made = last.withColumn("d", F.pandas_udf(derive, "rx string, tags array<string>")("pattern", "anchored", "dir_only"))
+    return made.select("r.rule_idx", "r.negated", "d.rx", "d.tags")
 
 
 def ignored_by_index(paths: DataFrame, rules: DataFrame, path: str = "rel_path") -> DataFrame:
     """paths with `ignored`, as is_ignored() has it, for a table of many rules (of parsed_rules()); every row of paths stays.
 
-    Rules meet paths by equijoins on literal prefixes, segments, extensions, heads and tails; a regex is tried only on what meets. Each
-    distinct path is looked up once. A null path is not ignored.
+    Rules meet paths by equijoins on literal prefixes, segments, extensions, heads and tails: each rule by the one of its keys that the
+    fewest paths have, and not at all if none has one of them. A regex is tried only on what meets. Each distinct path is looked up
+    once. A null path is not ignored.
     """
-    index = staged(rule_index(rules), "rules")
-    kinds = [r["kind"] for r in index.select("kind").distinct().collect()]  # eleven at most
-    tag = F.concat_ws(":", "kind", "key").alias("tag")
-    known = index.select(tag, "rules")
+    known = staged(known_rules(rules), "rules")
+    tags = staged(known.select("rule_idx", F.explode("tags").alias("tag")), "rule-tags")
+    kinds = [r[0] for r in tags.select(F.substring_index("tag", ":", 1)).distinct().collect()]  # eleven at most
     names = paths.select(F.col(path).alias("path")).where("path is not null").distinct()
-    asked = names.select("path", F.inline(path_keys(F.col("path"), kinds))).select("path", tag)
-    met = hot_join(asked, known, "tag", ["path"], "inner").select("path", F.explode("rules").alias("r"))
+    asked = names.select("path", F.inline(path_keys(F.col("path"), kinds))).select("path", F.concat_ws(":", "kind", "key").alias("tag"))
+    asked = asked.join(tags.select("tag").distinct(), "tag", "left_semi")
+    counts = staged(asked.groupBy("tag").agg(F.count("*").alias("n")), "rule-counts")
+    least = (counts.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE
+    hot = [(r["tag"], r["n"]) for r in counts.where(F.col("n") >= max(1.0, least)).orderBy(F.desc("n")).collect()]  # 1/HOT_SHARE at most
+    best = tags.join(counts, "tag", "left").groupBy("rule_idx").agg(F.min_by("tag", F.coalesce("n", F.lit(0))).alias("tag"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    index = known.join(best.where("n > 0"), "rule_idx").groupBy("tag").agg(F.collect_list(F.struct("rule_idx", "negated", "rx")).alias("rules"))
+    met = hot_join(asked, staged(index, "rule-index"), "tag", ["path"], "inner", hot=hot).select("path", F.explode("rules").alias("r"))
     hits = met.where("path rlike r.rx").groupBy("path").agg(F.max_by(~F.col("r.negated"), "r.rule_idx").alias("ignored"))
     out = paths.join(hits.withColumnRenamed("path", "_path"), F.col(path) == F.col("_path"), "left").drop("_path")
     return out.withColumn("ignored", F.coalesce("ignored", F.lit(False)))

@@ -62,23 +62,24 @@ def heavy_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list[tuple[
     return sorted(((r["key"], r["least"]) for r in rows), key=itemgetter(1), reverse=True)
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "left", share: float = HOT_SHARE) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "left", share: float = HOT_SHARE, hot: list[tuple[object, int]] | None = None) -> DataFrame:
     """left join right (how: left or inner) on key, where a few keys may hold most of left; right has each key once.
 
     Rows of hot keys are dealt by key and a salt from the columns `spread`, which should tell a key's rows apart, and right's few rows of
     these keys are replicated once for each salt; a salt stands for about share/2 of all rows. All other rows are shuffled by key
-    as ever. Null keys meet nothing, so they are not shuffled at all.
+    as ever. Null keys meet nothing, so they are not shuffled at all. hot: (key, rows) of the hot keys, most rows first, where they are
+    known already.
     """
-    found = heavy_keys(left, key, share)
+    found = heavy_keys(left, key, share) if hot is None else hot
     rest = left.where(F.col(key).isNotNull())
     lone = left.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name != key))
     if not found:
         out = rest.join(right, key, how)
     else:
         least = max(1, found[-1][1])
-        hot = left.sparkSession.createDataFrame([(k, -(-n // least)) for k, n in found], StructType([StructField(key, left.schema[key].dataType), StructField("_salts", LongType())]))
-        plain = rest.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
-        mine = rest.join(F.broadcast(hot), key).withColumn("_salt", F.pmod(F.xxhash64(*spread), F.col("_salts"))).drop("_salts")
-        theirs = right.join(F.broadcast(hot), key).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
+        keys = left.sparkSession.createDataFrame([(k, -(-n // least)) for k, n in found], StructType([StructField(key, left.schema[key].dataType), StructField("_salts", LongType())]))
+        plain = rest.join(F.broadcast(keys), key, "left_anti").join(right, key, how)
+        mine = rest.join(F.broadcast(keys), key).withColumn("_salt", F.pmod(F.xxhash64(*spread), F.col("_salts"))).drop("_salts")
+        theirs = right.join(F.broadcast(keys), key).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
         out = plain.unionByName(mine.join(theirs, [key, "_salt"], how).drop("_salt"))
     return out.select(lone.columns).unionByName(lone) if how == "left" else out

@@ -105,18 +105,19 @@ def table_delta(old: DataFrame, new: DataFrame, keys: list[str], buckets: int |
     """
     if buckets is None:
         buckets = max(256, old.count() // rows_a_bucket)
-    a, b = (staged(keyed(df, keys, buckets), "table-keys") for df in (old, new))
-    leaves = [staged(leaf_digests(x), "table-digests") for x in (a, b)]
-    changed = staged(differing(*leaves, buckets)[-1], "table-changed")
-
-    def rows(df: DataFrame, name: str) -> DataFrame:
-        opened = df.join(changed, "bucket", "left_semi").groupBy(*keys).agg(F.first("sha").alias("sha"), F.count("*").alias("_n"))
-        again = F.raise_error(F.concat(F.lit("repeated key: "), F.to_json(F.struct(*keys)))).cast("string")
-        return opened.select(*keys, F.when(F.col("_n") == 1, F.col("sha")).otherwise(again).alias(name))
-
-    both = rows(a, "_old").join(rows(b, "_new"), keys, "full_outer")
+    sides = [keyed(df, keys, buckets).withColumn("_side", F.lit(side)) for side, df in enumerate((old, new))]
+    both = staged(sides[0].unionByName(sides[1]), "table-keys")
+    leaves = summed(both.select("_side", "bucket", F.lit(1).cast("long").alias("n"), *limbs(F.col("sha"))), ["_side", "bucket"])
+    # the leaves are at hand, so they are compared as they are; differing() is for sides whose leaves are kept
+    seen = leaves.groupBy("bucket").agg(F.collect_list(F.struct("n", *LIMBS)).alias("d"))
+    changed = seen.where((F.size("d") < 2) | (F.get("d", F.lit(0)) != F.get("d", F.lit(1)))).select("bucket")
+    opened = both.join(changed, "bucket", "left_semi").groupBy(*keys)
+    side = lambda i, name: (F.min(F.when(F.col("_side") == i, F.col("sha"))).alias(name), F.count(F.when(F.col("_side") == i, 1)).alias(f"{name}_n"))
+    rows = opened.agg(*side(0, "_old"), *side(1, "_new"))
+    again = F.raise_error(F.concat(F.lit("repeated key: "), F.to_json(F.struct(*keys)))).cast("string")
     op = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(F.col("_old") != F.col("_new"), "update")
-    return both.select(*keys, op.alias("op")).where("op is not null")
+    checked = F.when((F.col("_old_n") > 1) | (F.col("_new_n") > 1), again).otherwise(op)
+    return rows.select(*keys, checked.alias("op")).where("op is not null")
 
 
 def merge_tables(base: DataFrame, local: DataFrame, incoming: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

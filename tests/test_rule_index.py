@@ -32,7 +32,7 @@ def test_index_equals_the_rules_in_turn(spark):
 
 @pytest.mark.parametrize("pattern, anchored, kind", [("src3/en/*.md", True, "prefix"), ("**/fr/*.txt", True, "segment"), ("*.png", False, "ext"), ("*~", False, "tail1"), (".#*", False, "head2"), ("x**/fr", True, "tail2"), ("a/**/b", True, "prefix"), ("**", True, "any"), ("x**/fr/y", True, "segment")])
 def test_keys(pattern, anchored, kind):
-    assert rules.rule_key(pattern, anchored)[0] == kind
+    assert kind in [k for k, _ in rules.rule_keys(pattern, anchored)]
 
 
 def test_ten_thousand_rules_without_a_nested_loop(spark):
