@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casdelta.llm.common import id_bucket, staged, whole_text
+from casdelta.operators.skew import heavy_keys
 
 #: Accented letters that tell languages apart, and last characters, for the shape classes.
 ACCENTS = [frozenset("äöüß"), frozenset("éèêçàâîôûù"), frozenset("ñóíáúü¿¡")]
@@ -224,10 +225,10 @@ def train_on(net: Network, vocab: Vocabulary, texts: Iterator[str], lanes: int =
         return None
 
     while True:
-        kinds = np.full((window, lanes), -1, np.int64)
-        ranks, xs = np.zeros((window, lanes), np.int64), np.zeros((window, lanes), np.int64)
-        fresh = np.zeros((window, lanes), bool)
-        for j in range(lanes):
+        kinds = np.full((window, len(lane)), -1, np.int64)
+        ranks, xs = np.zeros((window, len(lane)), np.int64), np.zeros((window, len(lane)), np.int64)
+        fresh = np.zeros((window, len(lane)), bool)
+        for j in range(len(lane)):
             at = 0
             while at < window:
                 if lane[j] is None or lane[j][2] == len(lane[j][0]):
@@ -242,13 +243,17 @@ def train_on(net: Network, vocab: Vocabulary, texts: Iterator[str], lanes: int =
                 xs[at : at + n, j] = x if pos else np.append(vocab.head + SHAPES, x)
                 lane[j] = (rank, kind, pos + n)
                 at += n
+        busy = kinds[0] >= 0
+        if not busy.all():  # no text is left for these lanes: the others go on without them
+            kinds, ranks, xs, fresh, h = kinds[:, busy], ranks[:, busy], xs[:, busy], fresh[:, busy], h[busy]
+            lane = [x for x, ok in zip(lane, busy, strict=True) if ok]
         live = kinds >= 0
         if not live.any():
             return seen
         seen += int(live.sum())
         steps = []
         gates = net.x[xs]
-        hs = np.empty((window, lanes, k), np.float32)
+        hs = np.empty((window, len(lane), k), np.float32)
         for t in range(window):
             if fresh[t].any():
                 h = np.where(fresh[t][:, None], np.float32(0), h)
@@ -274,8 +279,8 @@ def train_on(net: Network, vocab: Vocabulary, texts: Iterator[str], lanes: int =
             dh_flat[at] += q @ net.w[rows]
         dhs = np.zeros_like(hs)
         dhs[live] = dh_flat
-        dh = np.zeros((lanes, k), np.float32)
-        dgates, dus = np.empty((window, lanes, 3 * k), np.float32), np.empty((window, lanes, 3 * k), np.float32)
+        dh = np.zeros((len(lane), k), np.float32)
+        dgates, dus = np.empty((window, len(lane), 3 * k), np.float32), np.empty((window, len(lane), 3 * k), np.float32)
         for t in reversed(range(window)):
             before, z, r, n, hun = steps[t]
             dh = dh + dhs[t]
@@ -315,15 +320,32 @@ def average(parts: DataFrame) -> DataFrame:
     return first.groupBy("block").applyInPandas(mean, schema)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 2, tokens_a_replica: int = 2_000_000, size: int = 24, block: int = 1 << 16, lanes: int = 128, rate: float = 0.12) -> np.ndarray:
-    """Weights trained on all docs, whole texts, dealt over the rounds by text hash; the number of replicas grows with the input.
+def dealt(docs: DataFrame, rounds: int, replicas: int, long_bytes: int) -> DataFrame:
+    """(text, _turn, replica, _first, _mark) of docs: the round that a row trains in, by its text, and its replica, by text and doc_id.
 
-    A replica is what its number says, whatever task it lands in, so the weights do not depend on the partitioning.
+    Rows that repeat both, so often that they would be felt in one replica (as a sketch counts them), go by row number instead.
+    """
+    mark, size = F.xxhash64(whole_text(), F.lit(5)), F.octet_length(whole_text())
+    first = F.when(size > long_bytes, -F.log2(size)).otherwise(0.0)
+    slim = docs.select(whole_text().alias("text"), F.pmod(mark, F.lit(rounds)).alias("_turn"), F.xxhash64(mark, *([F.col("doc_id")] if "doc_id" in docs.columns else [])).alias("_row"), first.alias("_first"), mark.alias("_mark"))
+    hot = heavy_keys(slim, "_row", 1 / (8 * replicas)) if replicas > 1 else []
+    many = docs.sparkSession.createDataFrame([(k,) for k, n in hot if n > 1], "_row long").withColumn("_many", F.lit(True))
+    number = F.monotonically_increasing_id()
+    slim = slim.withColumn("_number", number).join(F.broadcast(many), "_row", "left") if hot else slim.select("*", F.lit(0).alias("_number"), F.lit(None).cast("boolean").alias("_many"))
+    replica = F.pmod(F.xxhash64("_row", F.when(F.col("_many"), F.col("_number"))), F.lit(replicas))
+    return slim.select("text", "_turn", replica.alias("replica"), "_first", "_mark")
+
+
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 2, tokens_a_replica: int = 2_000_000, size: int = 24, block: int = 1 << 16, lanes: int = 128, rate: float = 0.12, long_bytes: int = 20_000) -> np.ndarray:
+    """Weights trained on all docs, whole texts; the number of replicas grows with the input.
+
+    A replica is what its number says, whatever task it lands in, and replicas that share a task train apart, so the weights do not
+    depend on the partitioning, unless rows repeat text and id very often: see dealt(). In a replica the texts of more than long_bytes come first, so that at its end no long one is left
+    alone on a lane.
     """
     spark = docs.sparkSession
     replicas = max(1, round(vocab.total / tokens_a_replica))
-    mark = F.xxhash64(whole_text(), F.lit(5))
-    slim = docs.select(whole_text().alias("text"), F.pmod(mark, F.lit(rounds)).alias("_turn"), F.pmod(F.floor(mark / 4096), F.lit(replicas)).alias("replica"), mark.alias("_mark"))
+    slim = dealt(docs, rounds, replicas, long_bytes)
     flat = Network(vocab, size).flat
     for turn in range(rounds):
         start, words = spark.sparkContext.broadcast(flat), spark.sparkContext.broadcast(vocab)
@@ -337,7 +359,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 2, tokens_a_replica:
                     parts = [net.flat[i : i + block].tobytes() for i in range(0, len(net.flat), block)]
                     yield pd.DataFrame({"replica": replica, "block": range(len(parts)), "weight": float(n), "bytes": parts})
 
-        few = slim.where(F.col("_turn") == turn).repartitionByRange(replicas, "replica").sortWithinPartitions("replica", "_mark", "text")
+        few = slim.where(F.col("_turn") == turn).repartitionByRange(replicas, "replica").sortWithinPartitions("replica", "_first", "_mark")
         got = average(few.select("replica", "text").mapInPandas(run, "replica long, block int, weight double, bytes binary"))
         parts = {r["block"]: bytes(r["bytes"]) for r in got.select("block", "bytes").collect()}
         if parts:

@@ -257,3 +257,27 @@ def test_count_words_covers_everything(spark):
     got = {bytes(r["word"]).decode(): r["n"] for r in lm.count_words(df, held=2).collect()}
     assert got == {"a": 2, "É\x1cx": 1, "b": 10}
     assert df.select(F.count("*")).first()[0] == 3
+
+
+def test_lm_replicas_share_a_text_that_half_of_the_rows_repeat(spark):
+    docs = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "the same text").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    for rows in (docs, docs.withColumn("doc_id", F.monotonically_increasing_id()), docs.withColumn("doc_id", F.lit(None).cast("long"))):
+        each = [r["count"] for r in lm.dealt(rows, 2, 20, 20_000).groupBy("replica").count().collect()]
+        assert len(each) == 20 and max(each) < 1.3 * min(each)
+    # a row trains in one round, with all rows of its text
+    assert lm.dealt(docs, 2, 20, 20_000).groupBy("text").agg(F.countDistinct("_turn").alias("n")).where("n > 1").count() == 0
+
+
+def test_lm_lanes_that_run_out_change_nothing():
+    """Texts of very different lengths train as they would with a lane for each from the start to the end."""
+    texts = ["a b c", "", "a " * 300, "b c", "c " * 90, "a b"]
+    words = [b"a", b"b", b"c"]
+    vocab = lm.Vocabulary(words, np.array([304, 3, 92]), 3, np.zeros((lm.SHAPES, 2)), len(texts), 399 + 6, 4).index()
+    flats = []
+    for lanes in (6, 64):  # the scale of a step goes by lanes, so the rates differ by as much
+        net = lm.Network(vocab)
+        assert lm.train_on(net, vocab, iter(texts), lanes, rate=0.05) == sum(len(t.split()) + 1 for t in texts)
+        assert np.isfinite(net.flat).all()
+        flats.append(sum(r[0] for r in lm.score_texts(net, vocab, texts)))
+    untrained = sum(r[0] for r in lm.score_texts(lm.Network(vocab), vocab, texts))
+    assert min(flats) > untrained
