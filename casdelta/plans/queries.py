@@ -98,13 +98,13 @@ MESSAGES = (
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
-    n = rows.count() * 3 // 4
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.floor(F.count("*") * 3 / 4).alias("_n"))))
     kind = F.col("event_type")
     verb = F.when(kind == "view", "have").when(kind == "click", "list").when(kind == "signup", "manifest").when(kind == "purchase", "commit").otherwise("unknown")
     return rows.select(
         "event_id",
         "ts",
-        F.when(F.col("event_id") % 11 != 0, F.col("event_id") % n).alias("reply_token"),
+        F.when(F.col("event_id") % 11 != 0, F.col("event_id") % F.col("_n")).alias("reply_token"),
         F.sha2(F.col("user_id").cast("string"), 256).alias("from_id"),
         F.concat(F.lit("sync2/"), verb).alias("topic"),
         F.when(F.col("event_id") % 13 == 0, "zz").otherwise(F.lower(F.hex(F.encode("props", "UTF-8")))).alias("payload_hex"),
@@ -986,7 +986,7 @@ def i5_dedup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def i8_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = reconcile.plan(cids(objects_a(spark, sf_dir)), cids(objects_b(spark, sf_dir))).where("op <> 'unchanged'").select("rel_path", "op", F.coalesce("new_cid", "old_cid").alias("cid"))
     peers = table(spark, sf_dir, "nation").select(F.col("n_name").alias("peer"), "n_nationkey")
-    acked = changes.where("op = 'modify'").join(F.broadcast(peers.where("n_nationkey % 2 = 0")), F.lit(True)).select("peer", "rel_path", "cid")
+    acked = history.each_peer(changes.where("op = 'modify'"), peers.where("n_nationkey % 2 = 0")).select("peer", "rel_path", "cid")
     return streams.fan_out(changes, peers, acked).select("peer", "rel_path")
 
 
@@ -999,7 +999,7 @@ def i6_reemit(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = objects_b(spark, sf_dir)
     changes = reconcile.plan(cids(objects_a(spark, sf_dir)), cids(after)).where("op <> 'unchanged'").select("rel_path", F.coalesce("new_cid", "old_cid").alias("cid"))
     peers = table(spark, sf_dir, "nation").select(F.col("n_name").alias("peer"), "n_nationkey")
-    sent = changes.join(after.select("rel_path", "size"), "rel_path", "left").crossJoin(F.broadcast(peers))
+    sent = history.each_peer(changes.join(after.select("rel_path", "size"), "rel_path", "left"), peers).join(peers, "peer")
     acked = sent.where((F.coalesce("size", F.lit(0)) + F.col("n_nationkey")) % 5 != 0).select("peer", "rel_path", "cid")
     out: list[DataFrame] = []
     streams.reemit_each(lambda _: changes, lambda _: peers, lambda _: acked, lambda rows, _: out.append(rows))(changes, 0)
@@ -1167,7 +1167,7 @@ def k5_snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k6_pending_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     snaps = objects_a(spark, sf_dir).select(F.col("rel_path").alias("repo"), F.col("mtime_ms").alias("snap"), F.col("size").alias("bytes"))
     peers = table(spark, sf_dir, "nation").select(F.col("n_name").alias("peer"), "n_nationkey")
-    sent = snaps.where("bytes % 2 = 0").join(F.broadcast(peers.where("n_nationkey % 3 = 0")), F.lit(True)).select("peer", "repo", "snap")
+    sent = history.each_peer(snaps.where("bytes % 2 = 0"), peers.where("n_nationkey % 3 = 0")).select("peer", "repo", "snap")
     return history.pending_snapshots(snaps, peers, sent, 4096).select("peer", "repo")
 
 

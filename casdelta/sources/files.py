@@ -6,6 +6,7 @@ import hashlib
 import os
 import stat
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,30 +24,42 @@ INDEX_SCHEMA = "rel_path string, file_cid string, size long, mtime_ms long, mode
 
 
 class _Folder(InputPartition):
-    def __init__(self, folder: str, deep: bool):
-        self.folder, self.deep = folder, deep
+    """A folder, with what is below it if deep, and of its files those whose name's checksum leaves `part` modulo `parts`."""
+
+    def __init__(self, folder: str, deep: bool, part: int = 0, parts: int = 1):
+        self.folder, self.deep, self.part, self.parts = folder, deep, part, parts
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
+    """levels: how many levels of folders the driver lists; the ones below go to tasks whole. slices: tasks that share a listed folder's own files."""
+
+    def __init__(self, root: str, levels: int = 2, slices: int = 4):
+        self.root, self.levels, self.slices = root, levels, slices
 
     def partitions(self) -> list[InputPartition]:
-        """The root's own files, and one partition for each folder directly or two levels below it."""
-        out: list[InputPartition] = [_Folder(self.root, False)]
-        for top in sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False)):
-            try:
-                below = sorted(e.path for e in os.scandir(top) if e.is_dir(follow_symlinks=False))
-            except OSError:
-                continue
-            out += [_Folder(top, False), *(_Folder(d, True) for d in below)]
+        out: list[InputPartition] = []
+        level = [self.root]
+        for depth in range(self.levels + 1):
+            if depth == self.levels:
+                return out + [_Folder(d, True) for d in level]
+            out += [_Folder(d, False, i, self.slices) for d in level for i in range(self.slices)]
+            level = [d for folder in level for d in self._below(folder)]
         return out
 
+    @staticmethod
+    def _below(folder: str) -> list[str]:
+        try:
+            return sorted(e.path for e in os.scandir(folder) if e.is_dir(follow_symlinks=False))
+        except OSError:
+            return []
+
     def read(self, partition: _Folder) -> Iterator[tuple]:
         for folder, dirs, names in os.walk(partition.folder, followlinks=False):
             if not partition.deep:
                 dirs.clear()
             for name in names:
+                if partition.parts > 1 and zlib.crc32(os.fsencode(name)) % partition.parts != partition.part:
+                    continue
                 path = os.path.join(folder, name)
                 try:
                     s = os.lstat(path)
@@ -57,7 +70,11 @@ class TreeReader(DataSourceReader):
 
 
 class FileTree(DataSource):
-    """Regular files below a folder that all executors mount: rel_path, uri, size, mtime_ms, mode; links are not followed."""
+    """Regular files below a folder that all executors mount: rel_path, uri, size, mtime_ms, mode; links are not followed.
+
+    Options: path; levels and slices, as TreeReader has them: raise levels for a deep tree with few folders at the top, slices for
+    folders of very many files.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -67,7 +84,7 @@ class FileTree(DataSource):
         return "rel_path string, uri string, size long, mtime_ms long, mode int"
 
     def reader(self, schema) -> DataSourceReader:
-        return TreeReader(self.options["path"])
+        return TreeReader(self.options["path"], int(self.options.get("levels", "2")), int(self.options.get("slices", "4")))
 
 
 def scan_tree(spark: SparkSession, root: str, rules: list[Rule] | None = None) -> DataFrame:

@@ -64,6 +64,9 @@ def test_files_round_trip(spark, tmp_path):
     (root / "link").symlink_to(root / "empty")
     scan = files.scan_tree(spark, str(root), read_rules(""))
     assert {r["rel_path"]: r["size"] for r in scan.collect()} == {"a/b/one.txt": 2500, "empty": 0, "a/b/c/d/deep.txt": 1}
+    for levels, slices in ((0, 1), (1, 3), (5, 2)):
+        again = spark.read.format("filetree").option("levels", levels).option("slices", slices).load(str(root))
+        assert sorted(r["rel_path"] for r in again.collect()) == ["a/b/c/d/deep.txt", "a/b/one.txt", "a/two.tmp", "empty"]
     chunks = files.read_chunks(scan, 1024).collect()
     assert sorted(r["idx"] for r in chunks if r["rel_path"] == "a/b/one.txt") == [-1, 0, 1, 2]
     assert [r["idx"] for r in chunks if r["rel_path"] == "empty"] == [-1]
