@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casdelta.llm.common import hashed_share, staged
+from casdelta.llm.common import hashed_share, numbered, staged
 
 
 def nearest_codeword(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -74,11 +74,12 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame, most: int, salt: int = 64) -> DataFrame:
-    """(node, v, ids): each distinct vector with its `most` least ids, repeats included, found in parts first; node is a number of its own."""
+    """(node, v, ids): each distinct vector with its `most` least ids, repeats included, found in parts first; nodes are numbered by least id."""
     part = Window.partitionBy("v", "_salt").orderBy("vec_id")
     few = rows.withColumn("_salt", F.pmod(F.hash("vec_id"), F.lit(salt))).withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= most)
     few = few.withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("_n") <= most)
-    return few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("node"), "v", "ids")
+    each = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    return numbered(each, [F.get("ids", F.lit(0))], "node").select("node", "v", "ids")
 
 
 def unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +121,7 @@ def packed(index: DataFrame, books: np.ndarray, size: int) -> DataFrame:
 
 
 def shortlist(queries: DataFrame, packs: DataFrame, books: np.ndarray, share: float, least: int, kept: int, queries_a_block: int, packs_a_part: int = 64) -> DataFrame:
-    """(query, node): each query's best `kept` nodes in each part of the index by exact inner product, ties to smaller nodes.
+    """(query, node): each query's best `kept` nodes in each part of the index by exact inner product, ties to smaller nodes, which are those of smaller ids.
 
     The exact product is taken of the best by table lookup in each pack: `share` of its vectors, `least` at least.
     Query blocks meet index packs by a shared key, in blocks: a task holds one query block, its running best and one pack.
