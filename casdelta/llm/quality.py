@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casdelta.llm.common import WORD, id_bucket, whole_text
+from casdelta.llm.common import hashed_share, WORD, id_bucket, whole_text
 
 #: name -> (lower bound, feature, upper bound]; None: open.
 Rule = tuple[tuple[str, float | None, float | None], ...]
@@ -158,13 +158,14 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 25, depth:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> Ensemble:
-    """Fit on labelled documents whose crc32(doc_id) modulo 5 is not 0: at most max_rows ids, those of least id hash.
+    """Fit on labelled documents whose crc32(doc_id) modulo 5 is not 0: all, or of more than max_rows ids about as many, by id hash.
 
-    Only the features of these documents reach the driver. Rows without a label or an id take no part. An id that is labelled more
+    Each task draws alone. Only the features of these documents reach the driver. Rows without a label or an id take no part. An id that is labelled more
     than once counts with its least label, an id of several documents with the least of their features.
     """
     few = labels.where((id_bucket(F.col("doc_id"), 5) != 0) & F.col("quality").isNotNull())
-    few = few.groupBy("doc_id").agg(F.min(F.col("quality").cast("double")).alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    few = few.groupBy("doc_id").agg(F.min(F.col("quality").cast("double")).alias("_label"))
+    few = hashed_share(few, [F.col("doc_id")], max_rows / max(1, few.count()))
     held = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_body")).join(F.broadcast(few), F.col("_id") == F.col("doc_id"))
     names = list(features())
     seen = with_features(held, [F.col("_id"), F.col("_label")], "_body")
