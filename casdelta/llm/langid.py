@@ -163,17 +163,18 @@ def label_positions(net: Network, texts: list[bytes], window: int = 480, margin:
     return total
 
 
-def train(docs: DataFrame, rows_a_language: int = 200, max_langs: int = 200) -> Network:
+def train(docs: DataFrame, rows_a_language: int = 200, bytes_a_language: int = 1_000_000) -> Network:
     """Fit on text and non-null lang of rows whose crc32(doc_id as text) modulo 4 is not 2, whole texts.
 
-    About rows_a_language rows of each language, drawn by a hash threshold, so that what reaches the driver does not grow with docs;
-    of more than max_langs languages the most frequent are learned. Rows of a null id take part; texts without a letter teach nothing.
+    About rows_a_language rows of each language, and about bytes_a_language of their bytes at most, drawn by a hash threshold, so that
+    what reaches the driver grows with the languages alone, all of which are learned. Rows of a null id take part; texts without a
+    letter teach nothing.
     """
     usable = docs.where((F.coalesce(id_bucket(F.col("doc_id"), 4), F.lit(0)) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    found = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    found = usable.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
     if not found:
         return fit([], [])
-    shares = docs.sparkSession.createDataFrame([(r["lang"], rows_a_language / r["count"]) for r in found], "_lang string, _share double")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(rows_a_language / r["n"], bytes_a_language / r["size"])) for r in found], "_lang string, _share double")
     held = usable.join(F.broadcast(shares), F.col("lang") == F.col("_lang"))
     few = hashed_share(held, [F.col("doc_id"), F.col("text")], F.col("_share")).select("text", "lang").toPandas()
     few = few.sort_values(["lang", "text"])
