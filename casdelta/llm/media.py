@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casdelta.llm.common import slices
+
 #: Magic bytes of the formats, with the distance of the magic from the start of the medium.
 MAGIC = [
     ("au", b".snd", 0),
@@ -32,6 +34,8 @@ MAGIC = [
 FORMATS = ("wav", "bmp", "au", "pgm")
 #: Width in samples of the pictures that hold a payload; payloads are a multiple of it.
 UNIT = 192
+#: Bytes of texts or media that a task holds at once, unless a single one has more.
+SLICE_BYTES = 4 << 20
 
 
 def valid_wav(b: memoryview, at: int) -> tuple[int, int, int] | None:
@@ -175,8 +179,8 @@ def store(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, size, declared, media = batch.slice(at, 500), [], [], []
+            for part in slices(batch, 1, 500, SLICE_BYTES):
+                size, declared, media = [], [], []
                 for t in part.column(1).to_pylist():
                     raw = (t or "").encode("utf-8")
                     k = zlib.crc32(raw)
@@ -203,8 +207,7 @@ def sniff(df: DataFrame, media: str = "media", declared: str = "declared", keep:
         names = [*keep, "media", "declared", "type", "corrected", "payload", "carved"]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, len(keep), 500, SLICE_BYTES):
                 types, fixed, payloads, carved = [], [], [], []
                 for m, d in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist(), strict=True):
                     found = sniff_bytes(m) if m else []
