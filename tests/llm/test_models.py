@@ -281,3 +281,24 @@ def test_lm_lanes_that_run_out_change_nothing():
         flats.append(sum(r[0] for r in lm.score_texts(net, vocab, texts)))
     untrained = sum(r[0] for r in lm.score_texts(lm.Network(vocab), vocab, texts))
     assert min(flats) > untrained
+
+
+def test_quality_draws_about_as_many_as_asked(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    seen = []
+    kept, quality_fit = quality.fit, quality.fit
+    try:
+        quality.fit = lambda x, y, names: seen.append(len(y)) or quality_fit(x[:50], y[:50], names)
+        quality.train(docs, labels, max_rows=1000)
+        quality.train(docs, labels, max_rows=100_000)
+    finally:
+        quality.fit = kept
+    assert 850 < seen[0] < 1150 and seen[1] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(6000))
+
+
+def test_more_languages_than_two_hundred(spark, monkeypatch):
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: (texts, langs))
+    rows = [(i, f"text {i} of some words", f"l{i % 260:03d}") for i in range(5200)] + [(9000 + i, "long " * 20_000, "big") for i in range(100)]
+    texts, langs = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(set(langs) - {"big"}) == 260 and sum(len(t) for t, x in zip(texts, langs, strict=True) if x == "big") < 4_000_000

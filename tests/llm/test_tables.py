@@ -165,6 +165,25 @@ def test_shortlist_grows_with_the_table(spark):
     assert sum(len(got[q] & {v for v, _ in want[q]}) for q in want) >= 0.8 * 20 * len(want)
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(3)
+    v = np.unique((rng.random((3000, 12)) < 0.5).astype(float), axis=0)
+    v = v[v.any(axis=1)][:1500]
+    ids = rng.permutation(len(v))
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>").repartition(7)
+    got = {}
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    place = np.argsort(ids)
+    hits = total = 0
+    for q, found in got.items():
+        score = v[place] @ v[place[q]]
+        want = [i for i in np.lexsort((np.arange(len(v)), -score)) if i != q][:20]
+        assert [s for _, s in found] == [score[i] for i in want]
+        hits, total = hits + len({i for i, _ in found} & set(want)), total + 20
+    assert len(got) == 75 and hits / total > 0.99
+
+
 def test_few_and_no_vectors(spark):
     s = "vec_id long, embedding array<float>, embedding_norm double"
     got = ann.search(spark.createDataFrame([(0, [1.0, 0.0], 1.0), (7, [0.5, 0.5], 1.0), (20, [0.0, 2.0], 1.0)], s)).collect()
@@ -214,6 +233,15 @@ def png(data=b"x"):
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(data)) + part(b"IEND", b"")
 
 
+def test_media_of_huge_texts(spark, monkeypatch):
+    monkeypatch.setattr(media, "SLICE_BYTES", 1 << 20)
+    texts = ["x" * 3_000_000, "é" * 1_000_000, None, "small", "y" * 500_000, "z" * 600_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in media.sniff(media.store(df), keep=("doc_id", "n_bytes")).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert r["n_bytes"] == len(raw) and bytes(r["payload"]) == raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
+
+
 def test_sniffing_and_carving(spark):
     wav, gif = media.pack(b"a" * 192, "wav"), b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00\x3b"
     assert [m[0] for m in media.sniff_bytes(wav + b"junk" + png() + b"BM" + gif)] == ["wav", "png", "gif"]
