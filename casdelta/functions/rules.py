@@ -111,10 +111,17 @@ def is_ignored(path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
-def ignored_by_table(paths: DataFrame, rules: DataFrame, path: str = "rel_path") -> DataFrame:
-    """As is_ignored() for rules (rule_idx, rx, negated), a table that Spark broadcasts if it is small enough."""
-    hit = paths.join(rules, F.expr(f"{path} rlike rx"), "left")
-    return hit.groupBy(path).agg(F.coalesce(F.max_by(~F.col("negated"), "rule_idx"), F.lit(False)).alias("ignored"))
+def ignored_by_table(paths: DataFrame, rules: DataFrame, path: str = "rel_path", most: int = 1_000) -> DataFrame:
+    """(path, ignored), a row for each row of paths, as is_ignored() for a short table of rules (rule_idx, rx, negated).
+
+    Each path is tried against every rule, so it is an error to have more than `most` rules: ignored_by_index() is for many.
+    """
+    if rules.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rules")
+    names = paths.select(F.col(path).alias("path")).where("path is not null").distinct()
+    hit = names.crossJoin(F.broadcast(rules)).where("path rlike rx").groupBy("path").agg(F.max_by(~F.col("negated"), "rule_idx").alias("ignored"))
+    out = paths.select(path).join(hit, F.col(path) == hit["path"], "left")
+    return out.select(path, F.coalesce("ignored", F.lit(False)).alias("ignored"))
 
 
 def _literal_text(segment: str) -> bool:
