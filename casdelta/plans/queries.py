@@ -494,6 +494,45 @@ def d15_push_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.push_counts(cids(a), cids(b), chunking.chunk(b, CHUNK, payload=False), chunking.chunk(a, CHUNK, payload=False))
 
 
+PUSHED = (
+    W.rstrip() + f", plan AS ({D3}), joined AS (SELECT b.rel_path, c.file_cid AS l, c.mtime_ms AS lm, b.file_cid AS i, b.mtime_ms AS im, a.file_cid AS b FROM cid_b b JOIN plan p ON p.rel_path = b.rel_path AND p.op IN ('create', 'modify') "
+    f"LEFT JOIN cid_c c ON c.rel_path = b.rel_path LEFT JOIN cid_a a ON a.rel_path = b.rel_path), judged AS (SELECT *, {SQL_CONFLICT} AS conflict, coalesce(im > lm OR (im = lm AND i > l), false) AS newer FROM joined), "
+    "written AS (SELECT rel_path, CASE WHEN NOT conflict OR newer THEN i ELSE l END AS cid, CASE WHEN NOT conflict OR newer THEN im ELSE lm END AS mtime_ms FROM judged UNION ALL "
+    "SELECT concat(regexp_replace(rel_path, '\\.[a-z]+$', ''), '.conflict-peer01-', (CASE WHEN newer THEN lm ELSE im END) // 1000, regexp_extract(rel_path, '(\\.[a-z]+)$', 1)), CASE WHEN newer THEN l ELSE i END, CASE WHEN newer THEN lm ELSE im END FROM judged WHERE conflict), "
+    "gone AS (SELECT p.rel_path FROM plan p JOIN cid_a a USING (rel_path) LEFT JOIN cid_c c USING (rel_path) WHERE p.op = 'delete' AND NOT coalesce(c.file_cid <> a.file_cid, false)) "
+)
+
+
+def pushed(spark: SparkSession, sf_dir: str) -> reconcile.Push:
+    """objects_b pushed by one whose index has objects_a, to one who has gone on to objects_c."""
+    index = index_of(objects_a(spark, sf_dir)).withColumn("base", F.col("file_cid"))
+    files = objects_c(spark, sf_dir).select("rel_path", ids.content_id(F.col("content")).alias("cid"), "mtime_ms", "content")
+    store_ = chunking.chunk(objects_a(spark, sf_dir), CHUNK, payload=False).select("cid")
+    return reconcile.push_once(objects_b(spark, sf_dir), index, files, store_, CHUNK, short="peer01")
+
+
+@query(PUSHED + "SELECT coalesce(w.rel_path, c.rel_path) AS rel_path, coalesce(w.cid, c.file_cid) AS cid, coalesce(w.mtime_ms, c.mtime_ms) AS mtime_ms, coalesce(w.cid, c.file_cid) AS content_cid FROM cid_c c FULL JOIN written w ON w.rel_path = c.rel_path WHERE coalesce(w.rel_path, c.rel_path) NOT IN (SELECT rel_path FROM gone)")
+def d15_push_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The receiver's files after one whole push: index, plan, upload, commit, delete."""
+    return pushed(spark, sf_dir).files.select("rel_path", "cid", "mtime_ms", ids.content_id(F.col("content")).alias("content_cid"))
+
+
+@query(
+    PUSHED + "SELECT coalesce(j.rel_path, a.rel_path) AS rel_path, coalesce(j.i, a.file_cid) AS file_cid, CASE WHEN j.rel_path IS NULL THEN a.file_cid WHEN NOT conflict OR newer THEN i ELSE l END AS base "
+    "FROM cid_a a FULL JOIN judged j ON j.rel_path = a.rel_path WHERE coalesce(j.rel_path, a.rel_path) NOT IN (SELECT rel_path FROM gone)"
+)
+def d15_push_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sender's index after the same push."""
+    return pushed(spark, sf_dir).index.select("rel_path", "file_cid", "base")
+
+
+@query(WC + "SELECT DISTINCT cid FROM chunks_b WHERE cid NOT IN (SELECT cid FROM chunks_a)")
+def d15_push_uploaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that the same push moves; each is what its id says."""
+    done = pushed(spark, sf_dir).uploaded
+    return done.where(ids.content_id(F.col("bytes")) == F.col("cid")).select("cid")
+
+
 # -- conflicts -------------------------------------------------------------------------------------------------------
 
 
