@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -20,11 +21,24 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module")
+def spark_rows(spark, request):
+    """The rows of the chosen queries; small as they are, most of their time is planning, so some are under way at once."""
+
+    def rows(name):
+        df = QUERIES[name](spark, SF)
+        columns = sorted(df.columns)
+        return columns, sorted(repr(tuple(r)) for r in df.select(*columns).collect())
+
+    chosen = [i.callspec.params["name"] for i in request.session.items if i.name.startswith("test_same_rows[")]
+    with ThreadPoolExecutor(4) as pool:
+        yield {name: pool.submit(rows, name) for name in chosen}
+        pool.shutdown(cancel_futures=True)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_same_rows(spark, duck, name):
-    df = QUERIES[name](spark, SF)
-    columns = sorted(df.columns)
-    got = sorted(repr(tuple(r)) for r in df.select(*columns).collect())
+def test_same_rows(spark_rows, duck, name):
+    columns, got = spark_rows[name].result()
     quoted = ", ".join(f'"{c}"' for c in columns)
     want = sorted(repr(tuple(r)) for r in duck.sql(f"SELECT {quoted} FROM ({ORACLES[name]})").fetchall())
     assert got == want
