@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,35 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-#: White space of the contracts: space and U+0009 to U+000D. Every other run of characters is a word.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_local_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset and Spark runs in one process."""
-    sc = spark.sparkContext
-    if found := sc.getConf().get("spark.checkpoint.dir"):
-        return found.rstrip("/")
-    if not re.match(r"local(\[|$)", sc.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if sc.applicationId not in _local_dirs:
-        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="spark-shared-")
-    return _local_dirs[sc.applicationId]
-
+from casdelta.staging import shared_dir, staged
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage and survives a lost executor.
-
-    Row groups are small, so that a task that writes whole texts holds few of them. The folder is its owner's to empty: what a
-    DataFrame that was returned still reads can't be told from here.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", 16 << 20).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["WORD", "free", "hashed_share", "id_bucket", "numbered", "ranges", "read", "shared_dir", "slices", "staged", "whole_text"]
 
+#: White space of the contracts: space and U+0009 to U+000D. Every other run of characters is a word.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores in front as it takes to be no column of df."""

@@ -62,7 +62,7 @@ def decided(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """Return seq, page_id, url, key, payload, n_bytes, sha1, first (seq and page_id of the response it revisits, or null) of each page.
 
     Of pages with equal payloads (by SHA-1 and length) of at least `least` bytes the one of the largest page_id is the response, null
-    ids last; of rows that repeat payload and id, the last as numbered. The table of repeated payloads is broadcast if it has at most
+    ids last; of rows that repeat payload and id, the last as numbered. A null page has an empty payload. The table of repeated payloads is broadcast if it has at most
     broadcast_rows rows, as counted (some sixty bytes each); a larger one is joined by shuffle, hot payloads spread.
     """
     payload = F.encode(whole_text(html), "UTF-8")
