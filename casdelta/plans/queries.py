@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from casdelta.functions import ids, rules
 from casdelta.operators import authz, chunking, conflict, history, jobs, reconcile, repos, tables
 from casdelta.plans.views import CHUNK, TREES, objects_a, objects_b, objects_c, sql_chunks, table
-from casdelta.sources import store
+from casdelta.sources import files, store
 from casdelta.staging import shared_dir
 from casdelta.streaming import events as streams
 
@@ -185,6 +185,34 @@ def b1_upload_to_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "upload string, written long, held long")
 
 
+def exported(spark: SparkSession, sf_dir: str) -> str:
+    """A folder on a mount, below the shared one, with objects_a as plain files."""
+    root = f"{shared_dir(spark).removeprefix('file://')}/tree-{uuid.uuid4().hex}"
+    store.export(objects_a(spark, sf_dir), root, dry_run=False)
+    return root
+
+
+@query(W + "SELECT rel_path, size FROM objects_a")
+def b3_export_and_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects written as plain files, all or none, and found again by a scan of the tree."""
+    return files.scan_tree(spark, exported(spark, sf_dir)).select("rel_path", "size")
+
+
+@query(WC + "SELECT rel_path, idx, cid, len, NULL AS file_cid FROM chunks_a UNION ALL SELECT rel_path, -1, NULL, NULL, sha256(content) FROM objects_a")
+def a2_read_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of plain files, read piece by piece, with each file's own id on a row behind them."""
+    return files.read_chunks(files.scan_tree(spark, exported(spark, sf_dir)), CHUNK)
+
+
+@query(W + "SELECT rel_path, file_cid, size, mtime_ms, mode FROM cid_b")
+def a7_load_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index that was saved last, of two in one session."""
+    root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    for tree in (objects_a, objects_b):
+        files.save_index(index_of(tree(spark, sf_dir)), root, "s")
+    return files.load_index(spark, root, "s").select("rel_path", "file_cid", "size", "mtime_ms", "mode")
+
+
 @query(W + f", plan AS ({D3}) SELECT p.rel_path, p.op, CASE WHEN p.op = 'delete' THEN 0 ELSE ceil(b.size / {CHUNK}.0)::BIGINT END AS n_chunks FROM plan p LEFT JOIN objects_b b USING (rel_path) WHERE p.op <> 'unchanged'")
 def b7_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.dry_run(index_of(objects_a(spark, sf_dir)), index_of(objects_b(spark, sf_dir)))
