@@ -19,6 +19,7 @@ __all__ = ["WORD", "free", "hashed_share", "id_bucket", "numbered", "ranges", "r
 #: White space of the contracts: space and U+0009 to U+000D. Every other run of characters is a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores in front as it takes to be no column of df."""
     taken = {c.lower() for c in df.columns}
