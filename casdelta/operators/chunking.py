@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casdelta.functions.ids import CHUNK_SIZE, chunk_array, content_id
-from casdelta.operators.skew import hot_join
+from casdelta.operators.skew import dealt, hot_join
 
 KIND = "object-v1"
 
@@ -95,7 +95,7 @@ def streamed_digests(rows: DataFrame, group: str, line: Column, order: list[str]
         if sha is not None:
             yield done()
 
-    out = rows.repartition(group).sortWithinPartitions(group, *order).select(F.col(group).alias("group"), line.alias("line"))
+    out = dealt(rows, group, order).select(F.col(group).alias("group"), line.alias("line"))
     return out.mapInArrow(run, f"group {out.schema['group'].dataType.simpleString()}, digest string, n long").select(F.col("group").alias(group), F.col("digest").alias(digest), "n")
 
 

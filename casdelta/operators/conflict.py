@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from casdelta.functions.diff import merge_texts
 from casdelta.functions.rules import target_fault
+from casdelta.operators.skew import dealt
 
 # File name extensions whose conflicts merge as lines of text.
 MERGEABLE = (
@@ -201,8 +202,7 @@ def journal(state: DataFrame, log: DataFrame) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     start = state.select("rel_path", F.lit(0).alias("turn"), none("long").alias("seq"), "cid", F.col("mtime_ms").cast("long").alias("mtime_ms"), none("string").alias("base"), none("string").alias("policy"), none("string").alias("short"), text("content").alias("text"), none("string").alias("ancestor"))
     step = log.select("rel_path", F.lit(1).alias("turn"), F.col("seq").cast("long").alias("seq"), "cid", F.col("mtime_ms").cast("long").alias("mtime_ms"), F.nullif("base", F.lit("")).alias("base"), "policy", "short", text("content").alias("text"), text("ancestor").alias("ancestor"))
-    order = ["rel_path", "turn", "seq", "cid"]
-    rows = start.join(log.select("rel_path").distinct(), "rel_path", "left_semi").unionByName(step).repartition("rel_path").sortWithinPartitions(*order)
+    rows = dealt(start.join(log.select("rel_path").distinct(), "rel_path", "left_semi").unionByName(step), "rel_path", ["turn", "seq", "cid"])
     names = ["rel_path", "seq", "action", "conflict", "short", "lost_cid", "lost_mtime", "cid", "mtime_ms", "merged"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
 

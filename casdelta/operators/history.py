@@ -16,6 +16,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from casdelta.functions.rules import INLINE_MAX
 from casdelta.operators.conflict import merge3
+from casdelta.operators.skew import dealt
 from casdelta.staging import staged
 
 #: Commits of a repository that one task walks in memory, and pairs of heads whose bitmaps it holds at once.
@@ -121,7 +122,7 @@ def _walk(commits: DataFrame, pairs: DataFrame, answer: Callable[[dict, list[Pai
     asked = pairs.select("repo", F.lit(0).alias("kind"), F.col("a").cast(sha).alias("a"), F.col("b").cast(sha).alias("b"), F.lit(None).cast(commits.schema["parents"].dataType).alias("parents")).distinct()
     known = commits.select("repo", F.lit(1).alias("kind"), F.col("sha").alias("a"), F.lit(None).cast(sha).alias("b"), "parents")
     # the pairs of a repository come before its commits; one without pairs is passed over
-    rows = asked.unionByName(known).repartition("repo").sortWithinPartitions("repo", "kind")
+    rows = dealt(asked.unionByName(known), "repo", ["kind"])
     schema = StructType([StructField("repo", rows.schema["repo"].dataType), *(StructField(n, k) for n, k in zip(names, kinds, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

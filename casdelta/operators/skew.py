@@ -1,4 +1,7 @@
-"""Joins whose keys may be hot: a merged Misra-Gries sketch finds the keys that hold a large share, and only these are spread."""
+"""Joins whose keys may be hot: a merged Misra-Gries sketch finds the keys that hold a large share, and only these are spread.
+
+And the deal of rows to tasks that walk a key's rows in order.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +19,15 @@ from pyspark.sql.types import LongType, StructField, StructType
 HOT_SHARE = 1 / 200
 
 
+def dealt(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """df with all rows of a key in one task, a task's rows sorted by key and order.
+
+    Rows are dealt by a digest of the key. Spark leaves out a shuffle by the key itself where df seems dealt by it already, and adaptive
+    execution may then cut that deal apart (a union's sides, a join turned local), as functions over batches ask for none.
+    """
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)
+
+
 def cut(counts: dict, most: int) -> dict:
     """The Misra-Gries summary cut to `most` counters: all lose as much as the next one has, so none is overstated."""
     if len(counts) <= most:

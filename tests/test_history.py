@@ -6,6 +6,8 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from casdelta.operators import history
 
@@ -66,3 +68,16 @@ def test_more_peers_than_are_broadcast(spark):
     rows, peers = spark.createDataFrame([(1,), (2,)], "n int"), spark.createDataFrame([(f"p{i % 50}",) for i in range(80)], "peer string")
     few, many = (sorted(tuple(r) for r in history.each_peer(rows, peers, most).collect()) for most in (100, 7))
     assert few == many and len(few) == 100
+
+
+def joined_graph(spark):
+    """Commits from a window and pairs from a join: both are dealt by repository already, but in tasks of their own."""
+    w = Window.partitionBy("repo").orderBy("sha")
+    commits = spark.range(400_000).select((F.col("id") % 4_000).alias("repo"), F.col("id").alias("sha"))
+    commits = commits.withColumn("parents", F.array_compact(F.array(F.lag("sha").over(w))))
+    ends = commits.groupBy("repo").agg(F.min("sha").alias("base")), commits.groupBy("repo").agg(F.max("sha").alias("head"))
+    return commits, ends[0].join(ends[1], "repo")
+
+
+def test_pairs_from_a_join_meet_all_commits_of_their_repository(spark):
+    assert history.is_ancestor(*joined_graph(spark)).groupBy("is_ancestor").count().collect() == [(True, 4_000)]
