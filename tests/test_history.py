@@ -81,3 +81,7 @@ def joined_graph(spark):
 
 def test_pairs_from_a_join_meet_all_commits_of_their_repository(spark):
     assert history.is_ancestor(*joined_graph(spark)).groupBy("is_ancestor").count().collect() == [(True, 4_000)]
+
+
+def test_deltas_of_pairs_from_a_join_leave_out_what_the_base_has(spark):
+    assert history.delta_commits(*joined_graph(spark)).count() == 4_000 * 99
