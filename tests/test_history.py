@@ -85,3 +85,10 @@ def test_pairs_from_a_join_meet_all_commits_of_their_repository(spark):
 
 def test_deltas_of_pairs_from_a_join_leave_out_what_the_base_has(spark):
     assert history.delta_commits(*joined_graph(spark)).count() == 4_000 * 99
+
+
+def test_actions_on_heads_from_a_join_follow_the_history(spark):
+    commits, pairs = joined_graph(spark)
+    incoming = pairs.select("repo", F.lit("main").alias("branch"), "head", F.lit("p").alias("peer"))
+    local = pairs.select("repo", F.lit("main").alias("branch"), F.col("base").alias("head"))
+    assert history.sync_actions(commits, incoming, local).groupBy("action").count().collect() == [("ff", 4_000)]
