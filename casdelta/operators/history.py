@@ -23,6 +23,8 @@ from casdelta.staging import staged
 MOST_COMMITS, PAIRS_AT_ONCE = 500_000, 256
 
 Pair = tuple[object, object]
+#: Columns of answers that are true or false; all others are ids of commits.
+FLAGS = {"is_ancestor", "_up", "_down"}
 
 
 def each_peer(rows: DataFrame, peers: DataFrame, most: int = 100_000) -> DataFrame:
@@ -103,22 +105,39 @@ def _delta(parents: dict, pairs: list[Pair]) -> Iterator[tuple]:
         yield from ((head, base, sha) for sha, bits in held.items() if bits & want and not bits & skip)
 
 
+def _base(parents: dict, held: dict[object, int], both: int) -> object:
+    common = [sha for sha, bits in held.items() if bits & both == both]
+    # what is below a common ancestor is common too, so only the parents of common ones have to go
+    below = {p for sha in common for p in parents.get(sha) or ()}
+    return min((sha for sha in common if sha not in below), default=None)
+
+
 def _bases(parents: dict, pairs: list[Pair]) -> Iterator[tuple]:
     ends = list(dict.fromkeys(x for pair in pairs for x in pair))
     held, place = bitmaps(parents, ends), {e: i for i, e in enumerate(ends)}
     for a, b in pairs:
-        both = 1 << place[a] | 1 << place[b]
-        common = [sha for sha, bits in held.items() if bits & both == both]
-        # what is below a common ancestor is common too, so only the parents of common ones have to go
-        below = {p for sha in common for p in parents.get(sha) or ()}
-        if best := [sha for sha in common if sha not in below]:
-            yield a, b, min(best)
+        if (base := _base(parents, held, 1 << place[a] | 1 << place[b])) is not None:
+            yield a, b, base
+
+
+def _relations(parents: dict, pairs: list[Pair]) -> Iterator[tuple]:
+    ends = list(dict.fromkeys(x for pair in pairs for x in pair))
+    held, place = bitmaps(parents, ends), {e: i for i, e in enumerate(ends)}
+    yield from ((a, b, bool(held[a] >> place[b] & 1), bool(held[b] >> place[a] & 1)) for a, b in pairs)
+
+
+def _relations_and_bases(parents: dict, pairs: list[Pair]) -> Iterator[tuple]:
+    ends = list(dict.fromkeys(x for pair in pairs for x in pair))
+    held, place = bitmaps(parents, ends), {e: i for i, e in enumerate(ends)}
+    for a, b in pairs:
+        up, down = bool(held[a] >> place[b] & 1), bool(held[b] >> place[a] & 1)
+        yield a, b, up, down, None if up or down else _base(parents, held, 1 << place[a] | 1 << place[b])
 
 
 def _walk(commits: DataFrame, pairs: DataFrame, answer: Callable[[dict, list[Pair]], Iterator[tuple]], names: list[str]) -> DataFrame:
     """(repo, *names) of answer() for each repository, from its commits and its pairs (repo, a, b)."""
     sha = commits.schema["sha"].dataType
-    kinds = [BooleanType() if n == "is_ancestor" else sha for n in names]
+    kinds = [BooleanType() if n in FLAGS else sha for n in names]
     asked = pairs.select("repo", F.lit(0).alias("kind"), F.col("a").cast(sha).alias("a"), F.col("b").cast(sha).alias("b"), F.lit(None).cast(commits.schema["parents"].dataType).alias("parents")).distinct()
     known = commits.select("repo", F.lit(1).alias("kind"), F.col("sha").alias("a"), F.lit(None).cast(sha).alias("b"), "parents")
     # the pairs of a repository come before its commits; one without pairs is passed over
@@ -136,7 +155,7 @@ def _walk(commits: DataFrame, pairs: DataFrame, answer: Callable[[dict, list[Pai
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], ["repo", *names])
 
         for batch in batches:
-            types = [batch.schema.field(0).type, *(pa.bool_() if n == "is_ancestor" else batch.schema.field(2).type for n in names)]
+            types = [batch.schema.field(0).type, *(pa.bool_() if n in FLAGS else batch.schema.field(2).type for n in names)]
             for repo, kind, a, b, ps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if repo != now:
                     for x in answers():
@@ -163,9 +182,10 @@ def _walk(commits: DataFrame, pairs: DataFrame, answer: Callable[[dict, list[Pai
 def _by_size(commits: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
     """Commits of repositories of at most `most`, and those of the few larger ones, or None; there are at most commits/most of these."""
     large = commits.groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") > most).select("repo")
-    large = commits.sparkSession.createDataFrame(large.collect(), large.schema)
-    if large.isEmpty():
+    found = large.collect()
+    if not found:
         return commits, None
+    large = commits.sparkSession.createDataFrame(found, large.schema)
     return commits.join(F.broadcast(large), "repo", "left_anti"), commits.join(F.broadcast(large), "repo", "left_semi")
 
 
@@ -230,16 +250,34 @@ def delta_commits(commits: DataFrame, pairs: DataFrame, most: int = MOST_COMMITS
     return _split(out, lacks, here)
 
 
-def _meetings(commits: DataFrame, incoming: DataFrame, local: DataFrame) -> DataFrame:
-    """Incoming heads with the local one (_head) and the action for each."""
+def _related(commits: DataFrame, pairs: DataFrame, bases: bool, most: int = MOST_COMMITS) -> DataFrame:
+    """(repo, _head, head, _up, _down) of the distinct pairs (repo, _head, head): whether head descends from _head, and _head from head.
+
+    With bases also _base, as merge_bases() has it, of pairs of which neither descends from the other. All by one walk.
+    """
+    small, large = _by_size(commits, most)
+    names, answer = (["_head", "head", "_up", "_down", "_base"], _relations_and_bases) if bases else (["_head", "head", "_up", "_down"], _relations)
+    out = _walk(small, pairs.select("repo", F.col("_head").alias("a"), F.col("head").alias("b")), answer, names)
+    if large is None:
+        return out
+    here = large.select("repo").distinct()
+    few_pairs = pairs.select("repo", "_head", "head").distinct().join(here, "repo", "left_semi")
+    reach = ancestors_by_rounds(large, few_pairs.select("repo", "head").union(few_pairs.select("repo", "_head")))
+    up = reach.select("repo", "head", F.col("sha").alias("_head"), F.lit(True).alias("_up"))
+    down = reach.select("repo", F.col("head").alias("_head"), F.col("sha").alias("head"), F.lit(True).alias("_down"))
+    rounds = few_pairs.join(up, ["repo", "_head", "head"], "left").join(down, ["repo", "_head", "head"], "left").na.fill(False, ["_up", "_down"])
+    if bases:
+        apart = rounds.where("not _up and not _down").select("repo", "_head", "head")
+        rounds = rounds.join(_bases_by_rounds(large, apart, reach).withColumnRenamed("base", "_base"), ["repo", "_head", "head"], "left")
+    return _split(out, rounds, here)
+
+
+def _meetings(commits: DataFrame, incoming: DataFrame, local: DataFrame, bases: bool = False) -> DataFrame:
+    """Incoming heads with the local one (_head) and the action for each; with bases also their merge base (_base)."""
     mine = local.select("repo", F.col("branch").alias("_branch"), F.col("head").alias("_head"))
     both = incoming.join(mine, "repo", "left")
     pairs = both.where("_head is not null and _head <> head and _branch = branch").select("repo", "_head", "head").distinct()
-    asked = pairs.select("repo", "head", F.col("_head").alias("base")).union(pairs.select("repo", F.col("_head").alias("head"), F.col("head").alias("base")))
-    above = staged(is_ancestor(commits, asked).where("is_ancestor"), "history-met")
-    up = above.select("repo", F.col("base").alias("_head"), "head", F.lit(True).alias("_up"))
-    down = above.select("repo", F.col("head").alias("_head"), F.col("base").alias("head"), F.lit(True).alias("_down"))
-    out = both.join(up, ["repo", "_head", "head"], "left").join(down, ["repo", "_head", "head"], "left")
+    out = both.join(staged(_related(commits, pairs, bases), "history-met"), ["repo", "_head", "head"], "left")
     action = (
         F.when(F.col("_head").isNull(), "adopt")
         .when(F.col("_head") == F.col("head"), "noop")
@@ -260,6 +298,14 @@ def sync_actions(commits: DataFrame, incoming: DataFrame, local: DataFrame) -> D
     return _meetings(commits, incoming, local).select("repo", "peer", "action")
 
 
+def _bases_by_rounds(large: DataFrame, pairs: DataFrame, reach: DataFrame) -> DataFrame:
+    """merge_bases() of pairs in large repositories; reach: ancestors() of their heads."""
+    common = pairs.join(reach, ["repo", "head"]).join(reach.withColumnRenamed("head", "_head"), ["repo", "_head", "sha"]).select("repo", "_head", "head", "sha")
+    below = common.join(large.select("repo", "sha", F.explode("parents").alias("_parent")), ["repo", "sha"])
+    best = common.join(below.select("repo", "_head", "head", F.col("_parent").alias("sha")), ["repo", "_head", "head", "sha"], "left_anti")
+    return best.groupBy("repo", "_head", "head").agg(F.min("sha").alias("base"))
+
+
 def merge_bases(commits: DataFrame, pairs: DataFrame, most: int = MOST_COMMITS) -> DataFrame:
     """(repo, _head, head, base): the common ancestor of two heads that no other common ancestor descends from.
 
@@ -272,10 +318,7 @@ def merge_bases(commits: DataFrame, pairs: DataFrame, most: int = MOST_COMMITS)
     here = large.select("repo").distinct()
     few_pairs = pairs.join(here, "repo", "left_semi")
     reach = ancestors_by_rounds(large, few_pairs.select("repo", "head").union(few_pairs.select("repo", "_head")))
-    common = few_pairs.join(reach, ["repo", "head"]).join(reach.withColumnRenamed("head", "_head"), ["repo", "_head", "sha"]).select("repo", "_head", "head", "sha")
-    below = common.join(large.select("repo", "sha", F.explode("parents").alias("_parent")), ["repo", "sha"])
-    best = common.join(below.select("repo", "_head", "head", F.col("_parent").alias("sha")), ["repo", "_head", "head", "sha"], "left_anti")
-    return _split(out, best.groupBy("repo", "_head", "head").agg(F.min("sha").alias("base")), here)
+    return _split(out, _bases_by_rounds(large, few_pairs, reach), here)
 
 
 def sync_outcomes(commits: DataFrame, incoming: DataFrame, local: DataFrame, entries: DataFrame, stamp: str, branch: str = "sync/conflict") -> DataFrame:
@@ -285,18 +328,20 @@ def sync_outcomes(commits: DataFrame, incoming: DataFrame, local: DataFrame, ent
     if both sides changed it since their merge base, each in its own way, and its lines don't merge; without a base it clashes if
     both have it and differ. A deletion against an edit clashes. kept names the branch that keeps the incoming head of a conflict.
     """
-    met = _meetings(commits, incoming, local)
-    apart = met.where("action = 'merge'").select("repo", "_head", "head").distinct()
-    apart = staged(apart.join(merge_bases(commits, apart).withColumnRenamed("base", "_base"), ["repo", "_head", "head"], "left"), "history-apart")
-
-    def side(head: str, name: str) -> DataFrame:
-        rows = entries.select("repo", F.col("sha").alias(head), "path", F.col("cid").alias(f"_{name}_cid"), F.col("content").alias(name))
-        return apart.join(rows, ["repo", head]).select("repo", "_head", "head", "path", f"_{name}_cid", name)
-
-    key = ["repo", "_head", "head", "path"]
-    files = side("_head", "local").join(side("head", "incoming"), key, "full_outer").join(side("_base", "base"), key, "left")
-    x, y, b = F.col("_local_cid"), F.col("_incoming_cid"), F.col("_base_cid")
-    edited = files.where(~x.eqNullSafe(y) & ~x.eqNullSafe(b) & ~y.eqNullSafe(b))
+    met = staged(_meetings(commits, incoming, local, bases=True), "history-outcomes")
+    key, sides = ["repo", "_head", "head", "path"], {"local": "_head", "incoming": "head", "base": "_base"}
+    apart = met.where("action = 'merge'").select("repo", *sides.values()).distinct()
+    asked = apart.select("repo", "_head", "head", F.inline(F.array(*(F.struct(F.lit(k).alias("_side"), F.col(c).alias("sha")) for k, c in sides.items())))).where("sha is not null")
+    # the trees of all three commits come by one join; only their ids are compared, and contents follow for what both sides edited
+    trees = asked.join(entries.where("path is not null").select("repo", "sha", "path", "cid", "content"), ["repo", "sha"])
+    trees = staged(trees.select(*key, "_side", "cid", "content"), "history-trees")
+    x, y, b = (F.max(F.when(F.col("_side") == k, F.col("cid"))).alias(f"_{k}_cid") for k in sides)
+    of = lambda k: F.col(f"_{k}_cid")
+    differ = ~of("local").eqNullSafe(of("incoming")) & ~of("local").eqNullSafe(of("base")) & ~of("incoming").eqNullSafe(of("base"))
+    both = staged(trees.groupBy(*key).agg(x, y, b).where(differ).select(*key), "history-edited")
+    texts = trees.where("content is not null").join(both, key, "left_semi")
+    texts = texts.groupBy(*key).agg(*(F.first(F.when(F.col("_side") == k, F.col("content")), ignorenulls=True).alias(k) for k in sides))
+    edited = both.join(texts, key, "left")
     clashes = merge3(edited).where("status <> 'clean'").groupBy("repo", "_head", "head").agg(F.count("*").alias("n_clashes"))
     out = met.join(clashes, ["repo", "_head", "head"], "left").withColumn("n_clashes", F.coalesce("n_clashes", F.lit(0)).cast("long"))
     lost = F.col("n_clashes") > 0

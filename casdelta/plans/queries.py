@@ -1150,16 +1150,15 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """commits: a customer's orders in a chain, every fifth with a second parent; heads: the latest, and one some steps back (base)."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("repo").orderBy("o_orderdate", "sha")
+    repo = Window.partitionBy("repo")
+    w = repo.orderBy(F.col("o_orderdate").asc_nulls_last(), F.col("sha").asc_nulls_last())
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("sha"), "o_orderdate").withColumn("n", F.row_number().over(w))
     one, two = F.lag("sha", 1).over(w), F.lag("sha", 2).over(w)
     parents = F.filter(F.array(one, F.when(F.col("n") % 5 == 0, two)), lambda x: x.isNotNull())
     commits_ = rows.select("repo", "sha", "n", parents.alias("parents"))
-    tips = commits_.groupBy("repo").agg(F.max("n").alias("top"))
-    marked = commits_.join(tips, "repo")
-    heads = marked.where("n = top").select("repo", F.col("sha").alias("head"))
-    back = marked.where("n = top - repo % 4").select("repo", F.col("sha").alias("base"))
-    return commits_, heads.join(back, "repo", "left")
+    marked = rows.where("repo is not null").select("repo", "sha", "n", F.count("*").over(repo).alias("top"))
+    at = lambda place: F.max(F.expr(f"CASE WHEN n = {place} THEN sha END"))
+    return commits_, marked.groupBy("repo").agg(at("top").alias("head"), at("top - repo % 4").alias("base"))
 
 
 REACH = "reach(repo, head, sha) AS (SELECT repo, head, head FROM heads UNION SELECT r.repo, r.head, p.parent FROM reach r JOIN parents p ON p.repo = r.repo AND p.child = r.sha)"

@@ -92,3 +92,37 @@ def test_actions_on_heads_from_a_join_follow_the_history(spark):
     incoming = pairs.select("repo", F.lit("main").alias("branch"), "head", F.lit("p").alias("peer"))
     local = pairs.select("repo", F.lit("main").alias("branch"), F.col("base").alias("head"))
     assert history.sync_actions(commits, incoming, local).groupBy("action").count().collect() == [("ff", 4_000)]
+
+
+@pytest.mark.parametrize("most", [1_000, 45])
+def test_relations_and_bases_equal_plain_search(spark, graphs, most):
+    rng = random.Random(7)
+    commits = spark.createDataFrame([(r, s, p) for r, g in graphs.items() for s, p in g.items()], COMMITS)
+    asked = {(r, *rng.sample([*g], 2)) for r, g in graphs.items() for _ in range(12)}
+    want = set()
+    for r, a, b in asked:
+        of_a, of_b = reached(graphs[r], a), reached(graphs[r], b)
+        common = of_a & of_b
+        best = [s for s in common if not any(s in reached(graphs[r], o) for o in common - {s})]
+        want.add((r, a, b, a in of_b, b in of_a, None if a in of_b or b in of_a else min(best, default=None)))
+    pairs = spark.createDataFrame(sorted(asked), "repo string, _head string, head string")
+    assert {tuple(x) for x in history._related(commits, pairs, True, most).select("repo", "_head", "head", "_up", "_down", "_base").collect()} == want
+    assert {tuple(x) for x in history._related(commits, pairs, False, most).select("repo", "_head", "head", "_up", "_down").collect()} == {x[:5] for x in want}
+
+
+def test_outcomes_take_one_walk_and_read_the_trees_once(spark, monkeypatch):
+    walks, reads, walk = [], spark.sparkContext.accumulator(0), history._walk
+    monkeypatch.setattr(history, "_walk", lambda *args: walks.append(1) or walk(*args))
+
+    @F.udf("string")
+    def counted(cid):
+        reads.add(1)
+        return cid
+
+    commits = spark.createDataFrame([("r", "a", []), ("r", "x", ["a"]), ("r", "y", ["a"])], COMMITS)
+    entries = spark.createDataFrame([("r", s, f"f{i}", s if i == 0 else "same") for s in "axy" for i in range(5)], "repo string, sha string, path string, cid string")
+    entries = entries.withColumn("cid", counted("cid")).withColumn("content", F.lit(None).cast("binary"))
+    heads = [spark.createDataFrame([("r", "main", h)], "repo string, branch string, head string") for h in "xy"]
+    got = history.sync_outcomes(commits, heads[1].withColumn("peer", F.lit("p")), heads[0], entries, "t").collect()
+    assert [tuple(r) for r in got] == [("r", "p", "conflict", 1, "sync/conflict-p-t")]
+    assert len(walks) == 1 and reads.value == 15
