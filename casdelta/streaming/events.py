@@ -25,8 +25,19 @@ def inbox(messages: DataFrame, prefix: str) -> DataFrame:
 def debounce(events: DataFrame, gap: str, key: str, late: str = "1 hour", rules_file: str = ".syncignore") -> DataFrame:
     """(key, start, end, paths, full_rescan): sessions of events (key, ts, path) no more than `gap` apart, with their distinct paths.
 
-    An event of the rules file asks for a full rescan. For batches and streams; streams drop what is later than `late`.
+    An event of the rules file asks for a full rescan. For batches and streams; streams drop what is later than `late`. A batch's
+    sessions are numbered by time slices, as in debounced(), and only a session's distinct paths come together in its row.
     """
+    if not events.isStreaming:
+        spark = events.sparkSession
+        micros = spark.sql(f"SELECT unix_micros(timestamp_micros(0) + CAST('{gap}' AS INTERVAL))").first()[0]
+        # a struct is never null, so events without a key have sessions of their own, as in a stream
+        facts, paths = _sessions(events.select(F.struct(F.col(key).alias("key")).alias("_key"), "ts", "path"), micros / 1000, "_key", rules_file)
+        held = paths.groupBy("_key", "session").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+        out = facts.join(held, ["_key", "session"], "left")
+        none = F.array().cast(held.schema["paths"].dataType)
+        rescan = F.when(F.col("paths").isNotNull(), F.col("full_rescan")).alias("full_rescan")
+        return out.select(F.col("_key.key").alias(key), "start", "end", F.coalesce("paths", none).alias("paths"), "n_events", rescan)
     touches = F.element_at(F.split("path", "/"), -1) == rules_file
     return (
         events.withWatermark("ts", late)
@@ -36,7 +47,7 @@ def debounce(events: DataFrame, gap: str, key: str, late: str = "1 hour", rules_
     )
 
 
-def sessioned(events: DataFrame, gap_ms: int, key: str, slice_ms: int = 3_600_000) -> DataFrame:
+def sessioned(events: DataFrame, gap_ms: float, key: str, slice_ms: int = 3_600_000) -> DataFrame:
     """events (key, ts and whatever else) of a batch with `session`: 1, 2, 3… for each key, no more than gap_ms between neighbours.
 
     Events are dealt by key and time slice and numbered within; the slices' ends tell which of their sessions go on in the next one.
@@ -57,15 +68,21 @@ def sessioned(events: DataFrame, gap_ms: int, key: str, slice_ms: int = 3_600_00
     return joined.withColumn("session", F.col("_before") + F.col("_local")).drop("_us", "_slice", "_local", "_before")
 
 
-def debounced(events: DataFrame, gap_ms: int, key: str, rules_file: str = ".syncignore", slice_ms: int = 3_600_000) -> tuple[DataFrame, DataFrame]:
+def _sessions(events: DataFrame, gap_ms: float, key: str, rules_file: str, slice_ms: int = 3_600_000) -> tuple[DataFrame, DataFrame]:
+    """(key, session, start, end, n_events, full_rescan) and the distinct (key, session, path) of a batch."""
+    rows = staged(sessioned(events.select(key, "ts", "path"), gap_ms, key, slice_ms), "debounce")
+    touches = F.coalesce(F.element_at(F.split("path", "/"), -1) == rules_file, F.lit(False))
+    end = F.timestamp_micros(F.max(F.unix_micros("ts")) + round(gap_ms * 1000))
+    facts = rows.groupBy(key, "session").agg(F.min("ts").alias("start"), end.alias("end"), F.count("*").alias("n_events"), F.bool_or(touches).alias("full_rescan"))
+    return facts, rows.where("path is not null").select(key, "session", "path").distinct()
+
+
+def debounced(events: DataFrame, gap_ms: float, key: str, rules_file: str = ".syncignore", slice_ms: int = 3_600_000) -> tuple[DataFrame, DataFrame]:
     """debounce() of a batch for hot keys: (key, session, start, end, n_events, n_paths, full_rescan), and (key, session, path) as rows.
 
     Sessions and paths are counted map-side, so neither a long session nor one of very many paths is held in a row or a task.
     """
-    rows = staged(sessioned(events.select(key, "ts", "path"), gap_ms, key, slice_ms), "debounce")
-    paths = rows.where("path is not null").select(key, "session", "path").distinct()
-    touches = F.coalesce(F.element_at(F.split("path", "/"), -1) == rules_file, F.lit(False))
-    facts = rows.groupBy(key, "session").agg(F.min("ts").alias("start"), F.timestamp_micros(F.max(F.unix_micros("ts")) + gap_ms * 1000).alias("end"), F.count("*").alias("n_events"), F.bool_or(touches).alias("full_rescan"))
+    facts, paths = _sessions(events, gap_ms, key, rules_file, slice_ms)
     counted = paths.groupBy(key, "session").agg(F.count("*").alias("n_paths"))
     out = facts.join(counted, [key, "session"], "left")
     return out.select(key, "session", "start", "end", "n_events", F.coalesce("n_paths", F.lit(0)).cast("long").alias("n_paths"), "full_rescan"), paths

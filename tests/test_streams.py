@@ -33,6 +33,18 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     assert got == {w for w in want if w[0] < at(80000)}
 
 
+def test_debounce_of_a_batch_keeps_the_streams_rows_and_spreads_a_key(spark):
+    at = lambda ms: dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=ms)
+    rows = [("k", at(0), "a"), ("k", at(1500), "b"), ("k", at(3001), "a"), (None, at(0), "n"), (None, at(1000), None), ("m", at(5), None), ("m", None, "x")]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, path string")
+    got = events.debounce(df, "1500 milliseconds", "k")
+    assert {(r["k"], r["start"], r["end"], tuple(r["paths"]), r["n_events"], r["full_rescan"]) for r in got.collect()} == {
+        ("k", at(0), at(3000), ("a", "b"), 2, False), ("k", at(3001), at(4501), ("a",), 1, False), (None, at(0), at(2500), ("n",), 2, False), ("m", at(5), at(1505), (), 1, None),
+    }
+    # no step takes a key's events whole
+    assert "SessionWindow" not in got._jdf.queryExecution().toString() and "MergingSessions" not in got._jdf.queryExecution().toString()
+
+
 def test_stateful_replay_equals_batch(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     log = [("p", 1, "a", 10, ""), ("p", 2, "b", 5, "a"), ("p", 3, "x", 1, "a"), ("q", 1, "n", 5, "")]
