@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from casdelta.staging import staged
+
 STORE_SCHEMA = "cid string, bytes binary, prefix string"
 #: Hexadecimal digits of an id that name its bucket, a folder; and bytes after which a task closes a file.
 PREFIX_DIGITS, FILE_BYTES = 2, 128 << 20
@@ -228,7 +230,8 @@ def upload(chunks: DataFrame, root: str, dry_run: bool = True) -> Receipt:
 
     An id that its bytes don't hash to is an error, and nothing is written. A second upload of the same chunks writes nothing.
     """
-    lacking = chunks.select("cid").distinct().join(held(stored(chunks.sparkSession, root), chunks), "cid", "left_anti")
+    ids = staged(chunks.select("cid").distinct(), "upload-ids")  # the chunks are cut and hashed once for their ids, and once for their bytes
+    lacking = ids.join(held(stored(chunks.sparkSession, root), ids), "cid", "left_anti")
     new = chunks.select("cid", "bytes").join(lacking, "cid", "left_semi").persist(StorageLevel.DISK_ONLY)
     try:
         return _save(new.repartitionByRange("cid").sortWithinPartitions("cid"), ChunkSink, root, dry_run)

@@ -88,3 +88,15 @@ def test_export_is_all_or_nothing(spark, tmp_path):
     assert (root / "a/one").read_bytes() == b"old" and visible(root) == [str(root / "a/one")]
     assert store.export(df, str(root), dry_run=False).files == 3
     assert [(root / p).read_bytes() for p, _ in rows] == [b"new", b"", b""]
+
+
+def test_an_upload_cuts_its_chunks_once_for_ids_and_once_for_bytes(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def hashed(data):
+        reads.add(1)
+        return hashlib.sha256(bytes(data)).hexdigest()
+
+    cut = chunks(spark, [f"c{i}" for i in range(300)]).select(F.udf(hashed, "string").asNondeterministic()("bytes").alias("cid"), "bytes")
+    assert store.upload(cut, str(tmp_path / "store"), dry_run=False).rows == 300
+    assert reads.value == 600
