@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casdelta.operators import history
+from casdelta.plans.queries import ORACLES, QUERIES
 
 PAIRS = "repo string, base string, head string"
 COMMITS = "repo string, sha string, parents array<string>"
@@ -94,6 +96,22 @@ def test_actions_on_heads_from_a_join_follow_the_history(spark):
     assert history.sync_actions(commits, incoming, local).groupBy("action").count().collect() == [("ff", 4_000)]
 
 
+@pytest.mark.parametrize("name", ["k3_delta_commits"])
+def test_histories_have_the_rows_of_their_sql_at_scale(spark, name):
+    """At sf0.1 joins are shuffled and their partitions coalesced, which the smallest tables of the other tests don't show."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    try:
+        df = QUERIES[name](spark, "/root/testdata/sf0.1")
+        got = sorted(map(repr, map(tuple, df.collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    con = duckdb.connect()
+    con.execute("CREATE VIEW orders AS SELECT * FROM '/root/testdata/sf0.1/orders.parquet'")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert got == sorted(map(repr, want))
+
+
 @pytest.mark.parametrize("most", [1_000, 45])
 def test_relations_and_bases_equal_plain_search(spark, graphs, most):
     rng = random.Random(7)
