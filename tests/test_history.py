@@ -96,7 +96,7 @@ def test_actions_on_heads_from_a_join_follow_the_history(spark):
     assert history.sync_actions(commits, incoming, local).groupBy("action").count().collect() == [("ff", 4_000)]
 
 
-@pytest.mark.parametrize("name", ["k3_delta_commits"])
+@pytest.mark.parametrize("name", ["k3_delta_commits", "k4_sync_action"])
 def test_histories_have_the_rows_of_their_sql_at_scale(spark, name):
     """At sf0.1 joins are shuffled and their partitions coalesced, which the smallest tables of the other tests don't show."""
     kept = spark.conf.get("spark.sql.shuffle.partitions")
