@@ -161,12 +161,22 @@ class Network:
             self.cb[...] = np.log(np.concatenate([rows, (vocab.shapes[:, 0] + 1) / (vocab.total + 1), [(vocab.ends + 1) / (vocab.total + 1)]]))
 
     def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The state after h, both gates side by side, the candidate, and what the reset gate scales."""
         k = self.size
         hu = h @ self.u
-        zr = 1 / (1 + np.exp(-(gates[:, : 2 * k] + hu[:, : 2 * k])))
+        zr = gates[:, : 2 * k] + hu[:, : 2 * k]
+        zr *= -1
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(gates[:, 2 * k :] + r * hu[:, 2 * k :])
-        return n + z * (h - n), z, r, n, hu[:, 2 * k :]
+        n = r * hu[:, 2 * k :]
+        n += gates[:, 2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, zr, n, hu[:, 2 * k :]
 
 
 def log_softmax(a: np.ndarray) -> np.ndarray:
@@ -174,32 +184,88 @@ def log_softmax(a: np.ndarray) -> np.ndarray:
     return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
 
 
+def exps(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of a's rows and their sums; logits are small as a rule, so a row's maximum is taken off only where it must be."""
+    ones = np.ones(a.shape[-1], a.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = np.exp(a)
+        total = e @ ones
+    if total.size and not (total.min() > 1e-30 and total.max() < 1e30):
+        e = np.exp(a - a.max(axis=-1, keepdims=True))
+        total = e @ ones
+    return e, total
+
+
 def picked(a: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log_softmax of a at one place of each row; logits are small as a rule, so the maximum is taken off only where it must be."""
+    """log_softmax of a at one place of each row."""
     rows = np.arange(len(at))
-    with np.errstate(over="ignore", divide="ignore"):
-        out = a[rows, at] - np.log(np.exp(a).sum(axis=1))
-    return out if np.isfinite(out).all() else log_softmax(a)[rows, at]
+    _, total = exps(a)
+    if total.min(initial=1) > 1e-30 and a.max(initial=0) < 60:
+        return a[rows, at] - np.log(total)
+    return log_softmax(a)[rows, at]
 
 
-def by_class(kinds: np.ndarray, head_classes: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of the tokens of each head class that occurs."""
-    order = np.argsort(kinds, kind="stable")
-    cuts = np.searchsorted(kinds[order], np.arange(head_classes + 1))
-    for c in range(head_classes):
-        if cuts[c] < cuts[c + 1]:
-            yield c, order[cuts[c] : cuts[c + 1]]
+#: Rows whose logits are held at once, so that they stay in a core's cache.
+ROWS = 2048
 
 
 def log_probability(net: Network, vocab: Vocabulary, h: np.ndarray, kind: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """ln of p(class | h), and for head words of p(word | class, h) too."""
-    out = picked(h @ net.c + net.cb, kind)
-    for c, at in by_class(kind, vocab.head_classes):
-        rows = slice(c * net.a_class, (c + 1) * net.a_class)
-        out[at] += picked(h[at] @ net.w[rows].T + net.wb[rows], rank[at] - c * net.a_class)
+    out = np.empty(len(kind), np.float32)
+    for a in range(0, len(kind), ROWS):
+        part = slice(a, a + ROWS)
+        logits = h[part] @ net.c
+        logits += net.cb
+        out[part] = picked(logits, kind[part])
+    of_head = np.flatnonzero(kind < vocab.head_classes)
+    of_head = of_head[np.argsort(kind[of_head], kind="stable")]
+    cuts = np.searchsorted(kind[of_head], np.arange(vocab.head_classes + 1))
+    place = rank - kind * net.a_class
+    for c in range(vocab.head_classes):
+        w, b = (x[c * net.a_class : (c + 1) * net.a_class] for x in (net.w, net.wb))
+        for a in range(cuts[c], cuts[c + 1], ROWS):
+            at = of_head[a : min(a + ROWS, cuts[c + 1])]
+            logits = h[at] @ w.T
+            logits += b
+            out[at] += picked(logits, place[at])
     return out
 
 
+def blocks(kinds: np.ndarray, classes: int, rows: int) -> tuple[np.ndarray, ...]:
+    """Tokens of head classes, dealt by class to blocks of `rows` slots: their places, their slots, and the class of each block.
+
+    A block holds one class, so all of them go through one batched product; slots that are left over hold nothing.
+    """
+    at = np.flatnonzero(kinds < classes)
+    at = at[np.argsort(kinds[at], kind="stable")]
+    n = np.bincount(kinds[at], minlength=classes)
+    many = -(-n // rows)
+    slots = np.arange(len(at)) + np.repeat((np.cumsum(many) - many) * rows - (np.cumsum(n) - n), n)
+    return at, slots, np.repeat(np.arange(classes), many)
+
+
+def run_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at first: most runs are short and go side by side, the few others one by one."""
+    n = np.diff(first, append=len(rows))
+    out = rows[first]
+    for r in range(1, 8):
+        more = np.flatnonzero(n > r)
+        out[more] += rows[first[more] + r]
+    for i in np.flatnonzero(n > 8):
+        out[i] += rows[first[i] + 8 : first[i] + n[i]].sum(axis=0)
+    return out
+
+
+def adagrad(past: np.ndarray, weights: np.ndarray, slope: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of squares and the weights after a step against the clipped slope."""
+    part = np.clip(slope, -1, 1)
+    squares = part * part
+    past = np.add(past, squares)
+    part *= rate
+    part /= np.sqrt(past, out=squares)
+    return past, np.subtract(weights, part, out=part)
+
+
 def inputs(vocab: Vocabulary, kind: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.where(kind < vocab.head_classes, rank, vocab.head + kind - vocab.head_classes)
 
@@ -213,96 +279,120 @@ def train_on(net: Network, vocab: Vocabulary, texts: Iterator[str], lanes: int =
     grad = np.zeros_like(net.flat)
     past_x, rest = Network(vocab, net.size, past).x, slice(net.x.size, None)  # of x, only rows that occur are touched
     g = Network(vocab, net.size, grad)
-    end = vocab.classes - 1
+    end, begin = vocab.classes - 1, vocab.head + SHAPES
     k, seen, source = net.size, 0, iter(texts)
-    lane: list[tuple[np.ndarray, np.ndarray, int] | None] = [None] * lanes
+    small = np.int16 if max(begin, vocab.classes) < 1 << 15 else np.int64  # short keys sort faster
+    #: a lane's text, as rows kind, rank and input, and how far it is read
+    lane: list[tuple[np.ndarray, int]] = [(np.empty((3, 0), np.int32), 0)] * lanes
     h = np.zeros((lanes, k), np.float32)
+    slopes = np.zeros((vocab.head_classes, net.a_class, k + 1), np.float32)  # of head words' weights, and of their constants last
 
-    def next_text() -> tuple[np.ndarray, np.ndarray, int] | None:
+    def next_text() -> np.ndarray | None:
         for t in source:
             rank, kind, _ = vocab.lookup(tokens(t))
-            return np.append(rank, -1).astype(np.int64), np.append(kind, end).astype(np.int64), 0
+            text = np.empty((3, len(rank) + 1), np.int32)
+            text[0, :-1], text[0, -1] = kind, end
+            text[1, :-1], text[1, -1] = rank, -1
+            text[2, 0], text[2, 1:] = begin, inputs(vocab, kind, rank)
+            return text
         return None
 
     while True:
-        kinds = np.full((window, len(lane)), -1, np.int64)
-        ranks, xs = np.zeros((window, len(lane)), np.int64), np.zeros((window, len(lane)), np.int64)
-        fresh = np.zeros((window, len(lane)), bool)
-        for j in range(len(lane)):
+        now = np.full((len(lane), 3, window), -1, np.int32)
+        for j, (text, pos) in enumerate(lane):
             at = 0
             while at < window:
-                if lane[j] is None or lane[j][2] == len(lane[j][0]):
-                    lane[j] = next_text()
-                    if lane[j] is None:
+                if pos == text.shape[1]:
+                    if (more := next_text()) is None:
                         break
-                    fresh[at, j] = True
-                rank, kind, pos = lane[j]
-                n = min(window - at, len(rank) - pos)
-                ranks[at : at + n, j], kinds[at : at + n, j] = rank[pos : pos + n], kind[pos : pos + n]
-                x = inputs(vocab, kind[max(0, pos - 1) : pos + n - 1], rank[max(0, pos - 1) : pos + n - 1])
-                xs[at : at + n, j] = x if pos else np.append(vocab.head + SHAPES, x)
-                lane[j] = (rank, kind, pos + n)
-                at += n
-        busy = kinds[0] >= 0
+                    text, pos = more, 0
+                n = min(window - at, text.shape[1] - pos)
+                now[j, :, at : at + n] = text[:, pos : pos + n]
+                at, pos = at + n, pos + n
+            lane[j] = text, pos
+        busy = now[:, 0, 0] >= 0
         if not busy.all():  # no text is left for these lanes: the others go on without them
-            kinds, ranks, xs, fresh, h = kinds[:, busy], ranks[:, busy], xs[:, busy], fresh[:, busy], h[busy]
+            now, h = now[busy], h[busy]
             lane = [x for x, ok in zip(lane, busy, strict=True) if ok]
-        live = kinds >= 0
-        if not live.any():
+        if not len(lane):
             return seen
-        seen += int(live.sum())
-        steps = []
+        kinds, ranks, xs = np.ascontiguousarray(now.transpose(1, 2, 0))
+        live = np.flatnonzero(kinds.ravel() >= 0)
+        whole = len(live) == kinds.size
+        seen += len(live)
+        fresh = xs == begin  # the end is no text's input but at its beginning
+        any_fresh = fresh.any(axis=1)
         gates = net.x[xs]
-        hs = np.empty((window, len(lane), k), np.float32)
+        steps = []
         for t in range(window):
-            if fresh[t].any():
+            if any_fresh[t]:
                 h = np.where(fresh[t][:, None], np.float32(0), h)
-            new, z, r, n, hun = net.step(gates[t], h)
-            steps.append((h, z, r, n, hun))
-            hs[t] = h = new
-        flat_h, kind, rank = hs[live], kinds[live], ranks[live]
-        scale = 1.0 / lanes
-        p = np.exp(log_softmax(flat_h @ net.c + net.cb))
-        p[np.arange(len(kind)), kind] -= 1
-        p *= scale
+            steps.append((h, *net.step(gates[t], h)))
+            h = steps[-1][1]
+        before, hs, zrs, ns, huns = map(np.stack, zip(*steps, strict=True))
+        zs, rs = zrs[:, :, :k], zrs[:, :, k:]
+        flat_h = hs.reshape(-1, k) if whole else hs.reshape(-1, k)[live]
+        kind, rank = kinds.ravel()[live], ranks.ravel()[live]
+        scale = np.float32(1.0 / lanes)
+        p = flat_h @ net.c
+        p += net.cb
+        p, total = exps(p)
+        p *= (scale / total)[:, None]
+        p[np.arange(len(kind)), kind] -= scale
         grad[rest] = 0
-        g.c[...] = flat_h.T @ p
-        g.cb[...] = p.sum(axis=0)
+        np.matmul(flat_h.T, p, out=g.c)
+        np.matmul(np.ones(len(p), np.float32), p, out=g.cb)
         dh_flat = p @ net.c.T
-        for c, at in by_class(kind, vocab.head_classes):
-            rows = slice(c * net.a_class, (c + 1) * net.a_class)
-            q = np.exp(log_softmax(flat_h[at] @ net.w[rows].T + net.wb[rows]))
-            q[np.arange(len(at)), rank[at] - c * net.a_class] -= 1
-            q *= scale
-            g.w[rows] = q.T @ flat_h[at]
-            g.wb[rows] = q.sum(axis=0)
-            dh_flat[at] += q @ net.w[rows]
-        dhs = np.zeros_like(hs)
-        dhs[live] = dh_flat
+        at, slots, cls = blocks(kind.astype(small), vocab.head_classes, 16)
+        if len(at):
+            inside = np.zeros((len(cls) * 16, k + 1), np.float32)
+            inside[slots, :k], inside[slots, k] = flat_h[at], 1
+            w = np.concatenate([net.w, net.wb[:, None]], axis=1).reshape(slopes.shape)[cls]
+            q, total = exps(inside.reshape(len(cls), 16, k + 1) @ w.transpose(0, 2, 1))
+            share = np.zeros(len(cls) * 16, np.float32)
+            share[slots] = scale
+            q *= (share.reshape(total.shape) / total)[..., None]
+            flat_q = q.reshape(-1, net.a_class)
+            flat_q[slots, rank[at] - kind[at] * net.a_class] -= scale
+            slopes[...] = 0
+            cuts = np.searchsorted(cls, np.arange(vocab.head_classes + 1)) * 16
+            for c in range(vocab.head_classes):
+                if cuts[c] < cuts[c + 1]:
+                    np.matmul(flat_q[cuts[c] : cuts[c + 1]].T, inside[cuts[c] : cuts[c + 1]], out=slopes[c])
+            g.w[...], g.wb[...] = slopes[:, :, :k].reshape(g.w.shape), slopes[:, :, k].ravel()
+            dh_flat[at] += (q @ w).reshape(-1, k + 1)[slots, :k]
+        if whole:
+            dhs = dh_flat.reshape(hs.shape)
+        else:
+            dhs = np.zeros_like(hs)
+            dhs.reshape(-1, k)[live] = dh_flat
+        # slopes of the gates by the state's slope, at all steps at once
+        by_n = (1 - zs) * (1 - ns * ns)
+        by_z = (before - ns) * zs * (1 - zs)
+        by_r = huns * rs * (1 - rs)
         dh = np.zeros((len(lane), k), np.float32)
-        dgates, dus = np.empty((window, len(lane), 3 * k), np.float32), np.empty((window, len(lane), 3 * k), np.float32)
+        dus, dns = np.empty((window, len(lane), 3 * k), np.float32), np.empty(hs.shape, np.float32)
         for t in reversed(range(window)):
-            before, z, r, n, hun = steps[t]
-            dh = dh + dhs[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * hun * r * (1 - r)
-            du = dus[t]
-            dgates[t, :, :k] = du[:, :k] = dz
-            dgates[t, :, k : 2 * k] = du[:, k : 2 * k] = dr
-            dgates[t, :, 2 * k :], du[:, 2 * k :] = dn, dn * r
-            dh = dh * z + du @ net.u.T
-            if fresh[t].any():
+            dh += dhs[t]
+            du, dn = dus[t], dns[t]
+            np.multiply(dh, by_n[t], out=dn)
+            np.multiply(dh, by_z[t], out=du[:, :k])
+            np.multiply(dn, by_r[t], out=du[:, k : 2 * k])
+            np.multiply(dn, rs[t], out=du[:, 2 * k :])
+            dh *= zs[t]
+            dh += du @ net.u.T
+            if any_fresh[t]:
                 dh[fresh[t]] = 0
-        g.u[...] = np.concatenate([s[0] for s in steps]).T @ dus.reshape(-1, 3 * k)
-        order = np.argsort(xs[live], kind="stable")
-        ids, first = np.unique(xs[live][order], return_index=True)
-        gx = np.clip(np.add.reduceat(dgates[live][order], first, axis=0), -1, 1)
-        past_x[ids] += gx * gx
-        net.x[ids] -= rate * gx / np.sqrt(past_x[ids])
-        part = np.clip(grad[rest], -1, 1)
-        past[rest] += part * part
-        net.flat[rest] -= rate * part / np.sqrt(past[rest])
+        np.matmul(before.reshape(-1, k).T, dus.reshape(-1, 3 * k), out=g.u)
+        dus[:, :, 2 * k :] = dns
+        x = xs.ravel()[live]
+        order = np.argsort(x.astype(small), kind="stable")
+        x = x[order]
+        first = np.flatnonzero(np.diff(x, prepend=-1))
+        gx = run_sums(dus.reshape(-1, 3 * k)[live[order]], first)
+        ids = x[first]
+        past_x[ids], net.x[ids] = adagrad(past_x[ids], net.x[ids], gx, rate)
+        past[rest], net.flat[rest] = adagrad(past[rest], net.flat[rest], grad[rest], rate)
 
 
 def average(parts: DataFrame) -> DataFrame:
@@ -390,19 +480,23 @@ def score_texts(net: Network, vocab: Vocabulary, texts: list[str | None], window
     doc = np.repeat(np.arange(len(order)), length)
     total = np.zeros(len(order))
     h = np.zeros((len(order), k), np.float32)
-    for at in range(0, int(length[0]), window):
-        live = int(np.searchsorted(-length, -at))
-        held, places = [], []
-        for t in range(at, min(at + window, int(length[0]))):
-            m = int(np.searchsorted(-length[:live], -t))
-            new = net.step(net.x[x[first[:m] + t]], h[:m])[0]
-            h[:m] = new
-            held.append(new)
-            places.append(first[:m] + t)
-        hs, places = np.concatenate(held), np.concatenate(places)
-        for a in range(0, len(places), 65536):
-            part = places[a : a + 65536]
-            total += np.bincount(doc[part], log_probability(net, vocab, hs[a : a + 65536], kind[part], rank[part]), len(total))
+    longest = int(length[0])
+    many = len(order) - np.searchsorted(length[::-1], np.arange(longest), "right")  # texts that have a token at each step
+    held, places, rows = [], [], 0
+    for at in range(0, longest, window):
+        steps = many[at : at + window].tolist()
+        here = np.concatenate([first[:m] + t for t, m in enumerate(steps, at)])
+        gates, done = net.x[x[here]], 0
+        for m in steps:
+            h = net.step(gates[done : done + m], h[:m])[0]
+            held.append(h)
+            done += m
+        places.append(here)
+        rows += done
+        if rows >= 8 * ROWS or at + window >= longest:  # when few texts are left, the states of many windows go through the output together
+            where = np.concatenate(places)
+            total += np.bincount(doc[where], log_probability(net, vocab, np.concatenate(held), kind[where], rank[where]), len(total))
+            held, places, rows = [], [], 0
     base, inner, known = np.zeros(len(order)), np.zeros(len(order)), np.zeros(len(order), np.int64)
     count = np.append(vocab.counts, 0)[rank].astype(float)
     count[kind == end] = vocab.ends

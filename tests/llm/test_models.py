@@ -283,6 +283,36 @@ def test_lm_lanes_that_run_out_change_nothing():
     assert min(flats) > untrained
 
 
+def test_lm_output_of_a_long_text_is_not_worked_out_window_by_window(monkeypatch):
+    vocab, calls, plain = tiny_model(), [], lm.log_probability
+    monkeypatch.setattr(lm, "log_probability", lambda *args: calls.append(len(args[3])) or plain(*args))
+    lm.score_texts(lm.Network(vocab, 4), vocab, ["a b. c rare " * 1000, "a"])
+    assert sum(calls) == 4003 and len(calls) == 1
+
+
+def test_lm_head_words_go_through_one_product_a_window(monkeypatch):
+    """A window's softmaxes are one over classes and one over all classes' words, however many classes it has."""
+    words = [b"w%d" % i for i in range(64)]
+    vocab = lm.Vocabulary(words, np.full(64, 10), 64, np.ones((lm.SHAPES, 2)), 4, 644, 65, a_class=2).index()
+    calls = []
+    for name in ("log_softmax", "exps"):
+        monkeypatch.setattr(lm, name, lambda a, plain=getattr(lm, name, None): calls.append(1) or plain(a), raising=False)
+    lm.train_on(lm.Network(vocab, 4), vocab, iter([" ".join(f"w{i}" for i in range(59))] * 4), lanes=4, window=20)
+    assert len(calls) == 3 * 2
+
+
+def test_lm_runs_and_blocks_equal_plain_sums():
+    rng = np.random.default_rng(4)
+    keys = np.sort(rng.integers(0, 30, 400) ** 2 // 20)
+    rows = rng.normal(size=(400, 3))
+    ids, first = np.unique(keys, return_index=True)
+    assert np.allclose(lm.run_sums(rows, first), [rows[keys == i].sum(axis=0) for i in ids])
+    kinds = rng.integers(0, 9, 200)
+    at, slots, cls = lm.blocks(kinds, 6, 16)
+    assert sorted(at) == np.flatnonzero(kinds < 6).tolist() and len(set(slots)) == len(at)
+    assert (cls[slots // 16] == kinds[at]).all()
+
+
 def test_quality_draws_about_as_many_as_asked(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
