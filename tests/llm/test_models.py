@@ -301,6 +301,14 @@ def test_lm_head_words_go_through_one_product_a_window(monkeypatch):
     assert len(calls) == 3 * 2
 
 
+@pytest.mark.parametrize("level", [0, -200, 200])
+def test_lm_logits_of_any_level_give_the_same_probabilities(level):
+    a = np.random.default_rng(5).normal(size=(6, 9)).astype(np.float32)
+    at = np.arange(6)
+    assert np.allclose(lm.picked(a + np.float32(level), at), lm.log_softmax(a)[at, at], atol=1e-4)
+    assert np.allclose(np.divide(*(lambda e, t: (e, t[:, None]))(*lm.exps(a + np.float32(level)))), np.exp(lm.log_softmax(a)), atol=1e-4)
+
+
 def test_lm_runs_and_blocks_equal_plain_sums():
     rng = np.random.default_rng(4)
     keys = np.sort(rng.integers(0, 30, 400) ** 2 // 20)
